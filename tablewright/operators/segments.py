@@ -57,25 +57,6 @@ def _attach(rows: DataFrame, carry: DataFrame, names: list[str], extra: list[str
     return rows.join(renamed, cond, "left").drop(*[f"_c_{c}" for c in names])
 
 
-def previous_row(
-    df: DataFrame, keys: list[str], order: list[str], columns: list[str],
-    prefix: str = "prev_", segments: int | None = None,
-) -> DataFrame:
-    """Add the previous row's ``columns`` (SQL ``lag``) per key."""
-    rows = df.withColumn(SEG, segment_of(df, order[0], segments))
-    local = Window.partitionBy(*keys, SEG).orderBy(*order)
-    value = F.struct(*columns)
-    summary = rows.groupBy(*keys, SEG).agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carry = summary.withColumn(
-        "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SEG))
-    )
-    rows = rows.withColumn("_prev", F.lag(value).over(local))
-    rows = _attach(rows, carry, [*keys, SEG], ["_carry"])
-    before = F.coalesce("_prev", "_carry")
-    added = {f"{prefix}{c}": before[c] for c in columns}
-    return rows.withColumns(added).drop(SEG, "_prev", "_carry")
-
-
 _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
@@ -84,40 +65,57 @@ def running(
     df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, Column]],
     segments: int | None = None,
 ) -> DataFrame:
-    """Running aggregates from the start of each key to the current row.
+    """Running aggregates, previous values and whole-key totals in one pass.
 
-    ``aggs`` maps an output name to ``(sum|count|min|max, value)``.
+    ``aggs`` maps an output name to ``(op, value)``: ``sum count min max`` run from the
+    start of the key to the current row, ``lag`` is the previous row's value, and
+    ``total_sum`` and so on cover the whole key.
     """
     rows = df.withColumn(SEG, segment_of(df, order[0], segments))
-    local = Window.partitionBy(*keys, SEG).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    earlier = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    summary = rows.groupBy(*keys, SEG).agg(
-        *[_LOCAL[op](value).alias(f"_s_{name}") for name, (op, value) in aggs.items()]
-    )
-    carry = summary.select(
-        *keys, SEG,
-        *[_COMBINE[op](f"_s_{name}").over(earlier).alias(f"_b_{name}")
-          for name, (op, _) in aggs.items()],
-    )
-    rows = rows.withColumns(
-        {f"_l_{name}": _LOCAL[op](value).over(local) for name, (op, value) in aggs.items()}
-    )
-    rows = _attach(rows, carry, [*keys, SEG], [f"_b_{name}" for name in aggs])
-    out = {}
+    # The value columns are fixed here so that each is computed once.
+    rows = rows.withColumns({f"_v_{name}": value for name, (_, value) in aggs.items()})
+    inside = Window.partitionBy(*keys, SEG).orderBy(*order)
+    local = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    across = Window.partitionBy(*keys).orderBy(SEG)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    everywhere = Window.partitionBy(*keys)
+    edge, reach, here, out = [], [], {}, {}
     for name, (op, _) in aggs.items():
-        here, before = F.col(f"_l_{name}"), F.col(f"_b_{name}")
-        if op == "min":
-            out[name] = F.least(here, before)
-        elif op == "max":
-            out[name] = F.greatest(here, before)
+        v, mine, before = F.col(f"_v_{name}"), F.col(f"_l_{name}"), F.col(f"_b_{name}")
+        if op == "lag":
+            boxed = F.struct(v.alias("v"))
+            edge.append(F.max_by(boxed, F.struct(*order)).alias(f"_s_{name}"))
+            reach.append(F.lag(f"_s_{name}").over(across).alias(f"_b_{name}"))
+            here[f"_l_{name}"] = F.lag(boxed).over(inside)
+            out[name] = F.coalesce(mine, before)["v"]
+            continue
+        kind = op.removeprefix("total_")
+        edge.append(_LOCAL[kind](v).alias(f"_s_{name}"))
+        if kind != op:
+            reach.append(_COMBINE[kind](f"_s_{name}").over(everywhere).alias(f"_b_{name}"))
+            out[name] = before
+            continue
+        reach.append(_COMBINE[kind](f"_s_{name}").over(earlier).alias(f"_b_{name}"))
+        here[f"_l_{name}"] = _LOCAL[kind](v).over(local)
+        if kind in ("min", "max"):
+            out[name] = (F.least if kind == "min" else F.greatest)(mine, before)
         else:
-            out[name] = F.coalesce(here + before, here, before)
-    scratch = [f"_l_{n}" for n in aggs] + [f"_b_{n}" for n in aggs]
+            out[name] = F.coalesce(mine + before, mine, before)
+    carry = rows.groupBy(*keys, SEG).agg(*edge).select(*keys, SEG, *reach)
+    rows = _attach(rows.withColumns(here), carry, [*keys, SEG], [f"_b_{name}" for name in aggs])
+    scratch = [f"_{x}_{name}" for x in "vlb" for name in aggs]
     return rows.withColumns(out).drop(SEG, *scratch)
 
 
+def previous_row(
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str],
+    prefix: str = "prev_", segments: int | None = None,
+) -> DataFrame:
+    """Add the previous row's ``columns`` (SQL ``lag``) per key."""
+    wanted = {f"{prefix}{c}": ("lag", F.col(c)) for c in columns}
+    return running(df, keys, order, wanted, segments)
+
+
 def carry_value(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str,
     present: Column, backward: bool = False, segments: int | None = None,
@@ -154,14 +152,14 @@ def sliding(
     """
     reach = max(abs(low), abs(high))
     width = max(width or 100_000, reach, 1)
-    rows = df.withColumn("_place", place)
-    block = F.floor(F.col("_place") / F.lit(width)).cast("bigint")
-    first = F.floor((F.col("_place") - F.lit(max(high, 0))) / F.lit(width)).cast("bigint")
-    last = F.floor((F.col("_place") + F.lit(max(-low, 0))) / F.lit(width)).cast("bigint")
+    rows = df.withColumn("_spot", place)
+    block = F.floor(F.col("_spot") / F.lit(width)).cast("bigint")
+    first = F.floor((F.col("_spot") - F.lit(max(high, 0))) / F.lit(width)).cast("bigint")
+    last = F.floor((F.col("_spot") + F.lit(max(-low, 0))) / F.lit(width)).cast("bigint")
     rows = rows.withColumn("_home", block).withColumn("_block", F.explode(F.sequence(first, last)))
-    frame = Window.partitionBy(*keys, "_block").orderBy("_place").rangeBetween(low, high)
+    frame = Window.partitionBy(*keys, "_block").orderBy("_spot").rangeBetween(low, high)
     rows = rows.withColumns({name: agg.over(frame) for name, agg in aggs.items()})
-    return rows.where(F.col("_home") == F.col("_block")).drop("_place", "_home", "_block")
+    return rows.where(F.col("_home") == F.col("_block")).drop("_spot", "_home", "_block")
 
 
 def with_running_index(
@@ -214,8 +212,8 @@ def with_running_total(
     lookup = spark.createDataFrame(offsets, "_part int, _offset bigint")
     before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        stored.withColumn("_before", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+        stored.withColumn("_ahead", F.coalesce(F.sum(weight).over(before), F.lit(0)))
         .join(F.broadcast(lookup), "_part")
-        .withColumn(name, F.col("_before") + F.col("_offset"))
-        .drop("_part", "_before", "_offset")
+        .withColumn(name, F.col("_ahead") + F.col("_offset"))
+        .drop("_part", "_ahead", "_offset")
     )

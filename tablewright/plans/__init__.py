@@ -4,7 +4,7 @@ import importlib
 
 from tablewright.plans import registry
 
-FAMILIES = ("diffing",)
+FAMILIES = ("diffing", "filtering", "scalars", "grouping")
 
 
 def load():
