@@ -116,28 +116,37 @@ def previous_row(
     return running(df, keys, order, wanted, segments)
 
 
-def carry_value(
-    df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str,
-    present: Column, backward: bool = False, segments: int | None = None,
+def nearest(
+    df: DataFrame, keys: list[str], order: list[str],
+    wants: dict[str, tuple[list[str], Column, bool]], segments: int | None = None,
 ) -> DataFrame:
-    """Add struct ``name`` holding ``columns`` of the nearest row at or before
-    (``backward``: at or after) the current one where ``present`` holds."""
+    """Values of the nearest marked row per key, in one pass.
+
+    ``wants`` maps a struct name to ``(columns, present, backward)``: the ``columns`` of
+    the nearest row at or before (``backward``: at or after) this one where
+    ``present`` holds.
+    """
     rows = df.withColumn(SEG, segment_of(df, order[0], segments))
-    value = F.when(present, F.struct(*columns))
     local = Window.partitionBy(*keys, SEG).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(SEG)
-    stamp = F.when(present, F.struct(*order))
-    if backward:
-        near = F.first(value, ignorenulls=True).over(local.rowsBetween(0, Window.unboundedFollowing))
-        edge = F.min_by(value, stamp)
-        reach = F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        near = F.last(value, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
-        edge = F.max_by(value, stamp)
-        reach = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    carry = rows.groupBy(*keys, SEG).agg(edge.alias("_edge")).withColumn("_carry", reach)
-    rows = _attach(rows.withColumn("_near", near), carry, [*keys, SEG], ["_carry"])
-    return rows.withColumn(name, F.coalesce("_near", "_carry")).drop(SEG, "_near", "_carry")
+    before = Window.unboundedPreceding
+    after = Window.unboundedFollowing
+    edge, reach, here = [], [], {}
+    for name, (columns, present, backward) in wants.items():
+        value, stamp = F.when(present, F.struct(*columns)), F.when(present, F.struct(*order))
+        if backward:
+            here[f"_l_{name}"] = F.first(value, ignorenulls=True).over(local.rowsBetween(0, after))
+            edge.append(F.min_by(value, stamp).alias(f"_s_{name}"))
+            far = F.first(f"_s_{name}", ignorenulls=True).over(across.rowsBetween(1, after))
+        else:
+            here[f"_l_{name}"] = F.last(value, ignorenulls=True).over(local.rowsBetween(before, 0))
+            edge.append(F.max_by(value, stamp).alias(f"_s_{name}"))
+            far = F.last(f"_s_{name}", ignorenulls=True).over(across.rowsBetween(before, -1))
+        reach.append(far.alias(f"_b_{name}"))
+    carry = rows.groupBy(*keys, SEG).agg(*edge).select(*keys, SEG, *reach)
+    rows = _attach(rows.withColumns(here), carry, [*keys, SEG], [f"_b_{name}" for name in wants])
+    found = {name: F.coalesce(f"_l_{name}", f"_b_{name}") for name in wants}
+    return rows.withColumns(found).drop(SEG, *[f"_{x}_{name}" for x in "lb" for name in wants])
 
 
 def sliding(

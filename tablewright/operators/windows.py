@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.expressions import expr
 from tablewright.operators.aggregates import top_per_group
-from tablewright.operators.segments import carry_value, position, previous_row, running, sliding
+from tablewright.operators.segments import nearest, position, previous_row, running, sliding
 
 MICROS = {
     "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000,
@@ -136,25 +136,30 @@ def fill(
     keys = by or []
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
+    wants: dict[str, tuple[list[str], Column, bool]] = {}
     for name, spec in output.items():
-        c = F.col(name)
         if "value" in spec:
-            rows = rows.withColumn(name, F.coalesce(c, F.lit(spec["value"])))
             continue
-        rows = carry_value(rows, keys, sort_by, [name], "_before", c.isNotNull(), segments=segments)
+        present = F.col(name).isNotNull()
+        wants[f"_before_{name}"] = (["_x", name], present, False)
+        if spec["method"] == "linear":
+            wants[f"_after_{name}"] = (["_x", name], present, True)
+    if wants:
+        rows = rows.withColumn("_x", position(rows, sort_by[0]))
+        rows = nearest(rows, keys, sort_by, wants, segments)
+    filled = {}
+    for name, spec in output.items():
+        if "value" in spec:
+            filled[name] = F.coalesce(F.col(name), F.lit(spec["value"]))
+            continue
+        x0, y0 = F.col(f"_before_{name}._x"), F.col(f"_before_{name}.{name}")
         if spec["method"] == "locf":
-            rows = rows.withColumn(name, F.col("_before").getField(name)).drop("_before")
+            filled[name] = y0
             continue
-        rows = rows.drop("_before").withColumn("_x", position(rows, sort_by[0]))
-        for way, out in ((False, "_before"), (True, "_after")):
-            rows = carry_value(
-                rows, keys, sort_by, ["_x", name], out, F.col(name).isNotNull(), way, segments
-            )
-        x0, y0 = F.col("_before._x"), F.col(f"_before.{name}")
-        x1, y1 = F.col("_after._x"), F.col(f"_after.{name}")
+        x1, y1 = F.col(f"_after_{name}._x"), F.col(f"_after_{name}.{name}")
         between = y0 + (y1 - y0) * (F.col("_x") - x0) / (x1 - x0)
-        rows = rows.withColumn(name, F.coalesce(F.col(name), between)).drop("_before", "_after", "_x")
-    return rows.drop("_all")
+        filled[name] = F.coalesce(F.col(name), between)
+    return rows.withColumns(filled).drop("_all", "_x", *wants)
 
 
 def rate_counters(
