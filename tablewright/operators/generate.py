@@ -27,77 +27,127 @@ def stream_number(name: str, part: int = 0) -> int:
     return (zlib.crc32(f"{name}/{part}".encode()) % PRIME) or 1
 
 
-def draw(row_id: Column, stream: int, seed: int = 0) -> Column:
-    """An integer in [0, 2^31-1) that looks random over ids."""
-    p = F.lit(PRIME)
-    low, high = F.pmod(row_id, p), F.floor(row_id / p).cast("bigint")
-    a = F.pmod(low * 48271 + high * 40692 + F.lit(stream + seed * 16807), p)
-    b = F.pmod(F.pmod(a * a, p) + a * 16807 + F.lit(stream), p)
-    return F.pmod(F.pmod(b * b, p) + b * 48271 + 12345, p)
+class RowDraws:
+    """The random draws of one row.
 
+    Every draw becomes a column of its own, computed in three steps that each
+    use the step before twice; as columns they are computed once, however often
+    a generator refers to them.
+    """
 
-def unit(row_id: Column, stream: int, seed: int = 0) -> Column:
-    return draw(row_id, stream, seed) / F.lit(float(PRIME))
+    def __init__(self, row_id: Column, seed: int = 0):
+        self.id, self.seed = row_id, seed
+        self.streams: set[int] = set()
+        self.kept: dict[str, Column] = {}
 
+    def draw(self, stream: int) -> Column:
+        """An integer in [0, 2^31-1) that looks random over ids."""
+        self.streams.add(stream)
+        return F.col(f"_d{stream}")
 
-def int_between(row_id: Column, low: int, high: int, stream: int, seed: int = 0) -> Column:
+    def keep(self, value: Column) -> Column:
+        """A value built from draws that is used more than once."""
+        name = f"_k{len(self.kept)}"
+        self.kept[name] = value
+        return F.col(name)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        p = F.lit(PRIME)
+        df = df.withColumns({"_low": F.pmod(self.id, p), "_high": F.floor(self.id / p).cast("bigint")})
+        names = sorted(self.streams)
+
+        def first(n: int) -> Column:
+            return (F.col("_low") * 48271 + F.col("_high") * 40692 + F.lit(n + self.seed * 16807)) % p
+
+        def second(n: int) -> Column:
+            a = F.col(f"_a{n}")
+            return ((a * a) % p + a * 16807 + F.lit(n)) % p
+
+        def third(n: int) -> Column:
+            b = F.col(f"_b{n}")
+            return ((b * b) % p + b * 48271 + 12345) % p
+
+        df = df.withColumns({f"_a{n}": first(n) for n in names}) if names else df
+        df = df.withColumns({f"_b{n}": second(n) for n in names}) if names else df
+        df = df.withColumns({f"_d{n}": third(n) for n in names}) if names else df
+        return df.withColumns(self.kept) if self.kept else df
+
+
+def unit(r: RowDraws, stream: int) -> Column:
+    return r.draw(stream) / F.lit(float(PRIME))
+
+
+def int_between(r: RowDraws, low: int, high: int, stream: int) -> Column:
     low, high = min(low, high), max(low, high)
     span = high - low + 1
     if span <= PRIME:
-        return F.lit(low) + F.pmod(draw(row_id, stream, seed), F.lit(span))
-    wide = draw(row_id, stream, seed) * F.lit(1 << 31) + draw(row_id, stream + 1, seed)
+        return F.lit(low) + F.pmod(r.draw(stream), F.lit(span))
+    wide = r.draw(stream) * F.lit(1 << 31) + r.draw(stream + 1)
     return F.lit(low) + F.pmod(wide, F.lit(span))
 
 
-def choose(row_id: Column, values: list[Any], stream: int, seed: int = 0) -> Column:
-    at = F.pmod(draw(row_id, stream, seed), F.lit(len(values))) + 1
+def choose(r: RowDraws, values: list[Any], stream: int) -> Column:
+    at = F.pmod(r.draw(stream), F.lit(len(values))) + 1
     return F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
 
-def digits(row_id: Column, count: int, stream: int, seed: int = 0) -> Column:
+def digits(r: RowDraws, count: int, stream: int) -> Column:
     parts = []
     for i in range(0, count, 9):
         n = min(9, count - i)
-        value = F.pmod(draw(row_id, stream + i, seed), F.lit(10**n)).cast("string")
+        value = F.pmod(r.draw(stream + i), F.lit(10**n)).cast("string")
         parts.append(F.lpad(value, n, "0"))
     return F.concat(*parts)
 
 
-def chars(row_id: Column, alphabet: str, length: Column | int, longest: int, stream: int, seed: int = 0) -> Column:
+def chars(r: RowDraws, alphabet: str, length: Column | int, longest: int, stream: int) -> Column:
     """Text over ``alphabet``: five characters per draw."""
     base = len(alphabet)
     out = []
     for block in range(0, longest, 5):
-        value = draw(row_id, stream + block, seed)
+        value = r.draw(stream + block)
         for i in range(min(5, longest - block)):
-            at = F.pmod(F.floor(value / F.lit(base**i)).cast("bigint"), F.lit(base)) + 1
-            out.append(F.substring(F.lit(alphabet), at.cast("int"), F.lit(1)))
+            at = (F.floor(value / F.lit(base**i)).cast("bigint") % base).cast("int") + 1
+            out.append(F.substring(F.lit(alphabet), at, F.lit(1)))
     text = F.concat(*out)
-    return text if isinstance(length, int) and length == longest else F.left(text, F.lit(length) if isinstance(length, int) else length)
+    if isinstance(length, int):
+        return text if length == longest else F.left(text, F.lit(length))
+    return F.left(text, length)
 
 
-def luhn_digit(body: Column, length: int) -> Column:
-    """Check digit that completes ``length`` digits."""
-    total = F.lit(0)
-    for i in range(length):
-        d = F.substring(body, i + 1, 1).cast("int")
-        if (length - i) % 2 == 1:
-            d = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        total = total + d
-    return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
+def hex_text(r: RowDraws, length: int, stream: int) -> Column:
+    """Hex digits, seven per draw."""
+    parts = [
+        F.lpad(F.lower(F.hex(r.draw(stream + i) % F.lit(1 << 28))), 7, "0") for i in range(0, length, 7)
+    ]
+    return F.left(F.concat(*parts), F.lit(length))
 
 
-def ean_digit(body: Column, length: int) -> Column:
+def check_digit(r: RowDraws, body: Column, longest: int, weigh) -> Column:
+    """Digit that brings the weighted sum of ``body`` (from the right, first weight
+    on the last digit) to a multiple of ten; shorter bodies count as padded."""
+    digits_of = r.keep(F.lpad(body, longest, "0"))
     total = F.lit(0)
-    for i in range(length):
-        d = F.substring(body, i + 1, 1).cast("int")
-        total = total + (d * 3 if (length - i) % 2 == 1 else d)
-    return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
+    for i in range(longest):
+        d = F.substring(digits_of, longest - i, 1).cast("int")
+        total = total + weigh(d, i)
+    return ((F.lit(10) - total % 10) % 10).cast("string")
+
+
+def luhn_digit(r: RowDraws, body: Column, longest: int) -> Column:
+    def weigh(d: Column, i: int) -> Column:
+        return d * 2 - F.when(d > 4, 9).otherwise(0) if i % 2 == 0 else d
+
+    return check_digit(r, body, longest, weigh)
+
+
+def ean_digit(r: RowDraws, body: Column, longest: int) -> Column:
+    return check_digit(r, body, longest, lambda d, i: d * 3 if i % 2 == 0 else d)
 
 
-def sequence_value(row_id: Column, p: dict[str, Any]) -> Column:
+def sequence_value(r: RowDraws, p: dict[str, Any]) -> Column:
     """start + id * increment, wrapped or held inside its limits."""
-    value = F.lit(p.get("startValue", 1)) + row_id * F.lit(p.get("increment", 1))
+    value = F.lit(p.get("startValue", 1)) + r.id * F.lit(p.get("increment", 1))
     low, high = p.get("sequenceMin"), p.get("sequenceMax")
     if low is not None and high is not None and p.get("sequenceCycle"):
         return F.lit(low) + F.pmod(value - F.lit(low), F.lit(high - low + 1))
@@ -110,20 +160,20 @@ def _moment(text: str | None, fallback: str) -> int:
     return int(dt.datetime.fromisoformat(text or fallback).replace(tzinfo=dt.timezone.utc).timestamp())
 
 
-def datetime_value(row_id: Column, p: dict[str, Any], stream: int, seed: int) -> Column:
+def datetime_value(r: RowDraws, p: dict[str, Any], stream: int) -> Column:
     a, b = _moment(p.get("start"), "2020-01-01"), _moment(p.get("end"), "2025-01-01")
-    second = int_between(row_id, a, b, stream, seed)
+    second = int_between(r, a, b, stream)
     at = F.timestamp_add("SECOND", second, F.lit("1970-01-01").cast("timestamp_ntz"))
     if p.get("startHour") is not None or p.get("endHour") is not None:
-        hour = int_between(row_id, p.get("startHour", 0), p.get("endHour", 23), stream + 7, seed)
-        rest = int_between(row_id, 0, 3599, stream + 8, seed)
+        hour = int_between(r, p.get("startHour", 0), p.get("endHour", 23), stream + 7)
+        rest = int_between(r, 0, 3599, stream + 8)
         at = F.timestamp_add("SECOND", hour * 3600 + rest, F.date_trunc("DAY", at))
     return at
 
 
-def time_value(row_id: Column, p: dict[str, Any], stream: int, seed: int) -> Column:
-    h = int_between(row_id, p.get("startHour", 0), p.get("endHour", 23), stream, seed)
-    m, s = int_between(row_id, 0, 59, stream + 1, seed), int_between(row_id, 0, 59, stream + 2, seed)
+def time_value(r: RowDraws, p: dict[str, Any], stream: int) -> Column:
+    h = int_between(r, p.get("startHour", 0), p.get("endHour", 23), stream)
+    m, s = int_between(r, 0, 59, stream + 1), int_between(r, 0, 59, stream + 2)
     return F.concat_ws(":", *[F.lpad(x.cast("string"), 2, "0") for x in (h, m, s)])
 
 
@@ -142,36 +192,38 @@ WORDS = {
 }
 
 
-def text_value(row_id: Column, p: dict[str, Any], stream: int, seed: int) -> Column:
+def text_value(r: RowDraws, p: dict[str, Any], stream: int) -> Column:
     fmt = p.get("textFormat", "lorem")
-    pick = lambda n, part: choose(row_id, WORDS[n], stream + part, seed)
+    pick = lambda n, part: choose(r, WORDS[n], stream + part)
     if fmt == "bcrypt":
-        return F.concat(F.lit("$2a$10$"), chars(row_id, "./" + LATIN, 53, 53, stream, seed))
+        return F.concat(F.lit("$2a$10$"), chars(r, "./" + LATIN, 53, 53, stream))
     if fmt in ("hex", "alphanumeric"):
         low, high = p.get("minLength", 32), p.get("maxLength", 32)
-        size = int_between(row_id, low, high, stream + 999, seed).cast("int")
-        return chars(row_id, "0123456789abcdef" if fmt == "hex" else LATIN, size, high, stream, seed)
+        size = int_between(r, low, high, stream + 999).cast("int")
+        if fmt == "hex":
+            return F.left(hex_text(r, high, stream), size)
+        return chars(r, LATIN, size, high, stream)
     if fmt == "version":
-        n = [int_between(row_id, 0, top, stream + i, seed).cast("string") for i, top in enumerate((3, 20, 99))]
-        return F.concat(F.when(unit(row_id, stream + 3, seed) < 0.3, "v").otherwise(""), F.concat_ws(".", *n))
+        n = [int_between(r, 0, top, stream + i).cast("string") for i, top in enumerate((3, 20, 99))]
+        return F.concat(F.when(unit(r, stream + 3) < 0.3, "v").otherwise(""), F.concat_ws(".", *n))
     if fmt in ("slug", "tag_list"):
         few, many = (2, 4) if fmt == "slug" else (1, 3)
-        n = int_between(row_id, few, many, stream, seed)
+        n = int_between(r, few, many, stream)
         parts = F.array(*[pick(fmt, i + 1) for i in range(many)])
         kept = F.slice(parts, F.lit(1), n.cast("int"))
         return F.array_join(kept, "-") if fmt == "slug" else F.array_join(F.array_distinct(kept), ",")
     if fmt in WORDS:
         return pick(fmt, 0)
     low, high = p.get("minLength", 50), p.get("maxLength", 500)
-    size = int_between(row_id, low, high, stream, seed)
-    offset = int_between(row_id, 1, 60, stream + 1, seed)
+    size = int_between(r, low, high, stream)
+    offset = int_between(r, 1, 60, stream + 1)
     body = LOREM * (high // len(LOREM) + 2)
     return F.substring(F.lit(body), offset.cast("int"), size.cast("int"))
 
 
-def uuid_value(row_id: Column, stream: int, seed: int, hyphens: bool = True) -> Column:
+def uuid_value(r: RowDraws, stream: int, hyphens: bool = True) -> Column:
     """Different for every id: a hash of id, column and seed in UUID form."""
-    h = F.md5(F.concat_ws("/", row_id.cast("string"), F.lit(str(stream)), F.lit(str(seed))))
+    h = F.md5(F.concat_ws("/", r.id.cast("string"), F.lit(str(stream)), F.lit(str(r.seed))))
     if not hyphens:
         return h
     cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
@@ -214,32 +266,31 @@ KINDS = ["Classic", "Compact", "Deluxe", "Eco", "Travel"]
 CARDS = {"Visa": ("4", 16), "MasterCard": ("52", 16), "American Express": ("34", 15), "JCB": ("3530", 16), "UnionPay": ("62", 16)}
 
 
-def semantic_value(key: str, row_id: Column, stream: int, seed: int) -> Column:
+def semantic_value(key: str, r: RowDraws, stream: int) -> Column:
     """Names, contacts, payment, company, place, product, network and file values."""
-    pick = lambda values, part=0: choose(row_id, values, stream + part, seed)
-    num = lambda low, high, part=0: int_between(row_id, low, high, stream + part, seed)
+    pick = lambda values, part=0: choose(r, values, stream + part)
+    num = lambda low, high, part=0: int_between(r, low, high, stream + part)
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     if key in PICKS:
         return pick(PICKS[key])
     if key == "full_name":
         return text(pick(FIRST), " ", pick(LAST, 1))
     if key == "phone":
-        return text("+1-", num(200, 999), "-", digits(row_id, 7, stream + 1, seed))
+        return text("+1-", num(200, 999), "-", digits(r, 7, stream + 1))
     if key in ("email", "social_id"):
         name = text(F.lower(pick(FIRST)), ".", F.lower(pick(LAST, 1)), num(1, 9999, 2))
         return name if key == "social_id" else text(name, "@example.", pick(["com", "org", "net"], 3))
     if key == "id_number":
-        return digits(row_id, 18, stream, seed)
+        return digits(r, 18, stream)
     if key == "credit_card_number":
         kinds = list(CARDS)
-        at = F.pmod(draw(row_id, stream, seed), F.lit(len(kinds)))
+        at = F.pmod(r.draw(stream), F.lit(len(kinds)))
         out = None
         for i, kind in enumerate(kinds):
             prefix, length = CARDS[kind]
-            body = F.concat(F.lit(prefix), digits(row_id, length - 1 - len(prefix), stream + 1, seed))
-            card = F.concat(body, luhn_digit(body, length - 1))
-            out = F.when(at == i, card) if out is None else out.when(at == i, card)
-        return out
+            body = F.concat(F.lit(prefix), digits(r, length - 1 - len(prefix), stream + 1))
+            out = F.when(at == i, body) if out is None else out.when(at == i, body)
+        return F.concat(out, luhn_digit(r, out, 15))
     if key == "credit_card_date":
         return text(F.lpad(num(1, 12).cast("string"), 2, "0"), "/", F.lpad(num(25, 39, 1).cast("string"), 2, "0"))
     if key == "company_name":
@@ -249,10 +300,10 @@ def semantic_value(key: str, row_id: Column, stream: int, seed: int) -> Column:
     if key == "product_name":
         return text(pick(KINDS), " ", pick(GOODS, 1))
     if key == "barcode":
-        body = digits(row_id, 12, stream, seed)
-        return F.concat(body, ean_digit(body, 12))
+        body = digits(r, 12, stream)
+        return F.concat(body, ean_digit(r, body, 12))
     if key == "sku":
-        return text(chars(row_id, LATIN[:26], 3, 3, stream, seed), "-", digits(row_id, 6, stream + 9, seed))
+        return text(chars(r, LATIN[:26], 3, 3, stream), "-", digits(r, 6, stream + 9))
     if key == "ip_address":
         return F.concat_ws(".", *[num(1 if i in (0, 3) else 0, 254, i).cast("string") for i in range(4)])
     if key == "mac_address":
@@ -264,7 +315,7 @@ def semantic_value(key: str, row_id: Column, stream: int, seed: int) -> Column:
         host = text(F.lower(pick(FIRMS)), "-", num(1, 99, 1), ".example.com")
         return host if key == "hostname" else text("https://", host, "/", F.lower(pick(GOODS, 2)))
     if key == "image":
-        return text("0x", chars(row_id, "0123456789abcdef", 32, 32, stream, seed))
+        return text("0x", hex_text(r, 32, stream))
     raise ValueError(f"unknown generator {key}")
 
 
@@ -304,7 +355,7 @@ def guess_generator(name: str, data_type: str, auto_increment: bool = False) ->
     return next((key for pattern, key in NAME_HINTS if re.search(pattern, name, re.I)), "text")
 
 
-def generated(spec: dict[str, Any], row_id: Column, seed: int = 0) -> Column:
+def generated(spec: dict[str, Any], r: RowDraws) -> Column:
     """One column from its spec ``{name, type, generator, params, default}``. NULL by
     ``nullPercent`` comes first, then the default by ``defaultPercent``."""
     name, kind = spec["name"], spec.get("type", "string")
@@ -314,51 +365,52 @@ def generated(spec: dict[str, Any], row_id: Column, seed: int = 0) -> Column:
     if key == "number":
         low, high = p.get("min", 1), p.get("max", 1000)
         if p.get("numberType") == "decimal":
-            value = F.round(F.lit(low) + unit(row_id, stream, seed) * F.lit(high - low), p.get("decimalPlaces", 2))
+            value = F.round(F.lit(low) + unit(r, stream) * F.lit(high - low), p.get("decimalPlaces", 2))
         else:
-            value = int_between(row_id, low, high, stream, seed)
+            value = int_between(r, low, high, stream)
     elif key == "sequence":
-        value = sequence_value(row_id, p)
+        value = sequence_value(r, p)
     elif key == "datetime":
-        value = datetime_value(row_id, p, stream, seed)
+        value = datetime_value(r, p, stream)
     elif key == "date":
-        value = datetime_value(row_id, p, stream, seed).cast("date")
+        value = datetime_value(r, p, stream).cast("date")
     elif key == "time":
-        value = time_value(row_id, p, stream, seed)
+        value = time_value(r, p, stream)
     elif key == "enum":
         values = p.get("values") or (["true", "false"] if "bool" in kind else ["A", "B", "C", "D", "E"])
-        value = choose(row_id, values, stream, seed)
+        value = choose(r, values, stream)
     elif key == "text":
-        value = text_value(row_id, p, stream, seed)
+        value = text_value(r, p, stream)
     elif key == "uuid":
-        value = uuid_value(row_id, stream, seed, p.get("uuidHyphens", True))
+        value = uuid_value(r, stream, p.get("uuidHyphens", True))
     elif key == "foreign_key":
-        value = int_between(row_id, p.get("min", 1), p.get("max", 500), stream, seed)
+        value = int_between(r, p.get("min", 1), p.get("max", 500), stream)
     elif key == "snowflake":
-        value = snowflake_id(row_id)
+        value = snowflake_id(r.id)
     else:
-        value = semantic_value(key, row_id, stream, seed)
+        value = semantic_value(key, r, stream)
     if "type" in spec:
         value = value.cast(kind)
     default, share = spec.get("default"), p.get("defaultPercent", 100)
     if default is not None and p.get("includeDefault", True) and share > 0:
-        use = unit(row_id, stream_number(name, 1), seed) * 100 < share
+        use = unit(r, stream_number(name, 1)) * 100 < share
         value = F.when(use, F.lit(default).cast(kind) if "type" in spec else F.lit(default)).otherwise(value)
     if p.get("includeNull") and p.get("nullPercent"):
-        value = F.when(unit(row_id, stream_number(name, 2), seed) * 100 >= p["nullPercent"], value)
+        value = F.when(unit(r, stream_number(name, 2)) * 100 >= p["nullPercent"], value)
     return value.alias(name)
 
 
 def generate_columns(ids: DataFrame, id_column: str, specs: list[dict[str, Any]], seed: int = 0) -> DataFrame:
-    row_id = F.col(id_column).cast("bigint")
-    return ids.select(id_column, *[generated(s, row_id, seed) for s in specs])
+    r = RowDraws(F.col(id_column).cast("bigint"), seed)
+    columns = [generated(s, r) for s in specs]
+    return r.apply(ids.select(id_column)).select(id_column, *columns)
 
 
 def generate_rows(
     spark: SparkSession, n: int, specs: list[dict[str, Any]], seed: int = 0, partitions: int | None = None
 ) -> DataFrame:
     """``n`` rows with ids 0 to n-1."""
-    return generate_columns(spark.range(0, n, 1, partitions), "id", specs, seed)
+    return generate_columns(spark.range(0, n, 1, partitions), "id", specs)
 
 
 def with_foreign_key(
@@ -369,5 +421,7 @@ def with_foreign_key(
     collected."""
     numbered = with_running_index(parent.select(F.col(parent_key).alias(name)), [name], "_at")
     total = parent.count()
-    place = int_between(F.col(id_column).cast("bigint"), 0, max(total - 1, 0), stream_number(name), seed)
-    return df.withColumn("_want", place).join(numbered, F.col("_want") == F.col("_at")).drop("_want", "_at")
+    r = RowDraws(F.col(id_column).cast("bigint"), seed)
+    place = int_between(r, 0, max(total - 1, 0), stream_number(name))
+    wanted = r.apply(df).select(*df.columns, place.alias("_want"))
+    return wanted.join(numbered, F.col("_want") == F.col("_at")).drop("_want", "_at")

@@ -53,7 +53,7 @@ def stream_backlog(t):
 
 
 @query("stream_lag_ms", """
-WITH s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE epoch_ms(ts) END AS a, CASE WHEN event_id % 5 = 0 THEN NULL ELSE epoch_ms(ts) - 1000 END AS c, epoch_ms(ts) - 5000 AS d FROM events),
+WITH s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE epoch_us(ts) // 1000 END AS a, CASE WHEN event_id % 5 = 0 THEN NULL ELSE epoch_us(ts) // 1000 - 1000 END AS c, epoch_us(ts) // 1000 - 5000 AS d FROM events),
 l AS (SELECT coalesce(nullif(a, 0), c, d) AS l FROM s)
 SELECT max(1705000000000 - l) AS lag_ms FROM l WHERE l <= 1705000000000""")
 def stream_lag_ms(t):
