@@ -100,49 +100,53 @@ def digits(r: RowDraws, count: int, stream: int) -> Column:
     return F.concat(*parts)
 
 
-def chars(r: RowDraws, alphabet: str, length: Column | int, longest: int, stream: int) -> Column:
-    """Text over ``alphabet``: five characters per draw."""
-    base = len(alphabet)
-    out = []
-    for block in range(0, longest, 5):
-        value = r.draw(stream + block)
-        for i in range(min(5, longest - block)):
-            at = (F.floor(value / F.lit(base**i)).cast("bigint") % base).cast("int") + 1
-            out.append(F.substring(F.lit(alphabet), at, F.lit(1)))
-    text = F.concat(*out)
-    if isinstance(length, int):
-        return text if length == longest else F.left(text, F.lit(length))
-    return F.left(text, length)
-
-
-def hex_text(r: RowDraws, length: int, stream: int) -> Column:
-    """Hex digits, seven per draw."""
-    parts = [
-        F.lpad(F.lower(F.hex(r.draw(stream + i) % F.lit(1 << 28))), 7, "0") for i in range(0, length, 7)
+def letters(r: RowDraws, length: int, stream: int) -> Column:
+    """Up to five capital letters from one draw."""
+    value = r.draw(stream)
+    codes = [(F.floor(value / F.lit(26**i)).cast("bigint") % 26).cast("int") + 65 for i in range(length)]
+    return F.concat(*[F.char(c) for c in codes])
+
+
+def hash_hex(r: RowDraws, length: int, stream: int) -> Column:
+    """Hex digits of hashes of id, column and seed, 64 per hash."""
+    blocks = [
+        F.sha2(F.concat_ws("/", r.id.cast("string"), F.lit(f"{stream}/{r.seed}/{i}")), 256)
+        for i in range(0, length, 64)
     ]
-    return F.left(F.concat(*parts), F.lit(length))
+    return F.left(F.concat(*blocks), F.lit(length))
+
+
+def hash_text(r: RowDraws, length: int, stream: int, last_two: str) -> Column:
+    """Letters and digits, 42 per hash; ``last_two`` stand for base64's + and /."""
+    blocks = [
+        F.left(F.base64(F.unhex(F.sha2(
+            F.concat_ws("/", r.id.cast("string"), F.lit(f"{stream}/{r.seed}/{i}")), 256
+        ))), F.lit(42))
+        for i in range(0, length, 42)
+    ]
+    return F.translate(F.left(F.concat(*blocks), F.lit(length)), "+/", last_two)
 
 
 def check_digit(r: RowDraws, body: Column, longest: int, weigh) -> Column:
     """Digit that brings the weighted sum of ``body`` (from the right, first weight
     on the last digit) to a multiple of ten; shorter bodies count as padded."""
-    digits_of = r.keep(F.lpad(body, longest, "0"))
-    total = F.lit(0)
-    for i in range(longest):
-        d = F.substring(digits_of, longest - i, 1).cast("int")
-        total = total + weigh(d, i)
+    padded = r.keep(F.lpad(body, longest, "0"))
+
+    def add(total: Column, i: Column) -> Column:
+        digit = F.substring(padded, F.lit(longest) - i, F.lit(1)).cast("int")
+        return total + F.when(i % 2 == 0, weigh(digit)).otherwise(digit)
+
+    places = F.array(*[F.lit(i) for i in range(longest)])
+    total = F.aggregate(places, F.lit(0), add)
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
 def luhn_digit(r: RowDraws, body: Column, longest: int) -> Column:
-    def weigh(d: Column, i: int) -> Column:
-        return d * 2 - F.when(d > 4, 9).otherwise(0) if i % 2 == 0 else d
-
-    return check_digit(r, body, longest, weigh)
+    return check_digit(r, body, longest, lambda d: d * 2 - F.when(d > 4, 9).otherwise(0))
 
 
 def ean_digit(r: RowDraws, body: Column, longest: int) -> Column:
-    return check_digit(r, body, longest, lambda d, i: d * 3 if i % 2 == 0 else d)
+    return check_digit(r, body, longest, lambda d: d * 3)
 
 
 def sequence_value(r: RowDraws, p: dict[str, Any]) -> Column:
@@ -177,7 +181,6 @@ def time_value(r: RowDraws, p: dict[str, Any], stream: int) -> Column:
     return F.concat_ws(":", *[F.lpad(x.cast("string"), 2, "0") for x in (h, m, s)])
 
 
-LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 LOREM = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut "
     "labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco "
@@ -196,13 +199,13 @@ def text_value(r: RowDraws, p: dict[str, Any], stream: int) -> Column:
     fmt = p.get("textFormat", "lorem")
     pick = lambda n, part: choose(r, WORDS[n], stream + part)
     if fmt == "bcrypt":
-        return F.concat(F.lit("$2a$10$"), chars(r, "./" + LATIN, 53, 53, stream))
+        return F.concat(F.lit("$2a$10$"), hash_text(r, 53, stream, "./"))
     if fmt in ("hex", "alphanumeric"):
         low, high = p.get("minLength", 32), p.get("maxLength", 32)
         size = int_between(r, low, high, stream + 999).cast("int")
         if fmt == "hex":
-            return F.left(hex_text(r, high, stream), size)
-        return chars(r, LATIN, size, high, stream)
+            return F.left(hash_hex(r, high, stream), size)
+        return F.left(hash_text(r, high, stream, "Qz"), size)
     if fmt == "version":
         n = [int_between(r, 0, top, stream + i).cast("string") for i, top in enumerate((3, 20, 99))]
         return F.concat(F.when(unit(r, stream + 3) < 0.3, "v").otherwise(""), F.concat_ws(".", *n))
@@ -303,7 +306,7 @@ def semantic_value(key: str, r: RowDraws, stream: int) -> Column:
         body = digits(r, 12, stream)
         return F.concat(body, ean_digit(r, body, 12))
     if key == "sku":
-        return text(chars(r, LATIN[:26], 3, 3, stream), "-", digits(r, 6, stream + 9))
+        return text(letters(r, 3, stream), "-", digits(r, 6, stream + 9))
     if key == "ip_address":
         return F.concat_ws(".", *[num(1 if i in (0, 3) else 0, 254, i).cast("string") for i in range(4)])
     if key == "mac_address":
@@ -315,7 +318,7 @@ def semantic_value(key: str, r: RowDraws, stream: int) -> Column:
         host = text(F.lower(pick(FIRMS)), "-", num(1, 99, 1), ".example.com")
         return host if key == "hostname" else text("https://", host, "/", F.lower(pick(GOODS, 2)))
     if key == "image":
-        return text("0x", hex_text(r, 32, stream))
+        return text("0x", hash_hex(r, 32, stream))
     raise ValueError(f"unknown generator {key}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from typing import Any
 
@@ -79,29 +80,57 @@ def sort_query(df: DataFrame, column: str | int, ascending: bool = True) -> Data
 
 
 DIGITS = 20
+# The usual collation order of ASCII punctuation, before digits.
+PUNCTUATION = " _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+
+
+def _fold_table() -> tuple[str, str]:
+    """Characters and their sort stand-ins: punctuation in collation order below
+    the digits, accented letters as their base letter, combining marks gone."""
+    pairs = [(ch, chr(0x0E + i)) for i, ch in enumerate(PUNCTUATION)]
+    for code in [*range(0xC0, 0x590), *range(0x1E00, 0x2000)]:
+        ch = chr(code)
+        parts = unicodedata.normalize("NFKD", ch)
+        if len(parts) > 1 and unicodedata.combining(parts[1]) and ch == ch.lower():
+            pairs.append((ch, parts[0]))
+    marks = "".join(chr(code) for code in range(0x300, 0x370))
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
+
+
+FOLD_FROM, FOLD_TO = _fold_table()
 
 
 def natural_key(df: DataFrame, name: str) -> list[Column]:
     """Sort keys of a column: numbers by value, ISO-dated text by time, other text
-    ignoring case and accents with digit runs compared as numbers."""
+    ignoring case and accents with digit runs compared as numbers.
+
+    The text key is built once per row and compares as bytes; a collation would be
+    asked again at every comparison of the sort.
+    """
     kind = df.schema[name].dataType
     c = F.col(name)
     if not isinstance(kind, T.StringType):
         return [c]
-    padded = F.regexp_replace(
-        F.regexp_replace(c, r"(\d+)", "0" * DIGITS + "$1"), rf"\d*(\d{{{DIGITS}}})", "$1"
-    )
+    padded = F.regexp_replace(c, r"(\d+)", "0" * DIGITS + "$1")
+    padded = F.regexp_replace(padded, rf"\d*(\d{{{DIGITS}}})", "$1")
     dated = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("timestamp"))
-    return [dated, F.collate(padded, "UNICODE_CI_AI")]
+    return [dated, F.translate(F.lower(padded), FOLD_FROM, FOLD_TO)]
+
+
+def with_natural_keys(df: DataFrame, name: str, prefix: str = "_n") -> tuple[DataFrame, list[str]]:
+    """The sort keys as columns. A sort evaluates an expression at each comparison,
+    a column only once."""
+    keys = {f"{prefix}{i}": k for i, k in enumerate(natural_key(df, name))}
+    return df.withColumns(keys), list(keys)
 
 
 def sort_natural(
     df: DataFrame, column: str, ascending: bool = True, tie: list[str] | None = None
 ) -> DataFrame:
     """Natural sort; NULL last in both directions."""
-    empty = F.col(column).isNull().asc()
-    keys = [k.asc_nulls_last() if ascending else k.desc_nulls_last() for k in natural_key(df, column)]
-    return df.orderBy(empty, *keys, *(tie or []))
+    keyed, names = with_natural_keys(df, column)
+    order = [F.col(n).asc_nulls_last() if ascending else F.col(n).desc_nulls_last() for n in names]
+    return keyed.orderBy(F.col(column).isNull(), *order, *(tie or [])).drop(*names)
 
 
 # --- nearest neighbours ------------------------------------------------------
@@ -129,16 +158,17 @@ def vector_topk(
     return out
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(length == 0, 1.0, length)
-
-
 def _topk(vectors, queries, k, metric, id_column, vector_column) -> DataFrame:
     ids = np.array([q for q, _ in queries], dtype=np.int64)
     matrix = np.array([v for _, v in queries], dtype=np.float64)
+
+    # The task code stands alone: workers need numpy and Arrow, not this package.
+    def unit(m: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(length == 0, 1.0, length)
+
     if metric == "cosine":
-        matrix = _unit(matrix)
+        matrix = unit(matrix)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top_ids = np.empty((len(ids), 0), dtype=np.int64)
@@ -149,7 +179,7 @@ def _topk(vectors, queries, k, metric, id_column, vector_column) -> DataFrame:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             rows = flat.astype(np.float64).reshape(batch.num_rows, -1)
             if metric == "cosine":
-                score = matrix @ _unit(rows).T
+                score = matrix @ unit(rows).T
             elif metric == "dot":
                 score = matrix @ rows.T
             else:

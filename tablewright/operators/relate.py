@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablewright.operators.aggregates import CHUNK, push_chunks
 from tablewright.operators.document_filter import match
-from tablewright.storage import materialize
+from tablewright.storage import materialize, work_path
 
 
 class Relationship(NamedTuple):
@@ -102,22 +102,29 @@ def graph_lookup(
     join of the frontier, written so that the lineage stays short; nodes seen
     before are dropped, so cycles end.
     """
-    rows = match(edges, restrict or {}).select(
-        F.col(connect_to).alias("_to"), F.col(connect_from).alias("_next")
-    ).distinct()
+    if max_depth < 0:
+        raise ValueError("max_depth must not be negative")
+    spark = starts.sparkSession
+    rows = materialize(
+        match(edges, restrict or {})
+        .select(F.col(connect_to).alias("_to"), F.col(connect_from).alias("_next"))
+        .distinct(),
+        "edges",
+    )
     frontier = starts.toDF("start", "value")
-    seen: DataFrame | None = None
+    folder = work_path(spark, "reached")
+    schema = seen = None
     for depth in range(max_depth + 1):
         reached = frontier.join(rows, F.col("value") == F.col("_to")).select(
-            "start", F.col("_to").alias("node"), "_next"
+            "start", F.col("_to").alias("node"), "_next", F.lit(depth).alias("depth")
         )
-        level = reached.join(seen, ["start", "node"], "left_anti") if seen is not None else reached
-        level = materialize(level, f"level{depth}")
+        if seen is not None:
+            reached = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        reached.write.parquet(f"{folder}/level={depth}")
+        schema = schema or T.StructType([*reached.schema.fields, T.StructField("level", T.IntegerType())])
+        seen = spark.read.schema(schema).parquet(folder)
+        level = seen.where(F.col("level") == depth)
         if level.isEmpty():
             break
-        new = level.select("start", "node", F.lit(depth).alias("depth")).distinct()
-        seen = new if seen is None else seen.unionByName(new)
         frontier = level.where("_next IS NOT NULL").select("start", F.col("_next").alias("value")).distinct()
-    if seen is None:
-        raise ValueError("max_depth must not be negative")
-    return seen
+    return seen.select("start", "node", "depth").distinct()

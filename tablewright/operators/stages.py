@@ -90,7 +90,8 @@ def union_with(df: DataFrame, other: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, size: int, by: list[str], seed: int = 0) -> DataFrame:
     """``size`` rows chosen by a hash of ``by``: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *by), *by).limit(size)
+    keyed = df.withColumn("_h", F.xxhash64(F.lit(seed), *by))
+    return keyed.orderBy("_h", *by).limit(size).drop("_h")
 
 
 def literal_rows(spark, rows: list[dict[str, Any]], schema: T.StructType | str) -> DataFrame:

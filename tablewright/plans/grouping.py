@@ -376,9 +376,9 @@ def sort_natural(t):
     from tablewright.operators.segments import with_running_index
     s = t.orders.selectExpr("o_orderkey", "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE concat(CASE WHEN o_orderkey % 2 = 0"
                             " THEN 'Item-' ELSE 'ITEM-' END, o_custkey, '-', left(o_orderpriority, 1)) END AS label")
-    keys = paging.natural_key(s, "label")
-    order = [F.col("label").isNull(), *[k.desc_nulls_last() for k in keys], F.col("o_orderkey")]
-    return with_running_index(s, order, "place")
+    keyed, keys = paging.with_natural_keys(s, "label")
+    order = [F.col("label").isNull(), *[F.col(k).desc_nulls_last() for k in keys], F.col("o_orderkey")]
+    return with_running_index(keyed, order, "place").drop(*keys)
 
 
 CENTROIDS = """c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),

@@ -25,6 +25,8 @@ def local_session(cores: str = "8", app: str = "tablewright") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.files.openCostInBytes", "1048576")
+        # Methods above this size are not compiled by the JVM's JIT.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
