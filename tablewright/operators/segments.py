@@ -34,19 +34,38 @@ def position(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def segment_of(df: DataFrame, name: str, segments: int | None = None) -> Column:
-    """Segment number along ``name``, sized by one min/max/count pass."""
+# Quantiles that cut the order column; the outer ones keep far-off values, such as
+# a stray year 1970, from stretching the segments of all other rows.
+QUANTILES = (0.0001, 0.001, *[i / 64 for i in range(1, 64)], 0.999, 0.9999)
+
+
+def segment_of(
+    df: DataFrame, name: str, segments: int | None = None, rows: int | None = None
+) -> Column:
+    """Segment number along ``name`` of about ``rows`` rows each.
+
+    One pass takes count and range. Only if there is more than one segment, a
+    second takes quantiles; the range between two of them is cut evenly.
+    """
     pos = position(df, name)
     low, high, n = df.agg(F.min(pos), F.max(pos), F.count(pos)).first()
-    if low is None or low == high:
+    count = segments or max(1, math.ceil((n or 0) / (rows or ROWS_PER_SEGMENT)))
+    if low is None or low == high or count == 1:
         return F.lit(0).cast("bigint")
-    count = segments or max(1, math.ceil(n / ROWS_PER_SEGMENT))
-    width = (float(high) - float(low)) / count
-    return F.coalesce(F.floor((pos - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("bigint")
-
-
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in names])
+    marks = df.agg(F.percentile_approx(pos, F.array(*[F.lit(q) for q in QUANTILES]), 100_000)).first()[0]
+    edges = sorted({float(low), *map(float, marks), float(high)})
+    cuts = max(1, math.ceil(count / (len(edges) - 1)))
+
+    def tree(lo: int, hi: int) -> Column:
+        """Balanced choice of the range ``edges[i] .. edges[i + 1]``."""
+        if hi - lo == 1:
+            width = (edges[hi] - edges[lo]) / cuts
+            inside = F.floor((pos - F.lit(edges[lo])) / F.lit(width)).cast("bigint")
+            return F.lit(lo * (cuts + 1)) + F.least(inside, F.lit(cuts))
+        mid = (lo + hi) // 2
+        return F.when(pos < F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
+
+    return F.coalesce(tree(0, len(edges) - 1), F.lit(-1)).cast("bigint")
 
 
 def _attach(rows: DataFrame, carry: DataFrame, names: list[str], extra: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
@@ -35,6 +36,16 @@ def header_names(cells: Sequence[str | None]) -> list[str]:
     return out
 
 
+# Encodings Spark reads without further settings.
+PLAIN_ENCODINGS = {"ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "UTF-8"}
+
+
+def allow_encoding(spark: SparkSession, encoding: str) -> None:
+    """Other encodings (GBK, Shift_JIS, ...) need the session to admit the JVM's."""
+    if encoding.upper() not in PLAIN_ENCODINGS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_delimited(
     spark: SparkSession, path: str, sep: str = ",", header: bool = True, trim: bool = False,
     empty_as_null: bool = False, encoding: str = "UTF-8", title_row: int = 1,
@@ -47,6 +58,7 @@ def read_delimited(
     """
     if len(sep.encode()) != 1:
         raise ValueError("the delimiter must be one byte")
+    allow_encoding(spark, encoding)
     ranged = title_row != 1 or first_row is not None or last_row is not None
     base = dict(sep=sep, quote='"', escape='"', encoding=encoding, multiLine=multi_line, mode="PERMISSIVE")
     if not ranged:
@@ -63,12 +75,16 @@ def read_delimited(
         start = first_row if first_row is not None else (title_row + 1 if header else title_row)
         if last_row is not None and last_row < start:
             raise ValueError("the last row comes before the first row")
-        lines = with_line_numbers(spark.read.option("encoding", encoding).text(path), path)
+        lines = with_line_numbers(spark.read.text(path), path)
+        if encoding.upper() not in ("UTF-8", "US-ASCII"):
+            if encoding.upper().startswith(("UTF-16", "UTF-32")):
+                raise ValueError("row ranges need an encoding with one-byte line breaks")
+            lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
         titles = lines.where(F.col("line_no") == title_row).take(1)
         if not titles:
             raise ValueError(f"no title row {title_row}")
-        widths = spark.read.csv(spark.sparkContext.parallelize([titles[0]["value"]]), sep=sep, quote='"', escape='"').first()
-        names = header_names(list(widths)) if header else [f"column_{i + 1}" for i in range(len(widths))]
+        cells = next(csv.reader([titles[0]["value"]], delimiter=sep))
+        names = header_names(cells) if header else [f"column_{i + 1}" for i in range(len(cells))]
         wanted = F.col("line_no") >= start
         if last_row is not None:
             wanted = wanted & (F.col("line_no") <= last_row)

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_ROOTS: dict[str, str] = {}  # local runs without the setting, by application
 
 
 def work_root(spark: SparkSession) -> str:
@@ -22,9 +23,10 @@ def work_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="tablewright-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tablewright-")
+    return _LOCAL_ROOTS[app]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
