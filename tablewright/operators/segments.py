@@ -25,55 +25,78 @@ SEG = "_segment"
 def position(df: DataFrame, name: str) -> Column:
     """A numeric position for an order column (microseconds for times)."""
     kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        origin = "TIMESTAMP_NTZ" if isinstance(kind, T.TimestampNTZType) else "TIMESTAMP"
-        zero = "1970-01-01" if origin == "TIMESTAMP_NTZ" else "1970-01-01 00:00:00Z"
-        return F.expr(f"timestampdiff(MICROSECOND, {origin} '{zero}', `{name}`)")
+    c = F.col(name)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.TimestampNTZType):
+        # From the parts: a cast to an instant would depend on the session's zone.
+        minutes = (F.unix_date(c.cast("date")).cast("bigint") * 24 + F.hour(c)) * 60 + F.minute(c)
+        micros = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+        return minutes * 60_000_000 + micros
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(name)).cast("bigint")
     return F.col(name)
 
 
-# Quantiles that cut the order column; the outer ones keep far-off values, such as
-# a stray year 1970, from stretching the segments of all other rows.
-QUANTILES = (0.0001, 0.001, *[i / 64 for i in range(1, 64)], 0.999, 0.9999)
+POS = "_pos"
+MOST_CUTS = 64
+# Outer quantiles keep far-off values, such as a stray year 1970, from stretching
+# the segments of all other rows.
+OUTER = (0.0001, 0.001, 0.999, 0.9999)
 
 
 def segment_of(
     df: DataFrame, name: str, segments: int | None = None, rows: int | None = None
 ) -> Column:
-    """Segment number along ``name`` of about ``rows`` rows each.
+    """Segment number of column ``_pos`` (the position along ``name``) with about ``rows``
+    rows per segment.
 
     One pass takes count and range. Only if there is more than one segment, a
     second takes quantiles; the range between two of them is cut evenly.
     """
-    pos = position(df, name)
-    low, high, n = df.agg(F.min(pos), F.max(pos), F.count(pos)).first()
+    placed = df.select(position(df, name).alias(POS))
+    low, high, n = placed.agg(F.min(POS), F.max(POS), F.count(POS)).first()
     count = segments or max(1, math.ceil((n or 0) / (rows or ROWS_PER_SEGMENT)))
     if low is None or low == high or count == 1:
         return F.lit(0).cast("bigint")
-    marks = df.agg(F.percentile_approx(pos, F.array(*[F.lit(q) for q in QUANTILES]), 100_000)).first()[0]
+    bins = min(count, MOST_CUTS)
+    shares = sorted({i / bins for i in range(1, bins)} | set(OUTER if bins == MOST_CUTS else ()))
+    marks = placed.agg(F.percentile_approx(POS, F.array(*[F.lit(q) for q in shares]), 100_000)).first()[0]
     edges = sorted({float(low), *map(float, marks), float(high)})
     cuts = max(1, math.ceil(count / (len(edges) - 1)))
 
-    def tree(lo: int, hi: int) -> Column:
-        """Balanced choice of the range ``edges[i] .. edges[i + 1]``."""
+    def find(lo: int, hi: int) -> Column:
+        """The range ``edges[i] .. edges[i + 1]`` of a row, by halving."""
         if hi - lo == 1:
-            width = (edges[hi] - edges[lo]) / cuts
-            inside = F.floor((pos - F.lit(edges[lo])) / F.lit(width)).cast("bigint")
-            return F.lit(lo * (cuts + 1)) + F.least(inside, F.lit(cuts))
+            return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(pos < F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
+        return F.when(F.col(POS) < F.lit(edges[mid]), find(lo, mid)).otherwise(find(mid, hi))
 
-    return F.coalesce(tree(0, len(edges) - 1), F.lit(-1)).cast("bigint")
+    at = find(0, len(edges) - 1)
+    if cuts == 1:
+        return F.coalesce(at, F.lit(-1)).cast("bigint")
+    starts = F.array(*[F.lit(e) for e in edges[:-1]])
+    widths = F.array(*[F.lit((b - a) / cuts) for a, b in zip(edges, edges[1:])])
+    inside = F.floor((F.col(POS) - F.get(starts, at)) / F.get(widths, at)).cast("bigint")
+    return F.coalesce(at * (cuts + 1) + F.least(inside, F.lit(cuts)), F.lit(-1)).cast("bigint")
 
 
-def _attach(rows: DataFrame, carry: DataFrame, names: list[str], extra: list[str]) -> DataFrame:
-    renamed = carry.select(*[F.col(c).alias(f"_c_{c}") for c in names], *extra)
-    cond = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in names]
-    )
-    return rows.join(renamed, cond, "left").drop(*[f"_c_{c}" for c in names])
+# Group columns: a hash (fast to sort), the keys as one struct (whose NULL fields
+# are equal, unlike NULL columns) and the segment. Being never NULL, they let
+# the join with the summary run on the window's own partitioning.
+HASH, KEY = "_hash", "_key"
+WHOLE, PIECE = [HASH, KEY], [HASH, KEY, SEG]
+
+
+def _cut(df: DataFrame, keys: list[str], order: list[str], segments: int | None) -> DataFrame:
+    fields = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    placed = df.withColumn(POS, position(df, order[0]))
+    number = segment_of(df, order[0], segments)
+    return placed.withColumns({HASH: F.xxhash64(*keys), KEY: fields, SEG: number}).drop(POS)
+
+
+def _attach(rows: DataFrame, carry: DataFrame, extra: list[str]) -> DataFrame:
+    return rows.join(carry.select(*PIECE, *extra), PIECE, "left")
 
 
 _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -90,14 +113,16 @@ def running(
     start of the key to the current row, ``lag`` is the previous row's value, and
     ``total_sum`` and so on cover the whole key.
     """
-    rows = df.withColumn(SEG, segment_of(df, order[0], segments))
+    names = df.columns
     # The value columns are fixed here so that each is computed once.
-    rows = rows.withColumns({f"_v_{name}": value for name, (_, value) in aggs.items()})
-    inside = Window.partitionBy(*keys, SEG).orderBy(*order)
+    rows = _cut(df, keys, order, segments).withColumns(
+        {f"_v_{name}": value for name, (_, value) in aggs.items()}
+    )
+    inside = Window.partitionBy(*PIECE).orderBy(*order)
     local = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    across = Window.partitionBy(*keys).orderBy(SEG)
+    across = Window.partitionBy(*WHOLE).orderBy(SEG)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    everywhere = Window.partitionBy(*keys)
+    everywhere = Window.partitionBy(*WHOLE)
     edge, reach, here, out = [], [], {}, {}
     for name, (op, _) in aggs.items():
         v, mine, before = F.col(f"_v_{name}"), F.col(f"_l_{name}"), F.col(f"_b_{name}")
@@ -120,10 +145,9 @@ def running(
             out[name] = (F.least if kind == "min" else F.greatest)(mine, before)
         else:
             out[name] = F.coalesce(mine + before, mine, before)
-    carry = rows.groupBy(*keys, SEG).agg(*edge).select(*keys, SEG, *reach)
-    rows = _attach(rows.withColumns(here), carry, [*keys, SEG], [f"_b_{name}" for name in aggs])
-    scratch = [f"_{x}_{name}" for x in "vlb" for name in aggs]
-    return rows.withColumns(out).drop(SEG, *scratch)
+    carry = rows.groupBy(*PIECE).agg(*edge).select(*PIECE, *reach)
+    rows = _attach(rows.withColumns(here), carry, [f"_b_{name}" for name in aggs])
+    return rows.select(*names, *[value.alias(name) for name, value in out.items()])
 
 
 def previous_row(
@@ -145,9 +169,9 @@ def nearest(
     the nearest row at or before (``backward``: at or after) this one where
     ``present`` holds.
     """
-    rows = df.withColumn(SEG, segment_of(df, order[0], segments))
-    local = Window.partitionBy(*keys, SEG).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(SEG)
+    rows = _cut(df, keys, order, segments)
+    local = Window.partitionBy(*PIECE).orderBy(*order)
+    across = Window.partitionBy(*WHOLE).orderBy(SEG)
     before = Window.unboundedPreceding
     after = Window.unboundedFollowing
     edge, reach, here = [], [], {}
@@ -162,10 +186,10 @@ def nearest(
             edge.append(F.max_by(value, stamp).alias(f"_s_{name}"))
             far = F.last(f"_s_{name}", ignorenulls=True).over(across.rowsBetween(before, -1))
         reach.append(far.alias(f"_b_{name}"))
-    carry = rows.groupBy(*keys, SEG).agg(*edge).select(*keys, SEG, *reach)
-    rows = _attach(rows.withColumns(here), carry, [*keys, SEG], [f"_b_{name}" for name in wants])
-    found = {name: F.coalesce(f"_l_{name}", f"_b_{name}") for name in wants}
-    return rows.withColumns(found).drop(SEG, *[f"_{x}_{name}" for x in "lb" for name in wants])
+    carry = rows.groupBy(*PIECE).agg(*edge).select(*PIECE, *reach)
+    rows = _attach(rows.withColumns(here), carry, [f"_b_{name}" for name in wants])
+    found = [F.coalesce(f"_l_{name}", f"_b_{name}").alias(name) for name in wants]
+    return rows.select(*df.columns, *found)
 
 
 def sliding(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -25,6 +26,7 @@ def local_session(cores: str = "8", app: str = "tablewright") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.files.openCostInBytes", "1048576")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Methods above this size are not compiled by the JVM's JIT.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
@@ -34,7 +36,12 @@ def local_session(cores: str = "8", app: str = "tablewright") -> SparkSession:
 
 
 class Tables:
-    """Lazy access to one directory of parquet tables: ``t.orders``."""
+    """Lazy access to one directory of parquet tables: ``t.orders``.
+
+    A file's schema is read once; later reads of it start no footer job.
+    """
+
+    _schemas: dict[str, StructType] = {}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -42,4 +49,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        path = f"{self.path}/{name}.parquet"
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)

@@ -43,8 +43,20 @@ def test_running_crosses_segments(hot, count):
 
 
 def test_segments_stay_even_with_a_far_off_value(hot):
-    sizes = hot.groupBy(segments.segment_of(hot, "t", rows=100).alias("s")).count().collect()
-    assert len(sizes) >= 25 and max(r["count"] for r in sizes) <= 300
+    number = segments.segment_of(hot, "t", rows=20)
+    sizes = hot.withColumn("_pos", F.col("t")).groupBy(number.alias("s")).count().collect()
+    assert len(sizes) >= 100 and max(r["count"] for r in sizes) <= 60
+
+
+def test_segment_join_reuses_the_window_partitioning(spark, hot):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = segments.running(hot, ["k"], ["t", "id"], {"s": ("sum", F.col("v"))}, segments=9)
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # rows, summary by segment, summary by key, summary back by segment
+    assert text.count("Exchange hashpartitioning") == 4 and "SortMergeJoin" in text
 
 
 @pytest.mark.parametrize("count", [1, 9])
