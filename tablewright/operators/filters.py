@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import decimal
 import re
 from functools import reduce
 from typing import Any
@@ -33,14 +33,12 @@ def filter_rule(column: str, mode: str, value: Any = None, other: Any = None) ->
             return None
         inside = c.between(value, other)
         return ~inside if mode == "not-between" else inside
-    if value is None:
-        return None
     if mode == "equals":
         return c == F.lit(value)
     if mode == "not-equals":
         return c != F.lit(value)
     if mode in ("like", "not-like"):
-        match = c.cast("string").like(f"%{value}%")
+        match = c.cast("string").like(f"%{'NULL' if value is None else value}%")
         return ~match if mode == "not-like" else match
     return c < F.lit(value) if mode == "less-than" else c > F.lit(value)
 
@@ -59,11 +57,14 @@ def filter_in(column: str, values: list[Any], negate: bool = False) -> Column |
 
 def filter_builder(rules: list[dict[str, Any]]) -> Column | None:
     """Left-associated ``((a) AND (b)) OR (c)``; disabled and incomplete rules
-    are skipped. A rule is ``{column, mode, value, other, joiner, enabled}``."""
+    are skipped. A rule is ``{column, mode, value, other, joiner, enabled}``; a value
+    of None is NULL, a rule without its value is incomplete."""
     out = None
     for rule in rules:
         if not rule.get("enabled", True) or not rule.get("column"):
             continue
+        if rule["mode"] not in ("is-null", "is-not-null") and "value" not in rule:
+            continue
         one = filter_rule(rule["column"], rule["mode"], rule.get("value"), rule.get("other"))
         if one is None:
             continue
@@ -78,25 +79,33 @@ def apply_filter(df: DataFrame, predicate: Column | None) -> DataFrame:
     return df if predicate is None else df.where(predicate)
 
 
-def parse_value(text: str, kind: T.DataType) -> Any:
-    """Typed value of filter text; text that does not fit stays text."""
+def unquote(text: str) -> tuple[str, bool]:
+    """Text without matching quotes around it, and whether it had them."""
     raw = text.strip()
-    if raw.lower() == "null":
-        return None
     if len(raw) >= 2 and raw[0] == raw[-1] and raw[0] in "'\"":
-        return raw[1:-1].replace(raw[0] * 2, raw[0])
-    if isinstance(kind, T.BooleanType) and raw.lower() in ("true", "false", "1", "0"):
-        return raw.lower() in ("true", "1")
-    if isinstance(kind, T.IntegralType) and re.fullmatch(r"[+-]?\d+", raw):
-        return int(raw)
+        return raw[1:-1].replace(raw[0] * 2, raw[0]), True
+    return raw, False
+
+
+def parse_value(text: str, kind: T.DataType) -> Any:
+    """Typed value of filter text; bare ``null`` is NULL, text that does not fit the
+    type stays text."""
+    raw, quoted = unquote(text)
+    if not quoted and raw.lower() == "null":
+        return None
+    if isinstance(kind, T.BooleanType) and raw.lower() in ("true", "false"):
+        return raw.lower() == "true"
     if isinstance(kind, T.NumericType) and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", raw):
-        return float(raw)
+        if re.fullmatch(r"[+-]?\d+", raw):
+            return int(raw)
+        # A decimal column keeps the exact spelling.
+        return decimal.Decimal(raw) if isinstance(kind, T.DecimalType) else float(raw)
     return raw
 
 
 def parse_list(text: str, kind: T.DataType) -> list[Any]:
-    """Comma or newline separated values; quotes protect separators."""
-    items = re.findall(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|[^,\n]+", text)
+    """Comma or line separated values; quotes protect separators."""
+    items = re.findall(r"\s*(?:'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\")[^,\r\n]*|[^,\r\n]+", text)
     return [parse_value(i, kind) for i in items if i.strip()]
 
 
@@ -212,6 +221,3 @@ def filter_null_equality(column: str, missing: bool) -> Column:
     """``field: null`` finds rows without it, ``$ne null`` rows with it."""
     return F.col(column).isNull() if missing else F.col(column).isNotNull()
 
-
-def json_text(value: Any) -> str:
-    return value if isinstance(value, str) else json.dumps(value)

@@ -186,12 +186,12 @@ LOREM = (
     "labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco "
 )
 WORDS = {
-    "slug": ["product", "item", "page", "service", "plan", "feature", "edition", "option"],
-    "tag_list": ["new", "hot", "sale", "promo", "vip", "limited", "popular", "basic"],
-    "level": ["basic", "standard", "premium", "enterprise", "starter", "pro"],
-    "channel": ["web", "mobile", "api", "desktop", "partner", "email"],
-    "language": ["en-US", "en-GB", "zh-CN", "ja-JP", "fr-FR", "de-DE", "es-ES", "pt-BR"],
-    "currency": ["USD", "CNY", "EUR", "JPY", "GBP", "CHF", "INR", "BRL"],
+    "slug": ["amber", "river", "stone", "cloud", "maple", "comet", "ember", "quartz"],
+    "tag_list": ["alpha", "beta", "fresh", "rare", "daily", "local", "green", "quick"],
+    "level": ["bronze", "silver", "gold", "platinum"],
+    "channel": ["radio", "print", "phone", "shop", "post"],
+    "language": ["sv-SE", "de-AT", "en-IE", "fr-BE", "pl-PL", "tr-TR", "vi-VN", "cs-CZ"],
+    "currency": ["SEK", "PLN", "CZK", "TRY", "VND", "EUR", "USD", "NOK"],
 }
 
 
@@ -265,8 +265,17 @@ FORMS = ["Ltd", "Inc", "GmbH", "Group", "Labs"]
 STREETS = ["Oak St", "Lake Rd", "Hill Ave", "Mill Ln", "Park Way"]
 GOODS = ["Lamp", "Chair", "Kettle", "Bottle", "Helmet", "Speaker"]
 KINDS = ["Classic", "Compact", "Deluxe", "Eco", "Travel"]
-# Card number prefix and length by card type.
-CARDS = {"Visa": ("4", 16), "MasterCard": ("52", 16), "American Express": ("34", 15), "JCB": ("3530", 16), "UnionPay": ("62", 16)}
+# Card number prefixes and lengths by card type.
+CARDS = {
+    "American Express": (["34", "37"], 15),
+    "JCB": (["3528", "3529", "3530", "3531", "3532", "3533", "3534", "3535", "3536", "3537", "3538", "3539"], 16),
+    "MasterCard": (
+        ["51", "52", "53", "54", "55", "2221", "2222", "2223", "2224", "2225", "2226", "2227", "2228", "2229",
+         "23", "24", "25", "26", "270", "271", "2720"], 16,
+    ),
+    "UnionPay": (["62", "623", "624", "625", "626", "627", "628"], 16),
+    "Visa": (["4"], 16),
+}
 
 
 def semantic_value(key: str, r: RowDraws, stream: int) -> Column:
@@ -286,12 +295,11 @@ def semantic_value(key: str, r: RowDraws, stream: int) -> Column:
     if key == "id_number":
         return digits(r, 18, stream)
     if key == "credit_card_number":
-        kinds = list(CARDS)
-        at = F.pmod(r.draw(stream), F.lit(len(kinds)))
+        at = F.pmod(r.draw(stream), F.lit(len(CARDS)))
+        rest = digits(r, 15, stream + 1)
         out = None
-        for i, kind in enumerate(kinds):
-            prefix, length = CARDS[kind]
-            body = F.concat(F.lit(prefix), digits(r, length - 1 - len(prefix), stream + 1))
+        for i, (prefixes, length) in enumerate(CARDS.values()):
+            body = F.left(F.concat(choose(r, prefixes, stream + 20), rest), F.lit(length - 1))
             out = F.when(at == i, body) if out is None else out.when(at == i, body)
         return F.concat(out, luhn_digit(r, out, 15))
     if key == "credit_card_date":
@@ -322,40 +330,76 @@ def semantic_value(key: str, r: RowDraws, stream: int) -> Column:
     raise ValueError(f"unknown generator {key}")
 
 
-# Column-name hints, tried in order; text types only.
-NAME_HINTS = [
-    ("e?mail", "email"), ("phone|mobile|fax", "phone"), ("uuid|guid", "uuid"),
-    ("company|brand", "company_name"), ("department|dept", "department"),
-    ("product.?name", "product_name"), ("file.?name", "file_name"), ("file.?path", "file_path"),
-    ("host(name)?$", "hostname"), ("name|author|owner", "full_name"), ("gender|sex", "gender"),
-    ("city|town|country|province|state", "city"), ("address|street", "address"),
-    ("url|website|link", "url"), ("mac$|mac.?address", "mac_address"), ("ip$|ip.?address", "ip_address"),
-    ("colou?r", "color"), ("title|position|role", "job_title"), ("sku", "sku"),
-    ("barcode|ean|upc", "barcode"), ("category|type", "product_category"), ("size$", "size"),
-    ("status", "enum"),
+# Column-name patterns and their generator, tried in order.
+NAME_PATTERNS = [
+    (r"email|e-?mail|mail", "email"),
+    (r"phone|tel|mobile|cell|fax|telephone", "phone"),
+    (r"id.?card|idcard|身份证|id.?number|证件号|证件|passport|护照|social.?credit|统一社会|信用代码", "id_number"),
+    (r"bank.?card|银行卡|bank.?account", "id_number"),
+    (r"driver.?license|drivers?|驾驶证|驾照", "id_number"),
+    (r"first.?name|fname|given.?name", "full_name"),
+    (r"last.?name|lname|surname|family.?name", "full_name"),
+    (r"full.?name|name|user.?name|username|nickname|nick.?name", "full_name"),
+    (r"gender|sex", "gender"),
+    (r"city|town|municipality", "city"),
+    (r"country|province|state|region", "city"),
+    (r"zip|postal.?code|postcode", "number"),
+    (r"address|street|district|county", "address"),
+    (r"url|website|link|homepage|href|weburl", "url"),
+    (r"ip$", "ip_address"),
+    (r"ip.?address|ipv4|ipv6", "ip_address"),
+    (r"mac.?address|mac$", "mac_address"),
+    (r"uuid|guid", "uuid"),
+    (r"company|corp|organization|org|brand", "company_name"),
+    (r"department|dept|division", "department"),
+    (r"color|colour", "color"),
+    (r"title|position|job.?title|role", "job_title"),
+    (r"description|comment|note|summary|bio|content|body|detail|remark|memo|intro|introduction|overview", "text"),
+    (r"status|state", "enum"),
+    (r"barcode|upc|ean|qr.?code", "barcode"),
+    (r"sku", "sku"),
+    (r"product.?name|product$", "product_name"),
+    (r"category|type|kind|classification", "product_category"),
+    (r"size$", "size"),
+    (r"weight|weight.?unit|unit.?weight|weight.?type", "weight_unit"),
+    (r"file.?path|filePath|directory|dir$", "file_path"),
+    (r"file.?name|filename|original.?name|file.?original.?name", "file_name"),
+    (r"file.?extension|ext$|filetype|file.?type", "file_extension"),
+    (r"hostname|host$", "hostname"),
+    (r"version|ver$", "text"),
+    (r"language|locale$", "text"),
+    (r"currency|currency.?code|currency.?name", "text"),
+    (r"slug|permalink|alias|url.?slug|key$", "text"),
+    (r"tag|keyword|labels|tags$", "text"),
+    (r"level|tier|stage|phase|channel|source|platform", "text"),
+    (r"owner|creator|author|created_by|updated_by|modified_by|operator|user$", "full_name"),
 ]
+FLAG_NAME = r"(is|has|had|can|did|enable|disable|allow|use|visible|deleted|active|flag)[_-]?"
+NUMBER_TYPES = r"int|bool|decimal|numeric|float|double|^real$"
 
 
 def guess_generator(name: str, data_type: str, auto_increment: bool = False) -> str:
-    """Generator for a column by its type, then its name."""
+    """Generator for a column: typed columns by their type, others by their name."""
     kind = data_type.lower()
-    if auto_increment or "serial" in kind:
+    number = re.search(NUMBER_TYPES, kind)
+    time = re.search(r"date|timestamp|^time$", kind)
+    raw = re.search(r"binary|blob|bytea", kind)
+    if auto_increment:
         return "sequence"
-    flag = re.match(r"(is|has|can|enable|allow|use|visible|deleted|active|flag)[_-]?", name, re.I)
-    numeric = re.search(r"int|decimal|numeric|float|double|real|number", kind)
-    if "bool" in kind or kind == "bit" or (numeric and flag):
-        return "enum"
-    if numeric:
-        return "enum" if re.search("status|state", name, re.I) else "number"
-    if kind == "time":
-        return "time"
-    if kind == "date":
-        return "date"
-    if "date" in kind or "timestamp" in kind:
-        return "datetime"
-    if "uuid" in kind:
-        return "uuid"
-    return next((key for pattern, key in NAME_HINTS if re.search(pattern, name, re.I)), "text")
+    if number or time or raw:
+        flag = number and re.match(FLAG_NAME, name, re.I)
+        if "serial" in kind:
+            return "sequence"
+        if flag or kind in ("bool", "boolean", "bit", "tinyint(1)") or re.search("status|state", name, re.I):
+            return "enum"
+        if number:
+            return "number"
+        return "text" if raw else "time" if kind == "time" else "datetime"
+    named = next((key for pattern, key in NAME_PATTERNS if re.search(pattern, name, re.I)), None)
+    if named:
+        return named
+    texts = re.search(r"char|text|clob", kind)
+    return "uuid" if not texts and re.search("uuid|guid", kind) else "text"
 
 
 def generated(spec: dict[str, Any], r: RowDraws) -> Column:

@@ -16,6 +16,19 @@ from tablewright.operators.aggregates import top_per_group
 from tablewright.operators.segments import with_running_index
 
 
+# Rows one task may hold to serve an OFFSET page; deeper pages are numbered.
+DEEP_PAGE = 100_000
+
+
+def _page(ordered: DataFrame, order: list[Any], limit: int, offset: int) -> DataFrame:
+    if not offset:
+        return ordered.orderBy(*order).limit(limit)
+    if offset + limit <= DEEP_PAGE:
+        return ordered.orderBy(*order).offset(offset).limit(limit)
+    numbered = with_running_index(ordered, order, "_at")
+    return numbered.where(F.col("_at").between(offset, offset + limit - 1)).orderBy("_at").drop("_at")
+
+
 def scan_page(
     df: DataFrame, columns: list[str] | None = None, where: Column | str | None = None,
     order_by: list[Any] | None = None, limit: int = 100, offset: int = 0,
@@ -23,9 +36,9 @@ def scan_page(
     """A page of a table; filter and columns reach the scan."""
     out = df if where is None else df.where(where)
     if order_by:
-        out = out.orderBy(*order_by)
-    out = out.offset(offset) if offset else out
-    out = out.limit(limit)
+        out = _page(out, order_by, limit, offset)
+    else:
+        out = (out.offset(offset) if offset else out).limit(limit)
     return out.select(*columns) if columns else out
 
 
@@ -38,8 +51,7 @@ def page_offset(
     size = max(1, limit)
     if own_limit is not None:
         size = max(0, min(size, own_limit - offset))
-    ordered = df.orderBy(*(order_by or df.columns))
-    return (ordered.offset(offset) if offset else ordered).limit(size)
+    return _page(df, order_by or df.columns, size, offset)
 
 
 def after_key(keys: list[str], values: list[Any], descending: bool = False) -> Column:

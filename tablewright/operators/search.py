@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import re
 from functools import reduce
 
@@ -13,24 +14,24 @@ from tablewright.functions.formatters import like_escape
 from tablewright.functions.literals import ident, literal_of
 from tablewright.sources.readers import glob_match
 
-_SKIPPED = (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
-
-
 def column_test(df: DataFrame, name: str, term: str) -> Column | None:
     """Text columns contain the term ignoring case; numbers equal it when it is a
-    number; binary and nested columns are not searched."""
+    number; columns of other types are not searched."""
     kind = df.schema[name].dataType
     wanted = term.strip().lower()
-    if isinstance(kind, _SKIPPED) or not wanted:
+    if not wanted or not isinstance(kind, (T.StringType, T.NumericType)):
         return None
     if isinstance(kind, T.NumericType):
         if not re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)", wanted):
             return None
+        number = decimal.Decimal(wanted)
         if isinstance(kind, T.IntegralType):
-            return F.col(name) == F.lit(int(float(wanted))) if float(wanted).is_integer() else None
-        return F.col(name) == F.lit(float(wanted))
+            whole = int(number)
+            fits = number == whole and -(2**63) <= whole < 2**63
+            return F.col(name) == F.lit(whole) if fits else None
+        return F.col(name) == F.lit(number if isinstance(kind, T.DecimalType) else float(number))
     pattern = f"%{like_escape(wanted, '~')}%"
-    return F.like(F.lower(F.col(name).cast("string")), F.lit(pattern), F.lit("~"))
+    return F.like(F.lower(F.col(name)), F.lit(pattern), F.lit("~"))
 
 
 def matched_columns(tests: dict[str, Column]) -> Column:

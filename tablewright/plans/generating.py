@@ -123,10 +123,16 @@ def sql_luhn(body, n):
             f"CASE WHEN {d} * 2 > 9 THEN {d} * 2 - 9 ELSE {d} * 2 END ELSE {d} END)) % 10) % 10)")
 
 
+def sql_card(key, stream):
+    cases = " ".join(
+        f"WHEN {i} THEN left({sql_pick(key, prefixes, stream + 20)} || {sql_digits(key, 15, stream + 1)}, {length - 1})"
+        for i, (prefixes, length) in enumerate(generate.CARDS.values())
+    )
+    return f"CASE {sql_draw(key, stream)} % {len(generate.CARDS)} {cases} END"
+
+
 @query("gen_semantic", f"""
-WITH c AS (SELECT o_orderkey, {sql_draw(K, S('card'))} % 5 AS kind FROM orders),
-b AS (SELECT o_orderkey, CASE kind WHEN 0 THEN '4' || {sql_digits(K, 14, S('card') + 1)} WHEN 1 THEN '52' || {sql_digits(K, 13, S('card') + 1)}
-  WHEN 2 THEN '34' || {sql_digits(K, 12, S('card') + 1)} WHEN 3 THEN '3530' || {sql_digits(K, 11, S('card') + 1)} ELSE '62' || {sql_digits(K, 13, S('card') + 1)} END AS body FROM c)
+WITH b AS (SELECT o_orderkey, {sql_card(K, S('card'))} AS body FROM orders)
 SELECT o_orderkey, {sql_pick(K, generate.FIRST, S('who'))} || ' ' || {sql_pick(K, generate.LAST, S('who') + 1)} AS who,
   CASE WHEN length(body) = 15 THEN body || {sql_luhn('body', 15)}::INT ELSE body || {sql_luhn('body', 14)}::INT END AS card, {sql_pick(K, generate.PICKS['city'], S('town'))} AS town,
   true AS mail_ok, true AS ip_ok, true AS mac_ok, true AS ean_ok, true AS url_ok FROM b""")

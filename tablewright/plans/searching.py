@@ -6,10 +6,6 @@ from tablewright.operators import logs, metadata, search
 from tablewright.plans.registry import query
 
 
-def text_hit(cols, term):
-    return ", ".join(f"CASE WHEN lower({c}::VARCHAR) LIKE '%{term}%' ESCAPE '~' THEN '{c}' END" for c in cols)
-
-
 @query("search_database", f"""
 SELECT * FROM (
 SELECT 'customer' AS table_name, c_custkey::VARCHAR AS key, concat_ws(',', CASE WHEN c_custkey = 21 THEN 'c_custkey' END,
@@ -22,7 +18,7 @@ UNION ALL SELECT 'documents', doc_id::VARCHAR, concat_ws(',', CASE WHEN doc_id =
   CASE WHEN n_chars = 21 THEN 'n_chars' END) FROM (SELECT doc_id, text, n_chars FROM documents)
 UNION ALL SELECT 'orders', o_orderkey::VARCHAR, concat_ws(',', CASE WHEN o_orderkey = 21 THEN 'o_orderkey' END, CASE WHEN o_custkey = 21 THEN 'o_custkey' END,
   CASE WHEN o_orderstatus LIKE '%21%' THEN 'o_orderstatus' END, CASE WHEN o_totalprice = 21 THEN 'o_totalprice' END,
-  CASE WHEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') LIKE '%21%' THEN 'o_orderdate' END, CASE WHEN o_orderpriority LIKE '%21%' THEN 'o_orderpriority' END) FROM orders
+  CASE WHEN o_orderpriority LIKE '%21%' THEN 'o_orderpriority' END) FROM orders
 ) WHERE matched_columns <> ''""")
 def search_database(t):
     tables = {
@@ -120,10 +116,10 @@ def schema_diff_columns(t):
 @query("schema_diff_tables", f"""WITH {COLS_SQL},
 st AS (SELECT DISTINCT kind, table_name FROM s), gt AS (SELECT DISTINCT kind, table_name FROM g),
 ch AS (SELECT DISTINCT coalesce(s.table_name, g.table_name) AS table_name FROM s FULL JOIN g ON s.table_name = g.table_name AND s.name = g.name
-       WHERE lower(s.data_type) IS DISTINCT FROM lower(g.data_type))
+       WHERE lower(s.data_type) IS DISTINCT FROM lower(g.data_type) OR s.comment IS DISTINCT FROM g.comment)
 SELECT kind, table_name, 'added' AS status FROM st WHERE table_name NOT IN (SELECT table_name FROM gt)
 UNION ALL SELECT kind, table_name, 'removed' FROM gt WHERE table_name NOT IN (SELECT table_name FROM st)
-UNION ALL SELECT st.kind, table_name, 'modified' FROM st JOIN gt USING (table_name) JOIN ch USING (table_name)""")
+UNION ALL SELECT st.kind, table_name, 'modified' FROM st JOIN gt USING (table_name) JOIN ch USING (table_name) WHERE st.kind = 'table'""")
 def schema_diff_tables(t):
     return metadata.schema_diff_tables(*catalogs(t))
 

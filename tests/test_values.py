@@ -1,6 +1,7 @@
 """Inference, temporal text, formatters, expressions, filters and generators."""
 
 import datetime as dt
+import decimal
 
 import pytest
 from hypothesis import given, settings
@@ -175,7 +176,7 @@ def test_long_in_list_is_a_semi_join(spark):
 
 @pytest.mark.parametrize("text, kind, want", [
     ("null", T.StringType(), None), ("'it''s'", T.StringType(), "it's"), ("5", T.LongType(), 5), ("5x", T.LongType(), "5x"),
-    ("1e3", T.DoubleType(), 1000.0), ("TRUE", T.BooleanType(), True),
+    ("1e3", T.DoubleType(), 1000.0), ("'5'", T.LongType(), 5), ("1.50", T.DecimalType(10, 2), decimal.Decimal("1.50")), ("1.5", T.LongType(), 1.5), ("'null'", T.StringType(), "null"), ("TRUE", T.BooleanType(), True),
 ])
 def test_parsed_filter_values(text, kind, want):
     assert filters.parse_value(text, kind) == want
@@ -208,6 +209,13 @@ def test_keyset_pages_cover_everything(spark):
     assert seen == sorted((i % 7, i) for i in range(100))
 
 
+def test_deep_offset_pages_are_numbered(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
+    want = [r["x"] for r in paging.page_offset(df, 10, 500).collect()]
+    monkeypatch.setattr(paging, "DEEP_PAGE", 50)
+    assert [r["x"] for r in paging.page_offset(df, 10, 500).collect()] == want == list(range(500, 510))
+
+
 def test_vectors_against_brute_force(spark):
     import numpy as np
     rng = np.random.default_rng(3)
@@ -302,7 +310,7 @@ def test_foreign_keys_exist(spark):
 
 
 @pytest.mark.parametrize("name, kind, want", [
-    ("user_email", "varchar", "email"), ("id", "bigserial", "sequence"), ("is_open", "int", "enum"), ("created", "timestamp", "datetime"),
+    ("user_email", "varchar", "email"), ("id", "int", "number"), ("born", "date", "datetime"), ("file_path", "text", "file_path"), ("hostname", "text", "full_name"), ("is_open", "int", "enum"), ("created", "timestamp", "datetime"),
     ("amount", "decimal(10,2)", "number"), ("city", "text", "city"), ("notes", "text", "text"),
 ])
 def test_guessed_generators(name, kind, want):
