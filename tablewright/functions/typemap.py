@@ -41,7 +41,38 @@ MYSQL_TYPES = {
     "binary": "BLOB", "varbinary": "BLOB", "image": "BLOB", "bytea": "BLOB",
     "json": "JSON", "jsonb": "JSON", "uuid": "VARCHAR(36)",
 }
-TARGETS = {"spark": SPARK_TYPES, "postgres": POSTGRES_TYPES, "mysql": MYSQL_TYPES}
+SQLSERVER_TYPES = {
+    "int": "INT", "integer": "INT", "int4": "INT", "mediumint": "INT", "bigint": "BIGINT",
+    "int8": "BIGINT", "smallint": "SMALLINT", "int2": "SMALLINT", "tinyint": "TINYINT",
+    "serial": "INTEGER", "bigserial": "INTEGER", "smallserial": "INTEGER", "float": "FLOAT",
+    "float4": "FLOAT", "real": "FLOAT", "double": "DOUBLE", "float8": "DOUBLE", "bool": "BIT",
+    "boolean": "BIT", "bit": "BIT", "date": "DATE", "time": "TIME", "datetime": "DATETIME",
+    "timestamp": "DATETIME2", "timestamptz": "DATETIME2", "longblob": "VARBINARY(MAX)",
+    "mediumblob": "VARBINARY(MAX)", "blob": "VARBINARY(MAX)", "tinyblob": "VARBINARY(MAX)",
+    "binary": "VARBINARY(MAX)", "varbinary": "VARBINARY(MAX)", "image": "VARBINARY(MAX)",
+    "bytea": "BLOB", "uuid": "VARCHAR(36)",
+}
+OTHER_TYPES = {
+    "int": "INTEGER", "integer": "INTEGER", "int4": "INTEGER", "mediumint": "INTEGER",
+    "bigint": "BIGINT", "int8": "BIGINT", "smallint": "SMALLINT", "int2": "SMALLINT",
+    "tinyint": "TINYINT", "serial": "INTEGER", "bigserial": "INTEGER", "smallserial": "INTEGER",
+    "float": "FLOAT", "float4": "FLOAT", "real": "FLOAT", "double": "DOUBLE", "float8": "DOUBLE",
+    "bool": "BOOLEAN", "boolean": "BOOLEAN", "bit": "BIT", "date": "DATE", "time": "TIME",
+    "datetime": "DATETIME", "timestamp": "TIMESTAMP", "timestamptz": "TIMESTAMP",
+    "longblob": "BLOB", "mediumblob": "BLOB", "blob": "BLOB", "tinyblob": "BLOB",
+    "binary": "BLOB", "varbinary": "BLOB", "image": "BLOB", "bytea": "BLOB",
+    "uuid": "VARCHAR(36)",
+}
+CLICKHOUSE_TYPES = {
+    **OTHER_TYPES, "datetime": "DateTime64(6)", "timestamp": "DateTime64(6)",
+    "timestamptz": "DateTime64(6)",
+}
+TARGETS = {
+    "spark": SPARK_TYPES, "postgres": POSTGRES_TYPES, "mysql": MYSQL_TYPES,
+    "sqlserver": SQLSERVER_TYPES, "clickhouse": CLICKHOUSE_TYPES, "other": OTHER_TYPES,
+}
+# Targets that keep the precision of a sized decimal.
+SIZED_DECIMAL = ("postgres", "mysql", "sqlserver")
 
 
 def column_type_map(source: Column, target: str = "spark") -> Column:
@@ -57,8 +88,11 @@ def column_type_map(source: Column, target: str = "spark") -> Column:
     if target == "spark":
         return F.coalesce(hit, F.lit("STRING"))
     sized = F.when(tail != "", tail)
-    number = F.when(sized.isNull(), "NUMERIC").otherwise(F.concat(F.lit("DECIMAL"), sized))
-    text = F.when(sized.isNull(), "VARCHAR(255)").otherwise(F.concat(F.lit("VARCHAR"), sized))
+    number = F.lit("NUMERIC")
+    if target in SIZED_DECIMAL:
+        number = F.when(sized.isNull(), number).otherwise(F.concat(F.lit("DECIMAL"), sized))
+    word = "NVARCHAR" if target == "sqlserver" else "VARCHAR"
+    text = F.when(sized.isNull(), "VARCHAR(255)").otherwise(F.concat(F.lit(word), sized))
     fixed = F.when(sized.isNull(), "CHAR(1)").otherwise(F.concat(F.lit("CHAR"), sized))
     if target == "postgres":
         serial = base.isin("serial", "bigserial", "smallserial")

@@ -413,7 +413,7 @@ def vector_topk_l2(t):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("sample_n")
+@query("sample_n", "SELECT * FROM customer ORDER BY md5('7/' || c_custkey), c_custkey LIMIT 100")
 def sample_n(t):
     return stages.sample(t.customer, 100, ["c_custkey"], seed=7)
 

@@ -446,7 +446,13 @@ SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'DECIMAL('
  CASE p_partkey % 8 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'DECIMAL(' || (p_size % 18 + 3) || ',2)' WHEN 2 THEN 'VARCHAR(' || p_size || ')' WHEN 3 THEN 'TIMESTAMP' WHEN 4 THEN 'BYTEA'
   WHEN 5 THEN 'BOOLEAN' WHEN 6 THEN 'JSONB' ELSE 'NUMERIC' END AS postgres,
  CASE p_partkey % 8 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'DECIMAL(' || (p_size % 18 + 3) || ',2)' WHEN 2 THEN 'VARCHAR(' || p_size || ')' WHEN 3 THEN 'DATETIME' WHEN 4 THEN 'LONGBLOB'
-  WHEN 5 THEN 'TINYINT(1)' WHEN 6 THEN 'JSON' ELSE 'NUMERIC' END AS mysql FROM c""")
+  WHEN 5 THEN 'TINYINT(1)' WHEN 6 THEN 'JSON' ELSE 'NUMERIC' END AS mysql,
+ CASE p_partkey % 8 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'DECIMAL(' || (p_size % 18 + 3) || ',2)' WHEN 2 THEN 'NVARCHAR(' || p_size || ')' WHEN 3 THEN 'DATETIME2' WHEN 4 THEN 'VARBINARY(MAX)'
+  WHEN 5 THEN 'BIT' WHEN 6 THEN 'TEXT' ELSE 'NUMERIC' END AS sqlserver,
+ CASE p_partkey % 8 WHEN 0 THEN 'BIGINT' WHEN 2 THEN 'VARCHAR(' || p_size || ')' WHEN 3 THEN 'DateTime64(6)' WHEN 4 THEN 'BLOB'
+  WHEN 5 THEN 'BOOLEAN' WHEN 6 THEN 'TEXT' ELSE 'NUMERIC' END AS clickhouse,
+ CASE p_partkey % 8 WHEN 0 THEN 'BIGINT' WHEN 2 THEN 'VARCHAR(' || p_size || ')' WHEN 3 THEN 'TIMESTAMP' WHEN 4 THEN 'BLOB'
+  WHEN 5 THEN 'BOOLEAN' WHEN 6 THEN 'TEXT' ELSE 'NUMERIC' END AS other FROM c""")
 def column_type_map(t):
     c = t.part.selectExpr("p_partkey", """CASE p_partkey % 8 WHEN 0 THEN 'bigint unsigned' WHEN 1 THEN concat('Decimal(', p_size % 18 + 3, ',2)')
         WHEN 2 THEN concat('varchar(', p_size, ')') WHEN 3 THEN 'timestamptz' WHEN 4 THEN 'longblob' WHEN 5 THEN 'bool'

@@ -6,8 +6,6 @@ from oracle_compare import compare, connect
 import __spark_entry__ as entry
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# Kept rows-only: a hash-ordered sample has no SQL twin.
-ROWS_ONLY = {"sample_n"}
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +19,8 @@ def test_query_matches_sql(spark, con, small, name):
     assert problem in (None, "both sides are empty"), problem
 
 
-def test_only_known_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_runs(spark):
