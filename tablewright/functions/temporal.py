@@ -123,13 +123,15 @@ def epoch_format(
         guess = F.when(F.abs(number) < 100_000_000_000, number * 1000).otherwise(number)
         low, high = 0, 4_133_980_800_000  # 1970-01-01 to 2101-01-01
         millis = F.when(digits.isin(10, 13) & (guess >= low) & (guess < high), guess)
-    epoch = F.timestamp_millis(millis)
-    dated = F.when(
-        ~whole,
-        F.when(text.rlike(ZONED), text.try_cast("timestamp")).otherwise(
-            F.to_utc_timestamp(local_time(text).cast("timestamp"), F.lit(zone))
-        ),
-    )
-    at = F.from_utc_timestamp(F.coalesce(epoch, dated), F.lit(zone))
+    # Wall-clock times throughout, so the session's own zone plays no part.
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    epoch = F.timestamp_add("MILLISECOND", millis, start)
+    local, zoned = local_time(text), text.rlike(ZONED)
+    sign = F.when(text.rlike(r"-\d{2}:\d{2}$"), -1).otherwise(1)
+    part = lambda i: F.regexp_extract(text, r"[+-](\d{2}):(\d{2})$", i).try_cast("int")
+    offset = F.coalesce(sign * (part(1) * 60 + part(2)), F.lit(0))
+    utc = F.coalesce(epoch, F.when(zoned, F.timestamp_add("MINUTE", -offset, local)))
+    shifted = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    at = F.coalesce(shifted, F.when(~whole, local))
     shown = F.date_format(at, spark_pattern(pattern if pattern.strip() else DEFAULT_PATTERN))
     return F.coalesce(shown, value.cast("string"), F.lit("NULL"))

@@ -90,6 +90,6 @@ def retention(df: DataFrame, minutes: int, newest: Any = None) -> DataFrame:
     if minutes < 0:
         return df
     if newest is None:
-        newest = df.agg(F.max("timestamp")).first()[0]
+        newest = df.agg(F.max("timestamp").cast("string")).first()[0]
     cut = F.timestamp_add("MINUTE", F.lit(-minutes), F.lit(newest).cast(df.schema["timestamp"].dataType))
     return df.where(F.col("timestamp") >= cut)

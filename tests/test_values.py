@@ -84,6 +84,21 @@ def test_epoch_text(spark, text, want):
     assert one(spark, temporal.epoch_format(F.col("c")), text) == want
 
 
+def test_zoned_text_moves_to_the_zone(spark):
+    shown = temporal.epoch_format(F.col("c"), zone="Asia/Tokyo")
+    assert one(spark, shown, "2024-01-01T05:00:00+02:00") == "2024-01-01 12:00:00"
+    assert one(spark, shown, "2024-01-01T05:00:00Z") == "2024-01-01 14:00:00"
+
+
+def test_epoch_text_ignores_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert one(spark, temporal.epoch_format(F.col("c")), "1704067200") == "2024-01-01 00:00:00"
+        assert one(spark, temporal.normalize(F.col("c"), "datetime"), "2024-03-10 02:30:00") == "2024-03-10 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_epoch_units_and_zone(spark):
     assert one(spark, temporal.epoch_format(F.col("c"), "seconds", zone="Asia/Tokyo"), "60") == "1970-01-01 09:01:00"
     assert one(spark, temporal.epoch_format(F.col("c"), "milliseconds"), "60000") == "1970-01-01 00:01:00"
