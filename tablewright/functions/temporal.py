@@ -49,14 +49,19 @@ def local_time(text: Column) -> Column:
     return F.when(dated, F.upper(bare).try_cast("timestamp_ntz"))
 
 
-def fraction(at: Column) -> Column:
-    """Nothing, ``.mmm`` or ``.uuuuuu``: as many digits as the value needs."""
-    micros = F.date_format(at, "SSSSSS")
-    return (
-        F.when(micros == "000000", "")
-        .when(micros.endswith("000"), F.concat(F.lit("."), F.left(micros, F.lit(3))))
-        .otherwise(F.concat(F.lit("."), micros))
+def clock_parts(at: Column) -> tuple[Column, Column, Column]:
+    """Day, time and fraction text of a wall-clock time. The cast to text knows no
+    zone, while patterns go through the session's. The fraction is nothing,
+    ``.mmm`` or ``.uuuuuu``: as many digits as the value needs."""
+    text = at.cast("string")
+    digits = F.rpad(F.substring(text, 21, 6), 6, "0")
+    short = F.substring(digits, 4, 3) == "000"
+    rest = (
+        F.when(digits == "000000", "")
+        .when(short, F.concat(F.lit("."), F.substring(digits, 1, 3)))
+        .otherwise(F.concat(F.lit("."), digits))
     )
+    return F.substring(text, 1, 10), F.substring(text, 12, 8), rest
 
 
 def is_timestamp(text: Column) -> Column:
@@ -81,19 +86,19 @@ def normalize(value: Column, kind: str, pattern: str | None = None) -> Column:
         at = F.coalesce(first, at)
         plain_date = F.when(first.isNotNull(), F.lit(not has_clock)).otherwise(plain_date)
         zoned = F.when(first.isNotNull(), F.lit("Z" in pattern)).otherwise(zoned)
-    day, hms = F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "HH:mm:ss")
+    day, hms, rest = clock_parts(at)
     if kind == "date":
         out = day
     elif kind == "time":
-        moment = F.when(dateless, clock).when(~plain_date, at)
-        out = F.concat(F.date_format(moment, "HH:mm:ss"), fraction(moment))
+        _, time, tail = clock_parts(F.when(dateless, clock).when(~plain_date, at))
+        out = F.concat(time, tail)
     else:
-        full = F.concat(day, F.lit(" "), hms, fraction(at))
+        full = F.concat(day, F.lit(" "), hms, rest)
         out = F.when(plain_date, F.concat(day, F.lit(" 00:00:00"))).otherwise(full)
         if kind == "datetimetz":
             offset = F.regexp_extract(raw, r"([Zz]|[+-]\d{2}:\d{2})$", 1)
             offset = F.when(F.upper(offset) == "Z", "+00:00").otherwise(offset)
-            out = F.when(zoned, F.concat(day, F.lit("T"), hms, fraction(at), offset)).otherwise(out)
+            out = F.when(zoned, F.concat(day, F.lit("T"), hms, rest, offset)).otherwise(out)
     return F.coalesce(out, value)
 
 
