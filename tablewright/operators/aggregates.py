@@ -204,6 +204,26 @@ def push_chunks(
     return ranked.groupBy(*keys, chunk.alias("chunk")).agg(items.alias(name))
 
 
+def gather_chunks(
+    df: DataFrame, keys: list[str], value: Column, name: str, size: int = CHUNK
+) -> DataFrame:
+    """All values of each key in no given order, in arrays of at most ``2 * size``.
+
+    Equal values are counted first, so a key made of copies of one value shrinks
+    on the map side; large counts are cut into pieces of ``size`` copies.
+    """
+    counted = df.groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_n"))
+    last = F.ceil(F.col("_n") / size).cast("bigint") - 1
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumns({
+        "_copies": F.least(F.lit(size).cast("bigint"), F.col("_n") - F.col("_piece") * size),
+        "_order": F.xxhash64("_v"),
+    })
+    placed = running(pieces, keys, ["_order", "_piece"], {"_to": ("sum", F.col("_copies"))})
+    chunk = F.floor((F.col("_to") - F.col("_copies")) / size).cast("bigint")
+    copies = F.array_repeat(F.col("_v"), F.col("_copies").cast("int"))
+    return placed.groupBy(*keys, chunk.alias("chunk")).agg(F.flatten(F.collect_list(copies)).alias(name))
+
+
 def merge_maps(df: DataFrame, keys: list[str], column: Column, order: list[str], name: str) -> DataFrame:
     """Maps merged per key, the last in ``order`` winning for each field."""
     entries = df.select(*keys, F.struct(*order).alias("_at"), F.explode(column).alias("_k", "_v"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.aggregates import CHUNK, push_chunks
+from tablewright.operators.aggregates import CHUNK, gather_chunks, push_chunks
 from tablewright.operators.document_filter import match
 from tablewright.storage import materialize, work_path
 
@@ -65,15 +65,16 @@ def lookup(
     """Left rows with the array of matching foreign rows (empty when none); a
     missing local value matches missing foreign ones.
 
-    Arrays hold at most ``size`` matches: a row whose key has more comes out once
-    per chunk, numbered in ``chunk``, so no match is lost and no task holds a hot
+    Arrays hold at most ``size`` matches (twice that without an ``order``): a row
+    whose key has more comes out once per chunk, numbered in ``chunk``, so no match is lost and no task holds a hot
     key whole. A local array matches by any element and needs ``row_key``.
     """
     value = F.struct(*foreign.columns)
-    by = order or [foreign_field if foreign_field != foreign.columns[0] else foreign.columns[0]]
-    matches = push_chunks(
-        foreign.withColumn("_fk", F.col(foreign_field)), ["_fk"], value, by, name, size
-    )
+    keyed = foreign.withColumn("_fk", F.col(foreign_field))
+    if order:
+        matches = push_chunks(keyed, ["_fk"], value, order, name, size)
+    else:
+        matches = gather_chunks(keyed, ["_fk"], value, name, size)
     empty = F.coalesce(F.col(name), F.array().cast(matches.schema[name].dataType))
     chunk = F.coalesce(F.col("chunk"), F.lit(0).cast("bigint"))
     if isinstance(left.schema[local_field].dataType, T.ArrayType):

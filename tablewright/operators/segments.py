@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tablewright.storage import materialize
 
 ROWS_PER_SEGMENT = 500_000
+_NUMBERS = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 SEG = "_segment"
 
 
@@ -38,47 +39,79 @@ def position(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-POS = "_pos"
+POS, TIE = "_pos", "_tie"
 MOST_CUTS = 64
 # Outer quantiles keep far-off values, such as a stray year 1970, from stretching
 # the segments of all other rows.
 OUTER = (0.0001, 0.001, 0.999, 0.9999)
 
 
-def segment_of(
-    df: DataFrame, name: str, segments: int | None = None, rows: int | None = None
-) -> Column:
-    """Segment number of column ``_pos`` (the position along ``name``) with about ``rows``
-    rows per segment.
-
-    One pass takes count and range. Only if there is more than one segment, a
-    second takes quantiles; the range between two of them is cut evenly.
-    """
-    placed = df.select(position(df, name).alias(POS))
-    low, high, n = placed.agg(F.min(POS), F.max(POS), F.count(POS)).first()
-    count = segments or max(1, math.ceil((n or 0) / (rows or ROWS_PER_SEGMENT)))
-    if low is None or low == high or count == 1:
-        return F.lit(0).cast("bigint")
-    bins = min(count, MOST_CUTS)
+def _edges(df: DataFrame, name: str, bins: int) -> tuple[list[float], list[float]]:
+    """Distinct quantiles of a numeric column, and those that repeat: values that
+    hold more than one bin's share of the rows."""
     shares = sorted({i / bins for i in range(1, bins)} | set(OUTER if bins == MOST_CUTS else ()))
-    marks = placed.agg(F.percentile_approx(POS, F.array(*[F.lit(q) for q in shares]), 100_000)).first()[0]
-    edges = sorted({float(low), *map(float, marks), float(high)})
-    cuts = max(1, math.ceil(count / (len(edges) - 1)))
+    low, high, marks = df.agg(
+        F.min(name), F.max(name),
+        F.percentile_approx(name, F.array(*[F.lit(q) for q in shares]), 100_000),
+    ).first()
+    listed = sorted([float(low), *map(float, marks), float(high)])
+    heavy = sorted({a for a, b in zip(listed, listed[1:]) if a == b and low != high})
+    return sorted(set(listed)), heavy
+
+
+def _numbered(name: str, edges: list[float], cuts: int) -> Column:
+    """0-based piece of a value: its range between two edges, found by halving, cut
+    into ``cuts`` even pieces."""
 
     def find(lo: int, hi: int) -> Column:
-        """The range ``edges[i] .. edges[i + 1]`` of a row, by halving."""
         if hi - lo == 1:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(POS) < F.lit(edges[mid]), find(lo, mid)).otherwise(find(mid, hi))
+        return F.when(F.col(name) < F.lit(edges[mid]), find(lo, mid)).otherwise(find(mid, hi))
 
+    if len(edges) < 2:
+        return F.lit(0).cast("bigint")
     at = find(0, len(edges) - 1)
     if cuts == 1:
-        return F.coalesce(at, F.lit(-1)).cast("bigint")
+        return at.cast("bigint")
     starts = F.array(*[F.lit(e) for e in edges[:-1]])
     widths = F.array(*[F.lit((b - a) / cuts) for a, b in zip(edges, edges[1:])])
-    inside = F.floor((F.col(POS) - F.get(starts, at)) / F.get(widths, at)).cast("bigint")
-    return F.coalesce(at * (cuts + 1) + F.least(inside, F.lit(cuts)), F.lit(-1)).cast("bigint")
+    inside = F.floor((F.col(name) - F.get(starts, at)) / F.get(widths, at)).cast("bigint")
+    return at * cuts + F.least(inside, F.lit(cuts - 1))
+
+
+def segment_of(
+    df: DataFrame, order: list[str], segments: int | None = None, rows: int | None = None
+) -> Column:
+    """Segment number, rising in ``order``, with about ``rows`` rows per segment; an
+    expression over the columns ``_pos`` and ``_tie`` (first and second order column).
+
+    One pass takes count and range. Only if there is more than one segment, a
+    second takes quantiles; the range between two of them is cut evenly. A single
+    position that holds a large share of the rows shows as repeated quantiles;
+    its rows are then cut along the second order column.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    split = len(order) > 1 and isinstance(kinds[order[1]], _NUMBERS)
+    tie = position(df, order[1]) if split else F.lit(0)
+    placed = df.select(position(df, order[0]).alias(POS), tie.alias(TIE))
+    low, high, n = placed.agg(F.min(POS), F.max(POS), F.count(POS)).first()
+    count = segments or max(1, math.ceil((n or 0) / (rows or ROWS_PER_SEGMENT)))
+    if low is None or count == 1:
+        return F.lit(0).cast("bigint")
+    bins = min(count, MOST_CUTS)
+    edges, heavy = _edges(placed, POS, bins) if low != high else ([float(low)], [float(low)])
+    cuts = max(1, math.ceil(count / max(1, len(edges) - 1)))
+    number = _numbered(POS, edges, cuts) if low != high else F.lit(0).cast("bigint")
+    if heavy and split:
+        held = F.col(POS).isin(heavy)
+        tie_edges, _ = _edges(placed.where(held), TIE, bins)
+        tie_cuts = max(1, math.ceil(count / max(1, len(tie_edges) - 1)))
+        parts = max(1, len(tie_edges) - 1) * tie_cuts
+        # A heavy position opens its range: its own pieces come before the rest's.
+        inner = F.when(held, _numbered(TIE, tie_edges, tie_cuts)).otherwise(F.lit(parts))
+        number = number * (parts + 1) + inner
+    return F.coalesce(number, F.lit(-1)).cast("bigint")
 
 
 # Group columns: a hash (fast to sort), the keys as one struct (whose NULL fields
@@ -90,9 +123,12 @@ WHOLE, PIECE = [HASH, KEY], [HASH, KEY, SEG]
 
 def _cut(df: DataFrame, keys: list[str], order: list[str], segments: int | None) -> DataFrame:
     fields = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    placed = df.withColumn(POS, position(df, order[0]))
-    number = segment_of(df, order[0], segments)
-    return placed.withColumns({HASH: F.xxhash64(*keys), KEY: fields, SEG: number}).drop(POS)
+    kinds = {f.name: f.dataType for f in df.schema}
+    split = len(order) > 1 and isinstance(kinds[order[1]], _NUMBERS)
+    tie = position(df, order[1]) if split else F.lit(0)
+    placed = df.withColumns({POS: position(df, order[0]), TIE: tie})
+    number = segment_of(df, order, segments)
+    return placed.withColumns({HASH: F.xxhash64(*keys), KEY: fields, SEG: number}).drop(POS, TIE)
 
 
 def _attach(rows: DataFrame, carry: DataFrame, extra: list[str]) -> DataFrame:

@@ -43,11 +43,41 @@ def test_running_crosses_segments(hot, count):
 
 
 def test_segments_stay_even_with_a_far_off_value(hot):
-    number = segments.segment_of(hot, "t", rows=20)
+    number = segments.segment_of(hot, ["t"], rows=20)
     sizes = hot.withColumn("_pos", F.col("t")).groupBy(number.alias("s")).count().collect()
     assert len(sizes) >= 100 and max(r["count"] for r in sizes) <= 60
 
 
+@pytest.fixture(scope="module")
+def tied(spark):
+    """A third of the rows share key and time; only the id tells them apart."""
+    rows = [(i, "hot", 500 if i % 3 == 0 else (i * 7) % 1000, i % 10) for i in range(3000)]
+    return spark.createDataFrame(rows, "id bigint, k string, t bigint, v int").cache()
+
+
+@pytest.mark.parametrize("one_time", [False, True])
+def test_ties_are_cut_along_the_second_column(tied, one_time):
+    df = tied.withColumn("t", F.lit(5).cast("bigint")) if one_time else tied
+    number = segments.segment_of(df, ["t", "id"], rows=30)
+    cut = df.withColumns({"_pos": F.col("t"), "_tie": F.col("id")}).withColumn("s", number)
+    assert max(r["count"] for r in cut.groupBy("s").count().collect()) <= 120
+    # Segments rise in (t, id) order.
+    ends = cut.groupBy("s").agg(F.min(F.struct("t", "id")).alias("a"), F.max(F.struct("t", "id")).alias("b")).orderBy("s").collect()
+    assert all(tuple(x["b"]) < tuple(y["a"]) for x, y in zip(ends, ends[1:]))
+    got = segments.running(df, ["k"], ["t", "id"], {"s": ("sum", F.col("v")), "p": ("lag", F.col("v"))}, segments=70)
+    want = df.select("id", F.sum("v").over(key_order().rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lag("v").over(key_order()).alias("p"))
+    assert rows_of(got, "s", "p") == rows_of(want, "s", "p")
+
+
+def test_lookup_without_order_and_copies(spark):
+    foreign = spark.range(5000).select(F.lit("hot").alias("k"), F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("v"))
+    left = spark.createDataFrame([(1, "hot")], "n int, k string")
+    out = relate.lookup(left, foreign, "k", "k", "m", size=100).collect()
+    assert max(len(r["m"]) for r in out) <= 200
+    values = sorted(m["v"] for r in out for m in r["m"])
+    assert values == [7] * 4000 + list(range(4000, 5000))
+
+
 def test_segment_join_reuses_the_window_partitioning(spark, hot):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
