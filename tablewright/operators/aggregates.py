@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.expressions import expr
-from tablewright.operators.segments import running, with_running_index
+from tablewright.operators.segments import largest_group, running, with_running_index
 
 CHUNK = 10_000
 
@@ -196,8 +196,12 @@ def push_chunks(
 ) -> DataFrame:
     """All values of each key in ``order``, as arrays of at most ``size`` values,
     one row ``(keys, chunk, name)`` each. Nothing is dropped and no task holds
-    more than a chunk; a key with up to ``size`` values has one row."""
+    more than a chunk; a key with up to ``size`` values has one row. If every key
+    fits its chunk, one grouping does it."""
     rows = df.withColumn("_v", value)
+    if largest_group(df, keys) <= size:
+        kept = F.transform(F.sort_array(F.collect_list(F.struct(*order, "_v"))), lambda x: x["_v"])
+        return rows.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("chunk"), kept.alias(name))
     ranked = rank_in_group(rows, keys, order, "_place")
     chunk = F.floor(F.col("_place") / size).cast("bigint")
     items = F.transform(F.sort_array(F.collect_list(F.struct("_place", "_v"))), lambda x: x["_v"])
@@ -212,6 +216,8 @@ def gather_chunks(
     Equal values are counted first, so a key made of copies of one value shrinks
     on the map side; large counts are cut into pieces of ``size`` copies.
     """
+    if largest_group(df, keys) <= size:
+        return df.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("chunk"), F.collect_list(value).alias(name))
     counted = df.groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_n"))
     last = F.ceil(F.col("_n") / size).cast("bigint") - 1
     pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumns({

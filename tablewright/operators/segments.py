@@ -135,10 +135,36 @@ def _attach(rows: DataFrame, carry: DataFrame, extra: list[str]) -> DataFrame:
     return rows.join(carry.select(*PIECE, *extra), PIECE, "left")
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest key; counted on the map side first."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def _fits_one_task(df: DataFrame, keys: list[str], segments: int | None) -> bool:
+    return segments is None and largest_group(df, keys) <= ROWS_PER_SEGMENT
+
+
 _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
+def _plain_running(
+    df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, Column]]
+) -> DataFrame:
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = []
+    for name, (op, value) in aggs.items():
+        if op == "lag":
+            column = F.lag(value).over(inside)
+        elif op.startswith("total_"):
+            column = _LOCAL[op.removeprefix("total_")](value).over(Window.partitionBy(*keys))
+        else:
+            column = _LOCAL[op](value).over(upto)
+        out.append(column.alias(name))
+    return df.select("*", *out)
+
+
 def running(
     df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, Column]],
     segments: int | None = None,
@@ -147,8 +173,11 @@ def running(
 
     ``aggs`` maps an output name to ``(op, value)``: ``sum count min max`` run from the
     start of the key to the current row, ``lag`` is the previous row's value, and
-    ``total_sum`` and so on cover the whole key.
+    ``total_sum`` and so on cover the whole key. If no key is larger than a segment,
+    a plain window does it with one shuffle.
     """
+    if _fits_one_task(df, keys, segments):
+        return _plain_running(df, keys, order, aggs)
     names = df.columns
     # The value columns are fixed here so that each is computed once.
     rows = _cut(df, keys, order, segments).withColumns(
@@ -205,6 +234,15 @@ def nearest(
     the nearest row at or before (``backward``: at or after) this one where
     ``present`` holds.
     """
+    if _fits_one_task(df, keys, segments):
+        inside = Window.partitionBy(*keys).orderBy(*order)
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        onward = inside.rowsBetween(0, Window.unboundedFollowing)
+        return df.select("*", *[
+            (F.first(F.when(present, F.struct(*columns)), ignorenulls=True).over(onward) if backward
+             else F.last(F.when(present, F.struct(*columns)), ignorenulls=True).over(upto)).alias(name)
+            for name, (columns, present, backward) in wants.items()
+        ])
     rows = _cut(df, keys, order, segments)
     local = Window.partitionBy(*PIECE).orderBy(*order)
     across = Window.partitionBy(*WHOLE).orderBy(SEG)

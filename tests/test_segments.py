@@ -28,7 +28,7 @@ def key_order():
     return Window.partitionBy("k").orderBy("t", "id")
 
 
-@pytest.mark.parametrize("count", [1, 2, 13, 400])
+@pytest.mark.parametrize("count", [None, 1, 2, 13, 400])
 def test_running_crosses_segments(hot, count):
     got = segments.running(hot, ["k"], ["t", "id"], {
         "s": ("sum", F.col("v")), "n": ("count", F.lit(1)), "lo": ("min", F.col("v")),
@@ -89,7 +89,7 @@ def test_segment_join_reuses_the_window_partitioning(spark, hot):
     assert text.count("Exchange hashpartitioning") == 4 and "SortMergeJoin" in text
 
 
-@pytest.mark.parametrize("count", [1, 9])
+@pytest.mark.parametrize("count", [None, 1, 9])
 def test_nearest_both_ways(hot, count):
     seen = F.col("v").isNotNull()
     got = segments.nearest(hot, ["k"], ["t", "id"], {"b": (["v"], seen, False), "a": (["v"], seen, True)}, count)
@@ -135,6 +135,13 @@ def test_push_chunks_lose_nothing(hot):
     assert joined == [r["id"] for r in hot.where("k = 'hot'").orderBy("t", "id").collect()]
 
 
+def test_small_groups_come_whole(hot):
+    chunks = aggregates.push_chunks(hot, ["k"], F.col("id"), ["t", "id"], "ids").collect()
+    got = {r["k"]: r["ids"] for r in chunks}
+    assert len(chunks) == len(got) == 8 and {r["chunk"] for r in chunks} == {0}
+    assert got["hot"] == [r["id"] for r in hot.where("k = 'hot'").orderBy("t", "id").collect()]
+
+
 def test_push_by_text_order(hot):
     df = hot.withColumn("name", F.lpad(F.col("id").cast("string"), 6, "0"))
     chunks = aggregates.push_chunks(df, ["k"], F.col("id"), ["name"], "ids", size=100).where("k = 'hot'").orderBy("chunk").collect()
