@@ -10,7 +10,6 @@ one-row-per-segment summary. The big side is shuffled once, on
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
