@@ -123,10 +123,11 @@ def natural_key(df: DataFrame, name: str) -> list[Column]:
     c = F.col(name)
     if not isinstance(kind, T.StringType):
         return [c]
-    padded = F.regexp_replace(c, r"(\d+)", "0" * DIGITS + "$1")
-    padded = F.regexp_replace(padded, rf"\d*(\d{{{DIGITS}}})", "$1")
+    folded = F.translate(F.lower(c), FOLD_FROM, FOLD_TO)
+    padded = F.regexp_replace(folded, "([0-9]+)", "0" * DIGITS + "$1")
+    padded = F.regexp_replace(padded, rf"[0-9]*([0-9]{{{DIGITS}}})", "$1")
     dated = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("timestamp"))
-    return [dated, F.translate(F.lower(padded), FOLD_FROM, FOLD_TO)]
+    return [dated, padded]
 
 
 def with_natural_keys(df: DataFrame, name: str, prefix: str = "_n") -> tuple[DataFrame, list[str]]:
