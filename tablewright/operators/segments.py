@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from tablewright.storage import materialize
 
 ROWS_PER_SEGMENT = 500_000
+# A key up to this size is sorted by one task, with spilling, faster than it is cut.
+ONE_TASK_ROWS = 2_000_000
 _NUMBERS = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 SEG = "_segment"
 
@@ -140,7 +142,7 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def _fits_one_task(df: DataFrame, keys: list[str], segments: int | None) -> bool:
-    return segments is None and largest_group(df, keys) <= ROWS_PER_SEGMENT
+    return segments is None and largest_group(df, keys) <= ONE_TASK_ROWS
 
 
 _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -172,8 +174,8 @@ def running(
 
     ``aggs`` maps an output name to ``(op, value)``: ``sum count min max`` run from the
     start of the key to the current row, ``lag`` is the previous row's value, and
-    ``total_sum`` and so on cover the whole key. If no key is larger than a segment,
-    a plain window does it with one shuffle.
+    ``total_sum`` and so on cover the whole key. If every key is
+    small enough for one task, a plain window does it with one shuffle.
     """
     if _fits_one_task(df, keys, segments):
         return _plain_running(df, keys, order, aggs)
