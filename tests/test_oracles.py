@@ -4,8 +4,9 @@ import pytest
 from oracle_compare import compare, connect
 
 import __spark_entry__ as entry
+from tablewright.plans import load
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
