@@ -6,8 +6,20 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tablewright.llm import language, lattice, line_dedup, mixing, quality_rules, token_files
+from pyspark.sql import functions as F
+
+from tablewright.llm import (
+    decontaminate,
+    jaccard,
+    language,
+    lattice,
+    line_dedup,
+    mixing,
+    quality,
+    quality_rules,
+    secrets,
+    token_files,
+)
 from tablewright.llm.common import held_out
 from tablewright.session import Tables
 
@@ -54,6 +66,57 @@ def op1(t: Tables) -> DataFrame:
     return line_dedup.with_kept_text(docs, line_dedup.keep_bitmaps(docs)).drop("kept_text")
 
 
+def quality_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and label of the rows to learn from: crc32 of the id mod 5 is not 0."""
+    return labels.where(~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").alias("label"))
+
+
+@register("op2_quality_classifier")
+def op2(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    return quality.score(docs, *quality.train(docs, quality_labels(t.labels)), keep=("held_out",))
+
+
+@register(
+    "op3_jaccard_join",
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^ 	-
+]+') AS w
+      FROM documents
+    ), grams AS (
+      SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS gram
+      FROM words
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    common AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+      FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+      SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * k >= 80 * (x.n + y.n - k)
+    ), reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM words
+      UNION
+      SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    )
+    SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+    FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id
+    JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = w.doc_id
+    """,
+)
+def op3(t: Tables) -> DataFrame:
+    return jaccard.jaccard_components(t.documents)
+
+
+@register("op4_secret_scan")
+def op4(t: Tables) -> DataFrame:
+    return secrets.scan_secrets(t.documents)
+
+
 @register("op5_quality_rules")
 def op5(t: Tables) -> DataFrame:
     trusted = t.labels.where("quality = 1 AND toxic = 0")
@@ -114,3 +177,8 @@ def op8(t: Tables) -> DataFrame:
 @register("op9_lattice_lm")
 def op9(t: Tables) -> DataFrame:
     return lattice.lm_scores(t.spark, t.documents, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@register("op10_decontamination")
+def op10(t: Tables) -> DataFrame:
+    return decontaminate.find_leaks(t.documents, t.benchmark)
