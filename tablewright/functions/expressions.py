@@ -21,6 +21,10 @@ DATE_LETTERS = {
     "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss",
     "%L": "SSS", "%j": "DDD", "%%": "'%'",
 }
+DATE_PARTS = (
+    "$year", "$month", "$dayOfMonth", "$dayOfYear", "$dayOfWeek", "$hour", "$minute", "$second", "$millisecond",
+    "$week", "$isoWeek", "$isoWeekYear", "$isoDayOfWeek",
+)
 UNITS = {
     "year": "YEAR", "quarter": "QUARTER", "month": "MONTH", "week": "WEEK", "day": "DAY",
     "hour": "HOUR", "minute": "MINUTE", "second": "SECOND", "millisecond": "MILLISECOND",
@@ -75,6 +79,9 @@ def _apply(op: str, arg: Any, env: dict[str, Column]) -> Column:
         return FORMS[op](arg, env)
     if op not in CALLS:
         raise ValueError(f"unknown expression operator {op}")
+    if op in DATE_PARTS and isinstance(arg, dict) and "date" in arg:
+        _only(op, arg, "date", "timezone")
+        return CALLS[op](_local(arg, env))
     args = arg if isinstance(arg, list) else [arg]
     return CALLS[op](*[expr(a, env) for a in args])
 
@@ -111,6 +118,11 @@ def substr(text: Column, start: Column, count: Column) -> Column:
     return F.substring(text, start + 1, F.when(count < 0, F.lit(2**31 - 1)).otherwise(count))
 
 
+def substr_bytes(text: Column, start: Column, count: Column) -> Column:
+    """0-based bytes of the UTF-8 text; a negative count takes the rest."""
+    return substr(text.cast("binary"), start, count).cast("string")
+
+
 def replace_one(text: Column, find: Column, new: Column) -> Column:
     at = F.instr(text, find)
     tail = F.substring(text, at + F.char_length(find), F.lit(2**31 - 1))
@@ -237,9 +249,114 @@ def set_equals(a: Column, b: Column) -> Column:
 
 # --- dates ---------------------------------------------------------------
 
+def _only(op: str, arg: dict, *known: str) -> None:
+    """Refuse options that are not handled, instead of ignoring them."""
+    if unknown := set(arg) - set(known):
+        raise ValueError(f"{op}: unknown option {', '.join(sorted(unknown))}")
+
+
+def _local(arg, env, name: str = "date") -> Column:
+    """The wall-clock time of a date in the wanted zone (times are kept in UTC)."""
+    at = expr(arg[name], env)
+    if arg.get("timezone") is None:
+        return at
+    return F.convert_timezone(F.lit("UTC"), expr(arg["timezone"], env), at)
+
+
+def _utc(arg, env, at: Column) -> Column:
+    if arg.get("timezone") is None:
+        return at
+    return F.convert_timezone(expr(arg["timezone"], env), F.lit("UTC"), at)
+
+
 def _unit(arg, env, sign=1):
-    at, unit, n = expr(arg["startDate"], env), UNITS[arg["unit"]], expr(arg["amount"], env)
-    return F.timestamp_add(unit, (n * sign).cast("int"), at)
+    _only("$dateSubtract" if sign < 0 else "$dateAdd", arg, "startDate", "unit", "amount", "timezone")
+    unit, n = UNITS[arg["unit"]], expr(arg["amount"], env)
+    return _utc(arg, env, F.timestamp_add(unit, (n * sign).cast("int"), _local(arg, env, "startDate")))
+
+
+WEEKDAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+_FIXED = {"week": 604_800_000, "day": 86_400_000, "hour": 3_600_000, "minute": 60_000, "second": 1000, "millisecond": 1}
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
+
+def _weekday(name: str) -> int:
+    """0 for Sunday; full names or their first three letters."""
+    return next(i for i, d in enumerate(WEEKDAYS) if d.startswith(name.lower()) and len(name) >= 3)
+
+
+def date_bin(at: Column, unit: str, size: int, first: int = 0) -> Column:
+    """Start of the bin of ``size`` units, counted from 2000-01-01 (weeks from the first
+    such weekday after it)."""
+    if unit in _MONTHS:
+        step = size * _MONTHS[unit]
+        months = (F.year(at) - 2000) * 12 + F.month(at) - 1
+        start = F.lit("2000-01-01").cast("timestamp_ntz")
+        return F.timestamp_add("MONTH", (F.floor(months / step) * step).cast("int"), start)
+    # 2000-01-01 was a Saturday.
+    day = 1 + (first - 6) % 7 if unit == "week" else 1
+    start = F.lit(f"2000-01-{day:02d}").cast("timestamp_ntz")
+    step = size * _FIXED[unit]
+    passed = F.timestamp_diff("MILLISECOND", start, at)
+    # The difference is cut towards zero, so a time before the start may lie in the bin before.
+    whole = F.when(F.timestamp_add("MILLISECOND", passed, start) > at, passed - 1).otherwise(passed)
+    return F.timestamp_add("MILLISECOND", F.floor(whole / step) * step, start)
+
+
+def _trunc(arg, env):
+    _only("$dateTrunc", arg, "date", "unit", "binSize", "timezone", "startOfWeek")
+    at, unit, size = _local(arg, env), arg["unit"], int(arg.get("binSize", 1))
+    first = _weekday(arg.get("startOfWeek", "sunday"))
+    plain = size == 1 and (unit != "week" or first == 0)
+    return _utc(arg, env, date_trunc(unit, at) if plain else date_bin(at, unit, size, first))
+
+
+def _diff(arg, env):
+    _only("$dateDiff", arg, "startDate", "endDate", "unit", "timezone", "startOfWeek")
+    start, end, unit = _local(arg, env, "startDate"), _local(arg, env, "endDate"), arg["unit"]
+    first = _weekday(arg.get("startOfWeek", "sunday"))
+    if unit != "week" or first == 0:
+        return date_diff(unit, start, end)
+    return F.timestamp_diff("WEEK", date_bin(start, unit, 1, first), date_bin(end, unit, 1, first))
+
+
+def _date_text(arg, env):
+    _only("$dateToString", arg, "date", "format", "timezone", "onNull")
+    at, utc = _local(arg, env), expr(arg["date"], env)
+    minutes = F.timestamp_diff("MINUTE", utc.cast("timestamp_ntz"), at.cast("timestamp_ntz"))
+    sign, far = F.when(minutes < 0, "-").otherwise("+"), F.abs(minutes)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    computed = {
+        "%G": lambda: F.lpad(F.extract(F.lit("YEAROFWEEK"), at).cast("string"), 4, "0"),
+        "%V": lambda: two(F.weekofyear(at)), "%u": lambda: F.extract(F.lit("DAYOFWEEK_ISO"), at).cast("string"),
+        "%w": lambda: F.dayofweek(at).cast("string"), "%U": lambda: two(sunday_week(at)),
+        "%z": lambda: F.concat(sign, two(F.floor(far / 60)), two(far % 60)), "%Z": lambda: minutes.cast("string"),
+        "%%": lambda: F.lit("%"),
+    }
+    parts = []
+    for part in re.split(r"(%.)", arg.get("format", "%Y-%m-%dT%H:%M:%S.%LZ")):
+        if part in computed:
+            parts.append(computed[part]())
+        elif part in DATE_LETTERS:
+            parts.append(F.date_format(at, DATE_LETTERS[part]))
+        elif part.startswith("%"):
+            raise ValueError(f"$dateToString: unknown format letter {part}")
+        elif part:
+            parts.append(F.lit(part))
+    text = F.when(at.isNotNull(), F.concat(*parts)) if parts else F.lit("")
+    return F.coalesce(text, expr(arg["onNull"], env)) if "onNull" in arg else text
+
+
+def _date_of_text(arg, env):
+    _only("$dateFromString", arg, "dateString", "format", "timezone", "onError", "onNull")
+    raw = expr(arg["dateString"], env)
+    out = raw.try_cast("timestamp")
+    if "format" in arg:
+        out = F.coalesce(F.try_to_timestamp(raw, F.lit(date_pattern(arg["format"]))), out)
+    out = _utc(arg, env, out) if arg.get("timezone") is not None else out
+    if "onError" in arg:
+        out = F.coalesce(out, expr(arg["onError"], env))
+    return F.when(raw.isNull(), expr(arg["onNull"], env)).otherwise(out) if "onNull" in arg else F.when(raw.isNotNull(), out)
 
 
 def date_trunc(unit: str, at: Column) -> Column:
@@ -261,7 +378,8 @@ def sunday_week(at: Column) -> Column:
 
 
 def _date_parts(arg, env):
-    at = expr(arg["date"], env)
+    _only("$dateToParts", arg, "date", "timezone")
+    at = _local(arg, env)
     parts = {
         "year": F.year(at), "month": F.month(at), "day": F.dayofmonth(at), "hour": F.hour(at),
         "minute": F.minute(at), "second": F.second(at), "millisecond": millisecond(at),
@@ -274,12 +392,13 @@ def millisecond(at: Column) -> Column:
 
 
 def _from_parts(arg, env):
+    _only("$dateFromParts", arg, "year", "month", "day", "hour", "minute", "second", "millisecond", "timezone")
     part = lambda name, start: expr(arg.get(name, start), env)
     seconds = part("second", 0) + part("millisecond", 0) / 1000
-    return F.make_timestamp_ntz(
+    return _utc(arg, env, F.make_timestamp_ntz(
         part("year", 1970), part("month", 1), part("day", 1), part("hour", 0),
         part("minute", 0), seconds,
-    )
+    ))
 
 
 # --- conversion ----------------------------------------------------------
@@ -391,7 +510,7 @@ CALLS: dict[str, Callable[..., Column]] = {
     "$split": literal_split,
     "$substr": substr,
     "$substrCP": substr,
-    "$substrBytes": substr,
+    "$substrBytes": substr_bytes,
     "$strLenCP": F.char_length,
     "$strLenBytes": F.octet_length,
     "$strcasecmp": lambda a, b: compare(F.upper(a), F.upper(b)),
@@ -474,21 +593,12 @@ FORMS: dict[str, Callable[[Any, dict[str, Column]], Column]] = {
     "$getField": _get_field,
     "$setField": _set_field,
     "$convert": _convert,
-    "$dateToString": lambda arg, env: F.date_format(
-        expr(arg["date"], env), date_pattern(arg.get("format", "%Y-%m-%dT%H:%M:%S.%LZ"))
-    ),
-    "$dateFromString": lambda arg, env: F.coalesce(
-        F.expr("NULL").cast("timestamp") if "format" not in arg else F.try_to_timestamp(
-            expr(arg["dateString"], env), F.lit(date_pattern(arg["format"]))
-        ),
-        expr(arg["dateString"], env).try_cast("timestamp"),
-    ),
+    "$dateToString": _date_text,
+    "$dateFromString": _date_of_text,
     "$dateToParts": _date_parts,
     "$dateFromParts": _from_parts,
     "$dateAdd": _unit,
     "$dateSubtract": lambda arg, env: _unit(arg, env, -1),
-    "$dateDiff": lambda arg, env: date_diff(
-        arg["unit"], expr(arg["startDate"], env), expr(arg["endDate"], env)
-    ),
-    "$dateTrunc": lambda arg, env: date_trunc(arg["unit"], expr(arg["date"], env)),
+    "$dateDiff": _diff,
+    "$dateTrunc": _trunc,
 }

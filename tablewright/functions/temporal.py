@@ -22,6 +22,11 @@ LETTERS = {
     "hh": "hh", "h": "h", "mm": "mm", "m": "m", "ss": "ss", "s": "s", "SSS": "SSS", "A": "a",
     "Z": "xxx",
 }
+# Letters of export patterns, longest first, and Spark's letters.
+EXPORT_LETTERS = {
+    "YYYY": "yyyy", "SSS": "SSS", "ZZ": "", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm", "ss": "ss",
+    "M": "M", "D": "d", "H": "H", "m": "m", "s": "s", "Z": "",
+}
 DEFAULT_PATTERN = "YYYY-MM-DD HH:mm:ss"
 
 
@@ -102,10 +107,54 @@ def normalize(value: Column, kind: str, pattern: str | None = None) -> Column:
     return F.coalesce(out, value)
 
 
+def export_parts(pattern: str) -> list[tuple[str, str]] | None:
+    """An export pattern as (kind, text) parts: ``date``, ``time``, ``zone`` letters and
+    ``text``. None if it is blank, longer than 100, has a percent sign, an open
+    bracket or letters that exports do not know."""
+    pattern = pattern.strip()
+    if not pattern or len(pattern) > 100 or "%" in pattern:
+        return None
+    parts: list[tuple[str, str]] = []
+    while pattern:
+        if pattern[0] == "[":
+            body, closed, pattern = pattern[1:].partition("]")
+            if not closed:
+                return None
+            parts.append(("text", body))
+            continue
+        letters = next((x for x in EXPORT_LETTERS if pattern.startswith(x)), None)
+        if letters is None and pattern[0].isascii() and pattern[0].isalpha():
+            return None
+        kind = "text" if letters is None else "zone" if letters[0] == "Z" else "date" if letters[0] in "YMD" else "time"
+        parts.append((kind, letters or pattern[0]))
+        pattern = pattern[len(parts[-1][1]) :]
+    return parts
+
+
 def format_text(value: Column, pattern: str) -> Column:
-    """Dated text in the user's pattern; other text unchanged."""
-    at = local_time(value)
-    return F.coalesce(F.date_format(at, spark_pattern(pattern)), value)
+    """Text of a known date or time shape in the user's pattern. Text of other shapes,
+    and of shapes that lack what the pattern shows (a date has no clock, a time no
+    date, only a zoned text a zone), is unchanged; so is all text if the pattern has
+    unknown letters."""
+    parts = export_parts(pattern)
+    if parts is None:
+        return value
+    kinds = {k for k, _ in parts}
+    zoned, clock = value.rlike(ZONED), value.rlike(TIME)
+    at = F.when(clock, F.concat(F.lit("1970-01-01 "), value).try_cast("timestamp_ntz")).otherwise(local_time(value))
+    fits = F.lit("zone" not in kinds) | zoned
+    if "time" in kinds:
+        fits = fits & ~value.rlike(DATE)
+    if "date" in kinds:
+        fits = fits & ~clock
+    offset = F.regexp_extract(value, r"([Zz]|[+-]\d{2}:\d{2})$", 1)
+    offset = F.when(F.upper(offset) == "Z", "+00:00").otherwise(offset)
+    shown = {"Z": offset, "ZZ": F.replace(offset, F.lit(":"), F.lit(""))}
+    out = [
+        F.lit(x) if k == "text" else shown[x] if k == "zone" else F.date_format(at, EXPORT_LETTERS[x])
+        for k, x in parts
+    ]
+    return F.when(at.isNotNull() & fits, F.concat(*out)).otherwise(value)
 
 
 def epoch_format(

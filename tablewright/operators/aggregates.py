@@ -13,6 +13,8 @@ from tablewright.functions.expressions import expr
 from tablewright.operators.segments import largest_group, running, with_running_index
 
 CHUNK = 10_000
+SPARK_CUTS = 1000  # Spark's own bound for cutting ranked rows before a shuffle
+SPREAD = 32
 
 
 def count_rows(df: DataFrame, where: Column | str | None = None, name: str = "count") -> DataFrame:
@@ -63,10 +65,10 @@ def selection_summary(df: DataFrame, columns: list[str] | None = None) -> DataFr
     names = columns or df.columns
     numbers = [finite_number(df, c) for c in names]
     n = reduce(lambda a, b: a + b, [F.count(x) for x in numbers])
-    total = reduce(lambda a, b: a + b, [F.coalesce(F.sum(x.cast("decimal(30,6)")), F.lit(0)) for x in numbers])
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.sum(x), F.lit(0.0)) for x in numbers])
     return df.agg(
         (F.count("*") * len(names)).alias("cell_count"), F.count("*").alias("row_count"),
-        n.alias("numeric_count"), total.cast("double").alias("sum"),
+        n.alias("numeric_count"), total.alias("sum"),
     )
 
 
@@ -156,8 +158,13 @@ def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows per key. Spark cuts each map task's rows to ``n``
-    per key before the shuffle, so a hot key stays small."""
+    """The first ``n`` rows per key. Spark cuts each map task's rows to ``n`` per key
+    before the shuffle, up to ``SPARK_CUTS`` rows; for a greater ``n`` a key is first cut
+    in ``SPREAD`` parts, so that a hot one is never whole in a task."""
+    if n > SPARK_CUTS:
+        part = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", F.spark_partition_id() % SPREAD)
+        df = df.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= n).drop("_part", "_rank")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n)
 
@@ -257,31 +264,28 @@ def group(df: DataFrame, by: Any, accumulators: dict[str, dict[str, Any]], size:
         else:
             others.append((name, op, arg))
     base = rows.groupBy("_id")
-    out = base.agg(*[c.alias(n) for n, c in plain.items()]) if plain else rows.select("_id").distinct()
-    chunked = False
+    once = base.agg(*[c.alias(n) for n, c in plain.items()]) if plain else rows.select("_id").distinct()
+    chunks = None
     for name, op, arg in others:
         if op in _LISTS:
-            out = join_null_safe(out, _list(rows, name, op, arg), ["_id"], "left")
+            once = join_null_safe(once, _list(rows, name, op, arg), ["_id"], "left")
         elif op in _ORDERED:
             picked = _list(rows, name, op + "N", {**arg, "n": 1})
-            out = join_null_safe(
-                out, picked.withColumn(name, F.col(name)[0]), ["_id"], "left"
-            )
+            once = join_null_safe(once, picked.withColumn(name, F.col(name)[0]), ["_id"], "left")
         elif op == "$mergeObjects":
             merged = merge_maps(rows, ["_id"], _input(arg), list(arg["sortBy"]), name)
-            out = join_null_safe(out, merged, ["_id"], "left")
+            once = join_null_safe(once, merged, ["_id"], "left")
         elif op in _WHOLE:
             if op == "$push":
                 part = push_chunks(rows, ["_id"], _input(arg), list(arg["sortBy"]), name, size)
             else:
                 values = rows.select("_id", _input(arg).alias("_set")).where("_set IS NOT NULL").distinct()
                 part = push_chunks(values, ["_id"], F.col("_set"), ["_set"], name, size)
-            keys = ["_id", "chunk"] if chunked else ["_id"]
-            out = join_null_safe(out, part, keys, "full_outer" if chunked else "left")
-            chunked = True
+            chunks = part if chunks is None else join_null_safe(chunks, part, ["_id", "chunk"], "full_outer")
         else:
             raise ValueError(f"unknown accumulator {op}")
-    return out
+    # Last, so that every chunk of a group has the group's plain values.
+    return once if chunks is None else join_null_safe(once, chunks, ["_id"], "left")
 
 
 def facets(df: DataFrame, parts: dict[str, Any]) -> dict[str, DataFrame]:

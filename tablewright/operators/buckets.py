@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.expressions import expr
-from tablewright.operators.aggregates import group, join_null_safe
+from tablewright.operators.aggregates import group
 from tablewright.operators.segments import with_running_total
 
 
@@ -62,6 +62,10 @@ def bucket_auto(
     )
     if output is None:
         return frame
-    mapped = join_null_safe(rows, placed.select("_value", "bucket_no"), ["_value"], "inner")
+    # The edges are known, so a row finds its bucket without a join.
+    number = F.lit(None).cast("int")
+    for r in listed:
+        number = F.when(F.col("_value") >= F.lit(r["min"]), F.lit(r["bucket_no"])).otherwise(number)
+    mapped = rows.where("_value IS NOT NULL").withColumn("bucket_no", number)
     grouped = group(mapped, "$bucket_no", output).withColumnRenamed("_id", "bucket_no")
     return frame.drop("count").join(grouped, "bucket_no")

@@ -10,6 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import (
+    AnalysisException,
+    ArithmeticException,
+    DateTimeException,
+    NumberFormatException,
+    SparkRuntimeException,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,10 +40,14 @@ def common_columns(source: DataFrame, target: DataFrame) -> list[str]:
 
 
 def clean(df: DataFrame, name: str) -> Column:
-    """NaN counts as NULL in comparisons."""
-    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.nanvl(F.col(name), F.lit(None).cast(df.schema[name].dataType))
-    return F.col(name)
+    """A cell as it compares: NaN and infinities count as NULL, a map is its entries in
+    key order."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.map_entries(c))
+    return c
 
 
 def side(df: DataFrame, keys: list[str], columns: list[str], prefix: str) -> DataFrame:
@@ -167,23 +178,28 @@ def diff_all_tables(
     keys: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """One summary row per source table, matched by name. A table without a
-    target is ``missing target``; one that cannot be compared is ``error`` and
-    does not stop the others. Keys default to columns marked ``pk``."""
+    target is ``missing target``; one that cannot be compared (no or repeated keys,
+    types that do not compare, a cell that cannot be cast) is ``error`` with a
+    ``reason`` and does not stop the others; faults of the cluster do. Keys default
+    to columns marked ``pk``. The counts of each pair, one row, reach the driver."""
     parts = []
+    spark = None
     for name, frame in source.items():
-        head = F.lit(name).alias("table_name")
-        nothing = [F.lit(0).cast("bigint").alias(c) for c in ("added", "removed", "modified")]
-        one = frame.sparkSession.range(1)
+        spark, reason = frame.sparkSession, None
         if name not in target:
-            parts.append(one.select(head, *nothing, F.lit("missing target").alias("result")))
+            parts.append((name, 0, 0, 0, "missing target", None))
             continue
         marked = [f.name for f in frame.schema if (f.metadata or {}).get("pk")]
         try:
-            summary = diff_summary(frame, target[name], (keys or {}).get(name) or marked)
-            parts.append(summary.select(head, "added", "removed", "modified", "result"))
-        except Exception:
-            parts.append(one.select(head, *nothing, F.lit("error").alias("result")))
-    return reduce(DataFrame.unionAll, parts)
+            # Run here: a cell that cannot be read shows only now.
+            row = diff_summary(frame, target[name], (keys or {}).get(name) or marked).first()
+            parts.append((name, row["added"], row["removed"], row["modified"], row["result"], None))
+            continue
+        except (ValueError, AnalysisException, ArithmeticException, NumberFormatException, DateTimeException, SparkRuntimeException) as error:
+            reason = str(error).split("\n")[0][:300]
+        parts.append((name, 0, 0, 0, "error", reason))
+    schema = "table_name string, added bigint, removed bigint, modified bigint, result string, reason string"
+    return spark.createDataFrame(parts, schema)
 
 
 def diff_missing_target(source: DataFrame, keys: list[str] | None = None) -> DataFrame:

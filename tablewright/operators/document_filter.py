@@ -174,6 +174,9 @@ def _element(kind: T.DataType, x: Column, body: dict[str, Any]) -> Column:
     for key, value in body.items():
         if key == "$and":
             parts.extend(_element(kind, x, one) for one in value)
+        elif key in ("$or", "$nor"):
+            either = reduce(lambda a, b: a | b, [_element(kind, x, one) for one in value])
+            parts.append(no(either) if key == "$nor" else either)
         elif key.startswith("$"):
             parts.append(no(_test(x, "$eq", value, "")) if key == "$ne" else _test(x, key, value, ""))
         else:

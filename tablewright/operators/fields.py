@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.storage import materialize
 
 
-def flatten_fields(df: DataFrame, column: str, max_depth: int = 32) -> DataFrame:
+def flatten_fields(df: DataFrame, column: str, max_depth: int | None = None) -> DataFrame:
     """``(path, kind, documents)``: dotted paths of all fields, kind scalar, object or
     array, and the number of documents that have them. Elements of an array
-    share the array's path. Each level explodes only nested values."""
+    share the array's path. All levels are read unless ``max_depth`` is given. Each level explodes only nested values."""
     rows = df.select(
         F.xxhash64(F.col(column), F.monotonically_increasing_id()).alias("_doc"),
         F.lit("").alias("path"), F.try_parse_json(column).alias("v"),
     ).where("v IS NOT NULL")
     rows = materialize(rows, "documents")
     spark, found = df.sparkSession, None
-    for _ in range(max_depth):
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         children = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
             "_doc",
             F.when(F.col("key").isNull(), F.col("path"))

@@ -123,16 +123,17 @@ INLINE_LIST = 1000
 
 
 def filter_in_list(df: DataFrame, column: str, values: list[Any] | DataFrame) -> DataFrame:
-    """Rows whose value is in a pasted list. Short lists push down to the scan;
-    a longer list or a DataFrame becomes a semi join and Spark picks the side."""
+    """Rows whose value is in a pasted list; a NULL in the list stands for missing
+    values. Short lists push down to the scan; a longer list or a DataFrame becomes a
+    null-safe semi join, with the same result, and Spark picks the side."""
     if isinstance(values, list) and len(values) <= INLINE_LIST:
         return apply_filter(df, filter_in(column, values))
     if isinstance(values, list):
         kind = df.schema[column].dataType
-        wanted = sorted({v for v in values if v is not None})
+        wanted = list(dict.fromkeys(values))
         values = df.sparkSession.createDataFrame([(v,) for v in wanted], T.StructType([T.StructField("v", kind)]))
     wanted = values.select(F.col(values.columns[0]).alias("_v"))
-    return df.join(wanted, F.col(column) == F.col("_v"), "left_semi")
+    return df.join(wanted, F.col(column).eqNullSafe(F.col("_v")), "left_semi")
 
 
 # --- search-server style predicates ---------------------------------------

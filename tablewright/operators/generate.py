@@ -20,6 +20,7 @@ from tablewright.operators.segments import with_running_index
 PRIME = 2147483647
 SNOWFLAKE_EPOCH_MS = 1_609_459_200_000  # fixed value
 SNOWFLAKE_SEQUENCES, SNOWFLAKE_WORKERS = 4096, 1024  # fixed values
+SNOWFLAKE_START_MS = 1_704_067_200_000  # 2024-01-01, unless a column says otherwise
 
 
 def stream_number(name: str, part: int = 0) -> int:
@@ -233,14 +234,15 @@ def uuid_value(r: RowDraws, stream: int, hyphens: bool = True) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in cuts])
 
 
-def snowflake_id(row_id: Column, start_ms: int = SNOWFLAKE_EPOCH_MS) -> Column:
-    """64-bit time, worker and sequence ids: 4096 per millisecond and worker, the
-    id spread over 1024 workers. Ids stay unique as long as row ids are."""
-    seq = F.pmod(row_id, F.lit(SNOWFLAKE_SEQUENCES))
-    block = F.floor(row_id / SNOWFLAKE_SEQUENCES).cast("bigint")
-    worker = F.pmod(block, F.lit(SNOWFLAKE_WORKERS))
-    ms = F.lit(start_ms - SNOWFLAKE_EPOCH_MS) + F.floor(block / SNOWFLAKE_WORKERS).cast("bigint")
-    return F.shiftleft(ms, 22).bitwiseOR(F.shiftleft(worker, 12)).bitwiseOR(seq)
+def snowflake_id(row_id: Column, start_ms: int = SNOWFLAKE_START_MS, worker: int = 1) -> Column:
+    """64-bit ids of one worker, as if all rows asked at ``start_ms``: milliseconds since
+    the epoch of such ids, worker, sequence. A millisecond has 4096 sequence numbers; the
+    next row takes the next millisecond. Unique as long as row ids are."""
+    if not 0 <= worker < SNOWFLAKE_WORKERS:
+        raise ValueError(f"a worker is 0 to {SNOWFLAKE_WORKERS - 1}")
+    later = F.floor(row_id / SNOWFLAKE_SEQUENCES).cast("bigint")
+    ms = F.lit(max(start_ms, SNOWFLAKE_EPOCH_MS) - SNOWFLAKE_EPOCH_MS).cast("bigint") + later
+    return F.shiftleft(ms, 22).bitwiseOR(F.lit(worker << 12)).bitwiseOR(F.pmod(row_id, F.lit(SNOWFLAKE_SEQUENCES)))
 
 
 PICKS = {
@@ -433,7 +435,7 @@ def generated(spec: dict[str, Any], r: RowDraws) -> Column:
     elif key == "foreign_key":
         value = int_between(r, p.get("min", 1), p.get("max", 500), stream)
     elif key == "snowflake":
-        value = snowflake_id(r.id)
+        value = snowflake_id(r.id, int(p.get("startMs", SNOWFLAKE_START_MS)), int(p.get("workerId", 1)))
     else:
         value = semantic_value(key, r, stream)
     if "type" in spec:
@@ -471,4 +473,5 @@ def with_foreign_key(
     r = RowDraws(F.col(id_column).cast("bigint"), seed)
     place = int_between(r, 0, max(total - 1, 0), stream_number(name))
     wanted = r.apply(df).select(*df.columns, place.alias("_want"))
-    return wanted.join(numbered, F.col("_want") == F.col("_at")).drop("_want", "_at")
+    # An empty parent leaves the rows, without a value.
+    return wanted.join(numbered, F.col("_want") == F.col("_at"), "left").drop("_want", "_at")

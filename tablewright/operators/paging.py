@@ -20,7 +20,18 @@ from tablewright.operators.segments import with_running_index
 DEEP_PAGE = 100_000
 
 
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _page(ordered: DataFrame, order: list[Any], limit: int, offset: int) -> DataFrame:
+    # All other columns break ties, so every form of a page holds the same rows.
+    named = {o for o in order if isinstance(o, str)}
+    order = [*order, *[f.name for f in ordered.schema if f.name not in named and _sortable(f.dataType)]]
     if not offset:
         return ordered.orderBy(*order).limit(limit)
     if offset + limit <= DEEP_PAGE:
@@ -69,11 +80,13 @@ def after_key(keys: list[str], values: list[Any], descending: bool = False) -> C
 
 
 def page_keyset(
-    df: DataFrame, keys: list[str], last: list[Any] | None = None, limit: int = 1000
+    df: DataFrame, keys: list[str], last: list[Any] | None = None, limit: int = 1000,
+    tie: list[str] | None = None,
 ) -> DataFrame:
-    """The next page after key ``last`` in key order: cost does not grow with depth."""
+    """The next page after key ``last`` in key order: cost does not grow with depth.
+    ``tie`` orders rows that share a key."""
     rows = df if last is None else df.where(after_key(keys, last))
-    return rows.orderBy(*keys).limit(limit)
+    return rows.orderBy(*keys, *(tie or [])).limit(limit)
 
 
 def row_number_page(
@@ -91,7 +104,7 @@ def sort_query(df: DataFrame, column: str | int, ascending: bool = True) -> Data
     return df.orderBy(F.col(name).asc() if ascending else F.col(name).desc())
 
 
-DIGITS = 20
+LENGTH = 10  # digits of the length of a digit run
 # The usual collation order of ASCII punctuation, before digits.
 PUNCTUATION = " _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
 
@@ -124,10 +137,16 @@ def natural_key(df: DataFrame, name: str) -> list[Column]:
     if not isinstance(kind, T.StringType):
         return [c]
     folded = F.translate(F.lower(c), FOLD_FROM, FOLD_TO)
-    padded = F.regexp_replace(folded, "([0-9]+)", "0" * DIGITS + "$1")
-    padded = F.regexp_replace(padded, rf"[0-9]*([0-9]{{{DIGITS}}})", "$1")
+    # A digit run becomes its length without leading zeros, in LENGTH digits, and itself,
+    # so runs of any length compare as numbers.
+    bare = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    keyed = lambda x: F.when(
+        x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), LENGTH, "0"), bare(x))
+    ).otherwise(x)
+    runs = F.regexp_extract_all(folded, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    text = F.when(folded.rlike("[0-9]"), F.array_join(F.transform(runs, keyed), "")).otherwise(folded)
     dated = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("timestamp"))
-    return [dated, padded]
+    return [dated, text]
 
 
 def with_natural_keys(df: DataFrame, name: str, prefix: str = "_n") -> tuple[DataFrame, list[str]]:
@@ -138,43 +157,67 @@ def with_natural_keys(df: DataFrame, name: str, prefix: str = "_n") -> tuple[Dat
 
 
 def sort_natural(
-    df: DataFrame, column: str, ascending: bool = True, tie: list[str] | None = None
+    df: DataFrame, column: str, ascending: bool = True, tie: list[str] | None = None, index: str | None = None
 ) -> DataFrame:
-    """Natural sort; NULL last in both directions."""
+    """Natural sort; NULL last in both directions. ``index`` adds the 0-based place."""
     keyed, names = with_natural_keys(df, column)
-    order = [F.col(n).asc_nulls_last() if ascending else F.col(n).desc_nulls_last() for n in names]
-    return keyed.orderBy(F.col(column).isNull(), *order, *(tie or [])).drop(*names)
+    ways = [F.col(n).asc_nulls_last() if ascending else F.col(n).desc_nulls_last() for n in names]
+    order = [F.col(column).isNull(), *ways, *(tie or [])]
+    return (with_running_index(keyed, order, index) if index else keyed.orderBy(*order)).drop(*names)
 
 
 # --- nearest neighbours ------------------------------------------------------
 
-# One query set per pass stays below this many numbers in each task.
-QUERY_CELLS = 4_000_000
+# Numbers in the query matrix of a pass, and scores that a task holds at once.
+QUERY_CELLS, SCORE_CELLS = 1_000_000, 4_000_000
 
 
 def vector_topk(
-    vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10, metric: str = "cosine",
+    vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int = 10, metric: str = "cosine",
     id_column: str = "vec_id", vector_column: str = "embedding",
 ) -> DataFrame:
     """The ``k`` best vectors per query: ``(query_id, rank, id, score)``.
 
     Each task scores its Arrow batches with one matrix product and passes on only
     its best ``k`` per query; the shuffle sees tasks x queries x k rows at most.
-    Larger query sets run as several passes.
+    Larger query sets run as several passes; of a DataFrame (id, vector) the driver
+    holds one pass at a time.
     """
-    width = max(1, len(queries[0][1]))
-    per_pass = max(1, QUERY_CELLS // width)
     out = None
-    for at in range(0, len(queries), per_pass):
-        part = _topk(vectors, queries[at:at + per_pass], k, metric, id_column, vector_column)
+    for block in _query_blocks(queries):
+        part = _topk(vectors, block, k, metric, id_column, vector_column)
         out = part if out is None else out.unionAll(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, score double")
     return out
 
 
+def _query_blocks(queries: DataFrame | list[tuple[int, list[float]]]) -> Iterator[list[tuple[int, list[float]]]]:
+    if isinstance(queries, list):
+        per_pass = max(1, QUERY_CELLS // max(1, len(queries[0][1]))) if queries else 1
+        for at in range(0, len(queries), per_pass):
+            yield queries[at:at + per_pass]
+        return
+    named = queries.toDF("_q", "_v").where("_q IS NOT NULL AND _v IS NOT NULL")
+    n, width = named.agg(F.count("*"), F.max(F.size("_v"))).first()
+    per_pass = max(1, QUERY_CELLS // max(1, width or 1))
+    if n <= per_pass:
+        rows = named.orderBy("_q").collect()
+        if rows:
+            yield [(r["_q"], list(r["_v"])) for r in rows]
+        return
+    numbered = with_running_index(named, ["_q"], "_at")
+    for at in range(0, n, per_pass):
+        rows = numbered.where(F.col("_at").between(at, at + per_pass - 1)).orderBy("_at").collect()
+        yield [(r["_q"], list(r["_v"])) for r in rows]
+
+
 def _topk(vectors, queries, k, metric, id_column, vector_column) -> DataFrame:
     ids = np.array([q for q, _ in queries], dtype=np.int64)
     matrix = np.array([v for _, v in queries], dtype=np.float64)
 
+    cells = SCORE_CELLS
+
     # The task code stands alone: workers need numpy and Arrow, not this package.
     def unit(m: np.ndarray) -> np.ndarray:
         length = np.linalg.norm(m, axis=1, keepdims=True)
@@ -186,9 +229,8 @@ def _topk(vectors, queries, k, metric, id_column, vector_column) -> DataFrame:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top_ids = np.empty((len(ids), 0), dtype=np.int64)
         top = np.empty((len(ids), 0))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        step = max(1, cells // len(ids))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             rows = flat.astype(np.float64).reshape(batch.num_rows, -1)
             if metric == "cosine":

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
 from functools import reduce
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.aggregates import CHUNK, gather_chunks, push_chunks
+from tablewright.functions.expressions import expr
+from tablewright.operators.aggregates import gather_chunks, push_chunks
 from tablewright.operators.document_filter import match
 from tablewright.storage import materialize, work_path
 
@@ -58,20 +61,44 @@ def join_relationships(
     return out
 
 
+def lookup_rows(
+    left: DataFrame, foreign: DataFrame, local_field: str, foreign_field: str, name: str, keep_empty: bool = True
+) -> DataFrame:
+    """The long form of ``lookup``: one row per match, the foreign row as struct ``name``
+    (NULL for rows without a match, or no such rows). A plain join, which Spark splits on
+    hot keys; the form for large data. A local array matches by any element, once."""
+    here = left.drop(name)
+    there = foreign.select(F.struct(*foreign.columns).alias(name), F.col(foreign_field).alias("_fk"))
+    how = "left" if keep_empty else "inner"
+    if isinstance(left.schema[local_field].dataType, T.ArrayType):
+        if keep_empty:
+            raise ValueError("rows without a match of an array need lookup")
+        keyed = here.withColumn("_el", F.explode(F.array_distinct(local_field)))
+        return keyed.join(there, F.col("_el") == F.col("_fk")).drop("_el", "_fk")
+    return here.join(there, F.col(local_field).eqNullSafe(F.col("_fk")), how).drop("_fk")
+
+
 def lookup(
     left: DataFrame, foreign: DataFrame, local_field: str, foreign_field: str, name: str,
-    order: list[str] | None = None, row_key: list[str] | None = None, size: int = CHUNK,
+    order: list[str] | None = None, row_key: list[str] | None = None, size: int | None = None,
 ) -> DataFrame:
     """Left rows with the array of matching foreign rows (empty when none); a
     missing local value matches missing foreign ones.
 
-    Arrays hold at most ``size`` matches (twice that without an ``order``): a row
-    whose key has more comes out once per chunk, numbered in ``chunk``, so no match is lost and no task holds a hot
-    key whole. A local array matches by any element and needs ``row_key``.
+    Without ``size`` each left row comes out once, with all its matches in one array, as
+    documents have them; a key with very many matches is better served by
+    ``lookup_rows``. With ``size`` arrays hold at most that many matches (twice that
+    without an ``order``): a row whose key has more comes out once per chunk, numbered
+    in ``chunk``, so no match is lost and no task holds a hot key whole. A local array
+    matches by any element and needs ``row_key``.
     """
     value = F.struct(*foreign.columns)
     keyed = foreign.withColumn("_fk", F.col(foreign_field))
-    if order:
+    if size is None:
+        items = F.collect_list(F.struct(*(order or []), value.alias("_v")) if order else value)
+        items = F.transform(F.sort_array(items), lambda x: x["_v"]) if order else items
+        matches = keyed.groupBy("_fk").agg(items.alias(name)).withColumn("chunk", F.lit(0).cast("bigint"))
+    elif order:
         matches = push_chunks(keyed, ["_fk"], value, order, name, size)
     else:
         matches = gather_chunks(keyed, ["_fk"], value, name, size)
@@ -85,15 +112,60 @@ def lookup(
         arrays = found.groupBy(*[F.col(k).alias(f"_k_{k}") for k in row_key], "chunk").agg(
             F.flatten(F.sort_array(F.collect_list(F.struct("_el", name))).getField(name)).alias(name)
         )
-        on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in row_key])
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in row_key])
         out = left.join(arrays, on, "left").drop(*[f"_k_{k}" for k in row_key])
     else:
         out = left.join(matches, F.col(local_field).eqNullSafe(F.col("_fk")), "left").drop("_fk")
-    return out.withColumns({name: empty, "chunk": chunk})
+    out = out.withColumns({name: empty, "chunk": chunk})
+    return out.drop("chunk") if size is None else out
+
+
+def lookup_pipeline(
+    left: DataFrame, foreign: DataFrame, let: dict[str, Any], stages: list[dict[str, Any]], name: str,
+    run_stages: Callable[[DataFrame, list[dict[str, Any]]], DataFrame],
+) -> DataFrame:
+    """``lookup`` by a pipeline: ``$match`` stages with ``$expr`` over foreign fields and the
+    ``$$`` variables of ``let`` are the join condition (equalities make it a hash or
+    sort join); stages after them may compute fields. Without such a match every
+    left row gets all rows that the pipeline gives, so those should be few."""
+    rows = materialize(left.withColumn("_row", F.monotonically_increasing_id()), "lookup")
+    bound = rows.select("_row", *[expr(v).alias(f"_let_{k}") for k, v in let.items()])
+    env = {k: F.col(f"_let_{k}") for k in let}
+    on, rest, at = [], [], 0
+    for at, stage in enumerate(stages):
+        body = stage.get("$match")
+        if body is None or "$expr" not in body:
+            break
+        on.append(expr(body["$expr"], env))
+        if plain := {k: v for k, v in body.items() if k != "$expr"}:
+            rest.append({"$match": plain})
+    else:
+        at = len(stages)
+    later = stages[at:]
+    for stage in later:
+        op = next(iter(stage))
+        if on and op not in ("$match", "$project", "$addFields", "$set", "$unset"):
+            raise ValueError(f"{op} after a correlated $match of $lookup is not supported")
+    if on:
+        found = bound.join(run_stages(foreign, rest), reduce(lambda a, b: a & b, on)).drop(*[f"_let_{k}" for k in let])
+        kept = [
+            {"$project": {"_row": 1, **s["$project"]}} if "$project" in s and any(v not in (0, False) for v in s["$project"].values()) else s
+            for s in later
+        ]
+        found = run_stages(found, kept)
+        fields = [c for c in found.columns if c != "_row"]
+        arrays = found.groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct(*fields)).alias(name))
+        out = rows.join(arrays, F.col("_row") == F.col("_of"), "left").drop("_of")
+    else:
+        found = run_stages(foreign, stages)
+        one = found.agg(F.collect_list(F.struct(*found.columns)).alias(name)).withColumn("_one", F.lit(1))
+        out = rows.withColumn("_one", F.lit(1)).join(one, "_one", "left").drop("_one")
+    kind = out.schema[name].dataType
+    return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(kind))).drop("_row")
 
 
 def graph_lookup(
-    starts: DataFrame, edges: DataFrame, connect_from: str, connect_to: str, max_depth: int = 50,
+    starts: DataFrame, edges: DataFrame, connect_from: str, connect_to: str, max_depth: int | None = None,
     restrict: dict | None = None,
 ) -> DataFrame:
     """Rows reachable from each start: ``(start, node, depth)`` with least depth.
@@ -101,9 +173,10 @@ def graph_lookup(
     ``starts`` is ``(start, value)``; a level matches rows whose ``connect_to`` equals
     the values so far and goes on with their ``connect_from``. Each level is one
     join of the frontier, written so that the lineage stays short; nodes seen
-    before are dropped, so cycles end.
+    before are dropped, so cycles end. Without ``max_depth`` it ends when a level
+    finds nothing new.
     """
-    if max_depth < 0:
+    if max_depth is not None and max_depth < 0:
         raise ValueError("max_depth must not be negative")
     spark = starts.sparkSession
     rows = materialize(
@@ -115,7 +188,7 @@ def graph_lookup(
     frontier = starts.toDF("start", "value")
     folder = work_path(spark, "reached")
     schema = seen = None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
         reached = frontier.join(rows, F.col("value") == F.col("_to")).select(
             "start", F.col("_to").alias("node"), "_next", F.lit(depth).alias("depth")
         )

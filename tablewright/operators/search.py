@@ -38,6 +38,13 @@ def matched_columns(tests: dict[str, Column]) -> Column:
     return F.concat_ws(",", *[F.when(t, F.lit(c)) for c, t in tests.items()])
 
 
+def key_text(keys: list[str]) -> Column:
+    """A key as text: of one column its value, of several a JSON object with all parts."""
+    if len(keys) == 1:
+        return F.col(keys[0]).cast("string")
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+
+
 def search_table(
     df: DataFrame, table: str, keys: list[str], term: str, limit: int | None = None
 ) -> DataFrame | None:
@@ -49,7 +56,7 @@ def search_table(
     hits = df.where(reduce(lambda a, b: a | b, tests.values()))
     out = hits.select(
         F.lit(table).alias("table_name"),
-        F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"),
+        key_text(keys).alias("key"),
         matched_columns(tests).alias("matched_columns"),
         F.to_json(F.struct(*[c for c in df.columns if not isinstance(df.schema[c].dataType, T.VariantType)])).alias("row_json"),
     )
@@ -60,8 +67,12 @@ def search_database(
     tables: dict[str, tuple[DataFrame, list[str]]], term: str, limit: int | None = None
 ) -> DataFrame:
     """Hits of a term in all tables; ``limit`` caps each table and is off by default."""
-    parts = [search_table(df, name, keys, term, limit) for name, (df, keys) in tables.items()]
-    return reduce(DataFrame.unionAll, [p for p in parts if p is not None])
+    found = [search_table(df, name, keys, term, limit) for name, (df, keys) in tables.items()]
+    parts = [p for p in found if p is not None]
+    if not parts:  # a blank term, or no column that could hold it
+        spark = next(iter(tables.values()))[0].sparkSession
+        return spark.createDataFrame([], "table_name string, key string, matched_columns string, row_json string")
+    return reduce(DataFrame.unionAll, parts)
 
 
 def search_hit_locator(

@@ -141,6 +141,13 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
 
 
+def _numeric_order(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """An order that can be cut: text and the like get their place in the whole table."""
+    if isinstance(df.schema[order[0]].dataType, _NUMBERS):
+        return df, order
+    return with_running_index(df, order, "_place_in_order"), ["_place_in_order"]
+
+
 def _fits_one_task(df: DataFrame, keys: list[str], segments: int | None) -> bool:
     return segments is None and largest_group(df, keys) <= ONE_TASK_ROWS
 
@@ -180,6 +187,7 @@ def running(
     if _fits_one_task(df, keys, segments):
         return _plain_running(df, keys, order, aggs)
     names = df.columns
+    df, order = _numeric_order(df, order)
     # The value columns are fixed here so that each is computed once.
     rows = _cut(df, keys, order, segments).withColumns(
         {f"_v_{name}": value for name, (_, value) in aggs.items()}
@@ -244,6 +252,8 @@ def nearest(
              else F.last(F.when(present, F.struct(*columns)), ignorenulls=True).over(upto)).alias(name)
             for name, (columns, present, backward) in wants.items()
         ])
+    names = df.columns
+    df, order = _numeric_order(df, order)
     rows = _cut(df, keys, order, segments)
     local = Window.partitionBy(*PIECE).orderBy(*order)
     across = Window.partitionBy(*WHOLE).orderBy(SEG)
@@ -264,7 +274,7 @@ def nearest(
     carry = rows.groupBy(*PIECE).agg(*edge).select(*PIECE, *reach)
     rows = _attach(rows.withColumns(here), carry, [f"_b_{name}" for name in wants])
     found = [F.coalesce(f"_l_{name}", f"_b_{name}").alias(name) for name in wants]
-    return rows.select(*df.columns, *found)
+    return rows.select(*names, *found)
 
 
 def sliding(

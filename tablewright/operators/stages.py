@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.expressions import expr
 from tablewright.operators.document_filter import match
+from tablewright.storage import materialize
 
 
 def sort_columns(spec: dict[str, int]) -> list[Column]:
@@ -108,16 +109,96 @@ _SIMPLE = {
 }
 
 
+def facet_rows(df: DataFrame, parts: dict[str, list], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``$facet`` as rows ``(facet, document)``, the documents as JSON text, since the
+    facets differ in their fields and have any number of documents."""
+    out = None
+    for name, stages in parts.items():
+        rows = apply_stages(df, stages, tables)
+        rows = rows.select(F.lit(name).alias("facet"), F.to_json(F.struct(*rows.columns)).alias("document"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def _graph_lookup(df: DataFrame, arg: dict[str, Any], tables: dict[str, DataFrame]) -> DataFrame:
+    """Each row with the array of documents reachable from its ``startWith``."""
+    from tablewright.operators import relate
+
+    foreign = tables[arg["from"]]
+    rows = df.withColumn("_start", expr(arg["startWith"]))
+    starts = rows.where("_start IS NOT NULL").select(F.col("_start").alias("start"), F.col("_start").alias("value")).distinct()
+    reached = relate.graph_lookup(
+        starts, foreign, arg["connectFromField"], arg["connectToField"], arg.get("maxDepth"), arg.get("restrictSearchWithMatch")
+    )
+    allowed = match(foreign, arg.get("restrictSearchWithMatch") or {})
+    depth = [F.col("depth").cast("bigint").alias(arg["depthField"])] if "depthField" in arg else []
+    found = reached.join(allowed, F.col("node") == allowed[arg["connectToField"]])
+    arrays = found.groupBy(F.col("start").alias("_s")).agg(
+        F.collect_list(F.struct(*[allowed[c] for c in allowed.columns], *depth)).alias(arg["as"])
+    )
+    out = rows.join(arrays, F.col("_start") == F.col("_s"), "left").drop("_start", "_s")
+    return out.withColumn(arg["as"], F.coalesce(F.col(arg["as"]), F.array().cast(arrays.schema[arg["as"]].dataType)))
+
+
+def _merge(df: DataFrame, arg: dict[str, Any] | str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The new version of the target; ``sources.writers.replace_table`` puts it in place."""
+    from tablewright.operators import transfer
+
+    spec = {"into": arg} if isinstance(arg, str) else arg
+    on = spec.get("on", "_id")
+    modes = (spec.get("whenMatched", "merge"), spec.get("whenNotMatched", "insert"))
+    return transfer.merge_into(df, tables[spec["into"]], [on] if isinstance(on, str) else list(on), *modes)
+
+
+def _lookup(df: DataFrame, arg: dict[str, Any], tables: dict[str, DataFrame]) -> DataFrame:
+    from tablewright.operators import relate
+
+    foreign, pipeline = tables[arg["from"]], arg.get("pipeline") or []
+    if "localField" not in arg:
+        return relate.lookup_pipeline(df, foreign, arg.get("let", {}), pipeline, arg["as"], lambda d, s: apply_stages(d, s, tables))
+    if arg.get("let"):
+        raise ValueError("$lookup takes localField or let, not both")
+    if pipeline:
+        foreign = apply_stages(foreign, pipeline, tables)
+    keys = None
+    if isinstance(df.schema[arg["localField"]].dataType, T.ArrayType):
+        df, keys = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "lookup"), ["_row"]
+    return relate.lookup(df, foreign, arg["localField"], arg["foreignField"], arg["as"], row_key=keys).drop("_row")
+
+
+def _fused(first: dict[str, Any], second: dict[str, Any] | None) -> dict[str, Any] | None:
+    """The ``$unwind`` spec of a plain ``$lookup`` that it follows, if one join does both."""
+    arg, unwound = first.get("$lookup"), (second or {}).get("$unwind")
+    if arg is None or unwound is None or "localField" not in arg or arg.get("let"):
+        return None
+    spec = {"path": unwound} if isinstance(unwound, str) else unwound
+    return spec if spec["path"] == "$" + arg["as"] and not spec.get("includeArrayIndex") else None
+
+
 def apply_stages(
     df: DataFrame, stages: list[dict[str, Any]], tables: dict[str, DataFrame] | None = None
 ) -> DataFrame:
     """Run document stages in order over ``df``; ``tables`` are the named
-    collections other stages may read."""
+    collections other stages may read. ``$merge`` and ``$out`` give the new version
+    of their target, ``$facet`` rows of (facet, document); ``$documents`` replaces
+    ``df``. A ``$lookup`` with its ``$unwind`` is one join."""
+    from tablewright.functions import formatters
     from tablewright.operators import aggregates, buckets, relate, windows
 
-    for stage in stages:
+    tables = tables or {}
+    skip = False
+    for at, stage in enumerate(stages):
+        if skip:
+            skip = False
+            continue
         op, arg = next(iter(stage.items()))
-        if op in _SIMPLE:
+        spec = _fused(stage, stages[at + 1] if at + 1 < len(stages) else None)
+        keep = bool(spec and spec.get("preserveNullAndEmptyArrays"))
+        if spec and not (keep and isinstance(df.schema[arg["localField"]].dataType, T.ArrayType)):
+            foreign = apply_stages(tables[arg["from"]], arg.get("pipeline") or [], tables)
+            df = relate.lookup_rows(df, foreign, arg["localField"], arg["foreignField"], arg["as"], keep)
+            skip = True
+        elif op in _SIMPLE:
             df = _SIMPLE[op](df, arg)
         elif op == "$unwind":
             spec = {"path": arg} if isinstance(arg, str) else arg
@@ -129,10 +210,38 @@ def apply_stages(
             spec = dict(arg)
             df = aggregates.group(df, spec.pop("_id"), spec)
         elif op == "$lookup":
-            foreign = tables[arg["from"]]
-            if arg.get("pipeline"):
-                foreign = apply_stages(foreign, arg["pipeline"], tables)
-            df = relate.lookup(df, foreign, arg["localField"], arg["foreignField"], arg["as"])
+            df = _lookup(df, arg, tables)
+        elif op == "$graphLookup":
+            df = _graph_lookup(df, arg, tables)
+        elif op == "$facet":
+            df = facet_rows(df, arg, tables)
+        elif op == "$densify":
+            reach = arg["range"]
+            df = windows.densify(
+                df, arg["field"], reach["step"], arg.get("partitionByFields"), reach.get("bounds", "full"), reach.get("unit")
+            )
+        elif op == "$fill":
+            by = arg.get("partitionByFields")
+            if by is None and arg.get("partitionBy") is not None:
+                by = [f.lstrip("$") for f in (arg["partitionBy"].values() if isinstance(arg["partitionBy"], dict) else [arg["partitionBy"]])]
+            if any(way < 0 for way in arg.get("sortBy", {}).values()):
+                raise ValueError("$fill sorts ascending")
+            df = windows.fill(df, arg["output"], by, list(arg.get("sortBy", {})))
+        elif op == "$geoNear":
+            key = arg["key"]  # a struct of lon and lat, or of two coordinates by name
+            fields = df.schema[key].dataType.names
+            place = df.withColumns({"_lon": F.col(f"{key}.{fields[0]}"), "_lat": F.col(f"{key}.{fields[1]}")})
+            near = arg["near"]["coordinates"] if isinstance(arg["near"], dict) else arg["near"]
+            found = formatters.geo_near(
+                place, "_lon", "_lat", tuple(near), arg["distanceField"], arg.get("maxDistance"), arg.get("minDistance")
+            )
+            df = match(found, arg.get("query") or {}).orderBy(arg["distanceField"]).drop("_lon", "_lat")
+        elif op == "$merge":
+            df = _merge(df, arg, tables)
+        elif op == "$out":
+            pass  # the rows are the target's new version
+        elif op == "$documents":
+            df = df.sparkSession.createDataFrame(arg)
         elif op == "$unionWith":
             spec = {"coll": arg} if isinstance(arg, str) else arg
             df = union_with(df, apply_stages(tables[spec["coll"]], spec.get("pipeline", []), tables))

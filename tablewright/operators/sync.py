@@ -184,7 +184,10 @@ def sync_apply(
     shared = set(common_columns(source, target))
     cells = [c for c in target.columns if c in shared and c not in keys]
     extra = [c for c in target.columns if c not in shared]
-    left = side(source, keys, cells, SRC)
+    left = source.select(  # values as they are: only comparisons read NaN as NULL
+        *[F.col(k).alias(f"{SRC}key_{k}") for k in keys],
+        *[F.col(c).alias(SRC + c) for c in cells], F.lit(True).alias(f"{SRC}here"),
+    )
     right = target.select(
         *[F.col(k).alias(f"{TGT}key_{k}") for k in keys],
         *[F.col(c).alias(TGT + c) for c in [*cells, *extra]], F.lit(True).alias(f"{TGT}here"),

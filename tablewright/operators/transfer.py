@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.expressions import expr, literal
-from tablewright.operators.document_filter import filter_document
+from tablewright.operators.diff import check_keys
+from tablewright.operators.document_filter import field_type, filter_document
 
 
 def writable(df: DataFrame, name_case: str = "keep") -> DataFrame:
@@ -55,11 +56,14 @@ def transfer_upsert(
     distinct: bool = False,
 ) -> DataFrame:
     """Insert or update by key. Without keys this appends; a table of nothing but
-    keys keeps its rows. Rows that share a key resolve to the last by
-    ``sequence`` (skip with ``distinct`` when keys are known to be unique)."""
+    keys keeps its rows. Rows that share a key resolve to the last by ``sequence``.
+    A table has no order of its own, so without a ``sequence`` repeated keys are
+    refused (skip the check with ``distinct``)."""
     if not keys:
         return transfer_append(source, target)
-    if not distinct:
+    if not distinct and sequence is None:
+        check_keys(source, source.limit(0), keys)
+    elif not distinct:
         source = last_per_key(source, keys, sequence)
     return merge_into(source, target, keys, "replace")
 
@@ -123,15 +127,17 @@ def _push(kind: T.ArrayType, c: Column, arg: Any) -> Column:
     new = literal(spec["$each"]).cast(kind) if spec["$each"] else F.array().cast(kind)
     array = F.coalesce(c, F.array().cast(kind))
     if "$position" in spec:
-        at = spec["$position"]
+        at = F.lit(spec["$position"])
+        if spec["$position"] < 0:  # counted from the end
+            at = F.greatest(F.size(array) + at, F.lit(0))
         out = F.concat(
-            F.slice(array, F.lit(1), F.lit(at)), new,
-            F.slice(array, F.lit(at + 1), F.greatest(F.size(array) - at, F.lit(0))),
+            F.slice(array, F.lit(1), at), new,
+            F.slice(array, at + 1, F.greatest(F.size(array) - at, F.lit(0))),
         )
     else:
         out = F.concat(array, new)
     if "$sort" in spec:
-        out = F.sort_array(out, asc=spec["$sort"] > 0)
+        out = _sorted(out, spec["$sort"])
     if "$slice" in spec:
         n = spec["$slice"]
         head = F.slice(out, F.lit(1), F.lit(max(n, 0)))
@@ -140,6 +146,24 @@ def _push(kind: T.ArrayType, c: Column, arg: Any) -> Column:
     return out
 
 
+def _sorted(array: Column, by: Any) -> Column:
+    """Values by direction, or documents by their fields."""
+    if not isinstance(by, dict):
+        return F.sort_array(array, asc=by > 0)
+
+    def order(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for name, way in reversed(by.items()):
+            x, y = a.getField(name), b.getField(name)
+            out = (
+                F.when(x.isNull() & y.isNotNull(), -way).when(x.isNotNull() & y.isNull(), way)
+                .when(x < y, -way).when(x > y, way).otherwise(out)
+            )
+        return out
+
+    return F.array_sort(array, order)
+
+
 def _pull(c: Column, arg: Any) -> Column:
     if isinstance(arg, dict):
         tests = {
@@ -153,7 +177,9 @@ def _pull(c: Column, arg: Any) -> Column:
 
 def updated(df: DataFrame, op: str, name: str, arg: Any, now: Column) -> Column:
     """New value of one field under one update operator."""
-    c, kind = F.col(name), df.schema[name].dataType
+    c, kind = F.col(name), field_type(df.schema, name)
+    if kind is None:
+        raise ValueError(f"unknown field {name}")
     value = None if isinstance(arg, dict) else literal(arg)
     if op == "$set":
         return expr(arg) if isinstance(arg, Column) else literal(arg).cast(kind)
@@ -212,8 +238,14 @@ def update_documents(
             renames |= fields
             continue
         for name, arg in fields.items():
-            kind = df.schema[name].dataType
-            values[name] = F.when(hit, updated(df, op, name, arg, now).cast(kind)).otherwise(F.col(name))
+            new = updated(df, op, name, arg, now).cast(field_type(df.schema, name))
+            head, _, rest = name.partition(".")
+            if rest:  # a field inside a document; a missing document is made
+                whole, kind = values.get(head, F.col(head)), df.schema[head].dataType
+                blank = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind])
+                values[head] = F.when(hit, F.coalesce(whole, blank).withField(rest, new)).otherwise(F.col(head))
+            else:
+                values[name] = F.when(hit, new).otherwise(F.col(name))
     out = df.withColumn("_hit", hit).withColumns(values)
     for old, new in renames.items():
         if new not in out.columns:
@@ -229,14 +261,14 @@ def upsert_document(
     df: DataFrame, where: dict[str, Any], update: dict[str, dict[str, Any]], now: Column | None = None
 ) -> DataFrame:
     """``update_documents`` that adds one row when nothing matches: the filter's
-    equalities, ``$set`` and ``$setOnInsert`` give its fields."""
+    equalities and ``$setOnInsert`` give its fields, then the update operators act on it."""
     if df.where(filter_document(df.schema, where)).take(1):
         return update_documents(df, where, update, now)
     fields = {k: v for k, v in where.items() if not k.startswith("$") and not isinstance(v, dict)}
-    fields |= update.get("$set", {}) | update.get("$setOnInsert", {})
-    for op in ("$inc", "$min", "$max"):
-        fields |= update.get(op, {})
+    fields |= update.get("$setOnInsert", {})
     row = df.sparkSession.range(1).select(
         *[(literal(fields[f.name]) if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]
     )
-    return df.unionByName(row)
+    # The other operators act on the new document as on any.
+    rest = {op: body for op, body in update.items() if op != "$setOnInsert"}
+    return df.unionByName(update_documents(row, {}, rest, now))

@@ -4,19 +4,33 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.expressions import expr
 from tablewright.operators.aggregates import top_per_group
-from tablewright.operators.segments import nearest, position, previous_row, running, sliding
+from tablewright.operators.segments import (
+    _fits_one_task,
+    nearest,
+    position,
+    previous_row,
+    running,
+    sliding,
+    with_running_index,
+)
 
 MICROS = {
     "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000,
     "week": 604_800_000_000, "millisecond": 1000,
 }
+MONTHS = {"month": 1, "quarter": 3, "year": 12}
 _FRAME = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max, "$count": F.count}
+_FRAME_MORE = {
+    "$first": F.first, "$last": F.last, "$push": F.collect_list, "$addToSet": F.collect_set,
+    "$stdDevPop": F.stddev_pop, "$stdDevSamp": F.stddev_samp,
+}
+_PLACES = {"$documentNumber": F.row_number, "$rank": F.rank, "$denseRank": F.dense_rank}
 
 
 def _keys(df: DataFrame, by: Any) -> tuple[DataFrame, list[str], list[str]]:
@@ -37,9 +51,92 @@ def set_window_fields(
 ) -> DataFrame:
     """Add fields over a window. ``output`` maps a name to
     ``{"$sum": expr, "window": {"documents": [lo, hi]} | {"range": [lo, hi], "unit": u}}``
-    with ``$sum $avg $min $max $count $documentNumber $shift``. Sorting is ascending."""
+    with ``$sum $avg $min $max $count $first $last $push $addToSet $stdDevPop $stdDevSamp``
+    over any frame (bounds are numbers, ``current`` or ``unbounded``; without a window
+    the whole key), ``$documentNumber $rank $denseRank`` and ``$shift`` with a default.
+    ``sort_by`` takes both directions.
+
+    Keys that fit a task use plain windows, which share one shuffle. Greater keys are
+    cut into segments if all outputs can be; the result is the same."""
     rows, keys, scratch = _keys(df, by)
-    order = list(sort_by)
+    for name, spec in output.items():
+        op = next(k for k in spec if k != "window")
+        if op not in _FRAME | _FRAME_MORE | _PLACES and op != "$shift":
+            raise ValueError(f"unknown window operator {op}")
+    if all(map(_can_be_cut, output.values())) and not _fits_one_task(rows, keys, segments):
+        return _cut_window_fields(rows, keys, scratch, sort_by, output, segments)
+    order = [F.col(c).asc_nulls_first() if way > 0 else F.col(c).desc_nulls_last() for c, way in sort_by.items()]
+    whole = Window.partitionBy(*keys)
+    inside = whole.orderBy(*order) if order else whole
+    out = {}
+    for name, spec in output.items():
+        window = spec.get("window") or {}
+        op, arg = next((k, v) for k, v in spec.items() if k != "window")
+        if op in _PLACES:
+            out[name] = _PLACES[op]().over(inside)
+        elif op == "$shift":
+            default = None if arg.get("default") is None else expr(arg["default"])
+            moved = F.struct(expr(arg["output"]).alias("v"))
+            near = F.lag(moved, -arg["by"]).over(inside) if arg["by"] < 0 else F.lead(moved, arg["by"]).over(inside)
+            # A struct tells a missing row from a NULL value.
+            out[name] = near["v"] if default is None else F.when(near.isNull(), default).otherwise(near["v"])
+        else:
+            value = (_FRAME | _FRAME_MORE)[op](_value(op, arg))
+            out[name] = value.over(_frame(rows, whole, inside, sort_by, window))
+    return rows.withColumns(out).drop(*scratch)
+
+
+def _can_be_cut(spec: dict[str, Any]) -> bool:
+    window = spec.get("window") or {}
+    op, arg = next((k, v) for k, v in spec.items() if k != "window")
+    docs = window.get("documents")
+    if op == "$documentNumber":
+        return True
+    if op == "$shift":
+        return arg.get("default") is None
+    open_ended = bool(docs) and "unbounded" in docs and docs not in (["unbounded", "unbounded"], ["unbounded", "current"])
+    return op in _FRAME and not open_ended and "unbounded" not in (window.get("range") or [])
+
+
+def _frame(rows: DataFrame, whole: Any, inside: Any, sort_by: dict[str, int], window: dict[str, Any]) -> Any:
+    docs, reach = window.get("documents"), window.get("range")
+    if not docs and not reach:
+        return whole
+
+    def bound(x: Any, low: bool, unit: int = 1) -> int:
+        if x == "unbounded":
+            return Window.unboundedPreceding if low else Window.unboundedFollowing
+        return 0 if x == "current" else x * unit
+
+    if docs:
+        return inside.rowsBetween(bound(docs[0], True), bound(docs[1], False))
+    name, way = next(iter(sort_by.items()))
+    unit = MICROS[window["unit"]] if "unit" in window else 1
+    place = position(rows, name) * way
+    return whole.orderBy(place.asc_nulls_first()).rangeBetween(bound(reach[0], True, unit), bound(reach[1], False, unit))
+
+
+def _ascending(rows: DataFrame, sort_by: dict[str, int]) -> tuple[DataFrame, list[str]]:
+    """Columns whose rising order is the wanted one."""
+    if all(way > 0 for way in sort_by.values()):
+        return rows, list(sort_by)
+    if all(isinstance(rows.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) for c in sort_by):
+        turned = {}
+        for i, (c, way) in enumerate(sort_by.items()):
+            place = position(rows, c)
+            turned[f"_o{i}"] = place if way > 0 else F.coalesce(-place, F.lit(float("inf")))
+        return rows.withColumns(turned), list(turned)
+    order = [F.col(c).asc_nulls_first() if way > 0 else F.col(c).desc_nulls_last() for c, way in sort_by.items()]
+    return with_running_index(rows, order, "_o0"), ["_o0"]
+
+
+def _cut_window_fields(
+    rows: DataFrame, keys: list[str], scratch: list[str], sort_by: dict[str, int], output: dict[str, dict[str, Any]],
+    segments: int | None,
+) -> DataFrame:
+    names = rows.columns
+    rows, order = _ascending(rows, sort_by)
+    made = [c for c in rows.columns if c not in names]
     passes: dict[str, tuple[str, Column]] = {}
     averages: dict[str, str] = {}
     frames: list[tuple[str, str, Any, tuple]] = []
@@ -54,8 +151,9 @@ def set_window_fields(
         elif op == "$shift":
             frames.append((name, "$max", arg["output"], ("rows", arg["by"], arg["by"])))
         elif reach:
-            unit = MICROS.get(window.get("unit"), 1)
-            frames.append((name, op, arg, ("range", reach[0] * unit, reach[1] * unit)))
+            unit = MICROS[window["unit"]] if "unit" in window else 1
+            low, high = [0 if x == "current" else x * unit for x in reach]
+            frames.append((name, op, arg, ("range", low, high)))
         elif not docs or docs in (["unbounded", "unbounded"], ["unbounded", "current"]):
             prefix = "" if docs == ["unbounded", "current"] else "total_"
             if op == "$avg":
@@ -73,12 +171,18 @@ def set_window_fields(
         rows = running(rows, keys, order, passes, segments)
     for name in averages:
         rows = rows.withColumn(name, F.col(f"_sum_{name}") / F.col(f"_n_{name}"))
-    for name, op, arg, (kind, low, high) in frames:
-        place = F.col("_place") if kind == "rows" else position(rows, order[0])
-        width = None if kind == "rows" else max(high - low, 1)
-        rows = sliding(rows, keys, place, low, high, {name: _FRAME[op](_value(op, arg))}, width)
+    first, way = next(iter(sort_by.items())) if sort_by else (None, 1)
+    # Frames on the same place share one blocked pass.
+    for kind in ("rows", "range"):
+        mine = [f for f in frames if f[3][0] == kind]
+        spans = sorted({f[3][1:] for f in mine})
+        for low, high in spans:
+            place = F.col("_place") if kind == "rows" else position(rows, first) * way
+            width = None if kind == "rows" else max(high - low, 1)
+            aggs = {name: _FRAME[op](_value(op, arg)) for name, op, arg, f in mine if f[1:] == (low, high)}
+            rows = sliding(rows, keys, place, low, high, aggs, width)
     helpers = [f"_{x}_{name}" for x in ("sum", "n") for name in averages]
-    return rows.drop("_place", *helpers, *scratch)
+    return rows.drop("_place", *helpers, *scratch, *made)
 
 
 def _value(op: str, arg: Any) -> Column:
@@ -90,37 +194,51 @@ def densify(
     unit: str | None = None, block: int = 10_000,
 ) -> DataFrame:
     """Add rows for missing steps of ``field`` per key. ``bounds`` is ``full`` (range of
-    the whole table), ``partition`` or ``[low, high)``. The points of one key are
+    the whole table), ``partition`` or ``[low, high)``; ``unit`` goes from millisecond to
+    year for times, from day for dates. The points of one key are
     made in blocks, so a long key is spread over tasks."""
     keys = by or []
     kind = df.schema[field].dataType
     timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
-    width = int(step * MICROS[unit]) if timed else step
-    place = position(df, field)
-    whole = df.agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    groups = df.groupBy(*keys).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    months = int(step) * MONTHS[unit] if unit in MONTHS else 0
+    # A day is the unit of a date's position, a microsecond that of a time.
+    width = months or (int(step * MICROS[unit]) if timed else int(step * MICROS[unit] // MICROS["day"]) if unit else step)
+    if width <= 0:
+        raise ValueError("a step must be positive and no finer than the field")
+    groups = df.groupBy(*keys).agg(F.min(field).alias("lo"), F.max(field).alias("hi"))
     if isinstance(bounds, (list, tuple)):
-        groups = groups.select(*keys, F.lit(bounds[0]).alias("lo"), F.lit(bounds[1]).alias("hi"))
+        low, high = (F.lit(x).cast(kind) for x in bounds)
+        groups = groups.select(*keys, low.alias("lo"), high.alias("hi"))
     elif bounds == "full":
-        low, high = whole.first()
-        groups = groups.select(*keys, F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    until = F.col("hi") if not isinstance(bounds, (list, tuple)) else F.col("hi") - width
-    last = F.floor((until - F.col("lo")) / F.lit(width)).cast("bigint")
-    blocks = groups.withColumn("_last", last).withColumn(
+        whole = df.agg(F.min(field).alias("lo"), F.max(field).alias("hi"))
+        if keys:  # one row for all groups
+            groups = groups.drop("lo", "hi").withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    open_end = isinstance(bounds, (list, tuple))
+    if months:
+        span = F.floor(F.months_between(F.col("hi"), F.col("lo"), False) / months) + 1
+    else:
+        at = groups.select(*keys, "lo", "hi", position(groups, "lo").alias("_lo"), position(groups, "hi").alias("_hi"))
+        groups, span = at, F.floor((F.col("_hi") - F.col("_lo")) / F.lit(width))
+    blocks = groups.where("lo IS NOT NULL AND hi IS NOT NULL").withColumn("_last", span.cast("bigint")).where("_last >= 0").withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / block).cast("bigint")))
     ).repartition(*keys, "_b")
     stop = F.least(F.col("_last"), (F.col("_b") + 1) * block - 1)
-    steps = blocks.select(*keys, "lo", F.explode(F.sequence(F.col("_b") * block, stop)).alias("_i"))
-    point = F.col("lo") + F.col("_i") * F.lit(width)
-    if isinstance(kind, T.TimestampNTZType):
-        value = F.timestamp_add("MICROSECOND", point.cast("bigint"), F.lit("1970-01-01").cast("timestamp_ntz"))
-    elif timed:
-        value = F.timestamp_micros(point.cast("bigint"))
-    elif isinstance(kind, T.DateType):
-        value = F.date_from_unix_date(point.cast("int"))
+    steps = blocks.select("*", F.explode(F.sequence(F.col("_b") * block, stop)).alias("_i"))
+    if months:
+        value = (F.col("lo") + F.make_ym_interval(F.lit(0), (F.col("_i") * months).cast("int"))).cast(kind)
     else:
-        value = point.cast(kind)
-    points = steps.select(*keys, value.alias(field))
+        point = F.col("_lo") + F.col("_i") * F.lit(width)
+        if isinstance(kind, T.TimestampNTZType):
+            value = F.timestamp_add("MICROSECOND", point.cast("bigint"), F.lit("1970-01-01").cast("timestamp_ntz"))
+        elif timed:
+            value = F.timestamp_micros(point.cast("bigint"))
+        elif isinstance(kind, T.DateType):
+            value = F.date_from_unix_date(point.cast("int"))
+        else:
+            value = point.cast(kind)
+    value = value.alias(field)
+    inside = F.col(field) < F.col("hi") if open_end else F.col(field) <= F.col("hi")
+    points = steps.select(*keys, "hi", value).where(inside).drop("hi")
     have = df.select(*keys, field)
     on = [F.col(f"p.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*keys, field]]
     missing = points.alias("p").join(have.alias("h"), on, "left_anti")

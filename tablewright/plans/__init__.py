@@ -4,7 +4,7 @@ import importlib
 
 from tablewright.plans import registry
 
-FAMILIES = ("diffing", "filtering", "scalars", "grouping", "moving", "searching", "generating", "queueing")
+FAMILIES = ("diffing", "filtering", "scalars", "grouping", "moving", "searching", "generating", "queueing", "options")
 
 
 def load():

@@ -106,23 +106,27 @@ def diff_summary(t):
 @query("diff_all_tables", f"""WITH {TARGET_SQL}
 SELECT 'orders' AS table_name, count(*) FILTER (status = 'added') AS added,
        count(*) FILTER (status = 'removed') AS removed,
-       count(*) FILTER (status = 'modified') AS modified, 'different' AS result FROM changed
-UNION ALL SELECT 'customer', 0, 0, count(*) FILTER (c_acctbal < 0), 
-  CASE WHEN count(*) FILTER (c_acctbal < 0) > 0 THEN 'different' ELSE 'same' END FROM customer
-UNION ALL SELECT 'part', 0, 0, 0, 'same'
-UNION ALL SELECT 'lineitem', 0, 0, 0, 'error'
-UNION ALL SELECT 'supplier', 0, 0, 0, 'missing target'""")
+       count(*) FILTER (status = 'modified') AS modified, 'different' AS result, NULL AS reason FROM changed
+UNION ALL SELECT 'customer', 0, 0, count(*) FILTER (c_acctbal < 0),
+  CASE WHEN count(*) FILTER (c_acctbal < 0) > 0 THEN 'different' ELSE 'same' END, NULL FROM customer
+UNION ALL SELECT 'part', 0, 0, 0, 'same', NULL
+UNION ALL SELECT 'lineitem', 0, 0, 0, 'error', 'Duplicate source key'
+UNION ALL SELECT 'supplier', 0, 0, 0, 'missing target', NULL
+UNION ALL SELECT 'nation', 0, 0, 0, 'error', '[CAST_INVALID_INPUT]'""")
 def diff_all_tables(t):
-    source = {n: getattr(t, n) for n in ("orders", "customer", "part", "lineitem", "supplier")}
+    source = {n: getattr(t, n) for n in ("orders", "customer", "part", "lineitem", "supplier", "nation")}
     floored = t.customer.withColumn("c_acctbal", F.greatest(F.col("c_acctbal"), F.lit(0.0)))
     target = {
         "orders": perturbed(t.orders), "customer": floored, "part": t.part, "lineitem": t.lineitem,
+        # Numbers against text that is none: the cast fails in the job.
+        "nation": t.nation.withColumn("n_regionkey", F.col("n_name")),
     }
     keys = {
+        "nation": ["n_nationkey"],
         "orders": KEY, "customer": ["c_custkey"], "part": ["p_partkey"],
         "lineitem": ["l_orderkey", "l_linenumber"],
     }
-    return diff.diff_all_tables(source, target, keys)
+    return diff.diff_all_tables(source, target, keys).withColumn("reason", F.substring("reason", 1, 20))
 
 
 @query("diff_missing_target", """

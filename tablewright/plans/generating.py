@@ -163,9 +163,13 @@ def gen_null_default(t):
 
 
 @query("gen_snowflake_ids", """
-SELECT o_orderkey, ((o_orderkey // 4194304) << 22) | (((o_orderkey // 4096) % 1024) << 12) | (o_orderkey % 4096) AS id FROM orders""")
+SELECT o_orderkey, ((1704067200000 - 1609459200000 + o_orderkey // 4096) << 22) | (1 << 12) | (o_orderkey % 4096) AS id,
+  ((1719792000000 - 1609459200000 + o_orderkey // 4096) << 22) | (77 << 12) | (o_orderkey % 4096) AS other FROM orders""")
 def gen_snowflake_ids(t):
-    return generate.generate_columns(t.orders, "o_orderkey", [{"name": "id", "generator": "snowflake"}])
+    return generate.generate_columns(t.orders, "o_orderkey", [
+        {"name": "id", "generator": "snowflake"},
+        {"name": "other", "generator": "snowflake", "params": {"startMs": 1719792000000, "workerId": 77}},
+    ])
 
 
 @query("generate_rows", f"""

@@ -383,11 +383,21 @@ def fn_temporal_normalize(t):
 
 
 @query("fn_temporal_format", """
-SELECT event_id, CASE WHEN event_id % 6 IN (0, 2) THEN strftime(ts, '%d.%m.%y at %H h %M') WHEN event_id % 6 = 1 THEN strftime(ts, '%d.%m.%y at 00 h 00')
-  WHEN event_id % 6 = 3 THEN strftime(ts, '%H:%M:%S') WHEN event_id % 6 = 4 THEN 'not a date' ELSE strftime(ts, '%d.%m.%Y %H:%M:%S') END AS shown FROM events""")
+WITH e AS (SELECT event_id, ts, event_id % 6 AS k, CASE event_id % 6
+    WHEN 0 THEN strftime(ts, '%Y/%-m/%-d ') || extract(hour FROM ts) || ':' || extract(minute FROM ts) || ':' || extract(second FROM ts)::INT
+    WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%g+02:00') WHEN 3 THEN strftime(ts, '%H:%M:%S')
+    WHEN 4 THEN 'not a date' ELSE strftime(ts, '%d.%m.%Y %H:%M:%S') END AS raw FROM events)
+SELECT event_id, CASE WHEN k IN (0, 2) THEN strftime(ts, '%d.%m.%Y at %H h %M') ELSE raw END AS shown,
+  CASE WHEN k IN (0, 1, 2) THEN strftime(ts, '%Y/%m/%d') ELSE raw END AS day,
+  CASE WHEN k IN (0, 2, 3) THEN strftime(ts, '%H-%M') ELSE raw END AS clock,
+  CASE WHEN k = 2 THEN strftime(ts, '%H:%M +02:00 +0200') ELSE raw END AS zoned, raw AS refused FROM e""")
 def fn_temporal_format(t):
     e = t.events.selectExpr("event_id", f"{TEXTS} AS raw")
-    return e.select("event_id", temporal.format_text(F.col("raw"), "DD.MM.YY [at] HH [h] mm").alias("shown"))
+    patterns = {
+        "shown": "DD.MM.YYYY [at] HH [h] mm", "day": "YYYY/MM/DD", "clock": "HH-mm", "zoned": "HH:mm Z ZZ",
+        "refused": "MM/DD/YYYY hh:mm A",
+    }
+    return e.select("event_id", *[temporal.format_text(F.col("raw"), p).alias(n) for n, p in patterns.items()])
 
 
 @query("fn_fuzzy_match", """

@@ -53,12 +53,12 @@ def stream_backlog(t):
 
 
 @query("stream_lag_ms", """
-WITH s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE epoch_us(ts) // 1000 END AS a, CASE WHEN event_id % 5 = 0 THEN NULL ELSE epoch_us(ts) // 1000 - 1000 END AS c, epoch_us(ts) // 1000 - 5000 AS d FROM events),
-l AS (SELECT coalesce(nullif(a, 0), c, d) AS l FROM s)
-SELECT max(1705000000000 - l) AS lag_ms FROM l WHERE l <= 1705000000000""")
+WITH s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN epoch_us(ts) // 1000 END AS a, CASE WHEN event_id % 5 = 0 THEN NULL ELSE epoch_us(ts) // 1000 - 1000 END AS c, epoch_us(ts) // 1000 - 5000 AS d FROM events),
+l AS (SELECT coalesce(a, c, d) AS l FROM s)
+SELECT coalesce(max(1705000000000 - l), 0) AS lag_ms FROM l WHERE l > 0 AND l <= 1705000000000""")
 def stream_lag_ms(t):
     ms = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', ts)"
-    subs = t.events.selectExpr(f"CASE WHEN event_id % 3 = 0 THEN 0 ELSE {ms} END AS last_acked",
+    subs = t.events.selectExpr(f"CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN {ms} END AS last_acked",
                                f"CASE WHEN event_id % 5 <> 0 THEN {ms} - 1000 END AS last_consumed", f"{ms} - 5000 AS last_mark_delete")
     return queues.lag_ms(subs, 1705000000000)
 
@@ -114,7 +114,9 @@ def stream_upsert_sink(t):
     live = event_stream(t).select("user_id", "event_type", "value", "event_id")
     streams.finish(streams.stream_upsert_sink(live, out, ["user_id"], "event_id", f"{out}/checkpoint"))
     base = t.customer.selectExpr("c_custkey AS user_id", "c_mktsegment AS event_type", "c_acctbal AS value")
-    return streams.read_upserted(t.spark, out, ["user_id"], base).select("user_id", "event_type", "value")
+    target = base.withColumn("event_id", F.lit(None).cast("bigint"))
+    found = streams.read_upserted(t.spark, out, ["user_id"], target, sequence="event_id")
+    return found.select("user_id", "event_type", "value")
 
 
 WINDOWS = """SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"""
@@ -138,4 +140,5 @@ def stream_counts_live(t):
     out = work_path(t.spark, "counts")
     live = event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
     streams.finish(streams.stream_counts_window(live, out, "ts", ["event_type"], f"{out}/checkpoint", "10 minutes"))
-    return shown(streams.read_upserted(t.spark, out, ["window_start", "event_type"]).select("window_start", "event_type", "n"))
+    found = streams.read_upserted(t.spark, out, ["window_start", "event_type"], sequence="n")
+    return shown(found.select("window_start", "event_type", "n"))

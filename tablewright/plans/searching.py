@@ -6,26 +6,49 @@ from tablewright.operators import logs, metadata, search
 from tablewright.plans.registry import query
 
 
-@query("search_database", f"""
-SELECT * FROM (
-SELECT 'customer' AS table_name, c_custkey::VARCHAR AS key, concat_ws(',', CASE WHEN c_custkey = 21 THEN 'c_custkey' END,
-  CASE WHEN lower(c_name) LIKE '%21%' THEN 'c_name' END, CASE WHEN c_nationkey = 21 THEN 'c_nationkey' END,
-  CASE WHEN c_acctbal = 21 THEN 'c_acctbal' END, CASE WHEN lower(c_mktsegment) LIKE '%21%' THEN 'c_mktsegment' END) AS matched_columns FROM customer
-UNION ALL SELECT 'part', p_partkey::VARCHAR, concat_ws(',', CASE WHEN p_partkey = 21 THEN 'p_partkey' END, CASE WHEN p_name LIKE '%21%' THEN 'p_name' END,
-  CASE WHEN p_brand LIKE '%21%' THEN 'p_brand' END, CASE WHEN p_type LIKE '%21%' THEN 'p_type' END, CASE WHEN p_size = 21 THEN 'p_size' END,
-  CASE WHEN p_retailprice = 21 THEN 'p_retailprice' END) FROM part
-UNION ALL SELECT 'documents', doc_id::VARCHAR, concat_ws(',', CASE WHEN doc_id = 21 THEN 'doc_id' END, CASE WHEN lower(text) LIKE '%21%' THEN 'text' END,
-  CASE WHEN n_chars = 21 THEN 'n_chars' END) FROM (SELECT doc_id, text, n_chars FROM documents)
-UNION ALL SELECT 'orders', o_orderkey::VARCHAR, concat_ws(',', CASE WHEN o_orderkey = 21 THEN 'o_orderkey' END, CASE WHEN o_custkey = 21 THEN 'o_custkey' END,
-  CASE WHEN o_orderstatus LIKE '%21%' THEN 'o_orderstatus' END, CASE WHEN o_totalprice = 21 THEN 'o_totalprice' END,
-  CASE WHEN o_orderpriority LIKE '%21%' THEN 'o_orderpriority' END) FROM orders
-) WHERE matched_columns <> ''""")
+# Every table with its key; columns are text (t), numbers (n) or not searched (-).
+SEARCHED = {
+    "region": ("r_regionkey", "r_regionkey n r_name t"),
+    "nation": ("n_nationkey", "n_nationkey n n_name t n_regionkey n"),
+    "customer": ("c_custkey", "c_custkey n c_name t c_nationkey n c_acctbal n c_mktsegment t"),
+    "supplier": ("s_suppkey", "s_suppkey n s_name t s_nationkey n s_acctbal n"),
+    "part": ("p_partkey", "p_partkey n p_name t p_brand t p_type t p_size n p_retailprice n"),
+    "orders": ("o_orderkey", "o_orderkey n o_custkey n o_orderstatus t o_totalprice n o_orderdate - o_orderpriority t"),
+    "lineitem": (
+        "l_orderkey l_linenumber",
+        "l_orderkey n l_partkey n l_suppkey n l_linenumber n l_quantity n l_extendedprice n l_discount n l_tax n "
+        "l_returnflag t l_linestatus t l_shipdate -",
+    ),
+    "events": ("event_id", "event_id n ts - user_id n event_type t value n props t"),
+    "documents": ("doc_id", "doc_id n text t lang t source t n_chars n"),
+    "embeddings": ("vec_id", "vec_id n embedding - label n"),
+    "pages": ("page_id", "page_id n url t html t"),
+    "benchmark": ("item_id", "item_id n text t"),
+    "labels": ("doc_id", "doc_id n quality n toxic n"),
+    "conversations": ("conv_id turn", "conv_id n turn n role t text t"),
+}
+
+
+def search_sql(term: str) -> str:
+    parts = []
+    for table, (keys, columns) in SEARCHED.items():
+        names = columns.split()
+        tests = {
+            c: f"lower({c}) LIKE '%{term}%'" if kind == "t" else f"{c} = {term}"
+            for c, kind in zip(names[::2], names[1::2]) if kind != "-"
+        }
+        listed = keys.split()
+        key = f"{keys}::VARCHAR" if len(listed) == 1 else "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {k}" for k in listed) + " || '}'"
+        found = ", ".join(f"CASE WHEN {test} THEN '{c}' END" for c, test in tests.items())
+        parts.append(
+            f"SELECT '{table}' AS table_name, {key} AS key, concat_ws(',', {found}) AS matched_columns FROM {table} WHERE {' OR '.join(tests.values())}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("search_database", search_sql("21"))
 def search_database(t):
-    tables = {
-        "customer": (t.customer, ["c_custkey"]), "part": (t.part, ["p_partkey"]),
-        "documents": (t.documents.select("doc_id", "text", "n_chars"), ["doc_id"]),
-        "orders": (t.orders, ["o_orderkey"]),
-    }
+    tables = {name: (getattr(t, name), keys.split()) for name, (keys, _) in SEARCHED.items()}
     return search.search_database(tables, " 21 ").select("table_name", "key", "matched_columns")
 
 
@@ -173,11 +196,10 @@ def lineage_keys(t):
 
 
 @query("lineage_join", f"""WITH {META_SQL},
-g AS (SELECT DISTINCT lower(table_name) AS tt, lower(name) AS tc FROM cols),
-n AS (SELECT lower(name) AS tc, count(DISTINCT lower(table_name)) AS n FROM cols GROUP BY 1)
+g AS (SELECT DISTINCT lower(table_name) AS tt, lower(name) AS tc FROM cols)
 SELECT tt, tc, 'outgoing' AS direction, lower(ref_table) AS table_name, lower(ref_column) AS name FROM g JOIN fks ON tt = lower(table_name) AND tc = lower(column_name)
 UNION ALL SELECT tt, tc, 'incoming', lower(table_name), lower(column_name) FROM g JOIN fks ON tt = lower(ref_table) AND tc = lower(ref_column)
-UNION ALL SELECT tt, tc, 'same name', NULL, (n - 1)::VARCHAR FROM g JOIN n USING (tc) WHERE n > 1""")
+UNION ALL SELECT g.tt, g.tc, 'same name', o.tt, o.tc FROM g JOIN g o ON g.tc = o.tc AND g.tt <> o.tt""")
 def lineage_join(t):
     cols, fks, _, _ = meta(t)
     return metadata.lineage_join(cols.select("table_name", "name").distinct(), cols, fks)

@@ -209,9 +209,25 @@ def peek_messages(
 
 
 def glob_pattern(glob: str) -> str:
-    """``*`` and ``?`` patterns as an anchored regex."""
-    body = "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in glob)
-    return f"^{body}$"
+    """A key glob as an anchored regex: ``*``, ``?``, classes ``[a-c]`` and ``[^x]``, and a
+    backslash before a character that stands for itself."""
+    body, at = [], 0
+    while at < len(glob):
+        ch = glob[at]
+        close = glob.find("]", at + 2) if ch == "[" else -1
+        if ch == "\\" and at + 1 < len(glob):
+            body.append(re.escape(glob[at + 1]))
+            at += 2
+        elif close > 0:
+            inner = glob[at + 1 : close]
+            negated = inner.startswith("^")
+            inner = re.sub(r"([\[\]&\\^])", r"\\\1", inner[negated:])
+            body.append(f"[{'^' if negated else ''}{inner}]")
+            at = close + 1
+        else:
+            body.append({"*": ".*", "?": "."}.get(ch, re.escape(ch)))
+            at += 1
+    return f"^{''.join(body)}$"
 
 
 def glob_match(column: Column, glob: str) -> Column:

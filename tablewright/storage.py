@@ -14,19 +14,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_LOCAL_ROOTS: dict[str, str] = {}  # local runs without the setting, by application
+_ROOTS: dict[str, str] = {}  # by application
 
 
 def work_root(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app in _ROOTS:
+        return _ROOTS[app]
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    one_machine = master.startswith("local") and not master.startswith("local-cluster")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    if not root and not one_machine:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tablewright-")
-    return _LOCAL_ROOTS[app]
+    if root and not one_machine and "://" not in root and hadoop.get("fs.defaultFS", "file:///").startswith("file:"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} names {root}, which is local to each machine; give it a scheme")
+    root = root or tempfile.mkdtemp(prefix="tablewright-")
+    _ROOTS[app] = f"{root.rstrip('/')}/tablewright-{app}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_ROOTS[app])
+    fs = path.getFileSystem(hadoop)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return _ROOTS[app]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -38,4 +48,14 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step_path = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Remove materialized steps that nothing reads any more."""
+    for step in steps:
+        spark = step.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step._step_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

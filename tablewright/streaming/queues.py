@@ -61,13 +61,12 @@ def backlog(commits: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def lag_ms(subscriptions: DataFrame, now_ms: int) -> DataFrame:
-    """Greatest ``now`` minus last acknowledged (or consumed, or mark-delete) time in
-    milliseconds over the subscriptions; zero and future times do not count."""
-    def valid(c: str) -> Column:
-        return F.when((F.col(c) > 0), F.col(c))
-
-    last = F.coalesce(valid("last_acked"), valid("last_consumed"), valid("last_mark_delete"))
-    return subscriptions.agg(F.max(F.when(last <= now_ms, F.lit(now_ms) - last)).alias("lag_ms"))
+    """Greatest ``now`` minus last acknowledged time in milliseconds over the
+    subscriptions; a missing time is replaced by the consumed, then the mark-delete
+    one. A time that is zero or in the future counts as no lag; without any it is 0."""
+    last = F.coalesce("last_acked", "last_consumed", "last_mark_delete")
+    lag = F.when((last > 0) & (last <= now_ms), F.lit(now_ms) - last)
+    return subscriptions.agg(F.coalesce(F.max(lag), F.lit(0)).alias("lag_ms"))
 
 
 def partition_overview(partitions: DataFrame) -> DataFrame:

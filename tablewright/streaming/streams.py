@@ -67,6 +67,16 @@ def _put(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
+def _prune(spark: SparkSession, path: str, batch_id: int, keep: int = 2) -> None:
+    """Remove state versions older than the last ``keep``: a batch run again reads the
+    one before it, nothing reads older ones."""
+    if batch_id < keep:
+        return
+    jvm = spark.sparkContext._jvm
+    gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}={batch_id - keep}")
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
     if batch_id == 0:
         return spark.createDataFrame([], schema)
@@ -90,6 +100,7 @@ def stream_rate(
         newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("r")
         last = both.groupBy(*series).agg(newest).select(*series, "r.*").select(*stream.columns)
         _put(last, f"{out}/state", batch_id)
+        _prune(batch.sparkSession, f"{out}/state", batch_id)
 
     return _each_batch(stream, step, checkpoint, available_now=available_now)
 
@@ -104,6 +115,7 @@ def stream_recent(
     def step(batch: DataFrame, batch_id: int) -> None:
         known = _earlier(batch.sparkSession, f"{out}/state", schema, batch_id)
         _put(last_n_samples(batch.unionByName(known), series, order, n), f"{out}/state", batch_id)
+        _prune(batch.sparkSession, f"{out}/state", batch_id)
 
     return _each_batch(stream, step, checkpoint, available_now=available_now)
 
@@ -119,8 +131,9 @@ def stream_upsert_sink(
     stream: DataFrame, out: str, keys: list[str], sequence: str | None, checkpoint: str,
     mode: str = "append", available_now: bool = True,
 ) -> StreamingQuery:
-    """Continuous upsert as a log: each batch adds its last row per key; readers take
-    the newest per key, and ``compact`` folds the log into the base table."""
+    """Continuous upsert as a log: each batch adds its last row per key, with its
+    ``sequence``. Readers take the row of the greatest (sequence, batch) per key, so late
+    rows never replace newer ones; ``compact`` folds the log."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         _put(last_per_key(batch, keys, sequence), f"{out}/rows", batch_id)
@@ -128,13 +141,45 @@ def stream_upsert_sink(
     return _each_batch(stream, step, checkpoint, mode, available_now)
 
 
-def read_upserted(spark: SparkSession, out: str, keys: list[str], base: DataFrame | None = None) -> DataFrame:
-    """The table after all logged batches."""
-    log = spark.read.parquet(f"{out}/rows")
-    latest = last_per_key(log, keys, BATCH).drop(BATCH)
+def _folded(log: DataFrame, keys: list[str], sequence: str | None) -> DataFrame:
+    stamp = [sequence, BATCH] if sequence else [BATCH]
+    rows = log.withColumn("_stamp", F.struct(*stamp))
+    return last_per_key(rows, keys, "_stamp").drop("_stamp")
+
+
+def read_upserted(
+    spark: SparkSession, out: str, keys: list[str], base: DataFrame | None = None, sequence: str | None = None
+) -> DataFrame:
+    """The table after all logged batches, folded by ``sequence`` (without one, by batch)."""
+    latest = _folded(spark.read.parquet(f"{out}/rows"), keys, sequence).drop(BATCH)
     return latest if base is None else merge_into(latest, base, keys, "replace")
 
 
+def compact(spark: SparkSession, out: str, keys: list[str], sequence: str | None = None) -> None:
+    """Fold all batches but the newest into one, at the place of the newest of them.
+
+    The fold is written beside the log and moved in; the batches that it replaces
+    are removed after, and while both are there reading gives the same rows. Run it
+    while no batch runs."""
+    log = spark.read.parquet(f"{out}/rows")
+    batches = sorted(r[BATCH] for r in log.select(BATCH).distinct().collect())
+    old = batches[:-1]
+    if len(old) < 2:
+        return
+    folded = _folded(log.where(F.col(BATCH) <= old[-1]), keys, sequence).drop(BATCH)
+    fresh = f"{out}/folded"
+    folded.write.mode("overwrite").parquet(fresh)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = at(f"{out}/rows/{BATCH}={old[-1]}")
+    fs.delete(last, True)
+    if not fs.rename(at(fresh), last):
+        raise RuntimeError(f"could not put the folded log in place at {last}")
+    for batch_id in old[:-1]:
+        fs.delete(at(f"{out}/rows/{BATCH}={batch_id}"), True)
+
+
 def counts_per_window(
     stream: DataFrame, at: str, by: list[str], width: str = "1 minute", late: str | None = None
 ) -> DataFrame:
