@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import SPACE, U64, WordHash, as_bytes, map_batches, mixed, pieces, window_hashes
 from tablewright.llm.graph import components
-from tablewright.storage import materialize
+from tablewright.storage import discard, materialize
 
 SMALL = 64  # bands up to this size use one-deletion neighbourhoods
 RATIO = 1.5  # of a band's bounds
@@ -269,7 +269,11 @@ def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int, id_c
 
     grams = materialize(map_batches(texts, run, "node bigint, size int, grams binary"), "grams")
     rows, distinct = grams.agg(F.count("node"), F.countDistinct("node")).first()
-    return grams if rows == distinct else materialize(grams.dropDuplicates(["node"]), "grams")
+    if rows == distinct:
+        return grams
+    once = materialize(grams.dropDuplicates(["node"]), "grams")
+    discard(grams)
+    return once
 
 
 def verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -299,8 +303,8 @@ def verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return map_batches(both, run, "a bigint, b bigint")
 
 
-def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) -> DataFrame:
-    """Candidate pairs (a, b) between components that share keys."""
+def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) between components that share keys, and the step they read."""
     root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     joined = star.join(root("rep"), "rep", "left").join(root("node"), "node", "left").select(
         F.coalesce("rep_root", "rep").alias("r"), F.coalesce("node_root", "node").alias("o"),
@@ -362,7 +366,8 @@ def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) ->
     needed = F.expr(f"({bands.den} - {bands.num})") * (F.col("p_size") + partner)
     needed = F.floor(needed / (bands.den + bands.num)) + 1
     plausible = ~F.col("parts") | (F.col("n") >= F.col("searched") + needed - most)
-    return counted.where(plausible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    discard(keyed)
+    return counted.where(plausible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), known
 
 
 def jaccard_components(
@@ -389,11 +394,14 @@ def _join(docs, size, num, den, id_column="doc_id", text_column="text") -> tuple
     best = star.groupBy("node").agg(F.max(F.struct("n", "rep")).alias("m")).select(F.least("node", "m.rep").alias("a"), F.greatest("node", "m.rep").alias("b")).distinct()
     links = materialize(verify(best, grams, bands), "links")
     roots = materialize(components(links), "roots")
-    more = materialize(verify(_across(grams, roots, star, bands), grams, bands), "links")
+    pairs, known = _across(grams, roots, star, bands)
+    more = materialize(verify(pairs, grams, bands), "links")
+    discard(known, star, grams)
     links = links.unionAll(more)
     roots = components(links)
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "text_hash", "n_shingles", "root")
     rooted = materialize(rooted, "rooted")
+    discard(sets)
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out, links, rooted

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import as_bytes, map_batches, mixed, pieces
-from tablewright.storage import materialize
+from tablewright.storage import discard, materialize
 
 FREQUENT = 300_000  # words broadcast; the rest is joined
 FLUSH = 400_000  # distinct words a task counts before it hands them on
@@ -274,6 +274,7 @@ def score_documents(
     documents = rows.where("train").count()
     log_p, log_end = fit_pieces(counted, vocabulary, documents)
     words = materialize(word_scores(counted, vocabulary, log_p), "word-scores")
+    discard(counted)
     sums = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_train, distinct = (sums["n"] or 0) + documents, sums["v"] + (documents > 0)
     table = spark.sparkContext.broadcast({
