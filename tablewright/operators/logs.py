@@ -82,5 +82,5 @@ def log_search_page(
         F.slice(F.sort_array(F.collect_list(F.struct(at, key, F.struct(*df.columns).alias("r"))), asc=False), F.lit(1), F.lit(size)).alias("p"),
         (F.count("*") > size).alias("has_more"),
     )
-    n = total.first()["total"]
-    return found.select(F.inline("p"), "has_more").select("r.*", F.lit(n).alias("total"), "has_more")
+    both = found.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+    return both.select(F.inline("p"), "has_more", "total").select("r.*", "total", "has_more")

@@ -31,16 +31,29 @@ def writable(df: DataFrame, name_case: str = "keep") -> DataFrame:
     return df.select(*out)
 
 
-def transfer_append(source: DataFrame, target: DataFrame, name_case: str = "keep") -> DataFrame:
+def conformed(source: DataFrame, target: DataFrame, name_case: str = "keep") -> DataFrame:
+    """The writable columns of ``source`` in the target's columns and types."""
     rows = writable(source, name_case)
     missing = [c for c in target.columns if c not in rows.columns]
     kinds = {f.name: f.dataType for f in target.schema}
     rows = rows.withColumns({c: F.lit(None).cast(kinds[c]) for c in missing})
-    return target.unionByName(rows.select(*[F.col(c).cast(kinds[c]) for c in target.columns]))
+    return rows.select(*[F.col(c).cast(kinds[c]) for c in target.columns])
+
+
+def transfer_append(source: DataFrame, target: DataFrame, name_case: str = "keep") -> DataFrame:
+    """Target and new rows as one frame. To append to a stored table, use
+    ``append_files``, which writes the new rows alone."""
+    return target.unionByName(conformed(source, target, name_case))
+
+
+def append_files(source: DataFrame, path: str, name_case: str = "keep") -> None:
+    """Add the rows to the table at ``path`` as new files; the old ones are not read."""
+    target = source.sparkSession.read.parquet(path)
+    conformed(source, target, name_case).write.mode("append").parquet(path)
 
 
 def transfer_overwrite(source: DataFrame, target: DataFrame, name_case: str = "keep") -> DataFrame:
-    return transfer_append(source, target.limit(0), name_case)
+    return conformed(source, target, name_case)
 
 
 def last_per_key(df: DataFrame, keys: list[str], sequence: str | None) -> DataFrame:

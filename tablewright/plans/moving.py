@@ -190,7 +190,10 @@ def changes(t):
 
 @query("transfer_append", f"WITH {CHANGES_SQL} SELECT * FROM customer UNION ALL SELECT * FROM src")
 def transfer_append(t):
-    return transfer.transfer_append(changes(t), t.customer)
+    path = work_path(t.spark, "append")
+    t.customer.write.parquet(path)
+    transfer.append_files(changes(t), path)
+    return t.spark.read.parquet(path)
 
 
 @query("transfer_overwrite", f"WITH {CHANGES_SQL} SELECT * FROM src")

@@ -175,10 +175,11 @@ def replace_table(df: DataFrame, path: str) -> None:
     at = jvm.org.apache.hadoop.fs.Path
     if fs.exists(at(old)):
         fs.delete(at(old), True)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise RuntimeError(f"could not set the old version at {path} aside; the new one is at {fresh}")
     if not fs.rename(at(fresh), at(path)):
-        raise RuntimeError(f"could not put the new version in place at {path}")
+        fs.rename(at(old), at(path))  # back to the old version
+        raise RuntimeError(f"could not put the new version in place at {path}; it is at {fresh}")
 
 
 def pattern_matches(pattern: str, name: str) -> bool:

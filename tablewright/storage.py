@@ -8,6 +8,7 @@ its own tasks, and a column-pruned second read stays cheap.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,12 @@ def discard(*steps: DataFrame) -> None:
         spark = step.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step._step_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps.
+
+    It does so when the driver's JVM collects the objects that refer to them, which a
+    driver with a large heap seldom does; long jobs of several written steps ask for it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
