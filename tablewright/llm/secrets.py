@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, deque
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,23 +135,20 @@ class Automaton:
 
     def _infer(self) -> None:
         """Merge each frontier state, nearest first, into the first state it agrees with."""
-        red, blue = [0], deque((0, s) for s in sorted(self.next[0]))
-        merged = {0}
-        while blue:
-            state, symbol = blue.popleft()
-            child = self.next[state].get(symbol)
-            if child is None or child in merged:
-                continue
-            for other in red:
-                if self._alike(other, child):
-                    self.next[state][symbol] = other
-                    self._fold(other, child)
-                    blue.extend((other, s) for s in sorted(self.next[other]) if self.next[other][s] not in merged)
-                    break
-            else:
+        red = [0]
+        while True:
+            known = set(red)
+            edge = next(((s, x) for s in red for x in sorted(self.next[s]) if self.next[s][x] not in known), None)
+            if edge is None:
+                break
+            state, symbol = edge
+            child = self.next[state][symbol]
+            other = next((r for r in red if self._alike(r, child)), None)
+            if other is None:
                 red.append(child)
-                merged.add(child)
-                blue.extend((child, s) for s in sorted(self.next[child]))
+            else:
+                self.next[state][symbol] = other
+                self._fold(other, child)
         self.states = red
         # Log probabilities, one added per symbol and the end, so that all strings have one.
         self.log, self.end = {}, {}
