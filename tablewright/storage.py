@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,5 +68,7 @@ def release(spark: SparkSession) -> None:
 
     It does so when the driver's JVM collects the objects that refer to them, which a
     driver with a large heap seldom does; long jobs of several written steps ask for it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees the frames, the second what they alone held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
