@@ -34,9 +34,11 @@ SHARE = 0.9
 MAGIC = b"TWPF1\0\0\0"
 HEADER = struct.Struct("<8sQIQIQ")  # magic, bytes, part, ids of the part before it, documents, ids
 SEGMENT_IDS = 1_000_000
-UNIT_CACHE = 700_000
+UNIT_CACHE = 400_000
+_MARKS = frozenset(".,;:!?")
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 # Two white-space characters side by side: there a pre-token may reach over a cut.
-_RUN = re.compile(r"\s\s")
+_RUN, _OTHER_SPACE = re.compile(r"\s\s"), re.compile(r"[^\S \n]")
 _STEPS = np.array([1 << w for w in range(33)], np.uint64)
 
 
@@ -138,67 +140,96 @@ def decode_segment(data: memoryview) -> tuple[int, int, list[int | None], np.nda
     return part, start, [None if z else int(d) for d, z in zip(ids, nulls)], lengths, tokens
 
 
-class Encoder(dict):
+class Units(dict):
+    """Ids of units of text, remembered for the ones seen lately: two generations of
+    ``size``. A mark after a letter is a pre-token of its own, so ``word,`` is looked up as
+    ``word`` and ``,`` and takes no place."""
+
+    def __init__(self, ids, size: int):
+        super().__init__()
+        self.ids, self.size, self.older = ids, size, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if unit[-1:] in _MARKS and unit[-2:-1].isalpha():
+            return self[unit[:-1]] + self[unit[-1]]
+        value = self.older.get(unit)
+        if value is None:
+            value = self.ids(unit)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = value
+        return value
+
+
+class Encoder:
     """Ids of a text, as little-endian 32-bit bytes, by a file of the tokenizers library.
 
     With byte-level pre-tokens, a text that has no two white-space characters side by side
-    is encoded line by line and word by word (a blank belongs to the word it precedes),
-    which gives the same ids, and words are remembered."""
+    is cut before each blank and around each newline, where no pre-token reaches across.
+    The units are cut into pre-tokens, the library's model encodes these, and their ids
+    are remembered. Any other text goes through the library whole."""
 
     def __init__(self, file_text: str):
         import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(file_text)
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         setup = json.loads(file_text)
         before = setup.get("pre_tokenizer") or {}
         self.by_word = (
             before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
             and before.get("use_regex", True) and not setup.get("normalizer")
+            and not any(t.get("normalized") or not t.get("special") for t in setup.get("added_tokens") or [])
         )
-        self.newline = self.whole("\n") if self.by_word else b""
+        # Fixed value: the pattern of byte-level pre-tokens.
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.units = Units(self._unit, UNIT_CACHE)
+        # Bytes as the printable characters that stand for them in the vocabulary.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.shown = {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self]
-        if len(self) + len(new) > UNIT_CACHE:
-            self.clear()
-            new = list(units)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for unit, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[unit] = np.array(encoding.ids, "<u4").tobytes()
+    def _pretoken(self, text: str) -> bytes:
+        if text.isascii() and text[1:].isalpha():
+            shown = self.shown[32] + text[1:] if text[0] == " " else text
+        else:
+            shown = text.encode().decode("latin-1").translate(self.shown)
+        tokens = self.model.tokenize(shown)
+        return _PACKERS[len(tokens)](*[t.id for t in tokens]) if len(tokens) < 16 else struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _unit(self, unit: str) -> bytes:
+        if not unit:
+            return b""
+        if max(unit) > "\u024f":  # beyond Latin letters the library's own tables count
+            return self.whole(unit)
+        if unit.isalpha() or unit[0] == " " and unit[1:].isalpha():
+            return self._pretoken(unit)
+        parts = self.cut(unit)
+        return self._pretoken(unit) if len(parts) == 1 else b"".join(map(self.units.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut: list[list[list[str]] | None] = []
-        units: set[str] = set()
+        get, out = self.units.__getitem__, []
         for text in texts:
-            if _RUN.search(text):
-                cut.append(None)
-                continue
-            lines = []
-            for line in text.split("\n"):
-                first, *more = line.split(" ")
-                lines.append([first, *map(" ".__add__, more)] if first else [" " + w for w in more])
-                units.update(lines[-1])
-            cut.append(lines)
-        self.learn(units)
-        get = self.__getitem__
-        return [
-            self.whole(text) if lines is None else self.newline.join([b"".join(map(get, line)) for line in lines])
-            for text, lines in zip(texts, cut)
-        ]
+            runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            if runs or "\0" in text or _OTHER_SPACE.search(text) and _RUN.search(text):
+                out.append(self.whole(text))
+            else:
+                out.append(b"".join(map(get, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
+        return out
 
 
 _ENCODERS: dict[int, Encoder] = {}
