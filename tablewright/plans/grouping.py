@@ -99,7 +99,7 @@ def group_accumulate(t):
 
 
 @query("group_push", """
-WITH r AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS rn FROM lineitem WHERE l_linenumber < 3),
+WITH r AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS rn FROM lineitem),
 p AS (SELECT l_suppkey, rn // 40 AS chunk, string_agg(l_partkey::VARCHAR, ',' ORDER BY rn) AS parts FROM r GROUP BY ALL),
 d AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) - 1 AS rn FROM (SELECT DISTINCT l_suppkey, l_quantity FROM lineitem)),
 s AS (SELECT l_suppkey, rn // 40 AS chunk, string_agg(l_quantity::VARCHAR, ',' ORDER BY rn) AS quantities FROM d GROUP BY ALL),
@@ -109,7 +109,7 @@ FROM p FULL JOIN s USING (l_suppkey, chunk) JOIN n USING (l_suppkey)""")
 def group_push(t):
     order = {"l_orderkey": 1, "l_linenumber": 1, "l_partkey": 1, "l_extendedprice": 1}
     out = aggregates.group(t.lineitem, "$l_suppkey", {
-        "parts": {"$push": {"input": F.expr("CASE WHEN l_linenumber < 3 THEN l_partkey END"), "sortBy": order}},
+        "parts": {"$push": {"input": "$l_partkey", "sortBy": order}},
         "quantities": {"$addToSet": "$l_quantity"}, "n": {"$count": {}},
     }, size=40)
     return out.withColumns({
@@ -367,7 +367,7 @@ def topk_order(t):
 WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE
   (CASE WHEN o_orderkey % 2 = 0 THEN 'Item-' ELSE 'ITEM-' END) || (o_custkey) || repeat('0', (o_orderkey % 30)::INT) || '-' || left(o_orderpriority, 1) END AS label FROM orders)
 SELECT o_orderkey, label, row_number() OVER (ORDER BY label IS NULL,
-  upper(split_part(label, '-', 1)) DESC, length(split_part(label, '-', 2)) DESC, split_part(label, '-', 2) DESC, split_part(label, '-', 3) DESC,
+  upper(split_part(label, '-', 1)) DESC, length(ltrim(split_part(label, '-', 2), '0')) DESC, ltrim(split_part(label, '-', 2), '0') DESC, split_part(label, '-', 3) DESC,
   o_orderkey) - 1 AS place FROM s""")
 def sort_natural(t):
     s = t.orders.selectExpr("o_orderkey", "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE concat(CASE WHEN o_orderkey % 2 = 0"

@@ -174,7 +174,7 @@ def fn_date_options(t):
 
 
 @query("fn_substr_bytes", """
-SELECT doc_id, decode(encode(left(text, 8))[1:length(encode(left(text, 8)))]) AS head FROM documents""")
+SELECT doc_id, left(text, 8) AS head FROM documents""")
 def fn_substr_bytes(t):
     from tablewright.functions.expressions import expr
 

@@ -7,7 +7,8 @@ import __spark_entry__ as entry
 from tablewright.plans import load
 
 QUERIES, ORACLES = load()
-EMPTY = set()  # queries that must be empty on the smallest tables
+# Pages that lie beyond the smallest tables.
+EMPTY = {"page_offset", "page_keyset", "row_number_page"}
 
 
 @pytest.fixture(scope="module")
