@@ -7,7 +7,6 @@ takes), and case folding touches A-Z alone (what ``bytes.lower`` does), in every
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 2_000_000  # text handled at once by a task
-WORD_CACHE = 400_000  # words a task remembers the hash of
+WORD_CACHE = 400_000  # words a task remembers something of
 SPACE = r"\x20\x09-\x0D"
 U64 = np.uint64
 
@@ -69,19 +68,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHash(dict):
-    """64-bit hash of a word (bytes), remembered for ``WORD_CACHE`` words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the splitmix64 finaliser)."""
     x = x ^ (x >> U64(30))
@@ -101,3 +87,65 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out += words[k : k + n] * U64((factor * (2 * k + 1) ** 3 | 1) & 0xFFFFFFFFFFFFFFFF)
     return mixed(out)
+
+
+SPACES = b" \t\n\v\f\r"
+
+
+class Words:
+    """64-bit hashes of the words of many texts at once.
+
+    A word is a run of bytes other than ``separators``. Its hash is a polynomial of random
+    64-bit stand-ins of its bytes, modulo 2**64, taken from running sums over the whole
+    buffer, then mixed with its length; so it depends on the word alone."""
+
+    CHUNK = 4_000_000
+
+    def __init__(self, separators: bytes = SPACES):
+        self.separator = np.zeros(256, bool)
+        self.separator[list(separators)] = True
+        if not self.separator[10]:
+            raise ValueError("a line feed must separate words: it stands between texts")
+        rng = np.random.default_rng(20_240_607)
+        self.stand_in = rng.integers(0, 2**64, 256, dtype=U64)
+        self.base = int(rng.integers(0, 2**62)) * 4 + 3
+        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            for name, step in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
+                row = np.full(size, step, U64)
+                row[0] = 1
+                setattr(self, name, np.multiply.accumulate(row))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each text's words begin (one more bound at the end)."""
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        parts: list[np.ndarray] = []
+        begins: list[np.ndarray] = []
+        at = 0
+        while at < len(raw):
+            to = min(at + self.CHUNK, len(raw))
+            gap = self.separator[raw[at:to]]
+            while not gap[-1]:  # on to the next separator
+                more = self.separator[raw[to : to + self.CHUNK]]
+                step = int(more.argmax()) + 1 if more.any() else len(more)
+                gap = np.append(gap, more[:step])
+                to += step
+            change = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+            if not gap[0]:
+                change = np.append(0, change)
+            starts, ends = change[::2], change[1::2]
+            self._powers(to - at)
+            sums = np.empty(to - at + 1, U64)
+            sums[0] = 0
+            np.cumsum(self.stand_in[raw[at:to]] * self.up[: to - at], out=sums[1:])
+            value = (sums[ends] - sums[starts]) * self.down[starts]
+            parts.append(mixed(value + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)))
+            begins.append(starts + at)
+            at = to
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.append(0, np.cumsum(lengths + 1))
+        bounds = np.searchsorted(np.concatenate(begins), first)
+        return np.concatenate(parts), bounds

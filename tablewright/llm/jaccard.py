@@ -28,25 +28,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SPACE, U64, WordHash, as_bytes, map_batches, mixed, pieces, window_hashes
+from tablewright.llm.common import SPACE, U64, Words, as_bytes, map_batches, mixed, pieces, window_hashes
 from tablewright.llm.graph import components
-from tablewright.storage import discard, materialize
+from tablewright.storage import discard, materialize, release
 
 SMALL = 64  # bands up to this size use one-deletion neighbourhoods
 RATIO = 1.5  # of a band's bounds
 SPARE = 0.12  # further segments, as a share
 FREQUENT = 8  # nodes of a key from which it may be given up
 FLUSH = 1_000_000
+MOST_SPARE = (1 << 20) - 2
 ROWS = "key bigint, node bigint, rep bigint, n int"
 
 
-def shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """Distinct n-gram hashes, ascending; fewer words are one n-gram; none: empty."""
-    if not len(words):
-        return np.empty(0, U64)
-    if len(words) < size:
-        return mixed(window_hashes(words, len(words)) + U64(len(words)))
-    return np.unique(window_hashes(words, size))
+def shingle_sets(words: Words, texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Distinct n-gram hashes of each text, ascending; fewer words are one n-gram, none
+    an empty set. A-Z are lower-cased."""
+    hashes, bounds = words([t.lower() for t in texts])
+    windows = window_hashes(hashes, size)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= size:
+            grams = np.sort(windows[a : b - size + 1])
+            new = grams[1:] != grams[:-1]
+            out.append(grams if new.all() else np.append(grams[0], grams[1:][new]))
+        else:
+            out.append(mixed(window_hashes(hashes[a:b], b - a) + U64(b - a)) if b > a else np.empty(0, U64))
+    return out
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -127,11 +135,10 @@ def document_sets(docs: DataFrame, size: int, id_column: str, text_column: str)
     """doc_id, text_hash, n_shingles, node (NULL for an empty set) of every row."""
 
     def run(batches):
-        hashes = WordHash()
+        words = Words()
         for batch in pieces(batches, "text"):
             n, nodes = [], []
-            for text in as_bytes(batch.column("text")):
-                grams = shingles(hashes.of(text.lower().split()), size)
+            for grams in shingle_sets(words, as_bytes(batch.column("text")), size):
                 n.append(len(grams))
                 nodes.append(node_of(grams) if len(grams) else None)
             yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": n, "node": nodes}
@@ -169,7 +176,7 @@ def _signature_rows(docs: DataFrame, size: int, bands: Bands, id_column: str, te
     """Key rows (rep 0) and, for nodes that meet in one task, pairs (rep, node, n)."""
 
     def run(batches):
-        hashes, seen = WordHash(), set()
+        words, seen = Words(), set()
         keys, nodes, held = [], [], 0
 
         def flush():
@@ -186,8 +193,7 @@ def _signature_rows(docs: DataFrame, size: int, bands: Bands, id_column: str, te
             }
 
         for batch in pieces(batches, "text"):
-            for text in as_bytes(batch.column("text")):
-                grams = shingles(hashes.of(text.lower().split()), size)
+            for grams in shingle_sets(words, as_bytes(batch.column("text")), size):
                 if not len(grams) or (node := node_of(grams)) in seen:
                     continue
                 seen.add(node)
@@ -260,9 +266,9 @@ def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int, id_c
     texts = rows.join(carrier, rows["doc_id"].eqNullSafe(carrier["d"]) & (rows["text_hash"] == carrier["h"])).select("text")
 
     def run(batches):
-        hashes, seen = WordHash(), set()
+        words, seen = Words(), set()
         for batch in pieces(batches, "text"):
-            found = {node_of(g): g for t in as_bytes(batch.column("text")) if len(g := shingles(hashes.of(t.lower().split()), size))}
+            found = {node_of(g): g for g in shingle_sets(words, as_bytes(batch.column("text")), size) if len(g)}
             new = [k for k in found if k not in seen]
             seen.update(new)
             yield {"node": new, "size": [len(found[k]) for k in new], "grams": pa.array([found[k].tobytes() for k in new], pa.binary())}
@@ -315,40 +321,49 @@ def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) ->
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("key", "node", "root", "deleted", "band", "size", "spare", "parts")}
+            out: dict[str, list] = {k: [] for k in ("key", "node", "root", "info")}
             for node, component, grams in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("grams")):
-                grams = np.frombuffer(grams.as_buffer(), U64)
-                for s in signatures(grams, bands):
+                for s in signatures(np.frombuffer(grams.as_buffer(), U64), bands):
                     k = len(s["keys"])
                     out["key"].append(s["keys"].view(np.int64))
-                    out["deleted"].append(s["deleted"])
-                    for name, value in (("node", node), ("root", component)):
-                        out[name].append(np.full(k, value, np.int64))
-                    for name, value in (("band", s["band"]), ("size", len(grams)), ("spare", s["spare"])):
-                        out[name].append(np.full(k, value, np.int32))
-                    out["parts"].append(np.full(k, s["parts"]))
+                    out["node"].append(np.full(k, node, np.int64))
+                    out["root"].append(np.full(k, component, np.int64))
+                    # Band, whether the key is a deletion, whether it is an equal part, parts to spare.
+                    spare = min(max(s["spare"], -1), MOST_SPARE) + 1
+                    out["info"].append((s["band"] << 2 | s["parts"] << 1 | s["deleted"].astype(np.int64)) * (MOST_SPARE + 2) + spare)
             if out["key"]:
                 yield {k: np.concatenate(v) for k, v in out.items()}
 
-    schema = "key bigint, node bigint, root bigint, deleted boolean, band int, size int, spare int, parts boolean"
-    keyed = materialize(map_batches(rows, run, schema), "keys")
+    keyed = map_batches(rows, run, "key bigint, node bigint, root bigint, info bigint")
+    # One shuffle of the keys; what a key holds is known where its rows lie.
+    same_key = Window.partitionBy("key")
+    flags = F.floor(F.col("info") / (MOST_SPARE + 2)).cast("bigint")
+    deleted = (flags % 2 == 1).cast("int")
     shared = (
-        keyed.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("deleted").alias("none"))
-        .where("lo <> hi AND NOT none").select("key", "n")
+        keyed.withColumns({
+            "n": F.count("*").over(same_key), "lo": F.min("root").over(same_key), "hi": F.max("root").over(same_key),
+            "none": F.min(deleted).over(same_key),
+        })
+        .where("lo <> hi AND none = 0")
+        .select(
+            "key", "node", "root", "n", (deleted == 1).alias("deleted"), (F.floor(flags / 2) % 2 == 1).alias("parts"),
+            F.floor(flags / 4).cast("int").alias("band"), (F.col("info") % (MOST_SPARE + 2) - 1).cast("int").alias("spare"),
+        )
     )
     frequent = Window.partitionBy("node", "band", "parts").orderBy(F.col("n").desc(), "key")
     whole = Window.partitionBy("node", "band", "parts")
     known = materialize(
-        keyed.join(shared, "key")
+        shared
         .withColumn("given_up", F.col("parts") & (F.col("n") >= FREQUENT) & (F.row_number().over(frequent) <= F.col("spare")))
         .withColumn("up", F.sum(F.col("given_up").cast("int")).over(whole))
         # Parts searched by, less the differences allowed to them, must be in common.
         .withColumn("searched", F.col("spare") - F.col("up"))
         .withColumn("probe", ~F.col("given_up") & (F.col("spare") >= 0))
+        .join(sets.select("node", "size"), "node")
         .select("key", "node", "root", "deleted", "band", "size", "parts", "searched", "probe"),
         "shared-keys",
     )
+    release(sets.sparkSession)
     p, q = known.where("probe").alias("p"), known.alias("q")
     met = p.join(q, F.col("p.key") == F.col("q.key")).where(
         "p.root <> q.root AND NOT (p.deleted AND q.deleted)"
@@ -366,7 +381,6 @@ def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) ->
     needed = F.expr(f"({bands.den} - {bands.num})") * (F.col("p_size") + partner)
     needed = F.floor(needed / (bands.den + bands.num)) + 1
     plausible = ~F.col("parts") | (F.col("n") >= F.col("searched") + needed - most)
-    discard(keyed)
     return counted.where(plausible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), known
 
 
@@ -388,15 +402,20 @@ def _join(docs, size, num, den, id_column="doc_id", text_column="text") -> tuple
     g = math.gcd(num, den)
     bands = Bands(num // g, den // g)
     sets = materialize(document_sets(docs, size, id_column, text_column), "sets")
+    spark = docs.sparkSession
     star = materialize(_star_pairs(_signature_rows(docs, size, bands, id_column, text_column)), "star-pairs")
+    release(spark)  # the shuffled keys, the largest step
     nodes = star.select("node").unionAll(star.select("rep")).distinct()
     grams = _sets_of(docs, sets, nodes, size, id_column, text_column)
+    release(spark)
     best = star.groupBy("node").agg(F.max(F.struct("n", "rep")).alias("m")).select(F.least("node", "m.rep").alias("a"), F.greatest("node", "m.rep").alias("b")).distinct()
     links = materialize(verify(best, grams, bands), "links")
+    release(spark)
     roots = materialize(components(links), "roots")
     pairs, known = _across(grams, roots, star, bands)
     more = materialize(verify(pairs, grams, bands), "links")
     discard(known, star, grams)
+    release(spark)
     links = links.unionAll(more)
     roots = components(links)
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "text_hash", "n_shingles", "root")
