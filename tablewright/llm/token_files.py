@@ -321,8 +321,15 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     schema = "part int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
     rows = map_batches(files, run, schema)
-    # One total per part, that is per written partition.
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+
+    def heads(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                found = [HEADER.unpack_from(data) for data in segments_of(memoryview(content.as_buffer()))]
+                yield {"part": [h[2] for h in found], "n_tokens": [h[5] for h in found]}
+
+    # One total per part, that is per written partition, from the headers alone.
+    totals = map_batches(files, heads, "part int, n_tokens bigint").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     offsets, total = [], 0
     for r in totals:
         offsets.append((r["part"], total))
