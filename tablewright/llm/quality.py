@@ -214,8 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             blocks = [features(t, units, shared.value).tobytes() for t in as_bytes(batch.column("text"))]
             yield {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": pa.array(blocks, pa.binary())}
 
-    # Equal ids in ``docs`` are seldom; the sample still bounds the distinct ones.
-    got = sorted((r["doc_id"], r["x"], r["label"]) for r in map_batches(rows, run, "doc_id bigint, label int, x binary").collect())
+    # One row per id, so that repeated ids do not add to the sample.
+    found = map_batches(rows, run, "doc_id bigint, label int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("m"))
+    got = sorted((r["doc_id"], r["m"]["x"], r["m"]["label"]) for r in found.collect())
     x = np.array([np.frombuffer(r[1], np.float32) for r in got], np.float64).reshape(len(got), 5 * DIMS)
     return table, fit_network(x, np.array([r[2] for r in got], np.float64))
 

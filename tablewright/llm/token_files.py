@@ -290,6 +290,11 @@ def write_token_files(
     map_batches(dealt, run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
+def part_and_ids(data: memoryview) -> tuple[int, int]:
+    """The part of a segment and its number of ids, from its header."""
+    return HEADER.unpack_from(data)[2::3]
+
+
 def segments_of(content: memoryview) -> Iterator[memoryview]:
     at = 0
     while at < len(content):
@@ -325,8 +330,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     def heads(batches):
         for batch in batches:
             for content in batch.column("content"):
-                found = [HEADER.unpack_from(data) for data in segments_of(memoryview(content.as_buffer()))]
-                yield {"part": [h[2] for h in found], "n_tokens": [h[5] for h in found]}
+                found = [part_and_ids(data) for data in segments_of(memoryview(content.as_buffer()))]
+                yield {"part": [p for p, _ in found], "n_tokens": [n for _, n in found]}
 
     # One total per part, that is per written partition, from the headers alone.
     totals = map_batches(files, heads, "part int, n_tokens bigint").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
