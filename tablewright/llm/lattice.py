@@ -166,7 +166,7 @@ class Lattice:
                         back[start] = np.logaddexp(back[start], through)
                         share = np.exp(total[start] + through + weight)
                         real = ids >= 0
-                        expected[: self.n_pieces] += np.bincount(ids[real], share[real], self.n_pieces)
+                        np.add.at(expected, ids[real], share[real])
                         if k == 1 and not real.all():
                             for row in np.flatnonzero(~real):
                                 for b in chr(int(chars[row, start])).encode("utf-8", "surrogatepass"):
