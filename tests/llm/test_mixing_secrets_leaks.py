@@ -158,6 +158,35 @@ def test_leaks_against_plain_search(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """1000 items, a third of 15 words; 0 to 45 % of their words replaced, the last fifth kept."""
+    rng = random.Random(12)
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 2000").collect()]
+    spans = []
+    for k in range(1000):
+        text, n = rng.choice(texts), 15 if k % 3 == 0 else rng.randint(16, 59)
+        at = rng.randint(0, len(text) - n)
+        spans.append(text[at : at + n])
+    hashes, bounds = decontaminate.split(decontaminate.splitter(), [" ".join(s).encode() for s in spans])
+    items = [decontaminate.make_item(k, hashes[a:b]) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
+    rows, planted = [], set()
+    for k in range(0, 1000, 2):
+        words, keep = list(spans[k]), max(1, len(spans[k]) // 5)
+        for at in rng.sample(range(len(words) - keep), int(rng.choice([0, 0.2, 0.4, 0.45]) * len(words))):
+            words[at] = rng.choice(rng.choice(texts))
+        around = rng.choice(texts)
+        at = rng.randint(0, len(around))
+        text = [*around[max(0, at - 120) : at], *words, *around[at : at + 120]]
+        rows.append((k, " ".join(text)))
+        found, _ = decontaminate.split(decontaminate.splitter(), [" ".join(words).encode()])
+        if decontaminate.judge(items[k], found.tolist()):
+            planted.add((k, k))
+    assert len(planted) > 450
+    benchmark = spark.createDataFrame([(k, " ".join(s)) for k, s in enumerate(spans)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), benchmark).collect()}
+    assert len(planted & got) >= 0.99 * len(planted)
+
+
 def test_leaks_of_odd_rows(spark, odd, nothing):
     benchmark = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None), (None, "x"), (3, ""), (4, "zz yy xx")], "item_id bigint, text string")
     got = decontaminate.find_leaks(odd, benchmark).collect()
