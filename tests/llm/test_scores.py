@@ -169,6 +169,15 @@ def test_rules_keep_clean_documents(spark):
     assert np.mean(clean) >= 0.98
 
 
+def test_rules_reject_toxic_and_poor_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op5_quality_rules"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    rejected = lambda q, t: np.mean([not r.kept for r in got if (r.quality, r.toxic) in [(q, x) for x in t]])
+    assert rejected(1, [0]) <= 0.015
+    assert rejected(1, [1]) >= 0.75
+    assert rejected(0, [0, 1]) >= 0.99
+
+
 def test_held_out_of_null_id(odd):
     rows = odd.select("doc_id", held_out("doc_id", 5, 0).alias("h")).where("doc_id IS NULL").collect()
     assert all(r.h for r in rows)
