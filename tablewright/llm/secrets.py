@@ -3,9 +3,8 @@
 The patterns' matches are labelled credentials. Their values, as strings of character
 classes, form a prefix tree per kind; states whose statistics agree are merged (a
 Hoeffding bound on their outgoing and ending frequencies, merged recursively), which
-leaves a probabilistic automaton. Ordinary long tokens give a background automaton in the
-same way. Every other long token is scored by the log likelihood per character of its
-best format against the background.
+leaves a probabilistic automaton. All other tokens give a background automaton in the same way. Every other token is scored by the log likelihood per character of its best format
+against the background; those under LONG characters by the formats that have such values.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,10 @@ KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+SHORTEST = 6  # characters of an assigned value
+LONG = 16  # characters from which a token is scored by every format
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
+_LETTER = re.compile("[A-Za-z]")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SAMPLE = 2000  # class strings per kind that an automaton is inferred from, the first by hash
 LONGEST = 200  # longer values are scored, not learned from
@@ -39,8 +41,12 @@ _CLASS |= {chr(c): "U" for c in range(65, 91)} | {c: c for c in "+/_.=-"}
 SYMBOLS = sorted(set(_CLASS.values()))
 
 
+_CLASSES = str.maketrans(_CLASS)
+REMEMBERED = 100_000  # tokens or class strings a task remembers something of
+
+
 def classes(value: str) -> str:
-    return "".join(map(_CLASS.__getitem__, value))
+    return value.translate(_CLASSES)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -49,7 +55,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     longest = max(map(len, text.split()), default=0)
     low = text.lower()
     if any(k in low for k in KEYWORDS):
-        found += [(*m.span(), 0, m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(*m.span(), 0, m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= SHORTEST]
     if longest >= 20 and "AKIA" in text:
         found += [(*m.span(), 1, m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     if longest >= 24:
@@ -57,10 +63,9 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Long tokens with a letter that no base span touches, without punctuation at the ends."""
-    if not any(len(w) >= 16 for w in text.split()):
-        return []
+def candidates(text: str, base: list[tuple[int, int, int, str]], least: int = SHORTEST) -> list[tuple[int, int, str]]:
+    """Tokens of ``least`` characters with a letter that no base span touches, without
+    punctuation at the ends."""
     out, at = [], 0
     covered = []
     for start, end, *_ in base:  # by start: merged into disjoint ranges
@@ -74,7 +79,7 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
         end = m.start() + len(value)
         while at < len(covered) and covered[at][1] <= start:
             at += 1
-        if end - start >= 16 and _LETTER.search(value) and not (at < len(covered) and covered[at][0] < end):
+        if end - start >= least and _LETTER.search(value) and not (at < len(covered) and covered[at][0] < end):
             out.append((start, end, text[start:end]))
     return out
 
@@ -166,33 +171,37 @@ class Automaton:
         return (total + self.end[state]) / (len(string) + 1)
 
 
-FOUND = "doc_id bigint, base array<struct<start: int, end: int, kind: int>>, tokens array<struct<start: int, end: int, classes: string, digit: boolean>>, labels array<struct<kind: int, classes: string>>"
-
-
-def find_base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: base spans, the other long tokens and the classes of all of them."""
+def class_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """kind, classes, n: class strings of the values of base spans, and (kind 3) of all
+    other tokens."""
 
     def run(batches):
         for batch in pieces(batches, "text"):
-            base, tokens, labels = [], [], []
+            labels, plain = Counter(), Counter()
             for text in batch.column("text").to_pylist():
-                spans = base_spans(text) if text else []
-                others = candidates(text, spans) if text else []
-                base.append([{"start": a, "end": b, "kind": k} for a, b, k, _ in spans])
-                tokens.append([{"start": a, "end": b, "classes": classes(v), "digit": bool(_DIGIT.search(v))} for a, b, v in others])
-                labels.append([{"kind": k, "classes": classes(v)} for _, _, k, v in spans])
-            yield {"doc_id": batch.column("doc_id"), "base": base, "tokens": tokens, "labels": labels}
-
-    return map_batches(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")), run, FOUND)
-
-
-def infer_automata(found: DataFrame) -> dict[int, Automaton]:
-    """One automaton per credential kind, and one (key 3) of ordinary tokens: those
-    without a digit. Each from SAMPLE class strings with their counts."""
-    labelled = found.select(F.explode("labels").alias("l")).select("l.kind", "l.classes")
-    plain = found.select(F.explode("tokens").alias("t")).where("NOT t.digit").select(F.lit(3).alias("kind"), "t.classes")
-    counted = labelled.unionAll(plain).where(F.length("classes") <= LONGEST).groupBy("kind", "classes").count()
-    counted = materialize(counted, "credential-classes")
+                if text:
+                    spans = base_spans(text)
+                    labels.update((kind, classes(value)) for *_, kind, value in spans)
+                    plain.update(value for *_, value in candidates(text, spans))
+            for value, n in plain.items():
+                labels[3, classes(value)] += n
+            kinds, strings = zip(*labels) if labels else ((), ())
+            yield {"kind": list(kinds), "classes": list(strings), "n": list(labels.values())}
+
+    parts = map_batches(docs.select(F.col(text_column).alias("text")), run, "kind int, classes string, n bigint")
+    return parts.groupBy("kind", "classes").agg(F.sum("n").alias("count"))
+
+
+def shortest_values(counted: DataFrame) -> dict[int, int]:
+    """Characters from which tokens are scored by each kind that has labelled values."""
+    rows = counted.where("kind < 3").groupBy("kind").agg(F.min(F.length("classes")).alias("n")).collect()
+    return {r["kind"]: min(LONG, r["n"]) for r in rows}
+
+
+def infer_automata(counted: DataFrame) -> dict[int, Automaton]:
+    """One automaton per credential kind, and one (key 3) of all tokens outside base
+    spans. Each from SAMPLE class strings with their counts."""
+    counted = counted.where(F.length("classes") <= LONGEST)
     out = {}
     for kind in range(4):
         rows = counted.where(F.col("kind") == kind).orderBy(F.xxhash64("classes"), "classes").limit(SAMPLE).collect()
@@ -206,26 +215,32 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     end, kind, score) per row.
 
     Spans count code points, the end excluded; an assign span is the whole match. A NULL
-    or empty text has none. A grammar span has a letter and a digit. Without
-    labelled credentials there are no automata and no grammar spans. Rows of one id are
-    scanned each; an empty table gives an empty one; other columns are not read."""
-    found = materialize(find_base(docs, id_column, text_column), "secret-spans")
-    automata = infer_automata(found)
-    shared = found.sparkSession.sparkContext.broadcast(automata)  # states of bounded samples
-
-    def best(string: str) -> float:
-        formats = [a for k, a in shared.value.items() if k < 3]
+    or empty text has none. A grammar span has a letter and is as long as the shortest
+    labelled value of its format, or LONG. Without labelled credentials there are no
+    automata and no grammar spans. Rows of one id are scanned each; an empty table gives
+    an empty one; other columns are not read."""
+    counted = materialize(class_counts(docs, text_column), "credential-classes")
+    shortest = shortest_values(counted)
+    automata = infer_automata(counted) if shortest else {}
+    least = min(shortest.values(), default=0)
+    shared = docs.sparkSession.sparkContext.broadcast(automata)  # states of bounded samples
+
+    def score(string: str) -> float:
+        formats = [a for k, a in shared.value.items() if k < 3 and len(string) >= shortest[k]]
         if not formats:
             return -math.inf
         plain = shared.value[3].score(string) if 3 in shared.value else -math.log(len(SYMBOLS) + 1)
         return max(a.score(string) for a in formats) - plain
 
     def run(batches):
-        for batch in batches:
+        by_classes, by_value = lru_cache(REMEMBERED)(score), lru_cache(REMEMBERED)(lambda value: by_classes(classes(value)))
+        for batch in pieces(batches, "text"):
             out = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_grammar", "base_sha256", "spans", "found")}
-            for base, tokens in zip(batch.column("base").to_pylist(), batch.column("tokens").to_pylist()):
-                more = [(t["start"], t["end"], 3, s) for t in tokens if t["digit"] and (s := best(t["classes"])) >= MARGIN]
-                own = [(s["start"], s["end"], s["kind"], None) for s in base]
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text) if text else []
+                tokens = candidates(text, base, least) if text and least else []
+                more = [(a, b, 3, s) for a, b, value in tokens if (s := by_value(value)) >= MARGIN]
+                own = [(a, b, kind, None) for a, b, kind, _ in base]
                 name = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k, _ in spans)
                 both = sorted(own + more, key=lambda s: (s[0], s[2]))
                 for k, column in enumerate(("n_assign", "n_access", "n_hex", "n_grammar")):
@@ -239,4 +254,5 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_grammar bigint, base_sha256 string, spans string, "
         "found array<struct<start: int, end: int, kind: string, score: double>>"
     )
-    return map_batches(found.select("doc_id", "base", "tokens"), run, schema)
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    return map_batches(rows, run, schema)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -114,6 +115,20 @@ def test_grammar_spans_find_the_format(spark):
     assert sum(r.n_grammar for r in found.values()) == 1
 
 
+def test_grammar_spans_of_letters_and_of_short_values(spark):
+    rng = random.Random(6)
+    mixed = lambda n, letters=string.ascii_letters + string.digits: "".join(rng.choices(letters, k=n))
+    prose = "The international committee described several ordinary developments because another government considered them. "
+    rows = [(i, prose * 3 + f"password = {mixed(20 if i % 2 else 10)} Understanding") for i in range(600)]
+    rows += [(1000 + i, prose + mixed(20, string.ascii_letters) + " " + prose) for i in range(40)]
+    rows += [(2000 + i, prose + mixed(10) + " " + prose) for i in range(40)]
+    rows += [(3000, prose * 5 + "Responsibilities INTERNATIONALISATION misunderstanding")]
+    found = {r.doc_id: r.n_grammar for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(found[1000 + i] == 1 for i in range(40)) >= 36
+    assert sum(found[2000 + i] == 1 for i in range(40)) >= 32
+    assert sum(n for d, n in found.items() if d < 1000) == 0
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):
