@@ -30,7 +30,7 @@ LONG = 16  # characters from which a token is scored by every format
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 _LETTER = re.compile("[A-Za-z]")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-SAMPLE = 2000  # class strings per kind that an automaton is inferred from, the first by hash
+SAMPLE = 2000  # class strings per kind that an automaton is inferred from, drawn by hash with the odds of their counts
 LONGEST = 200  # longer values are scored, not learned from
 ALPHA = 0.05  # of the Hoeffding bound
 FEWEST = 20  # passes a state needs before its statistics can differ
@@ -202,9 +202,11 @@ def infer_automata(counted: DataFrame) -> dict[int, Automaton]:
     """One automaton per credential kind, and one (key 3) of all tokens outside base
     spans. Each from SAMPLE class strings with their counts."""
     counted = counted.where(F.length("classes") <= LONGEST)
+    # Each value has an exponential time by a hash of its string: often seen, soon drawn.
+    late = -F.log((F.pmod(F.xxhash64("classes"), F.lit(1 << 52)) + F.lit(1)) / F.lit(float(1 << 52))) / F.col("count")
     out = {}
     for kind in range(4):
-        rows = counted.where(F.col("kind") == kind).orderBy(F.xxhash64("classes"), "classes").limit(SAMPLE).collect()
+        rows = counted.where(F.col("kind") == kind).orderBy(late, "classes").limit(SAMPLE).collect()
         if rows:
             out[kind] = Automaton({r["classes"]: r["count"] for r in rows})
     return out

@@ -105,6 +105,15 @@ def test_automaton_learns_a_format():
     assert good > other + 1
 
 
+def test_frequent_class_strings_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE", 20)
+    for k in range(10):
+        often = "U" * 6 + "-" * (k + 1) + "x" * 8
+        rows = [(0, "x" * (10 + i % 20) + "l" * (i // 20 + 1), 1) for i in range(400)] + [(0, often, 200)]
+        learned = secrets.infer_automata(spark.createDataFrame(rows, "kind int, classes string, count bigint"))
+        assert learned[0].passes[0]["U"] == 200
+
+
 def test_grammar_spans_find_the_format(spark):
     rng = random.Random(1)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
