@@ -47,7 +47,7 @@ SELECT id, bal, code FROM raw WHERE id::BIGINT BETWEEN 50 AND 149""")
 def read_delimited_range(t):
     path = work_path(t.spark, "ranged")
     lines = writers.csv_lines(raw_text(t).select("id", "bal", "code"))
-    body = lines.withColumn("n", F.regexp_extract("line", '^"(\\d+)"', 1).cast("int")).repartition(1).sortWithinPartitions("n")
+    body = lines.withColumn("n", F.regexp_extract("line", '^"(\\d+)"', 1).cast("bigint")).repartitionByRange("n").sortWithinPartitions("n")
     writers.write_lines(body.select("line"), path)
     # No title row: data lines 51 to 150 are the customers 50 to 149.
     df = readers.read_delimited(t.spark, path, header=False, title_row=1, first_row=51, last_row=150)

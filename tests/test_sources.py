@@ -164,3 +164,23 @@ def test_log_pages_survive_equal_times(spark):
             break
         cursor = (page[-1]["executed_at"], page[-1]["id"])
     assert seen == list(range(59, -1, -1))
+
+
+def test_range_of_lines_spans_ordered_files(spark, monkeypatch):
+    from tablewright.plans import load, moving
+
+    write, parts = moving.writers.write_lines, []
+
+    def counted(lines, path, *rest):
+        parts.append(lines.rdd.getNumPartitions())
+        write(lines, path, *rest)
+
+    monkeypatch.setattr(moving.writers, "write_lines", counted)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many files as partitions
+    try:
+        rows = load()[0]["read_delimited_range"](spark, "/root/testdata/sf0.01").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert parts[0] > 1
+    assert sorted(int(r.id) for r in rows) == list(range(50, 150))
