@@ -156,6 +156,35 @@ def test_rule_counts(spark, odd):
     assert all(not r.kept for r in got if r.base_failed)
 
 
+def test_rule_verdict_recomputed(spark, odd):
+    """Scores, threshold and verdict of a bounded target by plain counting."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionAll(odd.selectExpr("doc_id + 9000000", "text"))
+    rows = docs.where("doc_id IS NOT NULL").collect()
+    bound = 40
+    chosen = {int(i) for i in quality_rules.trusted_sample(docs.where("doc_id % 3 = 0"), bound)}
+    assert len(chosen) == bound and all(i % 3 == 0 for i in chosen)
+    words = quality_rules.Words()
+
+    def buckets(text):
+        hashes, bounds = words([(text or "").encode()])
+        return [int(b) for part in quality_rules.grams(hashes, bounds) for b in part]
+
+    raw, target = Counter(), Counter()
+    for r in docs.collect():
+        raw.update(buckets(r.text))
+        target.update(buckets(r.text) if r.doc_id in chosen else ())
+    n, t = sum(raw.values()) + quality_rules.BUCKETS, sum(target.values()) + quality_rules.BUCKETS
+    score = lambda text: np.mean([np.log((target[b] + 1) / t) - np.log((raw[b] + 1) / n) for b in buckets(text)] or [0])
+    plain = {(r.doc_id, r.text): score(r.text) for r in rows}
+    got = quality_rules.quality_rules(docs, docs.where("doc_id % 3 = 0"), bound).join(docs.where("doc_id <> 9000009").distinct(), "doc_id").collect()
+    assert len(got) > 200 and max(abs(r.score - plain[r.doc_id, r.text]) for r in got) < 1e-4
+    reach = sorted(plain[r.doc_id, r.text] for r in rows if r.doc_id in chosen and not plain_rules(r.text)[-1])
+    least = got[0].threshold
+    assert sum(x >= least - 1e-4 for x in reach) >= quality_rules.KEPT * len(reach)
+    assert sum(x >= least + 2e-4 for x in reach) < quality_rules.KEPT * len(reach)
+    assert all(r.kept == (not r.base_failed and r.score >= least) for r in got)
+
+
 def test_rules_without_trusted(odd, nothing):
     got = quality_rules.quality_rules(odd, nothing.select("doc_id")).collect()
     assert len(got) == odd.count() and all(r.kept != r.base_failed for r in got)
