@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import (
+    conversations,
     decontaminate,
+    filter_audit,
     jaccard,
     language,
     lattice,
     line_dedup,
     mixing,
+    packing,
     quality,
     quality_rules,
     secrets,
@@ -23,7 +26,13 @@ from tablewright.llm import (
 from tablewright.llm.common import held_out
 from tablewright.session import Tables
 
-TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+# zlib's crc32 of the decimal conv_id, bit by bit.
+CRC32_SQL = """xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+  ), 4294967295)"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -171,14 +180,101 @@ def op7(t: Tables) -> DataFrame:
 
 @register("op8_token_files")
 def op8(t: Tables) -> DataFrame:
-    return token_files.token_files(t.documents, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_files.token_files(t.documents, BYTE_BPE)
 
 
 @register("op9_lattice_lm")
 def op9(t: Tables) -> DataFrame:
-    return lattice.lm_scores(t.spark, t.documents, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return lattice.lm_scores(t.spark, t.documents, PIECE_BPE)
 
 
 @register("op10_decontamination")
 def op10(t: Tables) -> DataFrame:
     return decontaminate.find_leaks(t.documents, t.benchmark)
+
+
+@register("op11_packing")
+def op11(t: Tables) -> DataFrame:
+    return packing.pack_documents(t.documents, BYTE_BPE)
+
+
+@register(
+    "op12_filter_audit",
+    r"""
+    WITH docs AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), failed AS (
+      SELECT doc_id, part, [
+               len(w) < 200,
+               100 * len(list_distinct(w)) < 50 * len(w),
+               100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+               regexp_matches(t, '[#$%&*|]'),
+               coalesce(min(doc_id) OVER (PARTITION BY t) < coalesce(doc_id, 9223372036854775807), false)] AS f
+      FROM docs
+    ), label AS (
+      SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id
+    ), counts AS (
+      SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM failed LEFT JOIN label USING (doc_id) GROUP BY part, f
+    ), letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+    orders AS (
+      SELECT [a.k, b.k, c.k, d.k, e.k] AS o, concat(chr(64 + a.k), chr(64 + b.k), chr(64 + c.k), chr(64 + d.k), chr(64 + e.k)) AS filter_order
+      FROM letters a, letters b, letters c, letters d, letters e
+      WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+    ), walked AS (
+      SELECT part, filter_order, n, good, toxic, step, f[o[step]] AS fails,
+             coalesce(list_bool_or([f[x] for x in o[1:step - 1]]), false) AS gone,
+             len([x for x in f if x]) AS n_failed
+      FROM counts, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+           sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN fails AND n_failed = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+           (sum(sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)) OVER (PARTITION BY part, substr(filter_order, CAST(step AS INTEGER), 1)))::BIGINT AS shapley
+    FROM walked GROUP BY part, filter_order, step
+    """,
+)
+def op12(t: Tables) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_masks(t.documents), t.labels)
+
+
+@register(
+    "op13_conversation_trie",
+    r"""
+    WITH own AS (
+      SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                           ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                    md5(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, '')))) AS turns
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ), hashed AS (SELECT conv_id, turns, CRC32_OF_ID % 9 AS h FROM own),
+    rebuilt AS (
+      SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+      FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+    ), member AS (
+      SELECT conv_id, len(turns) AS n, d AS depth, turns[1:d] AS path
+      FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+    ), nodes AS (
+      SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends,
+             CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(path[depth].t)) END AS bytes
+      FROM member GROUP BY path, depth
+    ), kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    counted AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+    below AS (
+      SELECT path[1:a] AS path, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+      FROM (SELECT *, unnest(range(depth + 1)) AS a FROM counted) GROUP BY 1
+    )
+    SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+           b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(c.ends) AS ends_sha256
+    FROM counted c JOIN below b USING (path) LEFT JOIN counted p ON c.depth > 0 AND p.path = c.path[1:c.depth - 1]
+    """.replace("CRC32_OF_ID", CRC32_SQL),
+)
+def op13(t: Tables) -> DataFrame:
+    return conversations.prefix_trie(conversations.rebuilt(t.conversations))

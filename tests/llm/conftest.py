@@ -1,6 +1,6 @@
 import pytest
 
-from tablewright.llm.queries import TOKENIZERS
+from tablewright.llm.queries import BYTE_BPE, PIECE_BPE
 
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, node bigint, row string, "
@@ -42,9 +42,9 @@ def nothing(spark):
 
 @pytest.fixture(scope="session")
 def bpe():
-    return f"{TOKENIZERS}/byte_bpe_50k.json"
+    return BYTE_BPE
 
 
 @pytest.fixture(scope="session")
 def piece_model():
-    return f"{TOKENIZERS}/piece_bpe_32k.model"
+    return PIECE_BPE
