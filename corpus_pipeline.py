@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import decontaminate, jaccard, mixing, quality, token_files
-from tablewright.llm.queries import TOKENIZERS, quality_labels
+from tablewright.llm.queries import BYTE_BPE, quality_labels
 from tablewright.session import Tables
 from tablewright.storage import materialize
 
@@ -29,7 +29,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.token_files(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_files.token_files(docs, BYTE_BPE)
 
 
 STAGES = [
