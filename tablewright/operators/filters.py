@@ -118,20 +118,24 @@ def filter_parse_value(df: DataFrame, column: str, mode: str, text: str = "", ot
     return filter_rule(column, mode, value, upper)
 
 
-# Lists up to this length stay in the plan as a hash-set predicate.
+# Lists up to this length stay in the plan as a hash-set predicate; longer ones give the
+# same rows by a join.
 INLINE_LIST = 1000
 
 
 def filter_in_list(df: DataFrame, column: str, values: list[Any] | DataFrame) -> DataFrame:
     """Rows whose value is in a pasted list; a NULL in the list stands for missing
-    values. Short lists push down to the scan; a longer list or a DataFrame becomes a
-    null-safe semi join, with the same result, and Spark picks the side."""
+    values, and a list without values, given either way, is no filter. Short lists push
+    down to the scan; a longer list or a DataFrame becomes a null-safe semi join, with the
+    same result, and Spark picks the side."""
     if isinstance(values, list) and len(values) <= INLINE_LIST:
         return apply_filter(df, filter_in(column, values))
     if isinstance(values, list):
         kind = df.schema[column].dataType
         wanted = list(dict.fromkeys(values))
         values = df.sparkSession.createDataFrame([(v,) for v in wanted], T.StructType([T.StructField("v", kind)]))
+    elif values.isEmpty():
+        return df
     wanted = values.select(F.col(values.columns[0]).alias("_v"))
     return df.join(wanted, F.col(column).eqNullSafe(F.col("_v")), "left_semi")
 

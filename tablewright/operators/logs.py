@@ -76,11 +76,10 @@ def log_search_page(
         c = F.col(at)
         rows = df.where((c <= t) & ((c < t) | ((c == t) & (F.col(key) < i))))
     page = rows.orderBy(F.desc(at), F.desc(key)).limit(size + 1)
-    total = df.agg(F.count("*").alias("total"))
-    # The page has at most 201 rows, the total is one row.
+    # The page has at most 201 rows.
     found = page.agg(
         F.slice(F.sort_array(F.collect_list(F.struct(at, key, F.struct(*df.columns).alias("r"))), asc=False), F.lit(1), F.lit(size)).alias("p"),
         (F.count("*") > size).alias("has_more"),
     )
-    both = found.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    return both.select(F.inline("p"), "has_more", "total").select("r.*", "total", "has_more")
+    rows = found.select(F.inline("p"), "has_more").select("r.*", "has_more")
+    return rows.withColumn("total", df.agg(F.count("*")).scalar()).select(*df.columns, "total", "has_more")

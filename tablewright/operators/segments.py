@@ -285,7 +285,8 @@ def sliding(
 
     Rows are put in blocks of ``width`` along ``place``; a row near a block
     border is also sent to the neighbour block, so that each block holds every
-    row its frames can see. ``aggs`` maps an output name to an aggregate.
+    row its frames can see. Rows without a place have a block of their own: their
+    frames hold them alone. ``aggs`` maps an output name to an aggregate.
     """
     reach = max(abs(low), abs(high))
     width = max(width or 100_000, reach, 1)
@@ -293,10 +294,10 @@ def sliding(
     block = F.floor(F.col("_spot") / F.lit(width)).cast("bigint")
     first = F.floor((F.col("_spot") - F.lit(max(high, 0))) / F.lit(width)).cast("bigint")
     last = F.floor((F.col("_spot") + F.lit(max(-low, 0))) / F.lit(width)).cast("bigint")
-    rows = rows.withColumn("_home", block).withColumn("_block", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("_home", block).withColumn("_block", F.explode_outer(F.sequence(first, last)))
     frame = Window.partitionBy(*keys, "_block").orderBy("_spot").rangeBetween(low, high)
     rows = rows.withColumns({name: agg.over(frame) for name, agg in aggs.items()})
-    return rows.where(F.col("_home") == F.col("_block")).drop("_spot", "_home", "_block")
+    return rows.where(F.col("_home").eqNullSafe(F.col("_block"))).drop("_spot", "_home", "_block")
 
 
 def with_running_index(

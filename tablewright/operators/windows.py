@@ -210,9 +210,9 @@ def densify(
         low, high = (F.lit(x).cast(kind) for x in bounds)
         groups = groups.select(*keys, low.alias("lo"), high.alias("hi"))
     elif bounds == "full":
-        whole = df.agg(F.min(field).alias("lo"), F.max(field).alias("hi"))
-        if keys:  # one row for all groups
-            groups = groups.drop("lo", "hi").withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        if keys:  # the range of the whole table, as a scalar
+            whole = df.agg(F.struct(F.min(field).alias("lo"), F.max(field).alias("hi"))).scalar()
+            groups = groups.drop("lo", "hi").withColumn("_whole", whole).select(*keys, "_whole.lo", "_whole.hi")
     open_end = isinstance(bounds, (list, tuple))
     if months:
         span = F.floor(F.months_between(F.col("hi"), F.col("lo"), False) / months) + 1

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import changeset, diff, sync
+from tablewright.operators import changeset, checksums, diff, sync
 from tablewright.plans.registry import query
 
 KEY = ["o_orderkey"]
@@ -46,17 +46,46 @@ def perturbed(orders):
     return kept.unionByName(copies)
 
 
-@query("diff_rows", f"""WITH {TARGET_SQL}
+DIFF_SQL = f"""WITH {TARGET_SQL}
 SELECT status, o_orderkey,
        CASE WHEN status = 'modified' THEN c_status::INT + c_price::INT ELSE 0 END AS n_changes,
        CASE WHEN status = 'modified' THEN concat_ws(',', CASE WHEN c_status THEN 'o_orderstatus' END,
             CASE WHEN c_price THEN 'o_totalprice' END) ELSE '' END AS changed_columns
-FROM changed""")
+FROM changed"""
+
+
+@query("diff_rows", DIFF_SQL)
 def diff_rows(t):
     rows = diff.diff_rows(t.orders, perturbed(t.orders), KEY)
     return rows.select("status", "o_orderkey", "n_changes", "changed_columns")
 
 
+@query("diff_rows_checksum", DIFF_SQL)
+def diff_rows_checksum(t):
+    rows = checksums.diff_rows(t.orders, perturbed(t.orders), KEY, range_rows=500)
+    return rows.select("status", "o_orderkey", "n_changes", "changed_columns")
+
+
+@query("diff_rows_checksum_recent", """
+WITH tgt AS (SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 AND o_orderkey > (SELECT max(o_orderkey) FROM orders) - 200 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders)
+SELECT 'modified' AS status, o_orderkey, s.o_totalprice AS was, t.o_totalprice AS now FROM tgt s JOIN orders t USING (o_orderkey) WHERE s.o_totalprice <> t.o_totalprice""")
+def diff_rows_checksum_recent(t):
+    """Changes that lie together: all but a few key ranges stay out of the join."""
+    newest = t.orders.agg(F.max("o_orderkey")).first()[0] or 0
+    late = (F.col("o_orderkey") % 3 == 0) & (F.col("o_orderkey") > newest - 200)
+    changed = t.orders.withColumn("o_totalprice", F.when(late, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    rows = checksums.diff_rows(changed, t.orders, KEY, range_rows=500)
+    return rows.select("status", "o_orderkey", F.col("s_o_totalprice").alias("was"), F.col("t_o_totalprice").alias("now"))
+
+
+@query("table_equal_checksum", """
+SELECT 'orders' AS name, 'same' AS result UNION ALL SELECT 'changed', 'different' UNION ALL SELECT 'lineitem', 'same'""")
+def table_equal_checksum(t):
+    parts = {"orders": (t.orders, t.orders.repartition(3)), "changed": (t.orders, perturbed(t.orders)), "lineitem": (t.lineitem, t.lineitem.repartition(5))}
+    out = [checksums.table_equal(*pair).select(F.lit(name).alias("name"), "result") for name, pair in parts.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
 @query("diff_rows_whole", f"""WITH {TARGET_SQL}
 SELECT c.status, c.o_orderkey, CASE WHEN c.status = 'modified' THEN c_status::INT + c_price::INT ELSE 0 END AS n_changes,
   s.o_custkey AS s_o_custkey, s.o_orderstatus AS s_o_orderstatus, s.o_totalprice AS s_o_totalprice, s.o_orderdate::VARCHAR AS s_o_orderdate, s.o_orderpriority AS s_o_orderpriority,

@@ -277,10 +277,11 @@ WITH g AS (SELECT o_orderpriority AS p, count(*) AS orders, min(o_totalprice) AS
 c AS (SELECT p, 'orders' AS "column", orders::VARCHAR AS v FROM g UNION ALL SELECT p, 'low', low::VARCHAR FROM g
       UNION ALL SELECT p, 'high', high::VARCHAR FROM g)
 SELECT "column", max(v) FILTER (p = '1-URGENT') AS "1-URGENT", max(v) FILTER (p = '2-HIGH') AS "2-HIGH",
+       max(v) FILTER (p = '3-MEDIUM') AS "3-MEDIUM", max(v) FILTER (p = '4-NOT SPECIFIED') AS "4-NOT SPECIFIED",
        max(v) FILTER (p = '5-LOW') AS "5-LOW" FROM c GROUP BY 1""")
 def transpose(t):
     g = t.orders.groupBy(F.col("o_orderpriority").alias("p")).agg(
         F.count("*").alias("orders"), F.min("o_totalprice").alias("low"),
         F.max("o_totalprice").alias("high"),
     )
-    return shape.transpose(g, "p", ["1-URGENT", "2-HIGH", "5-LOW"])
+    return shape.transpose(g, "p", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])

@@ -16,9 +16,9 @@ def messages(t):
     return queues.as_messages(t.events, F.col("event_id") % 6, "event_id", F.col("user_id").cast("string"), F.col("props"), "ts")
 
 
-@query("read_messages", f"""WITH {MSG_SQL} SELECT partition, "offset", key, value FROM m WHERE partition = 3 AND "offset" >= 500 ORDER BY "offset" LIMIT 400""")
+@query("read_messages", f"""WITH {MSG_SQL} SELECT partition, "offset", key, value FROM m WHERE partition = 3 AND "offset" >= 50 ORDER BY "offset" LIMIT 400""")
 def read_messages(t):
-    return readers.peek_messages(messages(t), 400, 3, 500).select("partition", "offset", "key", "value")
+    return readers.peek_messages(messages(t), 400, 3, 50).select("partition", "offset", "key", "value")
 
 
 @query("stream_positions", f"""WITH {MSG_SQL} SELECT 'earliest' AS start, count(*) AS n FROM m
@@ -37,9 +37,9 @@ def stream_query_time(t):
     return queues.query_time(messages(t), "2024-01-05 00:00:00", "2024-01-09 00:00:00", 1000).select("partition", "offset", "key")
 
 
-@query("stream_query_key", f"""WITH {MSG_SQL} SELECT partition, "offset", value FROM m WHERE key = '17'""")
+@query("stream_query_key", f"""WITH {MSG_SQL} SELECT partition, "offset", value FROM m WHERE key = '7'""")
 def stream_query_key(t):
-    return queues.query_key(messages(t), "17").select("partition", "offset", "value")
+    return queues.query_key(messages(t), "7").select("partition", "offset", "value")
 
 
 @query("stream_backlog", f"""WITH {MSG_SQL},

@@ -205,6 +205,22 @@ def lineage_join(t):
     return metadata.lineage_join(cols.select("table_name", "name").distinct(), cols, fks)
 
 
+@query("lineage_references", f"""WITH
+g AS (SELECT DISTINCT lower(regexp_extract(text, '[\\w$]+', 0)) AS tt, lower(regexp_extract(text, '([\\w$]+)[^\\w$]+([\\w$]+)', 2)) AS tc FROM documents WHERE regexp_matches(text, '[\\w$]+[^\\w$]+[\\w$]+')),
+st AS (SELECT 'viewReference' AS kind, 'public' AS schema_name, 'v' || doc_id AS ref, text FROM documents
+       UNION ALL SELECT 'historyReference', NULL, conv_id || '-' || turn, text FROM conversations),
+w AS (SELECT DISTINCT kind, schema_name, ref, lower(unnest(regexp_extract_all(text, '[\\w$]+'))) AS word FROM st)
+SELECT tt, tc, c.kind, CASE WHEN t.word IS NULL THEN 'possible' ELSE 'likely' END AS confidence, c.schema_name, c.ref
+FROM g JOIN w c ON c.word = tc LEFT JOIN w t ON t.word = tt AND t.kind = c.kind AND t.ref = c.ref""")
+def lineage_references(t):
+    """Every document's first two words as a table and its column, looked up in all texts."""
+    _, _, views, history = meta(t)
+    word = r"([\w$]+)[^\w$]+([\w$]+)"
+    names = [F.regexp_extract("text", word, i) for i in (1, 2)]
+    targets = t.documents.select(names[0].alias("table_name"), names[1].alias("name")).where("name <> ''")
+    return metadata.lineage_references(targets, views, history)
+
+
 # --- logs: a query log derived from the events ------------------------------------------
 
 SQL_TEXT = """CASE event_id % 6 WHEN 0 THEN 'SELECT * FROM t' || event_id WHEN 1 THEN '-- note' || chr(10) || 'insert into t values (' || event_id || ')'

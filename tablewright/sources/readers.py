@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.segments import with_running_index
+from tablewright.sources import spans
 
 
 def preview(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame | None:
@@ -53,15 +54,16 @@ def read_delimited(
 ) -> DataFrame:
     """A delimited text table; every column is text, so nothing is guessed.
 
-    ``title_row``, ``first_row`` and ``last_row`` are 1-based line numbers of a single
-    file; only then lines are numbered, from their place in the file.
+    ``title_row``, ``first_row`` and ``last_row`` are 1-based numbers of records; a quoted
+    field may hold line breaks. With them, or with ``multi_line``, the records are found in
+    all splits of a file at once (see ``spans``); lines end in ``\\n`` or ``\\r\\n`` there.
     """
     if len(sep.encode()) != 1:
         raise ValueError("the delimiter must be one byte")
     allow_encoding(spark, encoding)
     ranged = title_row != 1 or first_row is not None or last_row is not None
-    base = dict(sep=sep, quote='"', escape='"', encoding=encoding, multiLine=multi_line, mode="PERMISSIVE")
-    if not ranged:
+    if not ranged and not multi_line:
+        base = dict(sep=sep, quote='"', escape='"', encoding=encoding, mode="PERMISSIVE")
         names = spark.read.csv(path, header=False, **base).take(1)
         if not names:
             return spark.createDataFrame([], T.StructType([]))
@@ -75,22 +77,20 @@ def read_delimited(
         start = first_row if first_row is not None else (title_row + 1 if header else title_row)
         if last_row is not None and last_row < start:
             raise ValueError("the last row comes before the first row")
-        lines = with_line_numbers(spark.read.text(path), path)
-        if encoding.upper() not in ("UTF-8", "US-ASCII"):
-            if encoding.upper().startswith(("UTF-16", "UTF-32")):
-                raise ValueError("row ranges need an encoding with one-byte line breaks")
-            lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
-        titles = lines.where(F.col("line_no") == title_row).take(1)
+        rows = delimited_records(spark, path, sep, encoding)
+        titles = rows.where(F.col("record_no") == title_row).take(1)
+        if not titles and not ranged:
+            return spark.createDataFrame([], T.StructType([]))
         if not titles:
             raise ValueError(f"no title row {title_row}")
-        cells = next(csv.reader([titles[0]["value"]], delimiter=sep))
+        cells = next(csv.reader(io.StringIO(titles[0]["record"].lstrip("\ufeff"), newline=""), delimiter=sep), [""])
         names = header_names(cells) if header else [f"column_{i + 1}" for i in range(len(cells))]
-        wanted = F.col("line_no") >= start
+        wanted = F.col("record_no") >= start
         if last_row is not None:
-            wanted = wanted & (F.col("line_no") <= last_row)
-        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-        options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
-        parsed = lines.where(wanted).select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+            wanted = wanted & (F.col("record_no") <= last_row)
+        schema = ", ".join(f"_{i} string" for i in range(len(names)))
+        options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "lineSep": "\u0001"}
+        parsed = rows.where(wanted).select(F.from_csv("record", schema, options).alias("r"))
         df = parsed.select(*[F.col(f"r._{i}").alias(n) for i, n in enumerate(names)])
     if trim:
         df = df.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in df.columns])
@@ -99,16 +99,16 @@ def read_delimited(
     return df
 
 
-def with_line_numbers(lines: DataFrame, path: str) -> DataFrame:
-    """1-based numbers of text lines in file order. Scan partitions of one file
-    are numbered by where they start, so only their line counts are summed."""
-    tagged = lines.select(
-        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_m"),
-    )
-    return with_running_index(tagged, ["_f", "_b", "_m"], "_at").select(
-        "value", (F.col("_at") + 1).alias("line_no")
-    )
+def delimited_records(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """(record_no, record): the records of delimited text, numbered from 1; blank ones count,
+    but have no row."""
+    lines = spans.pieces(spark, path, "\n")
+    if encoding.upper() not in ("UTF-8", "US-ASCII"):
+        if encoding.upper().startswith(("UTF-16", "UTF-32")):
+            raise ValueError("row ranges need an encoding with one-byte line breaks")
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+    found = spans.records(lines, spans.quoted_fields(sep), "\n")
+    return found.select("record_no", F.regexp_replace("record", "\r$", "").alias("record")).where("record <> ''")
 
 
 def read_json_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -129,28 +129,36 @@ def read_json_rows(spark: SparkSession, path: str, multi_line: bool = True) -> D
         ])
     if kinds["objects"] != kinds["n"]:
         raise ValueError("JSON rows must be all objects or all arrays")
-    names = union_keys(values.select("item"), "item")
+    names = union_keys(values.select("item", "at"), "item", F.col("at"))
     fields = F.from_json("item", "map<string,string>")
     return values.select(*[F.try_element_at(fields, F.lit(n)).alias(n) for n in names])
 
 
 def json_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """``(item, kind, width)`` of each top-level row, from JSON documents or lines."""
-    text = spark.read.option("wholetext", multi_line).text(path).where(F.trim("value") != "")
-    # A document that is one array of rows is opened; JSON lines are rows themselves.
-    doc = F.trim("value")
-    opened = F.from_json(doc, "array<string>") if multi_line else F.array(doc)
-    many = F.when(doc.startswith("["), opened).otherwise(F.array(doc))
-    items = text.select(F.explode(many).alias("item"))
+    """``(item, kind, width, at)`` of each top-level row, from JSON documents or lines;
+    ``at`` rises in the order of reading.
+
+    A document that is one array is read by all its splits at once (see ``spans``); its
+    elements are the rows. Any other document is one row."""
+    if multi_line:
+        blank = F.lit(" \t\r\n\ufeff")
+        found = spans.records(spans.pieces(spark, path, ","), spans.json_pieces, ",", {"[": 1})
+        # Only an array's last element is open; its brackets are around the first and the last.
+        text = found.withColumn("item", F.btrim("record", blank)).withColumns({
+            "item": F.when(F.col("first") & F.col("item").startswith("["), F.expr("substring(item, 2)")).otherwise(F.col("item")),
+        }).withColumn("item", F.when(F.col("open"), F.expr("left(item, length(item) - 1)")).otherwise(F.col("item")))
+        items = text.select(F.btrim("item", blank).alias("item"), F.col("record_no").alias("at")).where("item <> ''")
+    else:
+        items = spark.read.text(path).select(F.trim("value").alias("item"), F.monotonically_increasing_id().alias("at")).where("item <> ''")
     first = F.left(F.ltrim("item"), F.lit(1))
     kind = F.when(first == "{", "object").when(first == "[", "array").otherwise("scalar")
-    return items.select("item", kind.alias("kind"), F.json_array_length("item").alias("width"))
+    return items.select("item", kind.alias("kind"), F.json_array_length("item").alias("width"), "at")
 
 
-def union_keys(df: DataFrame, column: str) -> list[str]:
+def union_keys(df: DataFrame, column: str, at: Column | None = None) -> list[str]:
     """All keys of JSON objects, in the order a reader would first meet them."""
     keys = df.select(
-        F.monotonically_increasing_id().alias("_row"),
+        (F.monotonically_increasing_id() if at is None else at).alias("_row"),
         F.posexplode(F.json_object_keys(column)).alias("_pos", "key"),
     )
     seen = keys.groupBy("key").agg(F.min(F.struct("_row", "_pos")).alias("_first"))

@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from tablewright.plans import load
 
-QUERIES = entry.queries()
+QUERIES = load()[0]
 # One matrix product per Arrow batch.
 ARROW = {"vector_topk", "vector_topk_l2"}
 

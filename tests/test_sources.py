@@ -124,6 +124,26 @@ def test_identifier_mentions(spark):
     assert [r[0] for r in df.select(metadata.mentions(F.col("s"), "user_id")).collect()] == [True, True, False, False, True, False]
 
 
+def test_lineage_of_a_whole_catalog(spark):
+    """One index of all statements gives what a search per column gives."""
+    columns = [("users", "email"), ("Users", "ID"), ("T_A#5", "two words"), ("t_a#5", "a.b"), ("x$y", "email"), ("é", "caf\\E.*"), (None, "id"), ("orders", None)]
+    views = spark.createDataFrame([
+        ("s", "v1", 'SELECT "Email" FROM users'), ("s", "v2", "select emails, id from t_A#5 where [two words] = 1"), (None, "v3", "a.b + A.bc `T_A#5`"),
+        ("s", "v4", None), ("s", "v5", "caf\\E.* id$ x$y"), ("s", "v6", "aa.b two words T_A#55 email"),
+    ], "schema_name string, name string, ddl string")
+    history = spark.createDataFrame([(1, "update USERS set EMAIL = 1", "2024"), (2, "email_id; id", "2024"), (3, "", "2024")], "id int, sql_text string, executed_at string")
+    targets = spark.createDataFrame(columns, "table_name string, name string")
+    got = metadata.lineage_references(targets.unionAll(targets), views, history)
+    want = []
+    for table, name in columns:
+        if table and name:
+            for r in metadata.lineage_column(table, name, views=views, history=history).collect():
+                want.append((table.lower(), name.lower(), r["kind"], r["confidence"], r["schema_name"], r["ref"]))
+    assert sorted({(*r,) for r in got.collect()}, key=repr) == sorted(set(want), key=repr) and got.count() == len(set(want)) > 12
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+
+
 def test_lineage(spark):
     columns = spark.createDataFrame([("s", "orders", "user_id"), ("s", "users", "email"), ("s", "subscribers", "email")], "schema_name string, table_name string, name string")
     fks = spark.createDataFrame([("s", "orders", "fk", "user_id", "users", "id")], "schema_name string, table_name string, name string, column_name string, ref_table string, ref_column string")
