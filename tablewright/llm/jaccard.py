@@ -13,9 +13,11 @@ hashed into segments, the same for all sets, and a set's part of a segment is on
 Equal sets share a node (a 63-bit hash of the set), so copies cost nothing further. First,
 every key's nodes are compared with one of them only (linear in the rows, combined in
 the map tasks), which joins groups of near copies whole. Then keys that still hold nodes
-of different components are counted, each node gives up its most frequent keys as far as
-it has more than it needs (cost-based allocation), all other pairs across components are
-counted and verified. So every link between sets is found or lies within a component.
+of different components are counted, and each node gives up its most frequent keys as far
+as it has more than it needs (cost-based allocation). Of the pairs that are left, those too
+far from a common pivot (the middle of their group) are looked for by what they share
+beyond it. All candidates are verified, so every link between sets is found or lies within
+a component.
 """
 
 from __future__ import annotations
@@ -284,14 +286,8 @@ def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int, id_c
 
 def verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, exactly."""
-    sized = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("a_size")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("size").alias("b_size")), "b")
-        .where(F.least("a_size", "b_size") * bands.den >= F.greatest("a_size", "b_size") * bands.num)
-        .select("a", "b")
-    )
     both = (
-        sized.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("a_grams")), "a")
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("a_grams")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("b_grams")), "b")
         .select("a", "b", "a_grams", "b_grams")
     )
@@ -309,8 +305,13 @@ def verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return map_batches(both, run, "a bigint, b bigint")
 
 
-def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) between components that share keys, and the step they read."""
+def _shared_keys(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) -> DataFrame:
+    """(key, node, root, deleted, probe, size) of the keys that nodes of different components
+    share, less those that the nodes give up.
+
+    A set has ``spare`` parts more than may differ from any partner's, so of the parts that
+    two similar sets have in common at least one is left when each gives up its ``spare``
+    most frequent ones, by one order of all keys."""
     root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     joined = star.join(root("rep"), "rep", "left").join(root("node"), "node", "left").select(
         F.coalesce("rep_root", "rep").alias("r"), F.coalesce("node_root", "node").alias("o"),
@@ -323,22 +324,23 @@ def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) ->
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("key", "node", "root", "info")}
             for node, component, grams in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("grams")):
-                for s in signatures(np.frombuffer(grams.as_buffer(), U64), bands):
+                grams = np.frombuffer(grams.as_buffer(), U64)
+                for s in signatures(grams, bands):
                     k = len(s["keys"])
                     out["key"].append(s["keys"].view(np.int64))
                     out["node"].append(np.full(k, node, np.int64))
                     out["root"].append(np.full(k, component, np.int64))
-                    # Band, whether the key is a deletion, whether it is an equal part, parts to spare.
+                    # Size, band, whether it is an equal part, whether a deletion, parts to spare.
                     spare = min(max(s["spare"], -1), MOST_SPARE) + 1
-                    out["info"].append((s["band"] << 2 | s["parts"] << 1 | s["deleted"].astype(np.int64)) * (MOST_SPARE + 2) + spare)
+                    out["info"].append((len(grams) << 9 | s["band"] << 2 | s["parts"] << 1 | s["deleted"].astype(np.int64)) << 20 | spare)
             if out["key"]:
                 yield {k: np.concatenate(v) for k, v in out.items()}
 
     keyed = map_batches(rows, run, "key bigint, node bigint, root bigint, info bigint")
     # One shuffle of the keys; what a key holds is known where its rows lie.
     same_key = Window.partitionBy("key")
-    flags = F.floor(F.col("info") / (MOST_SPARE + 2)).cast("bigint")
-    deleted = (flags % 2 == 1).cast("int")
+    bits = lambda at, n: F.shiftright("info", at).bitwiseAND(F.lit((1 << n) - 1))
+    deleted = bits(20, 1).cast("int")
     shared = (
         keyed.withColumns({
             "n": F.count("*").over(same_key), "lo": F.min("root").over(same_key), "hi": F.max("root").over(same_key),
@@ -346,42 +348,78 @@ def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) ->
         })
         .where("lo <> hi AND none = 0")
         .select(
-            "key", "node", "root", "n", (deleted == 1).alias("deleted"), (F.floor(flags / 2) % 2 == 1).alias("parts"),
-            F.floor(flags / 4).cast("int").alias("band"), (F.col("info") % (MOST_SPARE + 2) - 1).cast("int").alias("spare"),
+            "key", "node", "root", "n", (deleted == 1).alias("deleted"), (bits(21, 1) == 1).alias("parts"), bits(22, 7).alias("band"),
+            bits(29, 34).cast("int").alias("size"), (bits(0, 20) - 1).alias("spare"),
         )
     )
     frequent = Window.partitionBy("node", "band", "parts").orderBy(F.col("n").desc(), "key")
-    whole = Window.partitionBy("node", "band", "parts")
-    known = materialize(
-        shared
-        .withColumn("given_up", F.col("parts") & (F.col("n") >= FREQUENT) & (F.row_number().over(frequent) <= F.col("spare")))
-        .withColumn("up", F.sum(F.col("given_up").cast("int")).over(whole))
-        # Parts searched by, less the differences allowed to them, must be in common.
-        .withColumn("searched", F.col("spare") - F.col("up"))
-        .withColumn("probe", ~F.col("given_up") & (F.col("spare") >= 0))
-        .join(sets.select("node", "size"), "node")
-        .select("key", "node", "root", "deleted", "band", "size", "parts", "searched", "probe"),
-        "shared-keys",
+    given_up = F.col("parts") & (F.col("n") >= FREQUENT) & (F.row_number().over(frequent) <= F.col("spare"))
+    kept = shared.withColumn("given_up", given_up).where("NOT given_up")
+    return materialize(kept.select("key", "node", "root", "deleted", (F.col("spare") >= 0).alias("probe"), "size"), "shared-keys")
+
+
+def _pivots(known: DataFrame) -> DataFrame:
+    """(node, root, size, pivot): for each node the busiest node of the component that leads
+    most of its keys. Any node would do for a right result."""
+    leads = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("lead"))
+    busiest = known.groupBy("root", "node").agg(F.count("*").alias("n")).groupBy(F.col("root").alias("lead")).agg(
+        F.max_by("node", F.struct("n", "node")).alias("pivot")
     )
+    led = known.join(leads, "key").groupBy("node", "root", "size", "lead").agg(F.count("*").alias("n"))
+    return led.groupBy("node", "root", "size").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).join(busiest, "lead").drop("lead")
+
+
+def _beyond(pivots: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pivots`` with ``near``, the elements shared with the pivot, and ``beyond``, the others."""
+    grams = lambda name: sets.select(F.col("node").alias(name), F.col("grams").alias(f"{name}_grams"))
+    both = pivots.join(grams("node"), "node").join(grams("pivot"), "pivot")
+
+    def run(batches):
+        for batch in batches:
+            beyond = [
+                np.setdiff1d(np.frombuffer(x.as_buffer(), U64), np.frombuffer(p.as_buffer(), U64), assume_unique=True).view(np.int64)
+                for x, p in zip(batch.column("node_grams"), batch.column("pivot_grams"))
+            ]
+            n = np.fromiter(map(len, beyond), np.int64, len(beyond))
+            yield {
+                **{c: batch.column(c) for c in ("node", "root", "size", "pivot")},
+                "near": (batch.column("size").to_numpy() - n).astype(np.int32),
+                "beyond": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(beyond) if len(beyond) else np.empty(0, np.int64))),
+            }
+
+    return materialize(map_batches(both, run, "node bigint, root bigint, size int, pivot bigint, near int, beyond array<bigint>"), "beyond")
+
+
+def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate pairs (a, b) between components, and the steps they read.
+
+    Two similar sets x and y share at least need = (|x| + |y|) num / (num + den) elements, at
+    most min(near) of them with a common pivot. Where that falls short, as it does for the
+    loose members of a large group, they must share elements beyond the pivot, too: such
+    pairs are looked for by those elements alone, not by the keys that the group shares."""
+    known = _shared_keys(sets, roots, star, bands)
     release(sets.sparkSession)
-    p, q = known.where("probe").alias("p"), known.alias("q")
-    met = p.join(q, F.col("p.key") == F.col("q.key")).where(
-        "p.root <> q.root AND NOT (p.deleted AND q.deleted)"
-        f" AND least(p.size, q.size) * {bands.den} >= greatest(p.size, q.size) * {bands.num}"
-    )
-    counted = met.groupBy(F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.col("p.band").alias("band"), F.col("p.parts").alias("parts")).agg(
-        F.count("*").alias("n"), F.first("p.searched").alias("searched"), F.first("p.size").alias("p_size"), F.first("q.size").alias("q_size"),
+    loose = _beyond(_pivots(known), sets)
+    release(sets.sparkSession)
+    num, den = bands.num, bands.den
+    alike = f"p.root <> q.root AND p.node < q.node AND least(p.size, q.size) * {den} >= greatest(p.size, q.size) * {num}"
+    enough = f"least(p.near, q.near) * {num + den} >= (p.size + q.size) * {num}"
+    placed = known.join(loose.select("node", "pivot", "near"), "node")
+    p, q = placed.alias("p"), placed.alias("q")
+    direct = p.join(q, F.col("p.key") == F.col("q.key")).where(
+        f"{alike} AND NOT (p.deleted AND q.deleted) AND (p.probe OR q.probe) AND (p.pivot <> q.pivot OR {enough})"
     )
-    # searched = parts searched by - needed(x); needed(x) - 1 is the most that can differ
-    # from any partner, of which this pair uses difference(x, y).
-    share = f"(({bands.den} - {bands.num}) * (p_size + q_size)) div ({bands.den} + {bands.num})"
-    most = F.expr(share)
-    hi = F.array(*[F.lit(h) for h in bands.hi[:90]])
-    partner = F.least(F.get(hi, "band"), F.floor(F.col("p_size") * bands.den / bands.num))
-    needed = F.expr(f"({bands.den} - {bands.num})") * (F.col("p_size") + partner)
-    needed = F.floor(needed / (bands.den + bands.num)) + 1
-    plausible = ~F.col("parts") | (F.col("n") >= F.col("searched") + needed - most)
-    return counted.where(plausible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), known
+    # Of the elements beyond, x may give up all but one of those that any partner must share.
+    least = F.greatest(F.lit(1), F.ceil((F.col("size") * num - F.col("near") * den) / den).cast("int"))
+    element = loose.select("node", "root", "size", "pivot", "near", least.alias("least"), F.explode("beyond").alias("e"))
+    same = Window.partitionBy("pivot", "e")
+    found = element.withColumns({"n": F.count("*").over(same), "lo": F.min("root").over(same), "hi": F.max("root").over(same)}).where("lo <> hi")
+    rarest = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "e"))
+    searched = materialize(found.withColumn("rank", rarest).where("rank >= least").select("node", "root", "size", "pivot", "near", "e"), "elements")
+    p, q = searched.alias("p"), searched.alias("q")
+    far = p.join(q, (F.col("p.pivot") == F.col("q.pivot")) & (F.col("p.e") == F.col("q.e"))).where(f"{alike} AND NOT ({enough})")
+    pairs = direct.select("p.node", "q.node").unionAll(far.select("p.node", "q.node")).toDF("a", "b").distinct()
+    return pairs, [known, loose, searched]
 
 
 def jaccard_components(
@@ -412,9 +450,9 @@ def _join(docs, size, num, den, id_column="doc_id", text_column="text") -> tuple
     links = materialize(verify(best, grams, bands), "links")
     release(spark)
     roots = materialize(components(links), "roots")
-    pairs, known = _across(grams, roots, star, bands)
+    pairs, steps = _across(grams, roots, star, bands)
     more = materialize(verify(pairs, grams, bands), "links")
-    discard(known, star, grams)
+    discard(star, grams, *steps)
     release(spark)
     links = links.unionAll(more)
     roots = components(links)
