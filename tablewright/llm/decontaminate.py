@@ -2,10 +2,10 @@
 
 Documents and benchmark items are cut into passages (windows of ``2 * BLOCK`` words, one
 every ``BLOCK``) of hashed words, weighted by inverse document frequencies counted over
-all documents. A singular value decomposition of the benchmark's passages (the index),
-SPACE of them at a time and with the rank that they have, gives latent spaces that keep
-all of every item, however large the benchmark is. Words that no item has fall out of a
-space, so a passage that quotes or paraphrases an item lies close to it whatever stands
+all documents. Randomised singular value decompositions of the benchmark's passages (the
+index), run by tasks over SPACE of them at a time, give latent spaces whose ranks follow
+the passages, so that no item fades however large the benchmark is. Words that no item has
+fall out of a space, so a passage that quotes or paraphrases an item lies close to it whatever stands
 around. Every passage of every document is projected and compared with all benchmark
 passages by cosine, in the task that reads the text, so no text is shuffled. A candidate
 is verified on the words around it: longest common subsequence with the whole item, and
@@ -14,6 +14,7 @@ the item's last words (its answer).
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,7 +27,8 @@ from tablewright.llm.common import SPACES, Words, as_bytes, map_batches, pieces
 
 FEATURES = 1 << 16
 BLOCK = 16  # words
-SPACE = 128  # benchmark passages of a latent space; its rank is theirs
+SPACE = 128  # benchmark passages of a latent space
+ENERGY = 0.97  # share of the squares of its passages that a space keeps
 COSINE = 0.75
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.5
 ITEM_BLOCK = 1000  # benchmark items searched for in one pass
@@ -101,29 +103,69 @@ class Space:
     owner: np.ndarray  # item of each target
 
 
+def randomised_svd(matrix: np.ndarray, energy: float, rng: np.random.Generator) -> np.ndarray:
+    """Leading right singular vectors, as columns: as few as hold ``energy`` of the squares.
+
+    The range of the matrix is found from random combinations of its columns, sharpened by
+    two power iterations; twice as many are drawn while they hold too little."""
+    n, total, drawn = min(matrix.shape), float((matrix**2).sum()), 16
+    while True:
+        drawn = min(n, drawn)
+        basis = np.linalg.qr(matrix @ rng.normal(size=(matrix.shape[1], drawn)))[0]
+        for _ in range(2):
+            basis = np.linalg.qr(matrix @ np.linalg.qr(matrix.T @ basis)[0])[0]
+        small = basis.T @ matrix
+        if drawn == n or (small**2).sum() >= energy * total:
+            break
+        drawn *= 2
+    _, size, directions = np.linalg.svd(small, full_matrices=False)
+    rank = int(np.searchsorted(np.cumsum(size**2), energy * min(total, (size**2).sum()) * (1 - 1e-9))) + 1
+    return directions[:rank].T
+
+
 def latent_space(passages: list[tuple[np.ndarray, np.ndarray]], owner: list[int], idf: np.ndarray) -> Space:
-    """The space that ``passages`` (of ``_tfidf``) span, all of its directions."""
+    """The directions that hold ENERGY of ``passages`` (of ``_tfidf``)."""
     at = np.unique(np.concatenate([p for p, _ in passages]))
     matrix = np.zeros((len(passages), len(at)))
     for row, (p, value) in zip(matrix, passages):
         row[np.searchsorted(at, p)] = value
-    _, size, directions = np.linalg.svd(matrix, full_matrices=False)
-    basis = directions[size > 1e-6 * size[0]].T
+    basis = randomised_svd(matrix, ENERGY, np.random.default_rng(len(at)))
     targets = matrix @ basis
-    targets /= np.linalg.norm(targets, axis=1, keepdims=True)
+    targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-9)
     place = np.full(FEATURES, -1, np.int32)
     place[at] = np.arange(len(at))
     return Space(place, (basis * idf[at][:, None]).astype(np.float32), targets.astype(np.float32), np.array(owner))
 
 
-def latent_spaces(items: list[Item], idf: np.ndarray) -> list[Space]:
-    """Spaces of SPACE passages each; a long item may have some in several."""
-    passages, owner = [], []
-    for k, item in enumerate(items):
-        mine = _tfidf(features(np.array(item.words, np.uint64)), idf)
-        passages += mine
-        owner += [k] * len(mine)
-    return [latent_space(passages[n : n + SPACE], owner[n : n + SPACE], idf) for n in range(0, len(passages), SPACE)]
+def latent_spaces(items: DataFrame, idf: np.ndarray, n_items: int) -> list[tuple[Space, list[tuple[int, int]]]]:
+    """Spaces of SPACE passages each, of rows (item_id, text, text_hash), and their items.
+
+    Items are dealt to groups of about SPACE passages; a task decomposes the passages of
+    its groups, and what is left of a group, its directions, reaches the driver."""
+    groups = max(1, n_items * 2 // SPACE)
+    weights = items.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        by_group: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                by_group.setdefault(r["g"], []).append((r["item_id"], r["text_hash"], r["text"]))
+        for g, rows in sorted(by_group.items()):
+            rows.sort()
+            hashes, bounds = split(splitter(), [t.encode() for _, _, t in rows])
+            passages, owner = [], []
+            for k, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+                mine = _tfidf(features(hashes[low:high]), weights.value)
+                passages += mine
+                owner += [k] * len(mine)
+            for n in range(0, len(passages), SPACE):
+                space = latent_space(passages[n : n + SPACE], owner[n : n + SPACE], weights.value)
+                yield {"g": [g], "n": [n], "space": pa.array([pickle.dumps((space, [r[:2] for r in rows]))], pa.binary())}
+
+    dealt = items.withColumn("g", F.pmod(F.xxhash64("text_hash"), F.lit(groups))).repartition(min(groups, 64), "g")
+    rows = map_batches(dealt, run, "g bigint, n bigint, space binary").collect()
+    weights.destroy()
+    return [pickle.loads(r["space"]) for r in sorted(rows)]
 
 
 @dataclass
@@ -278,14 +320,20 @@ def _searchers(own: DataFrame, benchmark: DataFrame, item_column: str, item_text
     idf = document_frequencies(own)
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     passes = max(1, -(-size["n"] // ITEM_BLOCK), -(-size["b"] // PASS_BYTES))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    for n in sorted(r["b"] for r in items.select(block.alias("b")).distinct().collect()):
-        mine = items.where(block == n)
-        rows = sorted((r["item_id"], r["text"].encode()) for r in mine.collect())
-        hashes, bounds = split(splitter(), [t for _, t in rows])
-        made = [make_item(i, hashes[a:b]) for (i, _), a, b in zip(rows, bounds[:-1], bounds[1:]) if b > a]
+    hashed = items.withColumn("text_hash", F.xxhash64("item_id", "text"))
+    block = F.pmod(F.col("text_hash"), F.lit(passes))
+    for n in sorted(r["b"] for r in hashed.select(block.alias("b")).distinct().collect()):
+        mine = hashed.where(block == n)
+        rows = sorted((r["item_id"], r["text_hash"], r["text"].encode()) for r in mine.collect())
+        hashes, bounds = split(splitter(), [t for _, _, t in rows])
+        made = {(i, h): make_item(i, hashes[a:b]) for (i, h, _), a, b in zip(rows, bounds[:-1], bounds[1:]) if b > a}
         if made:
-            yield spark.sparkContext.broadcast((latent_spaces(made, idf), made))
+            place = {key: k for k, key in enumerate(made)}
+            spaces = []
+            for space, owners in latent_spaces(mine, idf, len(rows)):
+                space.owner = np.array([place[owners[k]] for k in space.owner])
+                spaces.append(space)
+            yield spark.sparkContext.broadcast((spaces, list(made.values())))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:

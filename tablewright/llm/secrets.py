@@ -3,8 +3,14 @@
 The patterns' matches are labelled credentials. Their values, as strings of character
 classes, form a prefix tree per kind; states whose statistics agree are merged (a
 Hoeffding bound on their outgoing and ending frequencies, merged recursively), which
-leaves a probabilistic automaton. All other tokens give a background automaton in the same way. Every other token is scored by the log likelihood per character of its best format
-against the background; those under LONG characters by the formats that have such values.
+leaves a probabilistic automaton. All other tokens give a background automaton in the same
+way. Every other token of SHORTEST characters or more, digits alone included, is scored by
+the log likelihood per character of its best format against the background; those under
+LONG characters by the formats that have such values.
+
+What an automaton is inferred from is bounded: SAMPLE strings per kind (the background is a
+kind, though its strings are no labelled values) of at most LONGEST characters. Scoring is
+not: every candidate of every text is scored whole.
 """
 
 from __future__ import annotations
@@ -28,7 +34,6 @@ HEX = re.compile(r"[0-9a-f]+")
 SHORTEST = 6  # characters of an assigned value
 LONG = 16  # characters from which a token is scored by every format
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
-_LETTER = re.compile("[A-Za-z]")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SAMPLE = 2000  # class strings per kind that an automaton is inferred from, drawn by hash with the odds of their counts
 LONGEST = 200  # longer values are scored, not learned from
@@ -64,8 +69,8 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]], least: int = SHORTEST) -> list[tuple[int, int, str]]:
-    """Tokens of ``least`` characters with a letter that no base span touches, without
-    punctuation at the ends."""
+    """Tokens of ``least`` characters that no base span touches, without punctuation at the
+    ends; letters or digits alone will do."""
     out, at = [], 0
     covered = []
     for start, end, *_ in base:  # by start: merged into disjoint ranges
@@ -79,7 +84,7 @@ def candidates(text: str, base: list[tuple[int, int, int, str]], least: int = SH
         end = m.start() + len(value)
         while at < len(covered) and covered[at][1] <= start:
             at += 1
-        if end - start >= least and _LETTER.search(value) and not (at < len(covered) and covered[at][0] < end):
+        if end - start >= least and not (at < len(covered) and covered[at][0] < end):
             out.append((start, end, text[start:end]))
     return out
 

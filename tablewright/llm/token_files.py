@@ -34,7 +34,7 @@ SHARE = 0.9
 MAGIC = b"TWPF1\0\0\0"
 HEADER = struct.Struct("<8sQIQIQ")  # magic, bytes, part, ids of the part before it, documents, ids
 SEGMENT_IDS = 1_000_000
-UNIT_CACHE = 400_000
+UNIT_CACHE = 250_000
 _MARKS = frozenset(".,;:!?")
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 # Two white-space characters side by side: there a pre-token may reach over a cut.
@@ -168,7 +168,8 @@ class Encoder:
     With byte-level pre-tokens, a text that has no two white-space characters side by side
     is cut before each blank and around each newline, where no pre-token reaches across.
     The units are cut into pre-tokens, the library's model encodes these, and their ids
-    are remembered. Any other text goes through the library whole."""
+    are remembered. Any other text goes through the library whole, also one that holds the
+    string of a special token, which the library takes for that token."""
 
     def __init__(self, file_text: str):
         import json
@@ -179,11 +180,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file_text)
-        self.tokenizer.encode_special_tokens = True  # in a text, their strings are text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         setup = json.loads(file_text)
+        # Tokens that the library finds in a text before anything else.
+        self.added = [t["content"] for t in setup.get("added_tokens") or []]
         before = setup.get("pre_tokenizer") or {}
         self.by_word = (
             before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
@@ -225,7 +227,7 @@ class Encoder:
         get, out = self.units.__getitem__, []
         for text in texts:
             runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-            if runs or "\0" in text or _OTHER_SPACE.search(text) and _RUN.search(text):
+            if runs or "\0" in text or any(map(text.__contains__, self.added)) or _OTHER_SPACE.search(text) and _RUN.search(text):
                 out.append(self.whole(text))
             else:
                 out.append(b"".join(map(get, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))

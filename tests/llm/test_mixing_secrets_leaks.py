@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+
+import numpy as np
 import re
 import string
 from collections import Counter
@@ -182,6 +184,19 @@ def test_leaks_against_plain_search(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_randomised_svd_follows_the_energy():
+    rng = np.random.default_rng(3)
+    low = rng.normal(size=(100, 12)) @ rng.normal(size=(12, 700)) + 0.01 * rng.normal(size=(100, 700))
+    basis = decontaminate.randomised_svd(low, 0.97, rng)
+    assert basis.shape[1] <= 12 and np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
+    assert ((low @ basis) ** 2).sum() >= 0.969 * (low**2).sum()
+    exact = np.linalg.svd(low)[2][: basis.shape[1]]
+    assert np.linalg.svd(exact @ basis)[1].min() > 0.999  # the same space
+    wide = rng.normal(size=(40, 900))
+    assert decontaminate.randomised_svd(wide, 0.97, rng).shape[1] > 30
+    assert decontaminate.randomised_svd(np.zeros((3, 5)), 0.97, rng).shape[0] == 5
+
+
 def test_leaks_of_a_large_benchmark(spark):
     """1000 items, a third of 15 words; 0 to 45 % of their words replaced, the last fifth kept."""
     rng = random.Random(12)

@@ -33,7 +33,6 @@ def test_outliers_do_not_widen_a_block():
 @pytest.fixture(scope="module")
 def both(bpe):
     plain = Tokenizer.from_file(bpe)
-    plain.encode_special_tokens = True
     with open(bpe, encoding="utf-8") as f:
         return token_files.Encoder(f.read()), plain
 
@@ -49,6 +48,13 @@ def test_words_give_the_ids_of_the_text(both, parts):
     assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_are_those_of_the_library(both):
+    own, plain = both
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x<|endoftext|>\n\ny"):
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def expected(rows, tokenizer):
     out, start = [], 0
     for d, text in rows:
