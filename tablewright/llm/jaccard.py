@@ -390,17 +390,18 @@ def _beyond(pivots: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(map_batches(both, run, "node bigint, root bigint, size int, pivot bigint, near int, beyond array<bigint>"), "beyond")
 
 
-def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) -> tuple[DataFrame, list[DataFrame]]:
-    """Candidate pairs (a, b) between components, and the steps they read.
+def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) -> DataFrame:
+    """Candidate pairs (a, b) between components.
 
     Two similar sets x and y share at least need = (|x| + |y|) num / (num + den) elements, at
     most min(near) of them with a common pivot. Where that falls short, as it does for the
     loose members of a large group, they must share elements beyond the pivot, too: such
     pairs are looked for by those elements alone, not by the keys that the group shares."""
+    spark = sets.sparkSession
     known = _shared_keys(sets, roots, star, bands)
-    release(sets.sparkSession)
+    release(spark)
     loose = _beyond(_pivots(known), sets)
-    release(sets.sparkSession)
+    release(spark)
     num, den = bands.num, bands.den
     alike = f"p.root <> q.root AND p.node < q.node AND least(p.size, q.size) * {den} >= greatest(p.size, q.size) * {num}"
     enough = f"least(p.near, q.near) * {num + den} >= (p.size + q.size) * {num}"
@@ -416,10 +417,14 @@ def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) ->
     found = element.withColumns({"n": F.count("*").over(same), "lo": F.min("root").over(same), "hi": F.max("root").over(same)}).where("lo <> hi")
     rarest = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "e"))
     searched = materialize(found.withColumn("rank", rarest).where("rank >= least").select("node", "root", "size", "pivot", "near", "e"), "elements")
+    release(spark)
     p, q = searched.alias("p"), searched.alias("q")
     far = p.join(q, (F.col("p.pivot") == F.col("q.pivot")) & (F.col("p.e") == F.col("q.e"))).where(f"{alike} AND NOT ({enough})")
-    pairs = direct.select("p.node", "q.node").unionAll(far.select("p.node", "q.node")).toDF("a", "b").distinct()
-    return pairs, [known, loose, searched]
+    both = direct.select("p.node", "q.node").unionAll(far.select("p.node", "q.node")).toDF("a", "b")
+    pairs = materialize(both.distinct(), "pairs")
+    discard(known, loose, searched)
+    release(spark)
+    return pairs
 
 
 def jaccard_components(
@@ -450,9 +455,9 @@ def _join(docs, size, num, den, id_column="doc_id", text_column="text") -> tuple
     links = materialize(verify(best, grams, bands), "links")
     release(spark)
     roots = materialize(components(links), "roots")
-    pairs, steps = _across(grams, roots, star, bands)
+    pairs = _across(grams, roots, star, bands)
     more = materialize(verify(pairs, grams, bands), "links")
-    discard(star, grams, *steps)
+    discard(star, grams, pairs)
     release(spark)
     links = links.unionAll(more)
     roots = components(links)
