@@ -199,14 +199,14 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[str], name: str) -
 
 
 def push_chunks(
-    df: DataFrame, keys: list[str], value: Column, order: list[str], name: str, size: int = CHUNK
+    df: DataFrame, keys: list[str], value: Column, order: list[str], name: str, size: int | None = CHUNK
 ) -> DataFrame:
-    """All values of each key in ``order``, as arrays of at most ``size`` values,
-    one row ``(keys, chunk, name)`` each. Nothing is dropped and no task holds
+    """All values of each key in ``order``, as arrays of at most ``size`` values (whole
+    without one), one row ``(keys, chunk, name)`` each. Nothing is dropped and no task holds
     more than a chunk; a key with up to ``size`` values has one row. If every key
     fits its chunk, one grouping does it."""
     rows = df.withColumn("_v", value)
-    if largest_group(df, keys) <= size:
+    if size is None or largest_group(df, keys) <= size:
         kept = F.transform(F.sort_array(F.collect_list(F.struct(*order, "_v"))), lambda x: x["_v"])
         return rows.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("chunk"), kept.alias(name))
     ranked = rank_in_group(rows, keys, order, "_place")
@@ -246,13 +246,14 @@ def merge_maps(df: DataFrame, keys: list[str], column: Column, order: list[str],
     )
 
 
-def group(df: DataFrame, by: Any, accumulators: dict[str, dict[str, Any]], size: int = CHUNK) -> DataFrame:
+def group(df: DataFrame, by: Any, accumulators: dict[str, dict[str, Any]], size: int | None = CHUNK) -> DataFrame:
     """Group by an expression (field ``_id``; None is one group).
 
     Plain accumulators run in one aggregation with map-side combine. ``$topN``
     and its kin keep at most n rows per group. ``$push`` and ``$addToSet`` come in
     chunks: the result has a ``chunk`` column, and a group with more than ``size``
-    values has several rows that repeat its plain values.
+    values has several rows that repeat its plain values. Without a ``size`` a group is one
+    row, its arrays are whole and there is no ``chunk``.
     """
     rows = df.withColumn("_id", F.lit(None).cast("string") if by is None else expr(by))
     plain, others = {}, []
@@ -284,8 +285,24 @@ def group(df: DataFrame, by: Any, accumulators: dict[str, dict[str, Any]], size:
             chunks = part if chunks is None else join_null_safe(chunks, part, ["_id", "chunk"], "full_outer")
         else:
             raise ValueError(f"unknown accumulator {op}")
+    if chunks is None:
+        return once
     # Last, so that every chunk of a group has the group's plain values.
-    return once if chunks is None else join_null_safe(once, chunks, ["_id"], "left")
+    out = join_null_safe(once, chunks, ["_id"], "left")
+    arrays = [n for n, op, _ in others if op in _WHOLE]
+    out = out.withColumns({n: F.coalesce(n, F.array().cast(out.schema[n].dataType)) for n in arrays})
+    return out.drop("chunk") if size is None else out.withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("bigint")))
+
+
+def group_unwound(df: DataFrame, by: Any, accumulators: dict[str, dict[str, Any]], name: str) -> DataFrame:
+    """``group`` with the ``$push`` called ``name`` unwound: each row's value beside its group's
+    other accumulators. No array is built, so a group may hold any share of the rows."""
+    rows = df.withColumn("_id", F.lit(None).cast("string") if by is None else expr(by))
+    rest = {n: a for n, a in accumulators.items() if n != name}
+    values = rows.select("_id", _input(accumulators[name]["$push"]).alias(name))
+    if not rest:
+        return values
+    return join_null_safe(values, group(df, by, rest, None), ["_id"], "inner").select("_id", *rest, name)
 
 
 def facets(df: DataFrame, parts: dict[str, Any]) -> dict[str, DataFrame]:

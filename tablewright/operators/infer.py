@@ -71,20 +71,58 @@ def fold_types(seen: Column) -> Column:
     )
 
 
+PLAIN_DIGITS = 15  # significant digits that a double keeps
+MOST_DIGITS = 38
+
+
+def _measures(c: Column, kind: Column) -> dict[str, Column]:
+    """What the numbers of a text column need: whether one is beyond 64 signed bits or has an
+    exponent, and the most characters before and after the point."""
+    value, number = F.trim(c), kind.isin("integer", "decimal")
+    dot = F.instr(value, ".")
+    whole = F.when(dot > 0, dot - 1).otherwise(F.length(value))
+    return {
+        "big": F.max(F.when(number & (dot == 0) & (F.length(value) > 18), value.try_cast("bigint").isNull())),
+        "exponent": F.max(F.when(number, F.contains(F.lower(value), F.lit("e")))),
+        "whole": F.max(F.when(number, whole)), "part": F.max(F.when(number & (dot > 0), F.length(value) - dot)),
+        "digits": F.max(F.when(number, F.length(value) - (dot > 0).cast("int"))),
+    }
+
+
+def _exact_type(kind: Column, m: Column) -> Column:
+    """The Spark type of a column: exact where a bigint or a double would not hold its numbers."""
+    to_spark = F.create_map(*[x for k, v in SPARK_TYPE.items() for x in (F.lit(k), F.lit(v))])
+    part = F.coalesce(m["part"], F.lit(0))
+    total = m["whole"] + part
+    exact = F.concat(F.lit("decimal("), total.cast("string"), F.lit(","), part.cast("string"), F.lit(")"))
+    lossy = ~F.coalesce(m["exponent"], F.lit(False)) & (m["digits"] > PLAIN_DIGITS) & (total <= MOST_DIGITS)
+    return F.when((kind == "integer") & m["big"], "decimal(20,0)").when((kind == "decimal") & lossy, exact).otherwise(to_spark[kind])
+
+
 def import_infer(
     df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None
 ) -> DataFrame:
     """``(column, position, type, data_type)`` per column from one aggregation over all
-    rows (or a sample). A column's state is a set of at most seven type names."""
+    rows (or a sample). A column's state is a set of at most seven type names and the
+    digits of its numbers. Whole numbers beyond 64 signed bits become decimal(20,0), and
+    decimals of more digits than a double keeps the decimal that holds them all."""
     names = columns or df.columns
     rows = df if sample_rows is None else df.limit(sample_rows)
-    sets = rows.agg(*[F.collect_set(value_type(df, c)).alias(f"t{i}") for i, c in enumerate(names)])
-    to_spark = F.create_map(*[x for k, v in SPARK_TYPE.items() for x in (F.lit(k), F.lit(v))])
+    states, none = [], F.lit(None)
+    for i, c in enumerate(names):
+        kind = value_type(df, c)
+        states.append(F.collect_set(kind).alias(f"t{i}"))
+        if isinstance(df.schema[c].dataType, T.StringType):
+            measures = _measures(F.col(c), kind)
+        else:
+            measures = {"big": none.cast("boolean"), "exponent": none.cast("boolean"), **{k: none.cast("int") for k in ("whole", "part", "digits")}}
+        states.append(F.struct(*[m.alias(k) for k, m in measures.items()]).alias(f"m{i}"))
     listed = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), fold_types(F.col(f"t{i}")).alias("type"))
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), fold_types(F.col(f"t{i}")).alias("type"), F.col(f"m{i}").alias("m"))
         for i, c in enumerate(names)
     ])
-    return sets.select(F.inline(listed)).withColumn("data_type", to_spark[F.col("type")])
+    found = rows.agg(*states).select(F.inline(listed))
+    return found.select("column", "position", "type", _exact_type(F.col("type"), F.col("m")).alias("data_type"))
 
 
 class ImportMappingError(ValueError):

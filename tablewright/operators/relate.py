@@ -61,6 +61,39 @@ def join_relationships(
     return out
 
 
+def is_array(df: DataFrame, field: str) -> bool:
+    """Whether a field, which may be a dotted path, is an array."""
+    return isinstance(df.select(field).schema[0].dataType, T.ArrayType)
+
+
+def _foreign_key(foreign: DataFrame, field: str) -> Column:
+    """The values by which a foreign row is found: those of an array each, once."""
+    if not is_array(foreign, field):
+        return F.col(field)
+    return F.explode(F.when(F.col(field).isNull(), F.array(F.lit(None))).otherwise(F.array_distinct(field)))
+
+
+def lookup_count(left: DataFrame, foreign: DataFrame, local_field: str, foreign_field: str, name: str) -> DataFrame:
+    """Left rows with the number of their matches: a join with counts that combine in the
+    map tasks, and no array of a hot key."""
+    if is_array(left, local_field):
+        rows = materialize(left.withColumn("_row", F.monotonically_increasing_id()), "lookup")
+        there = foreign
+        if is_array(foreign, foreign_field):  # a row found by two elements counts once
+            there = materialize(foreign.select(foreign_field, F.monotonically_increasing_id().alias("_fid")), "lookup")
+        pairs = rows.select("_row", F.explode(F.array_distinct(local_field)).alias("_el")).join(
+            there.select(_foreign_key(there, foreign_field).alias("_fk"), *(["_fid"] if "_fid" in there.columns else [])), F.col("_el") == F.col("_fk")
+        )
+        if "_fid" in there.columns:
+            pairs = pairs.select("_row", "_fid").distinct()
+        counts = pairs.groupBy("_row").agg(F.count("*").alias("_n"))
+        out = rows.join(counts, "_row", "left").drop("_row")
+    else:
+        counts = foreign.select(_foreign_key(foreign, foreign_field).alias("_fk")).groupBy("_fk").agg(F.count("*").alias("_n"))
+        out = left.join(counts, F.col(local_field).eqNullSafe(F.col("_fk")), "left").drop("_fk")
+    return out.withColumn(name, F.coalesce("_n", F.lit(0)).cast("int")).drop("_n")
+
+
 def lookup_rows(
     left: DataFrame, foreign: DataFrame, local_field: str, foreign_field: str, name: str, keep_empty: bool = True
 ) -> DataFrame:
@@ -68,11 +101,11 @@ def lookup_rows(
     (NULL for rows without a match, or no such rows). A plain join, which Spark splits on
     hot keys; the form for large data. A local array matches by any element, once."""
     here = left.drop(name)
-    there = foreign.select(F.struct(*foreign.columns).alias(name), F.col(foreign_field).alias("_fk"))
+    there = foreign.select(F.struct(*foreign.columns).alias(name), _foreign_key(foreign, foreign_field).alias("_fk"))
     how = "left" if keep_empty else "inner"
-    if isinstance(left.schema[local_field].dataType, T.ArrayType):
-        if keep_empty:
-            raise ValueError("rows without a match of an array need lookup")
+    if is_array(left, local_field):
+        if keep_empty or is_array(foreign, foreign_field):
+            raise ValueError("rows without a match of an array, and arrays on both sides, need lookup")
         keyed = here.withColumn("_el", F.explode(F.array_distinct(local_field)))
         return keyed.join(there, F.col("_el") == F.col("_fk")).drop("_el", "_fk")
     return here.join(there, F.col(local_field).eqNullSafe(F.col("_fk")), how).drop("_fk")
@@ -93,7 +126,10 @@ def lookup(
     matches by any element and needs ``row_key``.
     """
     value = F.struct(*foreign.columns)
-    keyed = foreign.withColumn("_fk", F.col(foreign_field))
+    both = is_array(left, local_field) and is_array(foreign, foreign_field)
+    if both:
+        return _lookup_arrays(left, foreign, local_field, foreign_field, name, row_key)
+    keyed = foreign.withColumn("_fk", _foreign_key(foreign, foreign_field))
     if size is None:
         items = F.collect_list(F.struct(*(order or []), value.alias("_v")) if order else value)
         items = F.transform(F.sort_array(items), lambda x: x["_v"]) if order else items
@@ -104,7 +140,7 @@ def lookup(
         matches = gather_chunks(keyed, ["_fk"], value, name, size)
     empty = F.coalesce(F.col(name), F.array().cast(matches.schema[name].dataType))
     chunk = F.coalesce(F.col("chunk"), F.lit(0).cast("bigint"))
-    if isinstance(left.schema[local_field].dataType, T.ArrayType):
+    if is_array(left, local_field):
         if not row_key:
             raise ValueError("a local array needs row_key")
         wanted = left.select(*row_key, F.explode(F.array_distinct(local_field)).alias("_el"))
@@ -120,6 +156,20 @@ def lookup(
     return out.drop("chunk") if size is None else out
 
 
+def _lookup_arrays(left: DataFrame, foreign: DataFrame, local_field: str, foreign_field: str, name: str, row_key: list[str] | None) -> DataFrame:
+    """Arrays on both sides: a foreign row that several elements find is one match."""
+    if not row_key:
+        raise ValueError("a local array needs row_key")
+    there = materialize(foreign.select(F.struct(*foreign.columns).alias("_v"), foreign_field, F.monotonically_increasing_id().alias("_fid")), "lookup")
+    there = there.select("_v", "_fid", _foreign_key(there, there.columns[1]).alias("_fk"))
+    pairs = left.select(*row_key, F.explode(F.array_distinct(local_field)).alias("_el")).join(there, F.col("_el") == F.col("_fk"))
+    once = pairs.dropDuplicates([*row_key, "_fid"])
+    arrays = once.groupBy(*[F.col(k).alias(f"_k_{k}") for k in row_key]).agg(F.collect_list("_v").alias(name))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in row_key])
+    out = left.join(arrays, on, "left").drop(*[f"_k_{k}" for k in row_key])
+    return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(arrays.schema[name].dataType)))
+
+
 def lookup_pipeline(
     left: DataFrame, foreign: DataFrame, let: dict[str, Any], stages: list[dict[str, Any]], name: str,
     run_stages: Callable[[DataFrame, list[dict[str, Any]]], DataFrame],

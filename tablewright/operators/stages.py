@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.expressions import expr
 from tablewright.operators.document_filter import match
+from tablewright.operators.stage_plan import rewrite
 from tablewright.storage import materialize
 
 
@@ -21,10 +22,49 @@ def sort(df: DataFrame, spec: dict[str, int]) -> DataFrame:
     return df.orderBy(*sort_columns(spec))
 
 
+def _without(kind: T.DataType, c: Column, path: list[str]) -> Column:
+    """A nested value less the field at ``path``; arrays lose it in every element."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda e: _without(kind.elementType, e, path))
+    if not isinstance(kind, T.StructType) or path[0] not in kind.names:
+        return c
+    if len(path) > 1:
+        return c.withField(path[0], _without(kind[path[0]].dataType, c[path[0]], path[1:]))
+    if kind.names == path:
+        raise ValueError(f"{path[0]} is the only field beside it; drop what holds it")
+    return c.dropFields(path[0])
+
+
+def _with(kind: T.DataType | None, c: Column | None, path: list[str], value: Column) -> Column:
+    """A nested value with the field at ``path`` set; what is missing on the way is made."""
+    if not path:
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda e: _with(kind.elementType, e, path, value))
+    if not isinstance(kind, T.StructType):
+        return F.struct(_with(None, None, path[1:], value).alias(path[0]))
+    whole = F.coalesce(c, F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind]))
+    inner = kind[path[0]].dataType if path[0] in kind.names else None
+    return whole.withField(path[0], _with(inner, None if inner is None else whole[path[0]], path[1:], value))
+
+
+def _top(df: DataFrame, name: str) -> tuple[str, T.DataType | None, list[str]]:
+    """First part of a dotted name, its type, and the other parts. A column of the whole
+    name comes first."""
+    first, *path = [name] if name in df.columns else name.split(".")
+    return first, df.schema[first].dataType if first in df.columns else None, path
+
+
 def project(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
-    """Include (1), exclude (0) or computed fields."""
+    """Include (1), exclude (0) or computed fields; a dotted name excludes a nested one."""
     if all(v in (0, False) for v in spec.values()):
-        return df.drop(*spec)
+        for name in spec:
+            first, kind, path = _top(df, name)
+            if not path:
+                df = df.drop(first)
+            elif kind is not None:
+                df = df.withColumn(first, _without(kind, F.col(first), path))
+        return df
     out = []
     for name, value in spec.items():
         if value in (0, False):
@@ -34,7 +74,15 @@ def project(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
 
 
 def add_fields(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
-    return df.withColumns({name: expr(value) for name, value in spec.items()})
+    """Set fields, all from the row as it was; a dotted name sets a nested one."""
+    plain = {n: expr(v) for n, v in spec.items() if not _top(df, n)[2]}
+    nested = {n: expr(v) for n, v in spec.items() if n not in plain}
+    out = df.withColumns({f"_set_{i}": v for i, v in enumerate(nested.values())}) if nested else df
+    out = out.withColumns(plain)
+    for i, name in enumerate(nested):
+        first, kind, path = _top(out, name)
+        out = out.withColumn(first, _with(kind, None if kind is None else F.col(first), path, F.col(f"_set_{i}")))
+    return out.drop(*[f"_set_{i}" for i in range(len(nested))])
 
 
 def unset(df: DataFrame, names: str | list[str]) -> DataFrame:
@@ -48,14 +96,19 @@ def replace_root(df: DataFrame, new_root: Any) -> DataFrame:
 def unwind(
     df: DataFrame, path: str, index: str | None = None, keep_empty: bool = False
 ) -> DataFrame:
-    """One row per array element; a scalar counts as an array of one."""
+    """One row per array element; a scalar counts as an array of one. A dotted path unwinds
+    a nested array in its place."""
     name = path.lstrip("$")
-    values = F.col(name)
-    if not isinstance(df.schema[name].dataType, T.ArrayType):
+    first, kind, below = _top(df, name)
+    source = ".".join([f"`{first}`", *below])
+    values = F.col(source)
+    if not isinstance(df.select(values).schema[0].dataType, T.ArrayType):
         values = F.when(values.isNotNull(), F.array(values))
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    rest = [c for c in df.columns if c != name]
-    out = df.select(*rest, explode(values).alias("_at", name))
+    if below:
+        out = df.select("*", explode(values).alias("_at", "_el")).withColumn(first, _with(kind, F.col(first), below, F.col("_el"))).drop("_el")
+    else:
+        out = df.select(*[c for c in df.columns if c != name], explode(values).alias("_at", name))
     if index:
         return out.withColumn(index, F.col("_at").cast("bigint")).drop("_at")
     return out.drop("_at")
@@ -161,7 +214,7 @@ def _lookup(df: DataFrame, arg: dict[str, Any], tables: dict[str, DataFrame]) ->
     if pipeline:
         foreign = apply_stages(foreign, pipeline, tables)
     keys = None
-    if isinstance(df.schema[arg["localField"]].dataType, T.ArrayType):
+    if relate.is_array(df, arg["localField"]):
         df, keys = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "lookup"), ["_row"]
     return relate.lookup(df, foreign, arg["localField"], arg["foreignField"], arg["as"], row_key=keys).drop("_row")
 
@@ -181,11 +234,14 @@ def apply_stages(
     """Run document stages in order over ``df``; ``tables`` are the named
     collections other stages may read. ``$merge`` and ``$out`` give the new version
     of their target, ``$facet`` rows of (facet, document); ``$documents`` replaces
-    ``df``. A ``$lookup`` with its ``$unwind`` is one join."""
+    ``df``. A ``$lookup`` with its ``$unwind`` is one join; arrays of matches and of pushed
+    values are built only where they come out (see ``stage_plan``), then whole: one row per
+    document and group."""
     from tablewright.functions import formatters
     from tablewright.operators import aggregates, buckets, relate, windows
 
     tables = tables or {}
+    stages = rewrite(stages)
     skip = False
     for at, stage in enumerate(stages):
         if skip:
@@ -194,7 +250,7 @@ def apply_stages(
         op, arg = next(iter(stage.items()))
         spec = _fused(stage, stages[at + 1] if at + 1 < len(stages) else None)
         keep = bool(spec and spec.get("preserveNullAndEmptyArrays"))
-        if spec and not (keep and isinstance(df.schema[arg["localField"]].dataType, T.ArrayType)):
+        if spec and not (relate.is_array(df, arg["localField"]) and (keep or relate.is_array(tables[arg["from"]], arg["foreignField"]))):
             foreign = apply_stages(tables[arg["from"]], arg.get("pipeline") or [], tables)
             df = relate.lookup_rows(df, foreign, arg["localField"], arg["foreignField"], arg["as"], keep)
             skip = True
@@ -208,7 +264,13 @@ def apply_stages(
             )
         elif op == "$group":
             spec = dict(arg)
-            df = aggregates.group(df, spec.pop("_id"), spec)
+            df = aggregates.group(df, spec.pop("_id"), spec, None)
+        elif op == "_group_unwound":
+            spec = dict(arg["spec"])
+            df = aggregates.group_unwound(df, spec.pop("_id"), spec, arg["as"])
+        elif op == "_lookup_count":
+            foreign = apply_stages(tables[arg["from"]], arg.get("pipeline") or [], tables)
+            df = relate.lookup_count(df, foreign, arg["localField"], arg["foreignField"], arg["as"])
         elif op == "$lookup":
             df = _lookup(df, arg, tables)
         elif op == "$graphLookup":

@@ -78,16 +78,20 @@ def transfer_upsert(
         check_keys(source, source.limit(0), keys)
     elif not distinct:
         source = last_per_key(source, keys, sequence)
-    return merge_into(source, target, keys, "replace")
+    return merge_into(source, target, keys, "replace", checked=False)
 
 
 def merge_into(
     source: DataFrame, target: DataFrame, on: list[str], matched: str = "merge",
-    not_matched: str = "insert",
+    not_matched: str = "insert", checked: bool = True,
 ) -> DataFrame:
-    """The target after merging. ``matched``: replace, keepExisting, merge (source
+    """The target after merging. A NULL key is a key like any other, as in a diff. A key
+    that repeats in the source would multiply target rows, so it is refused; leave
+    ``checked`` out where keys are known to be unique. ``matched``: replace, keepExisting, merge (source
     fields win, fields only the target has stay) or fail; ``not_matched``:
     insert, discard or fail."""
+    if checked:
+        check_keys(source, source.limit(0), on)
     cells = [c for c in target.columns if c not in on]
     kinds = {f.name: f.dataType for f in target.schema}
     has = set(source.columns)
@@ -96,7 +100,7 @@ def merge_into(
         F.lit(True).alias("_s"),
     )
     t = target.withColumn("_t", F.lit(True))
-    cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"sk_{k}") for k in on])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"sk_{k}")) for k in on])
     joined = t.join(s, cond, "left" if not_matched == "discard" else "full_outer")
     in_s, in_t = F.col("_s").isNotNull(), F.col("_t").isNotNull()
 

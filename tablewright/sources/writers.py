@@ -166,8 +166,11 @@ def copy_structure(source: DataFrame, path: str) -> None:
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Write a new version beside ``path`` and swap the two folders. The new rows
-    may be computed from the old version."""
+    may be computed from the old version. A run that stops between the two renames leaves
+    no folder at ``path``; ``restore_table`` then puts the new version in place, and so
+    does the next run."""
     spark = df.sparkSession
+    restore_table(spark, path)
     fresh, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(fresh)
     jvm = spark.sparkContext._jvm
@@ -182,6 +185,15 @@ def replace_table(df: DataFrame, path: str) -> None:
         raise RuntimeError(f"could not put the new version in place at {path}; it is at {fresh}")
 
 
+def restore_table(spark: SparkSession, path: str) -> None:
+    """Finish a swap that stopped half-way: the new version is whole once the old one is aside."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at(path)) and fs.exists(at(f"{path}.old")):
+        whole = f"{path}.new" if fs.exists(at(f"{path}.new/_SUCCESS")) else f"{path}.old"
+        fs.rename(at(whole), at(path))
+
+
 def pattern_matches(pattern: str, name: str) -> bool:
     """A pattern of one, two or three parts against as many last parts of ``d.s.t``."""
     parts, have = pattern.lower().split("."), name.lower().split(".")

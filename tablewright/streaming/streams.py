@@ -152,32 +152,32 @@ def read_upserted(
 ) -> DataFrame:
     """The table after all logged batches, folded by ``sequence`` (without one, by batch)."""
     latest = _folded(spark.read.parquet(f"{out}/rows"), keys, sequence).drop(BATCH)
-    return latest if base is None else merge_into(latest, base, keys, "replace")
+    return latest if base is None else merge_into(latest, base, keys, "replace", checked=False)
 
 
 def compact(spark: SparkSession, out: str, keys: list[str], sequence: str | None = None) -> None:
     """Fold all batches but the newest into one, at the place of the newest of them.
 
-    The fold is written beside the log and moved in; the batches that it replaces
-    are removed after, and while both are there reading gives the same rows. Run it
-    while no batch runs."""
+    The fold moves into the log in one step, beside the batches that it replaces (its
+    folder spells the same number with a leading zero), and only then are these removed.
+    Folding twice gives the same rows, so reading is right after a stop at any point. Run
+    it while no batch runs."""
     log = spark.read.parquet(f"{out}/rows")
     batches = sorted(r[BATCH] for r in log.select(BATCH).distinct().collect())
     old = batches[:-1]
     if len(old) < 2:
         return
     folded = _folded(log.where(F.col(BATCH) <= old[-1]), keys, sequence).drop(BATCH)
-    fresh = f"{out}/folded"
+    fresh, name = f"{out}/folded", f"{BATCH}=0{old[-1]}"
     folded.write.mode("overwrite").parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = at(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last = at(f"{out}/rows/{BATCH}={old[-1]}")
-    fs.delete(last, True)
-    if not fs.rename(at(fresh), last):
-        raise RuntimeError(f"could not put the folded log in place at {last}")
-    for batch_id in old[:-1]:
-        fs.delete(at(f"{out}/rows/{BATCH}={batch_id}"), True)
+    if not fs.rename(at(fresh), at(f"{out}/rows/{name}")):
+        raise RuntimeError(f"could not put the folded log in place at {out}/rows/{name}")
+    for status in fs.listStatus(at(f"{out}/rows")):
+        folder = status.getPath().getName()
+        if folder.startswith(f"{BATCH}=") and folder != name and int(folder.split("=")[1]) <= old[-1]:
+            fs.delete(status.getPath(), True)
 
 
 def counts_per_window(

@@ -330,3 +330,49 @@ def test_foreign_keys_exist(spark):
 ])
 def test_guessed_generators(name, kind, want):
     assert generate.guess_generator(name, kind) == want
+
+
+def test_import_keeps_every_digit(spark):
+    from tablewright.operators import infer
+
+    raw = spark.createDataFrame([
+        ("18446744073709551615", "0.12345678901234567890", "1.5", "7", "1e3"), ("-9223372036854775808", "123456789012", "-2", None, "12345678901234567.5"),
+    ], "u string, d string, x string, i string, e string")
+    assert {r["column"]: r["data_type"] for r in infer.import_infer(raw).collect()} == {
+        "u": "decimal(20,0)", "d": "decimal(32,20)", "x": "double", "i": "bigint", "e": "double",
+    }
+    rows, rejected = infer.import_table(raw)
+    assert rejected.count() == 0
+    kept = {str(r["u"]): str(r["d"]) for r in rows.collect()}
+    assert kept["18446744073709551615"] == "0.12345678901234567890" and kept["-9223372036854775808"].startswith("123456789012.0")
+
+
+def test_merge_keys(spark):
+    from tablewright.operators import transfer
+    from tablewright.operators.diff import DuplicateKeyError
+
+    target = spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string")
+    source = spark.createDataFrame([(None, "x"), (2, "y")], target.schema)
+    once = transfer.transfer_upsert(source, target, ["k"])
+    again = transfer.transfer_upsert(source, once, ["k"])
+    assert sorted(again.collect(), key=repr) == sorted(once.collect(), key=repr) == [(1, "b"), (2, "y"), (None, "x")]
+    with pytest.raises(DuplicateKeyError):
+        transfer.merge_into(source.unionAll(source), target, ["k"])
+
+
+def test_null_places_in_cut_frames(spark):
+    from tablewright.operators import windows
+
+    df = spark.createDataFrame([(g, None if i % 5 == 0 else i % 7, float(i)) for g in range(2) for i in range(30)], "g int, o int, v double")
+    output = {"s": {"$sum": "$v", "window": {"range": [-2, 1]}}, "n": {"$count": {}, "window": {"range": [-1, 1]}}}
+    plain = windows.set_window_fields(df, "$g", {"o": 1}, output)
+    cut = windows.set_window_fields(df, "$g", {"o": 1}, output, segments=3)
+    assert sorted(map(str, cut.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_empty_lists_are_no_filter(spark):
+    from tablewright.operators import filters
+
+    df = spark.range(5).toDF("a")
+    assert filters.filter_in_list(df, "a", []).count() == 5
+    assert filters.filter_in_list(df, "a", df.limit(0)).count() == 5
