@@ -169,15 +169,16 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 0) -> Network:
         return Network(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))))
     order = rng.permutation(n)
     tune, train = order[: n // 5], order[n // 5 :]
-    net = Network(x[train].mean(0), x[train].std(0) + 1e-3, rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
+    net = Network(x[train].mean(0, dtype=np.float64), x[train].std(0, dtype=np.float64) + 1e-3, rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
     state = [np.zeros_like(p) for p in (net.w1, net.b1, net.w2, np.zeros(1)) for _ in (0, 1)]
-    inputs = ((x - net.mean) / net.scale).clip(-8, 8)
+    inputs = (x - net.mean.astype(x.dtype)) / net.scale.astype(x.dtype)
+    np.clip(inputs, -8, 8, out=inputs)
     step = 0
     for _ in range(max(EPOCHS, STEPS // -(-len(train) // BATCH))):
         shuffled = rng.permutation(train)
         for at in range(0, len(shuffled), BATCH):
             some = shuffled[at : at + BATCH]
-            a, t = inputs[some], y[some]
+            a, t = inputs[some].astype(np.float64), y[some]
             hidden = np.tanh(a @ net.w1 + net.b1)
             p = 1 / (1 + np.exp(-(hidden @ net.w2 + net.b2).clip(-500, 500)))
             g = (p - t) / len(some)
@@ -217,8 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     # One row per id, so that repeated ids do not add to the sample.
     found = map_batches(rows, run, "doc_id bigint, label int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("m"))
     got = sorted((r["doc_id"], r["m"]["x"], r["m"]["label"]) for r in found.collect())
-    x = np.array([np.frombuffer(r[1], np.float32) for r in got], np.float64).reshape(len(got), 5 * DIMS)
-    return table, fit_network(x, np.array([r[2] for r in got], np.float64))
+    shared.destroy()
+    x, y = np.empty((len(got), 5 * DIMS), np.float32), np.array([r[2] for r in got], np.float64)
+    for row, (_, block, _) in zip(x, got):
+        row[:] = np.frombuffer(block, np.float32)
+    del got
+    return table, fit_network(x, y)
 
 
 def score(
