@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.llm import decontaminate, jaccard, mixing, quality, token_files
 from tablewright.llm.queries import BYTE_BPE, quality_labels
 from tablewright.session import Tables
-from tablewright.storage import materialize
+from tablewright.storage import discard, materialize
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each on the written result of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
