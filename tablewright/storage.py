@@ -55,10 +55,25 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str, label: str = "step") -> DataFrame:
+    """``df``, one row per value of ``column``, written in buckets of it: a join on the column
+    then shuffles the other side alone."""
+    spark = df.sparkSession
+    path, name = work_path(spark, label), f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(n, column).dropDuplicates([column])
+    rows.write.bucketBy(n, column).format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._step_path, out._step_table = path, name
+    return out
+
+
 def discard(*steps: DataFrame) -> None:
     """Remove materialized steps that nothing reads any more."""
     for step in steps:
         spark = step.sparkSession
+        if table := getattr(step, "_step_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step._step_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
