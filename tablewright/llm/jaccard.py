@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import SPACE, U64, Words, as_bytes, map_batches, mixed, pieces, window_hashes
 from tablewright.llm.graph import components
-from tablewright.storage import discard, materialize, release
+from tablewright.storage import bucketed, discard, materialize, release
 
 SMALL = 64  # bands up to this size use one-deletion neighbourhoods
 RATIO = 1.5  # of a band's bounds
@@ -258,7 +258,8 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """(node, size, grams) for ``nodes``, from one document of each."""
+    """(node, size, grams) for ``nodes``, from one document of each, in buckets of the node:
+    the joins with it move pairs, not sets."""
     carrier = (
         sets.where("node IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node")
         .agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))).alias("c"))
@@ -275,13 +276,7 @@ def _sets_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int, id_c
             seen.update(new)
             yield {"node": new, "size": [len(found[k]) for k in new], "grams": pa.array([found[k].tobytes() for k in new], pa.binary())}
 
-    grams = materialize(map_batches(texts, run, "node bigint, size int, grams binary"), "grams")
-    rows, distinct = grams.agg(F.count("node"), F.countDistinct("node")).first()
-    if rows == distinct:
-        return grams
-    once = materialize(grams.dropDuplicates(["node"]), "grams")
-    discard(grams)
-    return once
+    return bucketed(map_batches(texts, run, "node bigint, size int, grams binary"), "node", "grams")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
