@@ -62,7 +62,7 @@ def _edges(df: DataFrame, name: str, bins: int) -> tuple[list[float], list[float
 
 def _numbered(name: str, edges: list[float], cuts: int) -> Column:
     """0-based piece of a value: its range between two edges, found by halving, cut
-    into ``cuts`` even pieces."""
+    into ``cuts`` even pieces. NULL, which sorts first, is in the first piece."""
 
     def find(lo: int, hi: int) -> Column:
         if hi - lo == 1:
@@ -72,13 +72,13 @@ def _numbered(name: str, edges: list[float], cuts: int) -> Column:
 
     if len(edges) < 2:
         return F.lit(0).cast("bigint")
-    at = find(0, len(edges) - 1)
+    at = F.when(F.col(name).isNull(), F.lit(0)).otherwise(find(0, len(edges) - 1))
     if cuts == 1:
         return at.cast("bigint")
     starts = F.array(*[F.lit(e) for e in edges[:-1]])
     widths = F.array(*[F.lit((b - a) / cuts) for a, b in zip(edges, edges[1:])])
     inside = F.floor((F.col(name) - F.get(starts, at)) / F.get(widths, at)).cast("bigint")
-    return at * cuts + F.least(inside, F.lit(cuts - 1))
+    return at * cuts + F.coalesce(F.least(inside, F.lit(cuts - 1)), F.lit(0))
 
 
 def segment_of(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.expressions import expr
-from tablewright.operators.aggregates import top_per_group
+from tablewright.operators.aggregates import join_null_safe, top_per_group
 from tablewright.operators.segments import (
     _fits_one_task,
     nearest,
@@ -57,7 +57,9 @@ def set_window_fields(
     ``sort_by`` takes both directions.
 
     Keys that fit a task use plain windows, which share one shuffle. Greater keys are
-    cut into segments if all outputs can be; the result is the same."""
+    cut into segments if all outputs can be (ranks, shifts, sums, averages, extremes and
+    counts over the whole key, up to or from the current row, or a bounded frame); the
+    result is the same."""
     rows, keys, scratch = _keys(df, by)
     for name, spec in output.items():
         op = next(k for k in spec if k != "window")
@@ -90,11 +92,12 @@ def _can_be_cut(spec: dict[str, Any]) -> bool:
     window = spec.get("window") or {}
     op, arg = next((k, v) for k, v in spec.items() if k != "window")
     docs = window.get("documents")
-    if op == "$documentNumber":
+    if op in _PLACES:
         return True
     if op == "$shift":
         return arg.get("default") is None
-    open_ended = bool(docs) and "unbounded" in docs and docs not in (["unbounded", "unbounded"], ["unbounded", "current"])
+    whole = (["unbounded", "unbounded"], ["unbounded", "current"], ["current", "unbounded"])
+    open_ended = bool(docs) and "unbounded" in docs and docs not in whole
     return op in _FRAME and not open_ended and "unbounded" not in (window.get("range") or [])
 
 
@@ -134,8 +137,18 @@ def _cut_window_fields(
     rows: DataFrame, keys: list[str], scratch: list[str], sort_by: dict[str, int], output: dict[str, dict[str, Any]],
     segments: int | None,
 ) -> DataFrame:
+    onward = [n for n, s in output.items() if (s.get("window") or {}).get("documents") == ["current", "unbounded"]]
+    if onward:
+        # From the current row on is up to the current row, seen from the end.
+        back = {n: {**output[n], "window": {"documents": ["unbounded", "current"]}} for n in onward}
+        turned = {c: -way for c, way in sort_by.items()}
+        rows = _cut_window_fields(rows, keys, [], turned, back, segments)
+        output = {n: s for n, s in output.items() if n not in onward}
     names = rows.columns
     rows, order = _ascending(rows, sort_by)
+    ranks = {n: next(op for op in s if op != "window") for n, s in output.items()}
+    ranks = {n: op for n, op in ranks.items() if op in ("$rank", "$denseRank")}
+    output = {n: s for n, s in output.items() if n not in ranks}
     made = [c for c in rows.columns if c not in names]
     passes: dict[str, tuple[str, Column]] = {}
     averages: dict[str, str] = {}
@@ -165,7 +178,7 @@ def _cut_window_fields(
         else:
             low, high = [0 if x == "current" else x for x in docs]
             frames.append((name, op, arg, ("rows", low, high)))
-    if any(f[3][0] == "rows" for f in frames):
+    if any(f[3][0] == "rows" for f in frames) or "$rank" in ranks.values():
         passes["_place"] = ("count", F.lit(1))
     if passes:
         rows = running(rows, keys, order, passes, segments)
@@ -181,6 +194,14 @@ def _cut_window_fields(
             width = None if kind == "rows" else max(high - low, 1)
             aggs = {name: _FRAME[op](_value(op, arg)) for name, op, arg, f in mine if f[1:] == (low, high)}
             rows = sliding(rows, keys, place, low, high, aggs, width)
+    peers = [*keys, *sort_by]
+    for name, op in ranks.items():
+        if op == "$rank":  # the place of the first row of the same order values
+            number = rows.groupBy(*peers).agg(F.min("_place").cast("int").alias(name))
+        else:
+            distinct, rising = _ascending(rows.select(*peers).distinct(), sort_by)
+            number = running(distinct, keys, rising, {name: ("count", F.lit(1))}, segments).select(*peers, F.col(name).cast("int").alias(name))
+        rows = join_null_safe(rows, number, peers, "inner")
     helpers = [f"_{x}_{name}" for x in ("sum", "n") for name in averages]
     return rows.drop("_place", *helpers, *scratch, *made)
 

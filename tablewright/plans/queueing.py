@@ -82,6 +82,13 @@ def stream_retention(t):
     return queues.retention(messages(t), 10080).select("partition", "offset")
 
 
+@query("stream_retention_size", f"""WITH {MSG_SQL},
+s AS (SELECT *, sum(octet_length(encode(key)) + octet_length(encode(value))) OVER (PARTITION BY partition ORDER BY "offset" DESC) AS bytes FROM m)
+SELECT partition, "offset" FROM s WHERE bytes <= 1048 AND timestamp >= (SELECT max(timestamp) FROM s WHERE bytes <= 1048) - INTERVAL 20000 MINUTE""")
+def stream_retention_size(t):
+    return queues.retention(messages(t), 20000, megabytes=0.001).select("partition", "offset")
+
+
 def event_stream(t):
     return streams.read_files(t.spark, t.path, t.events.schema, "events.parquet")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.aggregates import rank_in_group
+from tablewright.operators.segments import running
 
 
 def as_messages(
@@ -84,8 +85,22 @@ def partition_overview(partitions: DataFrame) -> DataFrame:
     )
 
 
-def retention(df: DataFrame, minutes: int, newest: Any = None) -> DataFrame:
-    """Messages not older than ``minutes`` before the newest (-1 keeps all)."""
+def retained_bytes(df: DataFrame, megabytes: float, segments: int | None = None) -> DataFrame:
+    """The newest messages of each partition, up to ``megabytes`` of keys and values in all
+    (-1 keeps all). The running sum from the newest back cuts a great partition into
+    segments, so none is whole in a task."""
+    if megabytes < 0:
+        return df
+    size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
+    back = df.withColumn("_back", -F.col("offset"))
+    summed = running(back, ["topic", "partition"], ["_back"], {"_bytes": ("sum", size)}, segments)
+    return summed.where(F.col("_bytes") <= F.lit(int(megabytes * 1024 * 1024))).drop("_back", "_bytes")
+
+
+def retention(df: DataFrame, minutes: int, newest: Any = None, megabytes: float = -1) -> DataFrame:
+    """Messages not older than ``minutes`` before the newest and within the newest
+    ``megabytes`` of their partition; -1 sets no bound."""
+    df = retained_bytes(df, megabytes)
     if minutes < 0:
         return df
     if newest is None:

@@ -100,3 +100,60 @@ def test_backlog_and_lag(spark):
     subs = spark.createDataFrame([(0, 900, 1), (950, 10, 1), (5000, None, None), (0, 0, 0)], "last_acked bigint, last_consumed bigint, last_mark_delete bigint")
     assert queues.lag_ms(subs, 1000).first()["lag_ms"] == 50
     assert queues.lag_ms(subs.limit(0), 1000).first()["lag_ms"] == 0
+
+
+def test_retention_by_size(spark):
+    m = spark.createDataFrame([("t", p, o, None if o % 3 else "kk", "v" * (o % 5)) for p in range(2) for o in range(50)], "topic string, partition int, offset bigint, key string, value string")
+    left = lambda df: {(r["partition"], r["offset"]) for r in df.collect()}
+    want, bound = set(), 60
+    for p in range(2):
+        total = 0
+        for o in range(49, -1, -1):
+            total += (0 if o % 3 else 2) + o % 5
+            if total <= bound:
+                want.add((p, o))
+    assert left(queues.retained_bytes(m, bound / 1024 / 1024)) == want == left(queues.retained_bytes(m, bound / 1024 / 1024, segments=3))
+    assert queues.retained_bytes(m, -1).count() == 100 and queues.retained_bytes(m, 0).count() in (0, 2)
+
+
+def test_a_stopped_compaction_loses_nothing(spark, folder, monkeypatch):
+    log = f"{folder}/log"
+    for b in range(5):
+        spark.createDataFrame([(k, b * 10 + k, b) for k in range(b, b + 3)], "k int, v int, seq int").write.parquet(f"{log}/rows/batch_id={b}")
+    want = rows(streams.read_upserted(spark, log, ["k"], sequence="seq"))
+
+    real = streams._folded
+    streams.compact(spark, log, ["k"], "seq")
+    assert rows(streams.read_upserted(spark, log, ["k"], sequence="seq")) == want
+    # A stop after the fold moved in: the old batches are still there beside it.
+    for b in range(3):
+        spark.createDataFrame([(k, b * 10 + k, b) for k in range(b, b + 3)], "k int, v int, seq int").write.parquet(f"{log}/rows/batch_id={b}")
+    assert rows(streams.read_upserted(spark, log, ["k"], sequence="seq")) == want
+    # A stop while the fold is written: the next run starts over.
+    def stop(*args):
+        real(*args).drop("batch_id").write.mode("overwrite").parquet(f"{log}/folded")
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(streams, "_folded", stop)
+    with pytest.raises(RuntimeError):
+        streams.compact(spark, log, ["k"], "seq")
+    monkeypatch.undo()
+    assert rows(streams.read_upserted(spark, log, ["k"], sequence="seq")) == want
+    streams.compact(spark, log, ["k"], "seq")
+    assert rows(streams.read_upserted(spark, log, ["k"], sequence="seq")) == want
+
+
+def test_a_stopped_swap_is_finished(spark, folder):
+    import os
+
+    from tablewright.sources import writers
+
+    path = f"{folder}/t"
+    writers.replace_table(spark.range(3), path)
+    writers.replace_table(spark.range(5), path)
+    spark.range(7).write.parquet(f"{path}.new")
+    os.rename(path, f"{path}.aside")  # the state between the two renames
+    if not os.path.exists(f"{path}.old"):
+        os.rename(f"{path}.aside", f"{path}.old")
+    writers.restore_table(spark, path)
+    assert spark.read.parquet(path).count() == 7

@@ -376,3 +376,21 @@ def test_empty_lists_are_no_filter(spark):
     df = spark.range(5).toDF("a")
     assert filters.filter_in_list(df, "a", []).count() == 5
     assert filters.filter_in_list(df, "a", df.limit(0)).count() == 5
+
+
+def test_ranks_and_open_frames_of_cut_keys(spark):
+    from tablewright.operators import windows
+
+    df = spark.createDataFrame([(g, None if i % 11 == 0 else i % 6, i, float(i * 7 % 13)) for g in (0, None) for i in range(40)], "g int, o int, i int, v double")
+    output = {
+        "r": {"$rank": {}}, "d": {"$denseRank": {}},
+    }
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    for way in (1, -1):
+        plain = windows.set_window_fields(df, "$g", {"o": way}, output)
+        assert same(windows.set_window_fields(df, "$g", {"o": way}, output, segments=4), plain)
+        rest = {
+            n: {f"${n}": "$v", "window": {"documents": ["current", "unbounded"]}} for n in ("sum", "avg", "min", "max")
+        } | {"upto": {"$sum": "$v", "window": {"documents": ["unbounded", "current"]}}, "n": {"$count": {}, "window": {"documents": ["current", "unbounded"]}}}
+        plain = windows.set_window_fields(df, "$g", {"o": way, "i": 1}, rest)
+        assert same(windows.set_window_fields(df, "$g", {"o": way, "i": 1}, rest, segments=4), plain)
