@@ -31,6 +31,16 @@ def held_out(id_column: str, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(id_column, modulus) == rest, F.lit(True))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` has it."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in df.columns}:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a piece has about ``size`` bytes of ``column``, or one row."""
     for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SPACE, U64, Words, as_bytes, map_batches, mixed, pieces, window_hashes
+from tablewright.llm.common import SPACE, U64, Words, as_bytes, map_batches, mixed, pieces, unused, window_hashes
 from tablewright.llm.graph import components
 from tablewright.storage import bucketed, discard, materialize, release
 
@@ -476,12 +476,14 @@ def without_duplicates(
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("m")
     first = parts.where("root IS NOT NULL").groupBy("root").agg(least).select("m.doc_id", "m.text_hash")
     wordless = parts.where("root IS NULL").select("doc_id", "text_hash").distinct()
-    chosen = first.unionAll(wordless).select(F.col("doc_id").alias("__keep_id"), F.col("text_hash").alias("__keep_hash"))
-    marked = docs.withColumns({"__id": F.col(id_column).cast("bigint"), "__hash": F.xxhash64(text_column)})
-    kept = marked.join(chosen, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
+    here, text_hash, number = unused(docs, "_id_here", "_text_hash", "_number")
+    chosen = first.unionAll(wordless).toDF("_keep_id", "_keep_hash")
+    marked = docs.withColumns({here: F.col(id_column).cast("bigint"), text_hash: F.xxhash64(text_column)})
+    kept = marked.join(chosen.alias("c"), F.col(here).eqNullSafe(F.col("c._keep_id")) & (F.col(text_hash) == F.col("c._keep_hash")), "left_semi")
     repeated = first.join(parts.groupBy("doc_id", "text_hash").count().where("count > 1"), ["text_hash"], "left_semi")
     if not repeated.isEmpty():  # equal rows are copies, too
-        one = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*docs.columns))
+        one = Window.partitionBy(here, text_hash).orderBy(F.xxhash64(*docs.columns))
         words = F.coalesce(F.col(text_column).rlike(f"[^{SPACE}]"), F.lit(False))
-        kept = kept.where(~words).unionAll(kept.where(words).withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n"))
+        once = kept.where(words).withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)
+        kept = kept.where(~words).unionAll(once)
     return kept.select(*docs.columns)

@@ -79,12 +79,13 @@ def log_matrix(counts: np.ndarray, added: float = 0.1) -> np.ndarray:
 
 
 def identify(
-    docs: DataFrame, langs: list[str], matrix: np.ndarray, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[str, ...] = (), id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """doc_id, lang_pred and score (the posterior of that language under equal priors) of
-    every row. ``und`` with score 0 where the text is NULL or has no letter, or nothing
+    """doc_id, the columns ``keep``, lang_pred and score (the posterior of that language under
+    equal priors) of every row. ``und`` with score 0 where the text is NULL or has no letter, or nothing
     was learned; ties go to the first language in code point order. Rows of one id are
-    scored each by its own text; columns other than id and text are not read."""
+    scored each by its own text; an empty table gives an empty one; other columns are not
+    read. At most MOST_LANGUAGES languages are learned, more are refused."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
 
     def run(batches):
@@ -102,8 +103,8 @@ def identify(
                 odds = np.exp(total - total.max())
                 preds.append(names[int(total.argmax())])
                 scores.append(float(odds.max() / odds.sum()))
-            yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": preds, "score": pa.array(scores, pa.float64())}
+            yield {"doc_id": batch.column("doc_id"), **{c: batch.column(c) for c in keep}, "lang_pred": preds, "score": pa.array(scores, pa.float64())}
 
-    held = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), held.alias("held_out"))
-    return map_batches(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), *keep, F.col(text_column).alias("text"))
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return map_batches(rows, run, f"doc_id bigint, {kinds}lang_pred string, score double")

@@ -136,7 +136,7 @@ def op5(t: Tables) -> DataFrame:
 def op6(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text", "lang", held_out("doc_id", 5, 0).alias("held_out"))
     langs, counts = language.count_languages(docs.where("NOT held_out"))
-    return language.identify(docs, langs, language.log_matrix(counts) if langs else counts)
+    return language.identify(docs, langs, language.log_matrix(counts) if langs else counts, keep=("held_out",))
 
 
 @register(

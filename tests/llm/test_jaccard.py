@@ -128,3 +128,40 @@ def test_words_of_many_texts(monkeypatch):
             for word, value in zip(text.split(), hashes[a:b].tolist()):
                 assert seen.setdefault(word, value) == value
     assert len(set(seen.values())) == len(seen)
+
+
+def test_clashing_names_survive(spark):
+    rows = [(i, PAIR[i % 2], "x", 7, "h") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __id string, _id_here int, _text_hash string")
+    kept = jaccard.without_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted(rows[:2])
+
+
+def test_loose_members_of_a_group(spark):
+    """Copies of one text with 0 to 60 % of their words replaced: links as by all pairs, and
+    few candidates among those that are no copies."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 2, 4, 8, 20, 30, 45, 60, 90])):
+            words[at] = f"{i}-{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs, real = [], jaccard._across
+
+    def seen(*args):
+        out = real(*args)
+        pairs.append(out.count())
+        return out
+
+    jaccard._across = seen
+    try:
+        assert spark_components(docs) == plain(rows)
+    finally:
+        jaccard._across = real
+    assert pairs[0] < 160 * 159 / 2 / 10
+
+
+PAIR = [" ".join(f"{c}{k}" for k in range(40)) for c in "ab"]
