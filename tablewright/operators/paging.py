@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tablewright.operators.aggregates import top_per_group
 from tablewright.operators.segments import with_running_index
+from tablewright.storage import work_path
 
 
 # Rows one task may hold to serve an OFFSET page; deeper pages are numbered.
@@ -40,6 +41,41 @@ def _page(ordered: DataFrame, order: list[Any], limit: int, offset: int) -> Data
     return numbered.where(F.col("_at").between(offset, offset + limit - 1)).orderBy("_at").drop("_at")
 
 
+INDEX_ROWS = 100_000  # of a range
+
+
+class OrderIndex:
+    """A table written in ``order``, cut into ranges with their row counts.
+
+    Built once, it serves any number of pages: a page, however deep, reads the one or two
+    ranges that it lies in. Ties are broken by all other columns, as in ``page_offset``;
+    the counts, one per range, are all that the driver holds."""
+
+    def __init__(self, df: DataFrame, order: list[Any], rows: int = INDEX_ROWS, path: str | None = None):
+        spark = df.sparkSession
+        named = {o for o in order if isinstance(o, str)}
+        self.order = [*order, *[f.name for f in df.schema if f.name not in named and _sortable(f.dataType)]]
+        self.path = path or work_path(spark, "order-index")
+        ranges = max(1, -(-df.count() // rows))
+        ranged = df.repartitionByRange(ranges, *self.order).withColumn("_range", F.spark_partition_id())
+        ranged.sortWithinPartitions(*self.order).write.partitionBy("_range").parquet(self.path)
+        self.spark, self.schema = spark, df.schema
+        self.counts = [tuple(r) for r in spark.read.parquet(self.path).groupBy("_range").count().orderBy("_range").collect()]
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """``limit`` rows from ``offset`` on."""
+        before, first, wanted = 0, 0, []
+        for number, n in self.counts:
+            if before < offset + limit and before + n > offset:
+                first = first if wanted else before
+                wanted.append(number)
+            before += n
+        if not wanted:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/_range={n}" for n in wanted])
+        return rows.orderBy(*self.order).offset(max(0, offset - first)).limit(limit)
+
+
 def scan_page(
     df: DataFrame, columns: list[str] | None = None, where: Column | str | None = None,
     order_by: list[Any] | None = None, limit: int = 100, offset: int = 0,

@@ -339,6 +339,17 @@ def page_offset(t):
     return paging.page_offset(t.lineitem.select("l_suppkey", "l_returnflag").distinct(), 50, 100)
 
 
+@query("page_index", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate::VARCHAR AS l_shipdate FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS n, count(*) OVER () AS total FROM lineitem)
+WHERE n BETWEEN 11 AND 30 OR n BETWEEN total // 2 + 1 AND total // 2 + 50""")
+def page_index(t):
+    """Two pages of one index: near the start, and in the middle."""
+    index = paging.OrderIndex(t.lineitem, [F.desc("l_shipdate")], rows=2000)
+    total = sum(n for _, n in index.counts)
+    pages = index.page(20, 10).unionAll(index.page(50, total // 2))
+    return pages.select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_shipdate").cast("string").alias("l_shipdate"))
+
+
 @query("page_keyset", """
 SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
 WHERE l_orderkey > 7000 OR (l_orderkey = 7000 AND l_linenumber > 3) ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 200""")

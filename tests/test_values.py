@@ -394,3 +394,15 @@ def test_ranks_and_open_frames_of_cut_keys(spark):
         } | {"upto": {"$sum": "$v", "window": {"documents": ["unbounded", "current"]}}, "n": {"$count": {}, "window": {"documents": ["current", "unbounded"]}}}
         plain = windows.set_window_fields(df, "$g", {"o": way, "i": 1}, rest)
         assert same(windows.set_window_fields(df, "$g", {"o": way, "i": 1}, rest, segments=4), plain)
+
+
+def test_a_page_reads_its_ranges_only(spark):
+    from tablewright.operators.paging import OrderIndex, page_offset
+
+    df = spark.range(5_000).selectExpr("id % 97 AS a", "id", "IF(id % 50 = 0, NULL, id % 7) AS b")
+    index = OrderIndex(df, ["b", F.desc("a")], rows=500)
+    assert len(index.counts) > 5 and sum(n for _, n in index.counts) == 5_000
+    for limit, offset in ((10, 0), (100, 1_234), (30, 4_990), (5, 6_000)):
+        page = index.page(limit, offset)
+        assert [tuple(r) for r in page.collect()] == [tuple(r) for r in page_offset(df, limit, offset, ["b", F.desc("a")]).collect()]
+        assert len({f.split("_range=")[1].split("/")[0] for f in page.inputFiles()}) <= 2
