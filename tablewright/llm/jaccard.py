@@ -354,14 +354,13 @@ def _shared_keys(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Band
 
 
 def _pivots(known: DataFrame) -> DataFrame:
-    """(node, root, size, pivot): for each node the busiest node of the component that leads
-    most of its keys. Any node would do for a right result."""
-    leads = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("lead"))
-    busiest = known.groupBy("root", "node").agg(F.count("*").alias("n")).groupBy(F.col("root").alias("lead")).agg(
-        F.max_by("node", F.struct("n", "node")).alias("pivot")
-    )
-    led = known.join(leads, "key").groupBy("node", "root", "size", "lead").agg(F.count("*").alias("n"))
-    return led.groupBy("node", "root", "size").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).join(busiest, "lead").drop("lead")
+    """(node, root, size, pivot): for each node the one that leads most of its keys; a key is
+    led by its node with most keys, so a group of copies has one pivot, its middle. Any
+    node would do for a right result."""
+    busy = known.groupBy("node").agg(F.count("*").alias("busy"))
+    leads = known.join(busy, "node").groupBy("key").agg(F.max_by("node", F.struct("busy", "node")).alias("pivot"))
+    led = known.join(leads, "key").groupBy("node", "root", "size", "pivot").agg(F.count("*").alias("n"))
+    return led.groupBy("node", "root", "size").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
 
 
 def _beyond(pivots: DataFrame, sets: DataFrame) -> DataFrame:
