@@ -81,7 +81,8 @@ def diff_rows_checksum_recent(t):
 @query("table_equal_checksum", """
 SELECT 'orders' AS name, 'same' AS result UNION ALL SELECT 'changed', 'different' UNION ALL SELECT 'lineitem', 'same'""")
 def table_equal_checksum(t):
-    parts = {"orders": (t.orders, t.orders.repartition(3)), "changed": (t.orders, perturbed(t.orders)), "lineitem": (t.lineitem, t.lineitem.repartition(5))}
+    dealt = {name: df.hint("rebalance") for name, df in (("orders", t.orders), ("lineitem", t.lineitem))}  # tasks of a bounded size
+    parts = {"orders": (t.orders, dealt["orders"]), "changed": (t.orders, perturbed(t.orders)), "lineitem": (t.lineitem, dealt["lineitem"])}
     out = [checksums.table_equal(*pair).select(F.lit(name).alias("name"), "result") for name, pair in parts.items()]
     return out[0].unionAll(out[1]).unionAll(out[2])
 

@@ -169,3 +169,11 @@ def test_every_name_pattern(name, pattern):
     assert re.search(pattern[0], name, re.I)
     first = next(key for regex, key in generate.NAME_PATTERNS if re.search(regex, name, re.I))
     assert generate.guess_generator(name, "varchar", False) == first  # an earlier pattern may win
+
+
+def test_checksum_query_deals_rows_by_size(spark, small):
+    from tablewright.plans import load
+
+    plan = load()[0]["table_equal_checksum"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RebalancePartitions") == 2
+    assert "Repartition " not in plan  # so many tasks for any size
