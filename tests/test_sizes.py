@@ -177,3 +177,17 @@ def test_checksum_query_deals_rows_by_size(spark, small):
     plan = load()[0]["table_equal_checksum"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RebalancePartitions") == 2
     assert "Repartition " not in plan  # so many tasks for any size
+
+
+@pytest.mark.parametrize("keep_empty", [True, False])
+@pytest.mark.parametrize("most", [1, 7, 100])
+def test_lookup_rows_of_heavy_keys(spark, keep_empty, most):
+    left = spark.createDataFrame([(i, None if i % 5 == 0 else i % 4) for i in range(60)] + [(99, 77)], "id int, k int").repartition(3)
+    foreign = spark.createDataFrame([(100 + i, None if i % 6 == 0 else i % 3) for i in range(70)] + [(999, 50)], "fid int, f int")
+    plain = got(relate.lookup_rows(left, foreign, "k", "f", "x", keep_empty))
+    cut = relate.lookup_rows(left, foreign, "k", "f", "x", keep_empty, most)
+    assert got(cut) == plain
+    # The output of a key is dealt to many tasks: its left rows meet copies of its foreign rows.
+    assert "_piece" in cut._jdf.queryExecution().optimizedPlan().toString()
+    arrays = left.groupBy("id").agg(F.array(F.first("k"), F.lit(2), F.lit(None).cast("int")).alias("k"))
+    assert got(relate.lookup_rows(arrays, foreign, "k", "f", "x", False, most)) == got(relate.lookup_rows(arrays, foreign, "k", "f", "x", False))
