@@ -1,10 +1,10 @@
 """Quality rules: fixed counts of a text, then a likelihood ratio of hashed n-grams.
 
 Words and word pairs are hashed into buckets. Two multinomials are counted over the whole
-corpus: all documents (raw) and at most TRUSTED trusted ones (target), so that their ids
-travel to the tasks and no text is shuffled. A document's score is the mean log ratio of
-its n-grams; it is kept if the score reaches the highest threshold that the share KEPT of
-those trusted documents reach.
+corpus: all documents (raw) and all trusted ones (target), for which each text is shuffled
+once, to the trusted ids. A document's score is the mean log ratio of its n-grams; it is
+kept if the score reaches the highest threshold that the share KEPT of the trusted
+documents reach.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from tablewright.storage import materialize
 BUCKETS = 1 << 16
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-TRUSTED = 20_000  # trusted documents that the target is counted over, the first by a hash of the id
 KEPT = 0.985  # share of the trusted documents that reach the threshold, at least
 STEP = 1e-4  # of the scores that are counted for the threshold
 STATS = (
@@ -39,19 +38,27 @@ def grams(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (single >> np.uint64(48)).astype(np.int64), (pair >> np.uint64(48)).astype(np.int64)
 
 
-def trusted_sample(trusted: DataFrame, bound: int = TRUSTED, id_column: str = "doc_id") -> np.ndarray:
+def trusted_sample(trusted: DataFrame, bound: int, id_column: str = "doc_id") -> np.ndarray:
     """At most ``bound`` distinct ids, the first by a hash of the id, ascending."""
     ids = trusted.select(F.col(id_column).cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
     first = ids.orderBy(F.xxhash64("id"), "id").limit(bound).collect()
     return np.sort(np.array([r["id"] for r in first], np.int64))
 
 
-def count_grams(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each bucket occurs in the documents of ``target_ids`` and in all, of rows
-    of doc_id and text.
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``trusted``: whether the doc_id, if any, is among the distinct ``ids``.
+
+    The ids of a partition are a hash table, at any size: texts are shuffled, never sorted."""
+    found = ids.withColumn("trusted", F.lit(True)).hint("shuffle_hash")
+    known = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return known.unionByName(docs.where("doc_id IS NULL").withColumn("trusted", F.lit(False)))
+
+
+def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket occurs in the trusted documents and in all, of rows of text and
+    trusted.
 
     Tasks count into vectors; 2 * BUCKETS sums reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(target_ids)  # TRUSTED numbers
 
     def run(batches):
         words, sums = Words(), np.zeros((2, BUCKETS), np.int64)
@@ -60,8 +67,7 @@ def count_grams(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np
             single, pair = grams(hashes, bounds)
             of_single = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             of_pair = of_single[1:][of_single[1:] == of_single[:-1]]
-            doc = batch.column("doc_id")
-            known = np.isin(doc.fill_null(0).to_numpy(), shared.value) & ~doc.is_null().to_numpy(zero_copy_only=False)
+            known = batch.column("trusted").to_numpy(zero_copy_only=False)
             for buckets, of in ((single, of_single), (pair, of_pair)):
                 sums[0] += np.bincount(buckets[known[of]], minlength=BUCKETS)
                 sums[1] += np.bincount(buckets, minlength=BUCKETS)
@@ -71,7 +77,6 @@ def count_grams(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np
     out = np.zeros((2, BUCKETS))
     for r in map_batches(docs, run, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n")).collect():
         out[r["k"], r["bucket"]] = r["n"]
-    shared.destroy()
     return out[0], out[1]
 
 
@@ -152,21 +157,24 @@ def least_score(scores: DataFrame) -> float:
 
 
 def quality_rules(
-    docs: DataFrame, trusted: DataFrame, bound: int = TRUSTED, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, trusted: DataFrame, bound: int | None = None, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """Counts, ``score``, ``threshold``, ``base_failed`` and ``kept`` per row of ``docs``.
 
-    ``trusted`` holds the ids of the target corpus, of which at most ``bound`` are used;
+    ``trusted`` holds the ids of the target corpus, all of which are used, or at most ``bound``;
     without any, no document fails by its score. A NULL or empty text has no words and
     fails the base rule. Rows of one id are scored each by its own text; a NULL id is never
     trusted. An empty table gives an empty one. Columns of ``docs`` other than id and text
     are not read."""
     frame = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    ids = trusted_sample(trusted, bound, id_column)
-    target, raw = count_grams(frame, ids)
+    if bound is None:
+        ids = trusted.select(F.col(id_column).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    else:
+        ids = docs.sparkSession.createDataFrame([(int(i),) for i in trusted_sample(trusted, bound, id_column)], "doc_id bigint")
+    ids = materialize(ids, "trusted-ids")
+    target, raw = count_grams(marked(frame, ids).select("text", "trusted"))
     scored = materialize(score_rules(frame, log_ratio(target, raw)), "rule-scores")
-    known = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id bigint")  # at most ``bound``
-    of_trusted = scored.where("NOT base_failed").select("doc_id", "score").join(F.broadcast(known), "doc_id", "left_semi")
+    of_trusted = scored.where("NOT base_failed").select("doc_id", "score").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     least = least_score(of_trusted)
     return scored.withColumns({
         "threshold": F.lit(least),

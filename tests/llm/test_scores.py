@@ -185,6 +185,21 @@ def test_rule_verdict_recomputed(spark, odd):
     assert all(r.kept == (not r.base_failed and r.score >= least) for r in got)
 
 
+def test_rule_target_is_every_trusted_document(spark):
+    """A word that few trusted documents hold counts, however many others there are."""
+    texts = [(i, " ".join(f"w{(i * 7 + j) % 500}" for j in range(25)) + (f" rare{i}" if i % 1000 == 0 else "")) for i in range(30_000)]
+    docs = spark.createDataFrame([*texts, (None, texts[0][1])], "doc_id bigint, text string")
+    target, raw = quality_rules.count_grams(quality_rules.marked(docs, docs.select("doc_id").where("doc_id IS NOT NULL")).select("text", "trusted"))
+    assert target.sum() == sum(2 * len(t.split()) - 1 for _, t in texts)
+    assert raw.sum() == target.sum() + 2 * len(texts[0][1].split()) - 1
+    one = quality_rules.quality_rules(docs, docs.select("doc_id"))
+    all_scores = sorted((r.score for r in one.collect() if r.doc_id is not None and not r.base_failed), reverse=True)
+    least = one.first().threshold
+    assert sum(x >= least for x in all_scores) >= quality_rules.KEPT * len(all_scores)
+    bounded = quality_rules.quality_rules(docs, docs.select("doc_id"), 20_000).first()
+    assert bounded.score != one.where(f"doc_id = {bounded.doc_id}").first().score
+
+
 def test_rules_without_trusted(odd, nothing):
     got = quality_rules.quality_rules(odd, nothing.select("doc_id")).collect()
     assert len(got) == odd.count() and all(r.kept != r.base_failed for r in got)
