@@ -205,7 +205,8 @@ def with_kept_text(
     docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """doc_id, kept_text, n_lines, n_dropped and kept_sha256 of every row of ``docs``."""
-    joined = _identified(docs, id_column, text_column, F.col(id_column).cast("bigint").alias("doc_id")).join(bitmaps, ["doc", "row"])
+    # The bitmaps of a partition are a hash table, one small row per text: no text is sorted.
+    joined = _identified(docs, id_column, text_column, F.col(id_column).cast("bigint").alias("doc_id")).join(bitmaps.hint("shuffle_hash"), ["doc", "row"])
 
     def run(batches):
         for batch in pieces(batches, "text"):

@@ -65,3 +65,11 @@ def test_bitmap_of_every_document(odd):
     rows = {r.doc: r for r in line_dedup.keep_bitmaps(odd).collect()}
     assert line_dedup.kept_lines(b"a\nb\nc", 3, __import__("zlib").compress(bytes([0b10100000]))) == b"a\nc"
     assert rows[17].n_lines == 2 and rows[17].n_dropped == 2
+
+
+def test_texts_are_not_sorted(odd):
+    """Sorted texts filled an executor's memory; they meet a hash table of bitmaps."""
+    joined = line_dedup.with_kept_text(odd, line_dedup.keep_bitmaps(odd))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin [doc") == 1
+    assert joined.count() == odd.count()
