@@ -150,8 +150,9 @@ class Units(dict):
         self.ids, self.size, self.older = ids, size, {}
 
     def __missing__(self, unit: str) -> bytes:
-        if unit[-1:] in _MARKS and unit[-2:-1].isalpha():
-            return self[unit[:-1]] + self[unit[-1]]
+        mark = unit[-1:]
+        if mark in _MARKS and unit[-2:-1].isalpha():
+            return self[unit[:-1]] + self[mark]
         value = self.older.get(unit)
         if value is None:
             value = self.ids(unit)
@@ -199,24 +200,29 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.shown = {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.blank = self.shown[32]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _pretoken(self, text: str) -> bytes:
-        if text.isascii() and text[1:].isalpha():
-            shown = self.shown[32] + text[1:] if text[0] == " " else text
-        else:
-            shown = text.encode().decode("latin-1").translate(self.shown)
-        tokens = self.model.tokenize(shown)
-        return _PACKERS[len(tokens)](*[t.id for t in tokens]) if len(tokens) < 16 else struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return self._shown_ids(text.encode().decode("latin-1").translate(self.shown))
+
+    def _shown_ids(self, shown: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return _PACKERS[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
 
     def _unit(self, unit: str) -> bytes:
-        if not unit:
-            return b""
-        if max(unit) > "\u024f":  # beyond Latin letters the library's own tables count
+        if unit.isascii():
+            if unit.isalpha():  # shown as it is
+                return self._shown_ids(unit)
+            if not unit:
+                return b""
+            if unit[0] == " " and (word := unit[1:]).isalpha():
+                return self._shown_ids(self.blank + word)
+        elif max(unit) > "\u024f":  # beyond Latin letters the library's own tables count
             return self.whole(unit)
-        if unit.isalpha() or unit[0] == " " and unit[1:].isalpha():
+        elif unit.isalpha() or unit[0] == " " and unit[1:].isalpha():
             return self._pretoken(unit)
         parts = self.cut(unit)
         return self._pretoken(unit) if len(parts) == 1 else b"".join(map(self.units.__getitem__, parts))
