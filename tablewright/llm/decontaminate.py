@@ -33,6 +33,7 @@ COSINE = 0.75
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.5
 ITEM_BLOCK = 1000  # benchmark items searched for in one pass
 PASS_BYTES = 500_000  # text of the items of a pass, about
+REGION_WORDS = 500_000  # of candidates that are compared at once
 # Words end at white space and at these marks, so a word is the same in any punctuation.
 MARKS = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -214,20 +215,25 @@ class Searcher:
 
     def __init__(self, spaces: list[Space], items: list[Item]):
         self.words, self.spaces, self.items = splitter(), spaces, items
-
-    def near(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[dict[tuple[int, int], float], np.ndarray, np.ndarray]:
-        """Best cosine of each (passage, item) that reaches COSINE, and the passages' first
-        words and texts. A text of one block is one passage."""
+        self.lengths = np.array([len(item.words) for item in items], np.int64)
+        self.vocabulary = np.unique(np.concatenate([np.array(item.words, np.uint64) for item in items]))
+        self.local = np.full(len(self.vocabulary) + 1, -1, np.int64)
+        self.own = []  # of each item: places of its words in the vocabulary, how often each occurs
+        for item in items:
+            at, n = np.unique(np.searchsorted(self.vocabulary, np.array(item.words, np.uint64)), return_counts=True)
+            self.own.append((at, n))
+
+    def near(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, item and best cosine of each pair that reaches COSINE, ascending, and the
+        passages' first words and texts. A text of one block is one passage."""
         starts, of = block_starts(bounds)
-        found: dict[tuple[int, int], float] = {}
-        if not len(starts):
-            return found, starts, of
+        pairs, values = [np.empty(0, np.int64)], [np.empty(0, np.float32)]
         follows = np.zeros(len(of), bool)  # a block with another of its text after it
         follows[:-1] = of[1:] == of[:-1]
         kept = follows | (np.bincount(of, minlength=len(bounds) - 1)[of] == 1)
         place = features(hashes)
         block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(place))))
-        for space in self.spaces:
+        for space in self.spaces if len(starts) else ():
             rows = space.place[place]
             inside = rows >= 0
             sums = self._block_sums(space.table, rows[inside], block[inside], len(starts))
@@ -238,10 +244,15 @@ class Searcher:
             np.divide(passages, length, out=passages, where=length > 1e-6)
             for at in range(0, len(passages), 4096):
                 cosine = passages[at : at + 4096] @ space.targets.T
-                for window, target in zip(*map(np.ndarray.tolist, np.nonzero(cosine >= COSINE))):
-                    key = (at + window, int(space.owner[target]))
-                    found[key] = max(found.get(key, 0.0), float(cosine[window, target]))
-        return found, starts[kept], of[kept]
+                window, target = np.nonzero(cosine >= COSINE)
+                pairs.append((at + window) * len(self.items) + space.owner[target])
+                values.append(cosine[window, target])
+        pair, value = np.concatenate(pairs), np.concatenate(values)
+        order = np.lexsort((-value, pair))
+        pair, value = pair[order], value[order]
+        best = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+        pair = pair[best]
+        return pair // max(1, len(self.items)), pair % max(1, len(self.items)), value[best], starts[kept], of[kept]
 
     @staticmethod
     def _block_sums(table: np.ndarray, rows: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
@@ -258,23 +269,54 @@ class Searcher:
                 out[mine] = table[rows[first[mine][:, None] + np.arange(size)]].sum(axis=1)
         return out
 
+    def _overlap(self, k: int, words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many words of item ``k``, each as often as there, lie in the regions [first, end)
+        of ``words`` (places in the vocabulary of all items)."""
+        own, counts = self.own[k]
+        self.local[own] = np.arange(len(own))
+        out = np.empty(len(first), np.int64)
+        longest = int((end - first).max())
+        step = max(1, REGION_WORDS // longest)
+        for at in range(0, len(first), step):
+            low, high = first[at : at + step, None], end[at : at + step, None]
+            place = low + np.arange(longest)
+            word = self.local[words[np.minimum(place, len(words) - 1)]]
+            word[place >= high] = len(own)
+            word[word < 0] = len(own)
+            row = np.arange(len(low))[:, None] * (len(own) + 1)
+            there = np.bincount((row + word).ravel(), minlength=len(low) * (len(own) + 1)).reshape(len(low), -1)
+            out[at : at + step] = np.minimum(there[:, :-1], counts).sum(axis=1)
+        self.local[own] = -1
+        return out
+
     def leaks(self, texts: list[bytes]) -> list[list[tuple[int, int, int, float, float, float]]]:
         """Per text (item, first word, end word, cosine, share, answer share), the best per
         item."""
         out: list[list] = [[] for _ in texts]
         hashes, bounds = split(self.words, texts)
-        near, starts, of = self.near(hashes, bounds)
+        window, item, value, starts, of = self.near(hashes, bounds)
+        if not len(window):
+            return out
+        text = of[window]
+        first = np.maximum(bounds[text], starts[window] - self.lengths[item])
+        end = np.minimum(bounds[text + 1], starts[window] + 2 * BLOCK + self.lengths[item])
+        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        words = np.where(self.vocabulary[place] == hashes, place, len(self.vocabulary))
+        # Most candidates have too few of the item's words, so they are told apart together.
+        enough = np.zeros(len(item), bool)
+        order = np.argsort(item, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+            k = int(item[mine[0]])
+            enough[mine] = self._overlap(k, words, first[mine], end[mine]) >= PARAPHRASE * self.lengths[k]
         found: dict[tuple[int, int], tuple] = {}
-        for (window, k), value in sorted(near.items()):
-            item, text = self.items[k], int(of[window])
-            low, high = int(bounds[text]), int(bounds[text + 1])
-            first = max(low, int(starts[window]) - len(item.words))
-            end = min(high, int(starts[window]) + 2 * BLOCK + len(item.words))
-            got = judge(item, hashes[first:end].tolist())
-            if got and got > found.get((text, k), (0,) * 6)[4:]:
-                found[text, k] = (item.item_id, first - low, end - low, value, *got)
-        for (text, _), leak in sorted(found.items()):
-            out[text].append(leak)
+        for n in np.flatnonzero(enough).tolist():
+            k, t, low, high = int(item[n]), int(text[n]), int(first[n]), int(end[n])
+            got = judge(self.items[k], hashes[low:high].tolist())
+            if got and got > found.get((t, k), (0,) * 6)[4:]:
+                begin = int(bounds[t])
+                found[t, k] = (self.items[k].item_id, low - begin, high - begin, float(value[n]), *got)
+        for (t, _), leak in sorted(found.items()):
+            out[t].append(leak)
         return out
 
 

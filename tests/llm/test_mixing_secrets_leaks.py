@@ -251,3 +251,40 @@ def test_pipeline_keeps_clean_documents(spark):
     assert set(got.columns) >= set(tokens.columns)
     kept = {r.doc_id for r in got.select("doc_id").collect()}
     assert kept <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_judged_are_only_candidates_with_enough_words(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 30, k)) for k in (12, 40, 25, 9)]
+    hashes, bounds = decontaminate.split(decontaminate.splitter(), [t.encode() for t in texts])
+    items = [decontaminate.make_item(k, hashes[a:b]) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
+    idf = np.ones(decontaminate.FEATURES, np.float32)
+    passages = [p for k in items for p in decontaminate._tfidf(decontaminate.features(np.array(k.words, np.uint64)), idf)]
+    owner = [k.item_id for k in items for _ in decontaminate._tfidf(decontaminate.features(np.array(k.words, np.uint64)), idf)]
+    searcher = decontaminate.Searcher([decontaminate.latent_space(passages, owner, idf)], items)
+    judged, judge = [], decontaminate.judge
+
+    def watched(item, region):
+        there = Counter(region)
+        judged.append(sum(min(n, there[w]) for w, n in item.counts.items()) / len(item.words))
+        return judge(item, region)
+
+    monkeypatch.setattr(decontaminate, "judge", watched)
+    monkeypatch.setattr(decontaminate, "REGION_WORDS", 100)
+    docs = [" ".join(f"w{n}" for n in rng.integers(0, 45, 200)).encode() for _ in range(30)]
+    docs += [b" ".join([d, t.encode(), d]) for d, t in zip(docs, texts)] + [b"w1 w2 " * 3, b"", texts[3].encode()]
+    got = searcher.leaks(docs)
+    assert {k for leaks in got[30:34] for k, *_ in leaks} >= {0, 1, 2, 3}
+    assert judged and min(judged) >= decontaminate.PARAPHRASE
+    # Every candidate, one by one.
+    words, at = decontaminate.split(searcher.words, docs)
+    window, item, value, starts, of = searcher.near(words, at)
+    found: list[dict] = [{} for _ in docs]
+    for w, k, v in zip(window, item, value):
+        n, t = len(items[k].words), of[w]
+        low, high = max(at[t], starts[w] - n), min(at[t + 1], starts[w] + 2 * decontaminate.BLOCK + n)
+        one = judge(items[k], words[low:high].tolist())
+        if one and one > found[t].get(k, (0,) * 6)[4:]:
+            found[t][k] = (items[k].item_id, low - at[t], high - at[t], float(v), *one)
+    assert got == [[leaks[k] for k in sorted(leaks)] for leaks in found]
+    assert searcher.leaks([]) == [] and searcher.leaks([b""]) == [[]]
