@@ -27,18 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import map_batches, pieces
-from tablewright.storage import work_path
+from tablewright.storage import materialize, work_path
 
 BLOCK, LANE = 256, 64
 SHARE = 0.9
 MAGIC = b"TWPF1\0\0\0"
 HEADER = struct.Struct("<8sQIQIQ")  # magic, bytes, part, ids of the part before it, documents, ids
 SEGMENT_IDS = 1_000_000
-UNIT_CACHE = 250_000
-_MARKS = frozenset(".,;:!?")
+UNIT_CACHE = 350_000
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 # Two white-space characters side by side: there a pre-token may reach over a cut.
-_RUN, _OTHER_SPACE = re.compile(r"\s\s"), re.compile(r"[^\S \n]")
+_RUN = re.compile(r"\s\s")
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+# A mark after a Latin letter begins a pre-token (an apostrophe may be part of "'s").
+_MARK = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f].)")
 _STEPS = np.array([1 << w for w in range(33)], np.uint64)
 
 
@@ -76,16 +78,18 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     padded[n:] = ids[-1] if n else 0
     rows = padded.reshape(blocks, BLOCK)
     low = rows.min(axis=1) if n else np.empty(0, np.uint32)
-    delta = (rows - low[:, None]).astype(np.uint64)
+    delta = rows - low[:, None]
+    if not n or delta.max() < 1 << 16:
+        delta = delta.astype(np.uint16)  # less to move
     at = math.ceil(SHARE * BLOCK) - 1
-    widths = np.searchsorted(_STEPS, np.partition(delta, at, axis=1)[:, at], "right").astype(np.uint8)
+    widths = np.searchsorted(_STEPS, np.partition(delta, at, axis=1)[:, at].astype(np.uint64), "right").astype(np.uint8)
     body: list[bytes] = [b""] * blocks
     counts = np.zeros(blocks, np.uint16)
     for width in np.unique(widths):
         mine = np.flatnonzero(widths == width)
-        part_delta = delta[mine]
-        packed = _pack((part_delta & np.uint64((1 << int(width)) - 1)).reshape(-1, LANE), int(width)) if width else None
-        big = part_delta >> np.uint64(width) > 0
+        part_delta, most = delta[mine], (1 << int(width)) - 1
+        packed = _pack((part_delta & delta.dtype.type(most)).astype(np.uint64).reshape(-1, LANE), int(width)) if width else None
+        big = part_delta > most
         counts[mine] = big.sum(axis=1)
         which, where = np.nonzero(big)
         values = part_delta[which, where].astype("<u4")
@@ -130,8 +134,8 @@ def decode_segment(data: memoryview) -> tuple[int, int, list[int | None], np.nda
         mine = np.flatnonzero(widths == width)
         length = int(width) * 8 * (BLOCK // LANE)
         if width:
-            index = starts[mine].astype(np.int64)[:, None] + np.arange(length)
-            words = payload[index].view("<u8").reshape(-1, int(width))
+            at_block = np.lib.stride_tricks.sliding_window_view(payload, length)
+            words = at_block[starts[mine].astype(np.int64)].view("<u8").reshape(-1, int(width))
             out[mine] = _unpack(words, int(width)).reshape(len(mine), BLOCK)
     for block in np.flatnonzero(counts):
         k, a = int(counts[block]), at + int(starts[block]) + int(widths[block]) * 8 * (BLOCK // LANE)
@@ -142,17 +146,13 @@ def decode_segment(data: memoryview) -> tuple[int, int, list[int | None], np.nda
 
 class Units(dict):
     """Ids of units of text, remembered for the ones seen lately: two generations of
-    ``size``. A mark after a letter is a pre-token of its own, so ``word,`` is looked up as
-    ``word`` and ``,`` and takes no place."""
+    ``size``."""
 
     def __init__(self, ids, size: int):
         super().__init__()
         self.ids, self.size, self.older = ids, size, {}
 
     def __missing__(self, unit: str) -> bytes:
-        mark = unit[-1:]
-        if mark in _MARKS and unit[-2:-1].isalpha():
-            return self[unit[:-1]] + self[mark]
         value = self.older.get(unit)
         if value is None:
             value = self.ids(unit)
@@ -167,7 +167,8 @@ class Encoder:
     """Ids of a text, as little-endian 32-bit bytes, by a file of the tokenizers library.
 
     With byte-level pre-tokens, a text that has no two white-space characters side by side
-    is cut before each blank and around each newline, where no pre-token reaches across.
+    is cut before each blank, around each newline and before each mark after a letter, where
+    no pre-token reaches across.
     The units are cut into pre-tokens, the library's model encodes these, and their ids
     are remembered. Any other text goes through the library whole, also one that holds the
     string of a special token, which the library takes for that token."""
@@ -230,13 +231,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        get, out = self.units.__getitem__, []
+        get, cut, out = self.units.__getitem__, _MARK.sub, []
         for text in texts:
             runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-            if runs or "\0" in text or any(map(text.__contains__, self.added)) or _OTHER_SPACE.search(text) and _RUN.search(text):
+            if runs or "\0" in text or any(map(text.__contains__, self.added)) or any(map(text.__contains__, _OTHER_SPACE)) and _RUN.search(text):
                 out.append(self.whole(text))
             else:
-                out.append(b"".join(map(get, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
+                out.append(b"".join(map(get, cut("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
         return out
 
 
@@ -341,8 +342,13 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 found = [part_and_ids(data) for data in segments_of(memoryview(content.as_buffer()))]
                 yield {"part": [p for p, _ in found], "n_tokens": [n for _, n in found]}
 
-    # One total per part, that is per written partition, from the headers alone.
-    totals = map_batches(files, heads, "part int, n_tokens bigint").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    # One total per part, that is per written partition: from the rows where these are small and
+    # kept, so the files are read once, else from the headers alone.
+    if with_ids:
+        counted = map_batches(files, heads, "part int, n_tokens bigint")
+    else:
+        rows = counted = materialize(rows, "token-rows")
+    totals = counted.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     offsets, total = [], 0
     for r in totals:
         offsets.append((r["part"], total))

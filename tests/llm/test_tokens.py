@@ -91,3 +91,23 @@ def test_ids_come_back(spark, bpe, folder, both):
     token_files.write_token_files(docs, f"{folder}/t", bpe, end_id=5)
     rows = {r.doc_id: r.ids for r in token_files.read_token_files(spark, f"{folder}/t", with_ids=True).collect()}
     assert rows == {d: [*both[1].encode(t, add_special_tokens=False).ids, 5] for d, t in [(1, "one"), (2, "two words")]}
+
+
+def test_marks_are_cut_off_words(both):
+    own, plain = both
+    texts = ["Tea, cake; it's a.b@c-d (x) e...\nÜber*** 'll!! ñ? ×, ½. ª! ſ- ʰ~ 日,", "a" + "!" * 9, ",,a,,", "x'- y'", "_a_", "1,000.5, 2nd"]
+    for text in texts:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    own.units.clear(), own.units.older.clear()
+    own.encode([" ".join(f"word{mark}" for mark in ("", ",", "***", "@@", "?!", ".com"))])
+    assert set(own.units) == {"word", " word", ",", "***", "@@", "?!", ".", "com", ".com"}
+
+
+def test_files_are_read_once(spark, bpe, folder, monkeypatch):
+    docs = spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    token_files.write_token_files(docs, f"{folder}/once", bpe)
+    kept = []
+    monkeypatch.setattr(token_files, "materialize", lambda df, label: kept.append(label) or df.localCheckpoint())
+    rows = token_files.read_token_files(spark, f"{folder}/once")
+    assert kept == ["token-rows"] and "binaryFile" not in rows._jdf.queryExecution().toString()
+    assert [r.start for r in rows.orderBy("doc_id").collect()][1:3] == [rows.where("doc_id = 0").first().n_tokens, rows.where("doc_id < 2").groupBy().sum("n_tokens").first()[0]]
