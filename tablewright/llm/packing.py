@@ -110,7 +110,7 @@ def pack_documents(
     def run(batches):
         from pyspark import TaskContext
 
-        from tablewright.llm.token_files import encoder
+        from tablewright.llm.token_files import ENCODED_BYTES, encoder
 
         high = TaskContext.get().partitionId() << 40
         encode, packer = encoder(shared.value).encode, Packer(capacity, slack)
@@ -124,7 +124,7 @@ def pack_documents(
                 out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(r[7] for r in rows), "<i4")))
             return out
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", ENCODED_BYTES):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                 packer.add(doc, ids + end)

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +36,17 @@ MAGIC = b"TWPF1\0\0\0"
 HEADER = struct.Struct("<8sQIQIQ")  # magic, bytes, part, ids of the part before it, documents, ids
 SEGMENT_IDS = 1_000_000
 UNIT_CACHE = 350_000
+ENCODED_BYTES = 4_000_000  # text encoded at once by a task: the more, the fewer of its units are distinct
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 # Two white-space characters side by side: there a pre-token may reach over a cut.
 _RUN = re.compile(r"\s\s")
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-# A mark after a Latin letter begins a pre-token (an apostrophe may be part of "'s").
-_MARK = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f].)")
+# Bytes before which a text is cut: blanks and line feeds, and these marks after a Latin letter
+# (an apostrophe may be part of "'s").
+_BEFORE, _MARK, _LETTER = np.zeros((3, 256), bool)
+_BEFORE[[32, 10]] = True
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
 _STEPS = np.array([1 << w for w in range(33)], np.uint64)
 
 
@@ -145,32 +151,73 @@ def decode_segment(data: memoryview) -> tuple[int, int, list[int | None], np.nda
 
 
 class Units(dict):
-    """Ids of units of text, remembered for the ones seen lately: two generations of
-    ``size``."""
+    """Ids of units of text, remembered for the ones seen lately: new ones in a dictionary,
+    ``size`` older ones in Arrow arrays, which take a fraction of its memory."""
 
     def __init__(self, ids, size: int):
         super().__init__()
-        self.ids, self.size, self.older = ids, size, {}
+        self.ids, self.size, self.older = ids, size, Older()
 
     def __missing__(self, unit: str) -> bytes:
-        value = self.older.get(unit)
-        if value is None:
-            value = self.ids(unit)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[unit] = value
+        value = self[unit] = self.ids(unit)
         return value
 
+    def of(self, units: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct units."""
+        at = pc.index_in(units, value_set=self.older.units)
+        seen = at.is_valid()
+        found = at.drop_null().to_numpy()
+        self.older.used[found] = True
+        new = pa.array(list(map(self.__getitem__, units.filter(pc.invert(seen)).to_pylist())), pa.large_binary())
+        place = np.empty(len(units), np.int64)
+        mask = seen.to_numpy(zero_copy_only=False)
+        place[mask], place[~mask] = found, len(self.older.units) + np.arange(len(new))
+        out = pa.concat_arrays([self.older.ids, new]).take(pa.array(place))
+        if len(self) >= self.size // 8:
+            self.older.add(self, self.size)
+            self.clear()
+        return out
+
+
+class Older:
+    """Units and their ids, those used last first."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.units, self.ids, self.used = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
+
+    def add(self, new: dict[str, bytes], size: int) -> None:
+        """Units are taken in that are not there or are there as well; the latter are held twice until they age."""
+        lately = pa.array(np.append(np.flatnonzero(self.used), np.flatnonzero(~self.used)))
+        join = lambda fresh, held: pa.concat_arrays([pa.array(fresh, held.type), held.take(lately)])[:size]
+        units, ids = join(list(new), self.units), join(list(new.values()), self.ids)
+        # A slice keeps the whole array alive.
+        self.units, self.ids = pa.concat_arrays([units]), pa.concat_arrays([ids])
+        self.used = np.zeros(len(units), bool)
+
+
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Whether a UTF-8 text is cut before each byte: before a blank, around a line feed, and
+    before a mark after a letter up to U+024F."""
+    cut = _BEFORE[raw]
+    cut[1:] |= raw[:-1] == 10
+    marks = np.flatnonzero(_MARK[raw])
+    last, lead = raw[np.maximum(marks - 1, 0)], raw[np.maximum(marks - 2, 0)]
+    two = (lead >= 0xC3) & (lead <= 0xC8) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))  # but the signs of times and division
+    after = _LETTER[last] | (last >= 128) & (two | (lead == 0xC9) & (last <= 0x8F))
+    cut[marks[after]] = True
+    return cut
+
 
 class Encoder:
     """Ids of a text, as little-endian 32-bit bytes, by a file of the tokenizers library.
 
     With byte-level pre-tokens, a text that has no two white-space characters side by side
     is cut before each blank, around each newline and before each mark after a letter, where
-    no pre-token reaches across.
-    The units are cut into pre-tokens, the library's model encodes these, and their ids
-    are remembered. Any other text goes through the library whole, also one that holds the
+    no pre-token reaches across. The distinct units of the texts, told apart in Arrow, are cut
+    into pre-tokens, the library's model encodes these, and their ids are remembered. Any other text goes through the library whole, also one that holds the
     string of a special token, which the library takes for that token."""
 
     def __init__(self, file_text: str):
@@ -231,15 +278,35 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        get, cut, out = self.units.__getitem__, _MARK.sub, []
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
             runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-            if runs or "\0" in text or any(map(text.__contains__, self.added)) or any(map(text.__contains__, _OTHER_SPACE)) and _RUN.search(text):
-                out.append(self.whole(text))
-            else:
-                out.append(b"".join(map(get, cut("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
+            if runs or any(map(text.__contains__, self.added)) or any(map(text.__contains__, _OTHER_SPACE)) and _RUN.search(text):
+                out[k] = self.whole(text)
+            elif text:
+                plain.append(k)
+        for k, ids in zip(plain, self._by_unit([texts[k] for k in plain])):
+            out[k] = ids
         return out
 
+    def _by_unit(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts that may be cut, none of them empty."""
+        if not texts:
+            return
+        data = [t.encode() for t in texts]
+        begins = np.cumsum([0, *map(len, data)])
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        del data
+        cut = _cuts(raw)
+        cut[begins[:-1]] = True
+        starts = np.flatnonzero(cut)
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        _, offsets, content = self.units.of(units.dictionary).take(units.indices).buffers()
+        ends = np.frombuffer(offsets, np.int64, len(starts) + 1)[np.searchsorted(starts, begins)].tolist()
+        content = memoryview(content) if content else b""
+        yield from (bytes(content[a:b]) for a, b in zip(ends[:-1], ends[1:]))
+
 
 _ENCODERS: dict[int, Encoder] = {}
 
@@ -282,7 +349,7 @@ def write_token_files(
             ids, encoded, size = [], [], 0
             return {"segment": pa.array([data], pa.binary())}
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", ENCODED_BYTES):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for doc, data in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                 ids.append(doc)

@@ -103,6 +103,25 @@ def test_marks_are_cut_off_words(both):
     assert set(own.units) == {"word", " word", ",", "***", "@@", "?!", ".", "com", ".com"}
 
 
+def test_a_unit_of_many_texts_is_looked_up_once(both):
+    own, plain = both
+    asked = []
+
+    class Asked(token_files.Units):
+        def __getitem__(self, unit):
+            asked.append(unit)
+            return super().__getitem__(unit)
+
+    texts = ["", "tea and tea, and\0tea", "tea\nand " * 40 + "x", "", "ȁ,é.×!÷? ɏ; ɐ; \0 ,tea", "  kept whole", "tea and é"]
+    units, own.units = own.units, Asked(own._unit, 10)
+    try:
+        got = own.encode(texts)
+    finally:
+        own.units = units
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count(" tea") == asked.count("\n") == 1
+
+
 def test_files_are_read_once(spark, bpe, folder, monkeypatch):
     docs = spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     token_files.write_token_files(docs, f"{folder}/once", bpe)
