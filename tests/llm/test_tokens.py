@@ -143,3 +143,20 @@ def test_a_task_gives_back_what_earlier_ones_freed(monkeypatch):
     held.clear()
     assert list(common.pieces([], "text")) == []
     assert resident() < before - 60 and guard.all()
+
+
+def test_a_task_gives_back_what_it_freed_when_it_ends(spark, monkeypatch):
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append("given back"))
+
+    def fn(batches):
+        yield {"x": [1, 2]}
+        done.append("worked")
+
+    run = common.map_batches(Frame(), fn, "x bigint")
+    assert [b.num_rows for b in run([])] == [2] and done == ["given back", "worked", "given back"]
+    assert list(common.map_batches(Frame(), lambda batches: iter(()), "x bigint")([])) == []
