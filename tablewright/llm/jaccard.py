@@ -12,12 +12,13 @@ hashed into segments, the same for all sets, and a set's part of a segment is on
 
 Equal sets share a node (a 63-bit hash of the set), so copies cost nothing further. First,
 every key's nodes are compared with one of them only (linear in the rows, combined in
-the map tasks), which joins groups of near copies whole. Then keys that still hold nodes
+the map tasks), which joins many groups of near copies whole. Nodes that share fewer keys
+with any others than similar sets do are left out from there on. Keys that still hold nodes
 of different components are counted, and each node gives up its most frequent keys as far
-as it has more than it needs (cost-based allocation). Of the pairs that are left, those too
-far from a common pivot (the middle of their group) are looked for by what they share
-beyond it. All candidates are verified, so every link between sets is found or lies within
-a component.
+as it has more than it needs (cost-based allocation). Nodes of the keys that stay frequent
+are compared with a pivot (the middle of their group), and each other pair of them is looked
+for by what sets both apart from the pivot; the few nodes of other keys meet by their key.
+All candidates are verified, so every link between sets is found or lies within a component.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from tablewright.storage import bucketed, discard, materialize, release
 SMALL = 64  # bands up to this size use one-deletion neighbourhoods
 RATIO = 1.5  # of a band's bounds
 SPARE = 0.12  # further segments, as a share
-FREQUENT = 8  # nodes of a key from which it may be given up
+FREQUENT = 8  # nodes of a key from which it may be given up, or has a pivot
 FLUSH = 1_000_000
 MOST_SPARE = (1 << 20) - 2
 ROWS = "key bigint, node bigint, rep bigint, n int"
@@ -133,19 +134,39 @@ def signatures(grams: np.ndarray, bands: Bands) -> list[dict]:
     return out
 
 
-def document_sets(docs: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (NULL for an empty set) of every row."""
+def least_shared(grams: np.ndarray, bands: Bands) -> int:
+    """Keys that a set shares with any similar one, at least: parts beyond those that may
+    differ, or one where deletions are used."""
+    out, spread = MOST_SPARE, None
+    for band in bands.of(len(grams)):
+        m, by_deletion = bands.layout(band)
+        if not m:
+            continue
+        if by_deletion:
+            return 1
+        if spread is None:
+            spread = mixed(grams ^ U64(0xA5A5A5A5A5A5A5A5)) >> U64(17)
+        held = np.count_nonzero(np.bincount((spread % U64(m)).astype(np.int64)))
+        out = min(out, max(held - bands.needed(len(grams), band), 0) + 1)
+    return out
+
+
+def document_sets(docs: DataFrame, size: int, bands: Bands, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node (NULL for an empty set) of every row, and the keys
+    that the node shares with any similar one at least."""
 
     def run(batches):
         words = Words()
         for batch in pieces(batches, "text"):
-            n, nodes = [], []
+            n, nodes, least = [], [], []
             for grams in shingle_sets(words, as_bytes(batch.column("text")), size):
                 n.append(len(grams))
                 nodes.append(node_of(grams) if len(grams) else None)
-            yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": n, "node": nodes}
+                least.append(least_shared(grams, bands) if len(grams) else None)
+            yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": n, "node": nodes, "least": least}
 
-    return map_batches(_rows(docs, id_column, text_column), run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint")
+    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, least int"
+    return map_batches(_rows(docs, id_column, text_column), run, schema)
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -304,9 +325,9 @@ def _shared_keys(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Band
     """(key, node, root, deleted, probe, size) of the keys that nodes of different components
     share, less those that the nodes give up.
 
-    A set has ``spare`` parts more than may differ from any partner's, so of the parts that
-    two similar sets have in common at least one is left when each gives up its ``spare``
-    most frequent ones, by one order of all keys."""
+    A set has ``spare`` parts more than may differ from any partner's. So it shares more than
+    ``spare`` parts with a similar one, and of the parts that both have in common at least one
+    is left when each gives up its ``spare`` most frequent ones, by one order of all keys."""
     root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     joined = star.join(root("rep"), "rep", "left").join(root("node"), "node", "left").select(
         F.coalesce("rep_root", "rep").alias("r"), F.coalesce("node_root", "node").alias("o"),
@@ -347,76 +368,91 @@ def _shared_keys(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Band
             bits(29, 34).cast("int").alias("size"), (bits(0, 20) - 1).alias("spare"),
         )
     )
-    frequent = Window.partitionBy("node", "band", "parts").orderBy(F.col("n").desc(), "key")
-    given_up = F.col("parts") & (F.col("n") >= FREQUENT) & (F.row_number().over(frequent) <= F.col("spare"))
-    kept = shared.withColumn("given_up", given_up).where("NOT given_up")
+    own = Window.partitionBy("node", "band", "parts")
+    enough = ~F.col("parts") | (F.count("*").over(own) > F.col("spare"))
+    order = F.row_number().over(own.orderBy(F.col("n").desc(), "key"))
+    given_up = F.col("parts") & (F.col("n") >= FREQUENT) & (order <= F.col("spare"))
+    kept = shared.withColumns({"enough": enough, "given_up": given_up}).where("enough AND NOT given_up")
     return materialize(kept.select("key", "node", "root", "deleted", (F.col("spare") >= 0).alias("probe"), "size"), "shared-keys")
 
 
 def _pivots(known: DataFrame) -> DataFrame:
-    """(node, root, size, pivot): for each node the one that leads most of its keys; a key is
-    led by its node with most keys, so a group of copies has one pivot, its middle. Any
-    node would do for a right result."""
-    busy = known.groupBy("node").agg(F.count("*").alias("busy"))
-    leads = known.join(busy, "node").groupBy("key").agg(F.max_by("node", F.struct("busy", "node")).alias("pivot"))
-    led = known.join(leads, "key").groupBy("node", "root", "size", "pivot").agg(F.count("*").alias("n"))
-    return led.groupBy("node", "root", "size").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-
-
-def _beyond(pivots: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pivots`` with ``near``, the elements shared with the pivot, and ``beyond``, the others."""
+    """(key, pivot, pivot_root, many): of a key's nodes the one that meets most others in all
+    its keys, the middle of a group of copies; any would do for a right result. ``many``:
+    whether the key is frequent."""
+    count = known.groupBy("key").agg(F.count("*").alias("n"))
+    meets = known.join(count, "key").groupBy("node").agg(F.sum("n").alias("meets"))
+    lead = F.max_by(F.struct("node", "root"), F.struct("meets", "node")).alias("lead")
+    leads = known.join(meets, "node").groupBy("key").agg(lead, (F.count("*") >= FREQUENT).alias("many"))
+    return leads.select("key", F.col("lead.node").alias("pivot"), F.col("lead.root").alias("pivot_root"), "many")
+
+
+def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with ``apart``, the elements that only one of node and pivot has, and
+    their number."""
     grams = lambda name: sets.select(F.col("node").alias(name), F.col("grams").alias(f"{name}_grams"))
-    both = pivots.join(grams("node"), "node").join(grams("pivot"), "pivot")
+    both = members.join(grams("node"), "node").join(grams("pivot"), "pivot")
+    names = ("node", "root", "size", "pivot", "pivot_root")
 
     def run(batches):
         for batch in batches:
-            beyond = [
-                np.setdiff1d(np.frombuffer(x.as_buffer(), U64), np.frombuffer(p.as_buffer(), U64), assume_unique=True).view(np.int64)
-                for x, p in zip(batch.column("node_grams"), batch.column("pivot_grams"))
-            ]
-            n = np.fromiter(map(len, beyond), np.int64, len(beyond))
+            apart, sizes = [], []
+            for x, p in zip(batch.column("node_grams"), batch.column("pivot_grams")):
+                x, p = np.frombuffer(x.as_buffer(), U64), np.frombuffer(p.as_buffer(), U64)
+                apart.append(np.setxor1d(x, p, assume_unique=True).view(np.int64))
+                sizes.append(len(p))
+            n = np.fromiter(map(len, apart), np.int64, len(apart))
             yield {
-                **{c: batch.column(c) for c in ("node", "root", "size", "pivot")},
-                "near": (batch.column("size").to_numpy() - n).astype(np.int32),
-                "beyond": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(beyond) if len(beyond) else np.empty(0, np.int64))),
+                **{c: batch.column(c) for c in names}, "pivot_size": sizes, "far": n.astype(np.int32),
+                "apart": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(apart) if len(apart) else np.empty(0, np.int64))),
             }
 
-    return materialize(map_batches(both, run, "node bigint, root bigint, size int, pivot bigint, near int, beyond array<bigint>"), "beyond")
+    schema = "node bigint, root bigint, size int, pivot bigint, pivot_root bigint, pivot_size int, far int, apart array<bigint>"
+    return materialize(map_batches(both, run, schema), "apart")
 
 
 def _across(sets: DataFrame, roots: DataFrame, star: DataFrame, bands: Bands) -> DataFrame:
     """Candidate pairs (a, b) between components.
 
-    Two similar sets x and y share at least need = (|x| + |y|) num / (num + den) elements, at
-    most min(near) of them with a common pivot. Where that falls short, as it does for the
-    loose members of a large group, they must share elements beyond the pivot, too: such
-    pairs are looked for by those elements alone, not by the keys that the group shares."""
+    Nodes of a key that is not frequent meet by the key: few rows each. Those of a frequent
+    one meet by its pivot. Let x and y lie ``far`` elements from it; they differ in at least
+    far(x) + far(y) less twice what sets both apart from the pivot. If far(x) + far(y) is not
+    more than similar sets may differ in, both are similar to the pivot, and these links are
+    found here. So of all other pairs, similar ones share elements apart from the pivot,
+    half of what far(x) + far(y) is too much, and are looked for by the rarest of these."""
     spark = sets.sparkSession
     known = _shared_keys(sets, roots, star, bands)
     release(spark)
-    loose = _beyond(_pivots(known), sets)
+    leads = materialize(_pivots(known), "pivots")
+    release(spark)
+    members = known.join(leads.where("many"), "key").where("node <> pivot").select("node", "root", "size", "pivot", "pivot_root").distinct()
+    apart = _apart(members, sets)
     release(spark)
     num, den = bands.num, bands.den
     alike = f"p.root <> q.root AND p.node < q.node AND least(p.size, q.size) * {den} >= greatest(p.size, q.size) * {num}"
-    enough = f"least(p.near, q.near) * {num + den} >= (p.size + q.size) * {num}"
-    placed = known.join(loose.select("node", "pivot", "near"), "node")
-    p, q = placed.alias("p"), placed.alias("q")
-    direct = p.join(q, F.col("p.key") == F.col("q.key")).where(
-        f"{alike} AND NOT (p.deleted AND q.deleted) AND (p.probe OR q.probe) AND (p.pivot <> q.pivot OR {enough})"
-    )
-    # Of the elements beyond, x may give up all but one of those that any partner must share.
-    least = F.greatest(F.lit(1), F.ceil((F.col("size") * num - F.col("near") * den) / den).cast("int"))
-    element = loose.select("node", "root", "size", "pivot", "near", least.alias("least"), F.explode("beyond").alias("e"))
+    differ = lambda a, b: f"((bigint({a}) + {b}) * {den - num} div {den + num})"
+    near = apart.where(f"root <> pivot_root AND far <= {differ('size', 'pivot_size')}")
+    joined = materialize(components(near.select(F.col("root").alias("a"), F.col("pivot_root").alias("b"))), "roots")
+    renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    later = lambda df: df.join(renamed, "root", "left").withColumn("root", F.coalesce("joined", "root")).drop("joined")
+    few = later(known.join(leads.where("NOT many").select("key"), "key", "left_semi"))
+    p, q = few.alias("p"), few.alias("q")
+    direct = p.join(q, F.col("p.key") == F.col("q.key")).where(f"{alike} AND NOT (p.deleted AND q.deleted) AND (p.probe OR q.probe)")
+    element = later(apart).select("node", "root", "size", "pivot", "far", F.explode("apart").alias("e"))
     same = Window.partitionBy("pivot", "e")
     found = element.withColumns({"n": F.count("*").over(same), "lo": F.min("root").over(same), "hi": F.max("root").over(same)}).where("lo <> hi")
-    rarest = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "e"))
-    searched = materialize(found.withColumn("rank", rarest).where("rank >= least").select("node", "root", "size", "pivot", "near", "e"), "elements")
+    # If similar sets share k of these elements, the rarest of the k has rank k or more in both.
+    rank = F.row_number().over(Window.partitionBy("pivot", "node").orderBy(F.col("n").desc(), "e"))
+    least = F.expr(f"far - {differ('size', f'(bigint(size) * {den} div {num})')}")
+    searched = materialize(found.withColumn("rank", rank).where(F.col("rank") >= least).select("node", "root", "size", "pivot", "far", "rank", "e"), "elements")
     release(spark)
     p, q = searched.alias("p"), searched.alias("q")
-    far = p.join(q, (F.col("p.pivot") == F.col("q.pivot")) & (F.col("p.e") == F.col("q.e"))).where(f"{alike} AND NOT ({enough})")
-    both = direct.select("p.node", "q.node").unionAll(far.select("p.node", "q.node")).toDF("a", "b")
+    shared = f"2 * least(p.rank, q.rank) >= p.far + q.far - {differ('p.size', 'q.size')}"
+    by_pivot = p.join(q, (F.col("p.pivot") == F.col("q.pivot")) & (F.col("p.e") == F.col("q.e"))).where(f"{alike} AND {shared}")
+    to_pivot = near.select(F.least("node", "pivot"), F.greatest("node", "pivot"))
+    both = direct.select("p.node", "q.node").unionAll(by_pivot.select("p.node", "q.node")).unionAll(to_pivot).toDF("a", "b")
     pairs = materialize(both.distinct(), "pairs")
-    discard(known, loose, searched)
+    discard(known, leads, apart, joined, searched)
     release(spark)
     return pairs
 
@@ -438,11 +474,12 @@ def _join(docs, size, num, den, id_column="doc_id", text_column="text") -> tuple
     """The result, the verified links (a, b) between nodes, and each row's component."""
     g = math.gcd(num, den)
     bands = Bands(num // g, den // g)
-    sets = materialize(document_sets(docs, size, id_column, text_column), "sets")
+    sets = materialize(document_sets(docs, size, bands, id_column, text_column), "sets")
     spark = docs.sparkSession
     star = materialize(_star_pairs(_signature_rows(docs, size, bands, id_column, text_column)), "star-pairs")
     release(spark)  # the shuffled keys, the largest step
-    nodes = star.select("node").unionAll(star.select("rep")).distinct()
+    shared = star.select("node", "n").unionAll(star.select("rep", "n")).groupBy("node").agg(F.sum("n").alias("shared"))
+    nodes = sets.join(shared, "node").where("shared >= least").select("node").distinct()
     grams = _sets_of(docs, sets, nodes, size, id_column, text_column)
     release(spark)
     best = star.groupBy("node").agg(F.max(F.struct("n", "rep")).alias("m")).select(F.least("node", "m.rep").alias("a"), F.greatest("node", "m.rep").alias("b")).distinct()

@@ -164,4 +164,45 @@ def test_loose_members_of_a_group(spark):
     assert pairs[0] < 160 * 159 / 2 / 10
 
 
+def test_few_candidates_in_a_large_group(spark, monkeypatch):
+    """Copies of one text with one to three or eight words replaced: candidates in proportion
+    to the copies, not to their pairs."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 1, 2, 2, 3, 8, 8])):
+            words[at] = f"{i}-{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    pairs, real = [], jaccard._across
+
+    def seen(*args):
+        out = real(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_across", seen)
+    assert spark_components(docs) == plain(rows)
+    assert pairs[0] < 4 * len(rows)
+
+
+def test_similar_sets_share_enough_keys():
+    """No set with a similar one is left out for sharing too few keys."""
+    rng = np.random.default_rng(5)
+    bands = jaccard.Bands(4, 5)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 600)), dtype=np.uint64))
+        b = a[rng.permutation(len(a))[: -(-len(a) * 4 // 5)]]
+        if rng.random() < 0.5:  # replaced, not removed
+            b = np.unique(np.append(rng.permutation(a)[: -(-len(a) * 8 // 9)], rng.integers(0, 2**63, len(a) // 9, dtype=np.uint64)))
+        b, shared = np.sort(b), len(np.intersect1d(a, b))
+        if 5 * shared < 4 * (len(a) + len(b) - shared) or np.array_equal(a, b):
+            continue
+        keys = lambda grams: np.unique(np.concatenate([s["keys"] for s in jaccard.signatures(grams, bands)]))
+        common = len(np.intersect1d(keys(a), keys(b)))
+        assert common >= max(jaccard.least_shared(a, bands), jaccard.least_shared(b, bands))
+
+
 PAIR = [" ".join(f"{c}{k}" for k in range(40)) for c in "ab"]
