@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SPACES, Words, as_bytes, map_batches, pieces
+from tablewright.llm.common import SPACES, Words, as_bytes, filter_batches, map_batches, pieces
 
 FEATURES = 1 << 16
 BLOCK = 16  # words
@@ -380,7 +380,7 @@ def _searchers(own: DataFrame, benchmark: DataFrame, item_column: str, item_text
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` in whose text no item is found, all columns as they are."""
-    schema, kept = docs.schema, docs
+    kept = docs
     for shared in _searchers(docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")), benchmark, "item_id", "text"):
         def run(batches, shared=shared):
             searcher = Searcher(*shared.value)
@@ -389,5 +389,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
                 if good.num_rows:
                     yield good
 
-        kept = kept.mapInArrow(run, schema)
+        kept = filter_batches(kept, run)
     return kept

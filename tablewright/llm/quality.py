@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WORD_CACHE, as_bytes, map_batches, pieces
+from tablewright.llm.common import WORD_CACHE, as_bytes, filter_batches, map_batches, pieces
 
 UNITS, DIMS, NONZERO = 8192, 64, 2
 CHUNKS = 256
@@ -252,7 +252,6 @@ def keep_good(docs: DataFrame, table: np.ndarray, net: Network, text_column: str
     Text goes through the scorer and back only as its row's verdict: the rows are filtered
     in the task that scores them."""
     shared = docs.sparkSession.sparkContext.broadcast((table, net))
-    schema = docs.schema
 
     def run(batches):
         units, (vectors, network) = Units(), shared.value
@@ -262,4 +261,4 @@ def keep_good(docs: DataFrame, table: np.ndarray, net: Network, text_column: str
             if good.num_rows:
                 yield good
 
-    return docs.mapInArrow(run, schema)
+    return filter_batches(docs, run)

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import language, lattice, quality, quality_rules
+from tablewright.llm import common, language, lattice, quality, quality_rules
 from tablewright.llm.common import held_out
 from tablewright.llm.queries import QUERIES, quality_labels
 
@@ -125,6 +126,23 @@ def test_quality_of_odd_rows(odd, nothing):
     assert {round(r.score, 6) for r in quality.score(odd, table, net).collect()} == {0.5}
 
 
+def test_filter_gives_back_memory_when_it_ends(spark, monkeypatch):
+    """Its Python worker may wait long for another task."""
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("given back"))
+    batch = pa.RecordBatch.from_pydict({"text": ["some words", None]})
+
+    class Docs:  # what a task would run
+        sparkSession, schema = spark, None
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    net = quality.fit_network(np.empty((0, 5 * quality.DIMS)), np.empty(0))
+    run = quality.keep_good(Docs(), np.zeros((quality.UNITS, 2 * quality.DIMS), np.float32), net)
+    for got in run(iter([batch])):
+        seen.append(got.num_rows)
+    assert seen[-2:] == [2, "given back"]
+
+
 def test_context_vectors_do_not_depend_on_partitions(odd):
     index = quality.index_vectors()
     one = quality.context_vectors(odd.coalesce(1), index)
