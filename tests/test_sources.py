@@ -144,6 +144,36 @@ def test_lineage_of_a_whole_catalog(spark):
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
 
 
+def test_lineage_rows_cross_no_shuffle(spark):
+    """Targets times statements rows come out; only the statements and the targets are shuffled."""
+    targets = spark.range(40).selectExpr("concat('t', id % 20) AS table_name", "concat('c', id DIV 4) AS name")
+    views = spark.range(50).selectExpr(
+        "'s' AS schema_name", "IF(id = 7, NULL, concat('v', id)) AS name", "concat_ws(' ', transform(sequence(0, 9), i -> concat('C', i)), concat('t', id % 20), repeat('\\n', 3)) AS ddl")
+    history = spark.createDataFrame([(1, None), (2, "c1\nT1"), (3, "$c1 c1x é")], "id int, sql_text string")
+    out = metadata.lineage_references(targets, views, history)
+    rows = got(out)
+    assert len(rows) == 50 * 40 + 4 and len(set(rows)) == len(rows)
+    assert sum(r[3] == "likely" for r in rows) == sum((id % 20) == v % 20 for id in range(40) for v in range(50))
+    assert sorted(r[:4] for r in rows if r[5] == "2") == [(f"t{i}", "c1", "historyReference", "possible") for i in (4, 5, 6, 7)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert plan.index("BroadcastHashJoin") < plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+    parts = metadata.lineage_references(targets, views, history, most=7)
+    assert sorted(got(parts), key=repr) == sorted(rows, key=repr)
+    final = parts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("- Exchange hashpartitioning") == 1 < final.count("ReusedExchange")  # of the statements, for all parts
+
+
+def test_lineage_of_names_with_line_ends(spark):
+    views = spark.createDataFrame([("v", "a id b"), ("w", "a id\nb")], "name string, ddl string")
+    targets = spark.createDataFrame([("a", "id\n"), ("b\n", "id")], "table_name string, name string")
+    assert sorted((r.tc, r.confidence, r.ref) for r in metadata.lineage_references(targets, views).collect()) == [
+        ("id", "possible", "v"), ("id", "possible", "w")]  # "id\n" is followed by a word in w
+    views = views.withColumn("ddl", F.concat("ddl", F.lit(" id\n b\n")))
+    assert sorted((r.tc, r.confidence, r.ref) for r in metadata.lineage_references(targets, views, most=1).collect()) == [
+        ("id", "likely", "v"), ("id", "likely", "w"), ("id\n", "likely", "v"), ("id\n", "likely", "w")]
+
+
 def test_lineage(spark):
     columns = spark.createDataFrame([("s", "orders", "user_id"), ("s", "users", "email"), ("s", "subscribers", "email")], "schema_name string, table_name string, name string")
     fks = spark.createDataFrame([("s", "orders", "fk", "user_id", "users", "id")], "schema_name string, table_name string, name string, column_name string, ref_table string, ref_column string")
