@@ -191,3 +191,20 @@ def test_lookup_rows_of_heavy_keys(spark, keep_empty, most):
     assert "_piece" in cut._jdf.queryExecution().optimizedPlan().toString()
     arrays = left.groupBy("id").agg(F.array(F.first("k"), F.lit(2), F.lit(None).cast("int")).alias("k"))
     assert got(relate.lookup_rows(arrays, foreign, "k", "f", "x", False, most)) == got(relate.lookup_rows(arrays, foreign, "k", "f", "x", False))
+
+
+@pytest.mark.parametrize("here, there, most", [(3, 4000, 8000), (4000, 3, 8000), (400, 300, 14_000)])
+@pytest.mark.parametrize("keep_empty", [True, False])
+def test_copies_of_heavy_keys_grow_with_the_sides(spark, here, there, most, keep_empty):
+    left = spark.range(here + 5, numPartitions=3).selectExpr("id", f"IF(id < {here}, 1, IF(id % 2 = 0, NULL, 2)) AS k")
+    foreign = spark.range(there, numPartitions=2).selectExpr("id AS _id", "1 AS f")
+    cut = relate.lookup_rows(left, foreign, "k", "f", "x", keep_empty, 1)
+    sums = F.sum(F.xxhash64("id", "x") % 1000), F.count("*"), F.count("x")
+    assert cut.agg(*sums).first() == relate.lookup_rows(left, foreign, "k", "f", "x", keep_empty).agg(*sums).first()
+    assert cut.count() == here * there + (5 if keep_empty else 0)
+    # Rows of both sides that reach the join: they were as many as the output where that was very large.
+    plan = cut._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    reach = sum(type(cut)(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.children().apply(i)), spark).count() for i in (0, 1))
+    assert reach <= most
